@@ -1,0 +1,21 @@
+"""Join helper for a small side whose size is checked first."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``small`` marked for broadcast when a count proves it has at most ``max_rows`` rows.
+
+    Beyond that it is returned unmarked and Spark joins by shuffle (with skew handling).
+    Meant for narrow key tables that would otherwise force file content through a shuffle.
+    The rows counted are kept, so they are computed once.
+    """
+    kept = small.persist()
+    if kept.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(kept)
+    return kept
