@@ -168,9 +168,10 @@ def with_compare_fallback(modes: DataFrame) -> DataFrame:
     status = F.col("compare_status")
     gone = F.coalesce(compared & (status == 404), F.lit(False))
     failed = F.coalesce(compared & (status >= 400) & (status != 404), F.lit(False))
-    return (
-        modes.withColumn("mode", F.when(gone, "full").otherwise(F.col("mode")))
-        .withColumn("base_sha", F.when(gone, F.lit(None)).otherwise(F.col("base_sha")))
-        .withColumn("fell_back", gone)
-        .withColumn("mode_error", F.when(failed, "COMPARE_FAILED"))
+    marked = modes.withColumn("fell_back", gone).withColumn(
+        "mode_error", F.when(failed, "COMPARE_FAILED")
+    )
+    fell_back = F.col("fell_back")
+    return marked.withColumn("mode", F.when(fell_back, "full").otherwise(F.col("mode"))).withColumn(
+        "base_sha", F.when(~fell_back, F.col("base_sha"))
     )

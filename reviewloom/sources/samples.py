@@ -4,6 +4,8 @@ The provided data has no review history, so each canonical table is a projection
 orders act as reviews of their customer's repository, line items as findings, documents as
 source files, pages as raw URLs and events as model responses. Every view grows with its
 table and is row-local or a combinable aggregate.
+
+``ROW_VIEWS`` holds the row-local ones as plain SQL select lists.
 """
 
 from __future__ import annotations
@@ -16,6 +18,197 @@ from reviewloom.operators.languages import REGISTRY
 LINTERS = [entry[1] for entry in REGISTRY]
 
 
+def _linter_of(key: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(LINTERS))
+    return f"CASE {key} % {len(LINTERS)} {cases} END"
+
+
+_GOOD_ISSUE = (
+    "concat('{\"file\":\"src/m', CAST(l_suppkey % 8 AS STRING), '.js\",\"line\":', "
+    "CAST(l_linenumber AS STRING), ',\"severity\":\"error\",\"category\":\"logic\","
+    "\"message\":\"m', CAST(l_suppkey % 3 AS STRING), '\",\"suggestion\":\"s\"}')"
+)
+_ODD_ISSUE = "'{\"file\":3,\"line\":\"7\",\"severity\":\"bad\",\"category\":\"x\"}'"
+
+# view -> (table, select list)
+ROW_VIEWS: dict[str, tuple[str, list[str]]] = {
+    # Line items as findings; seq packs the line number and tie-breakers.
+    "findings": ("lineitem", [
+        "l_orderkey AS review_id",
+        "CAST(l_linenumber AS BIGINT) * 1000000000000 + (l_partkey % 1000000) * 1000000 "
+        "+ (l_suppkey % 1000) * 1000 + CAST(round(l_extendedprice * 100) AS BIGINT) % 1000 AS seq",
+        "concat('src/m', CAST(l_partkey % 8 AS STRING), '.js') AS file",
+        "CASE WHEN l_linestatus = 'F' THEN l_linenumber END AS line",
+        "CASE l_returnflag WHEN 'R' THEN 'error' WHEN 'A' THEN 'warning' ELSE 'info' END "
+        "AS severity",
+        "CASE l_suppkey % 5 WHEN 0 THEN 'security' WHEN 1 THEN 'lint' WHEN 2 THEN 'style' "
+        "WHEN 3 THEN 'logic' ELSE 'performance' END AS category",
+        "concat('msg-', CAST(l_suppkey % 3 AS STRING)) AS message",
+        "CASE WHEN l_partkey % 3 = 0 THEN concat('fix-', CAST(l_suppkey % 3 AS STRING)) "
+        "ELSE '' END AS suggestion",
+        "concat('rule/', CAST(l_suppkey % 5 AS STRING)) AS rule_id",
+    ]),
+    "files": ("documents", [
+        "source AS repo_id",
+        "concat(CASE WHEN doc_id % 11 = 0 THEN 'node_modules/' "
+        "WHEN doc_id % 13 = 0 THEN 'src/.hidden/' ELSE 'src/' END, lang, '/f', "
+        "CAST(doc_id AS STRING), CASE doc_id % 6 WHEN 0 THEN '.js' WHEN 1 THEN '.py' "
+        "WHEN 2 THEN '.SQL' WHEN 3 THEN '.min.js' WHEN 4 THEN '.png' ELSE '.ts' END) AS path",
+        "text AS content",
+    ]),
+    # Manifests next to some of the files (paths only).
+    "manifests": ("documents", [
+        "source AS repo_id",
+        "concat(CASE WHEN doc_id % 11 = 0 THEN 'vendor/' WHEN doc_id % 5 = 0 THEN '' "
+        "ELSE concat('mod', CAST(doc_id % 9 AS STRING), '/') END, "
+        "CASE doc_id % 7 WHEN 0 THEN 'package.json' WHEN 1 THEN 'Cargo.toml' "
+        "WHEN 2 THEN 'go.mod' WHEN 3 THEN '.rubocop.yml' WHEN 4 THEN 'Makefile/readme.txt' "
+        "ELSE 'notes.txt' END) AS path",
+    ]),
+    # Root manifests with content, for the dialect detection.
+    "dialect_files": ("documents", [
+        "concat('doc', CAST(doc_id AS STRING)) AS repo_id",
+        "CASE doc_id % 5 WHEN 0 THEN 'package.json' WHEN 1 THEN 'requirements.txt' "
+        "WHEN 2 THEN 'db/x.psql' WHEN 3 THEN 'vendor/x.psql' ELSE 'package.json' END AS path",
+        "CASE doc_id % 5 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 "
+        "THEN '{\"dependencies\":{\"pg\":\"1\"}}' ELSE '{\"devDependencies\":{\"page\":\"1\"}}' END "
+        "WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN concat('psycopg2', chr(10), lang) ELSE text END "
+        "WHEN 4 THEN 'not json' ELSE text END AS content",
+    ]),
+    # Documents rewritten so that the database rules have something to find.
+    "code_files": ("documents", [
+        "source AS repo_id",
+        "concat('src/', lang, '/f', CAST(doc_id AS STRING), '.js') AS path",
+        "concat(CASE WHEN doc_id % 3 <> 0 THEN concat('const m = require(\"mongoose\");', "
+        "chr(10)) ELSE '' END, "
+        "replace(replace(replace(replace(replace(replace(text, '. ', chr(10)), ' the ', "
+        "' User.find({}) '), ' of ', ' $where : '), ' is ', '.lean () '), ' que ', "
+        "' new ObjectId( ) '), ' der ', concat(chr(10), '  // x.drop() '))) AS content",
+    ]),
+    # Documents under names that include skipped files and committed env files.
+    "secret_files": ("documents", [
+        "source AS repo_id",
+        "concat('d', CAST(doc_id AS STRING), CASE WHEN doc_id % 50 = 0 THEN '/.env' "
+        "WHEN doc_id % 10 = 1 THEN '/README.md' WHEN doc_id % 10 = 2 THEN '/.env.example' "
+        "ELSE '/config.js' END) AS path",
+        "text AS content",
+    ]),
+    "repo_urls": ("pages", [
+        "page_id",
+        "CASE page_id % 5 WHEN 0 THEN url "
+        "WHEN 1 THEN regexp_replace(url, '^https?://[^/]+', 'https://github.com') "
+        "WHEN 2 THEN concat(regexp_replace(url, '^https?://[^/]+', 'github.com'), '.git') "
+        "WHEN 3 THEN regexp_replace(url, '^https?://[^/]+', 'https://github.com/orgs') "
+        "ELSE regexp_replace(url, '^https?://[^/]+', 'https://gist.github.com') END AS raw_url",
+    ]),
+    "metadata": ("customer", [
+        "c_custkey AS repo_id",
+        "c_custkey % 11 = 0 AS archived",
+        "c_custkey % 17 = 0 AS disabled",
+        "c_custkey % 5 = 0 AS fork",
+        "c_custkey % 3 = 0 AS private",
+        "CASE WHEN c_custkey % 23 = 0 THEN 0 ELSE CAST(floor(abs(c_acctbal) * 100) AS BIGINT) "
+        "% 700000 END AS size_kb",
+        "CASE WHEN c_custkey % 29 <> 0 THEN 'main' END AS default_branch",
+        "c_custkey % 19 <> 0 AS has_commits",
+        "CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey % 61 AS INT) END AS rate_remaining",
+        "CASE c_custkey % 13 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 401 WHEN 3 THEN 500 "
+        "ELSE 200 END AS http_status",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'Resource not accessible' END AS response_message",
+        "c_custkey % 4 = 0 AS has_token",
+    ]),
+    "api_calls": ("events", [
+        "event_id AS call_id",
+        "CASE event_id % 6 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'metadata' WHEN 2 THEN 'commits' "
+        "WHEN 3 THEN 'head' WHEN 4 THEN 'compare' ELSE 'zipball' END AS endpoint",
+        "CASE event_id % 7 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 409 "
+        "WHEN 4 THEN 503 ELSE 200 END AS http_status",
+    ]),
+    # One request per customer: some forced, some with an unchanged head.
+    "requests": ("customer", [
+        "c_custkey AS repo_id",
+        "c_custkey % 10 = 0 AS force_full",
+        "c_custkey % 4 = 1 AS same_head",
+        "CASE c_custkey % 6 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END AS compare_status",
+        "CASE c_custkey % 3 WHEN 0 THEN ' release ' WHEN 1 THEN '  ' END AS branch",
+    ]),
+    "responses": ("events", [
+        "event_id AS response_id",
+        "CASE event_id % 4 WHEN 0 THEN concat('{\"summary\":\"', event_type, "
+        "'\",\"score\":', CAST(event_id % 140 AS STRING), ',\"issues\":[]}') "
+        "WHEN 1 THEN concat('```json', chr(10), '{\"summary\":\"', event_type, "
+        "'\",\"score\":\"', CAST(event_id % 140 AS STRING), '\"}', chr(10), '```') "
+        "WHEN 2 THEN concat('Here is the review: ', props, ' done') "
+        "ELSE concat('no json ', event_type) END AS text",
+    ]),
+    # One response per line item, covering valid, malformed and odd issue lists.
+    "issue_responses": ("lineitem", [
+        "l_orderkey AS review_id",
+        f"CASE l_partkey % 8 WHEN 0 THEN concat('{{\"summary\":\"ok\",\"score\":72.5,\"issues\":[', "
+        f"{_GOOD_ISSUE}, ',', {_ODD_ISSUE}, ']}}') "
+        f"WHEN 1 THEN concat('```json', chr(10), '{{\"score\":140,\"issues\":[', {_GOOD_ISSUE}, "
+        f"']}}', chr(10), '```') "
+        f"WHEN 2 THEN concat('Result: {{\"score\":-3,\"issues\":[', {_ODD_ISSUE}, ']}} end') "
+        "WHEN 3 THEN '{\"summary\":7,\"score\":60,\"issues\":[3]}' "
+        "WHEN 4 THEN '{\"issues\":\"x\"}' WHEN 5 THEN '[]' "
+        "WHEN 6 THEN '{\"score\":10,\"issues\":[null]}' "
+        "ELSE '{\"score\":1} tail {\"score\":2}' END AS text",
+    ]),
+    # One fix answer per order.
+    "fix_responses": ("orders", [
+        "o_orderkey AS review_id",
+        "CASE o_orderkey % 5 WHEN 0 THEN concat('{\"prTitle\":\"Fix ', "
+        "CAST(o_orderkey AS STRING), '\",\"prBody\":\"Body\",\"fixes\":[{\"file\":\"src/m', "
+        "CAST(o_custkey % 8 AS STRING), '.js\",\"newContent\":\"x\",\"explanation\":\"why\"},"
+        "{\"file\":\"src/b.js\",\"newContent\":\"y\"},{\"file\":\"src/c.js\"}]}') "
+        "WHEN 1 THEN concat('```json', chr(10), '{\"prBody\":\"B\",\"fixes\":"
+        "[{\"file\":\"a.js\",\"newContent\":\"z\"}]}', chr(10), '```') "
+        "WHEN 2 THEN '{\"prTitle\":5,\"fixes\":[{\"newContent\":\"q\"}]}' "
+        "WHEN 3 THEN 'sorry' ELSE '{\"fixes\":{}}' END AS text",
+    ]),
+    # Two attempts per order.
+    "first_attempts": ("orders", [
+        "o_orderkey AS review_id", "'primary' AS provider", "0 AS attempt_pos",
+        "CASE o_orderkey % 4 WHEN 0 THEN concat(' answer ', CAST(o_orderkey AS STRING)) "
+        "WHEN 1 THEN '  ' END AS text",
+        "CASE o_orderkey % 4 WHEN 2 THEN 'Rate limit reached' WHEN 3 THEN 'timeout' END AS error",
+        "CASE WHEN o_orderkey % 8 = 3 THEN 429 END AS status",
+    ]),
+    "second_attempts": ("orders", [
+        "o_orderkey AS review_id", "'fallback' AS provider", "1 AS attempt_pos",
+        "CASE WHEN o_custkey % 3 <> 0 THEN concat('second ', CAST(o_custkey AS STRING)) END "
+        "AS text",
+        "CASE WHEN o_custkey % 3 = 0 THEN 'offline' END AS error",
+        "CAST(NULL AS INT) AS status",
+    ]),
+    # One linter run per order.
+    "run_log": ("orders", [
+        "o_orderkey AS repo_id",
+        f"{_linter_of('o_orderkey')} AS linter",
+        "o_orderkey % 11 <> 0 AS ran",
+        "CASE o_orderkey % 7 WHEN 0 THEN 'ENOENT' WHEN 1 THEN 'ERR_INVALID_ARG_TYPE' END "
+        "AS error_code",
+        "CASE o_orderkey % 7 WHEN 2 THEN 'SyntaxError' WHEN 3 THEN 'Error' END AS error_name",
+        "CASE WHEN o_orderkey % 7 < 4 THEN concat('failed ', CAST(o_orderkey AS STRING)) END "
+        "AS error_message",
+    ]),
+    # Comparison payloads, one per order.
+    "compares": ("orders", [
+        "CAST(o_custkey AS STRING) AS repo_id",
+        "CAST(o_orderkey AS STRING) AS review_id",
+        "concat('b', CAST(o_custkey % 50 AS STRING)) AS base_sha",
+        "concat('b', CAST(o_orderkey % 50 AS STRING)) AS head_sha",
+        "concat('{\"status\":\"', CASE WHEN o_orderkey % 9 = 0 THEN 'identical' ELSE 'ahead' END, "
+        "'\",\"behind_by\":', CAST(o_orderkey % 4 AS STRING), ',\"total_commits\":', "
+        "CAST(o_orderkey % 6 AS STRING), ',\"files\":[{\"filename\":\"a', "
+        "CAST(o_custkey % 8 AS STRING), '.js\",\"status\":\"modified\",\"patch\":\"+x\","
+        "\"additions\":', CAST(o_custkey % 9 AS STRING), ',\"deletions\":1},"
+        "{\"filename\":\"n.js\",\"previous_filename\":\"o.js\",\"status\":\"renamed\","
+        "\"additions\":0,\"deletions\":0}]}') AS payload",
+    ]),
+}
+
+
 class Samples:
     """Canonical tables over one folder of provided parquet files."""
 
@@ -26,7 +219,10 @@ class Samples:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    # -- reviews ---------------------------------------------------------------
+    def view(self, name: str) -> DataFrame:
+        """One of the row-local views."""
+        table, columns = ROW_VIEWS[name]
+        return self.table(table).selectExpr(*columns)
 
     def reviews(self) -> DataFrame:
         """A customer's first order, and every seventh order, is a full review."""
@@ -46,34 +242,12 @@ class Samples:
             F.when(key % 3 == 0, "main").otherwise("develop").alias("branch"),
         )
 
-    def findings(self) -> DataFrame:
-        """Line items as findings; ``seq`` packs the line number and tie-breakers."""
-        seq = F.expr(
-            "CAST(l_linenumber AS BIGINT) * 1000000000000 + (l_partkey % 1000000) * 1000000 "
-            "+ (l_suppkey % 1000) * 1000 + CAST(round(l_extendedprice * 100) AS BIGINT) % 1000"
-        )
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("review_id"),
-            seq.alias("seq"),
-            F.expr("concat('src/m', CAST(l_partkey % 8 AS STRING), '.js')").alias("file"),
-            F.expr("CASE WHEN l_linestatus = 'F' THEN l_linenumber END").alias("line"),
-            F.expr(
-                "CASE l_returnflag WHEN 'R' THEN 'error' WHEN 'A' THEN 'warning' ELSE 'info' END"
-            ).alias("severity"),
-            F.expr(
-                "CASE l_suppkey % 5 WHEN 0 THEN 'security' WHEN 1 THEN 'lint' WHEN 2 THEN 'style' "
-                "WHEN 3 THEN 'logic' ELSE 'performance' END"
-            ).alias("category"),
-            F.expr("concat('msg-', CAST(l_suppkey % 3 AS STRING))").alias("message"),
-            F.expr(
-                "CASE WHEN l_partkey % 3 = 0 THEN concat('fix-', CAST(l_suppkey % 3 AS STRING)) "
-                "ELSE '' END"
-            ).alias("suggestion"),
-        )
+    def issues(self) -> DataFrame:
+        """Findings as stored issues, which carry no rule id."""
+        return self.view("findings").drop("rule_id")
 
     def lint_findings(self) -> DataFrame:
-        """Findings with a rule id, as a linter would report them."""
-        return self.findings().withColumn("rule_id", F.concat(F.lit("rule/"), "category"))
+        return self.view("findings")
 
     def changes(self) -> DataFrame:
         grouped = (
@@ -81,240 +255,46 @@ class Samples:
             .groupBy(F.col("l_orderkey").alias("review_id"), F.expr("l_suppkey % 8").alias("k"))
             .agg(F.expr("min(l_linenumber + l_partkey) % 5").alias("s"))
         )
-        return grouped.select(
+        return grouped.selectExpr(
             "review_id",
-            F.col("k").cast("int").alias("file_no"),
-            F.expr("concat('src/m', CAST(k AS STRING), '.js')").alias("filename"),
-            F.expr(
-                "CASE WHEN s = 3 THEN concat('src/m', CAST((k + 3) % 8 AS STRING), '.js') END"
-            ).alias("previous_filename"),
-            F.expr(
-                "CASE s WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'removed' "
-                "WHEN 3 THEN 'renamed' ELSE 'modified' END"
-            ).alias("status"),
-            F.expr(
-                "CASE WHEN k % 4 <> 0 THEN concat('@@ -1 +1 @@', chr(10), '+line ', "
-                "CAST(k AS STRING)) END"
-            ).alias("patch"),
-            F.expr("CAST(k + s AS INT)").alias("additions"),
-            F.expr("CAST(s AS INT)").alias("deletions"),
-        )
-
-    # -- files -----------------------------------------------------------------
-
-    def files(self) -> DataFrame:
-        return self.table("documents").select(
-            F.col("source").alias("repo_id"),
-            F.expr(
-                "concat(CASE WHEN doc_id % 11 = 0 THEN 'node_modules/' "
-                "WHEN doc_id % 13 = 0 THEN 'src/.hidden/' ELSE 'src/' END, lang, '/f', "
-                "CAST(doc_id AS STRING), CASE doc_id % 6 WHEN 0 THEN '.js' WHEN 1 THEN '.py' "
-                "WHEN 2 THEN '.SQL' WHEN 3 THEN '.min.js' WHEN 4 THEN '.png' ELSE '.ts' END)"
-            ).alias("path"),
-            F.col("text").alias("content"),
+            "CAST(k AS INT) AS file_no",
+            "concat('src/m', CAST(k AS STRING), '.js') AS filename",
+            "CASE WHEN s = 3 THEN concat('src/m', CAST((k + 3) % 8 AS STRING), '.js') END "
+            "AS previous_filename",
+            "CASE s WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'removed' "
+            "WHEN 3 THEN 'renamed' ELSE 'modified' END AS status",
+            "CASE WHEN k % 4 <> 0 THEN concat('@@ -1 +1 @@', chr(10), '+line ', "
+            "CAST(k AS STRING)) END AS patch",
+            "CAST(k + s AS INT) AS additions",
+            "CAST(s AS INT) AS deletions",
         )
 
     def tree(self) -> DataFrame:
-        """The files plus, for some documents, a manifest next to them (paths only)."""
-        manifest = F.expr(
-            "CASE doc_id % 7 WHEN 0 THEN 'package.json' WHEN 1 THEN 'Cargo.toml' "
-            "WHEN 2 THEN 'go.mod' WHEN 3 THEN '.rubocop.yml' WHEN 4 THEN 'Makefile/readme.txt' END"
-        )
-        place = F.expr(
-            "CASE WHEN doc_id % 11 = 0 THEN 'vendor/' WHEN doc_id % 5 = 0 THEN '' "
-            "ELSE concat('mod', CAST(doc_id % 9 AS STRING), '/') END"
-        )
-        extra = self.table("documents").select(
-            F.col("source").alias("repo_id"), F.concat(place, manifest).alias("path")
-        )
-        return self.files().select("repo_id", "path").unionByName(
-            extra.where(F.col("path").isNotNull()).distinct()
-        )
+        """Paths of the files and of the manifests between them."""
+        files = self.view("files").select("repo_id", "path")
+        return files.unionByName(self.view("manifests").distinct())
 
-    def code_files(self) -> DataFrame:
-        """Documents rewritten so that the database rules have something to find."""
-        content = F.expr(
-            "concat(CASE WHEN doc_id % 3 <> 0 THEN concat('const m = require(\"mongoose\");', "
-            "chr(10)) ELSE '' END, "
-            "replace(replace(replace(replace(replace(replace(text, '. ', chr(10)), ' the ', "
-            "' User.find({}) '), ' of ', ' $where : '), ' is ', '.lean () '), ' que ', "
-            "' new ObjectId( ) '), ' der ', concat(chr(10), '  // x.drop() ')))"
-        )
-        return self.table("documents").select(
-            F.col("source").alias("repo_id"),
-            F.expr("concat('src/', lang, '/f', CAST(doc_id AS STRING), '.js')").alias("path"),
-            content.alias("content"),
-        )
-
-    def secret_files(self) -> DataFrame:
-        """Documents under names that include skipped files and committed env files."""
-        return self.table("documents").select(
-            F.col("source").alias("repo_id"),
-            F.expr(
-                "concat('d', CAST(doc_id AS STRING), CASE WHEN doc_id % 50 = 0 THEN '/.env' "
-                "WHEN doc_id % 10 = 1 THEN '/README.md' WHEN doc_id % 10 = 2 THEN '/.env.example' "
-                "ELSE '/config.js' END)"
-            ).alias("path"),
-            F.col("text").alias("content"),
-        )
-
-    # -- requests --------------------------------------------------------------
-
-    def repo_urls(self) -> DataFrame:
-        return self.table("pages").select(
-            "page_id",
-            F.expr(
-                "CASE page_id % 5 WHEN 0 THEN url "
-                "WHEN 1 THEN regexp_replace(url, '^https?://[^/]+', 'https://github.com') "
-                "WHEN 2 THEN concat(regexp_replace(url, '^https?://[^/]+', 'github.com'), '.git') "
-                "WHEN 3 THEN regexp_replace(url, '^https?://[^/]+', 'https://github.com/orgs') "
-                "ELSE regexp_replace(url, '^https?://[^/]+', 'https://gist.github.com') END"
-            ).alias("raw_url"),
-        )
-
-    def metadata(self) -> DataFrame:
-        return self.table("customer").selectExpr(
-            "c_custkey AS repo_id",
-            "c_custkey % 11 = 0 AS archived",
-            "c_custkey % 17 = 0 AS disabled",
-            "c_custkey % 5 = 0 AS fork",
-            "c_custkey % 3 = 0 AS private",
-            "CASE WHEN c_custkey % 23 = 0 THEN 0 ELSE CAST(floor(abs(c_acctbal) * 100) AS BIGINT) "
-            "% 700000 END AS size_kb",
-            "CASE WHEN c_custkey % 29 <> 0 THEN 'main' END AS default_branch",
-            "c_custkey % 19 <> 0 AS has_commits",
-            "CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey % 61 AS INT) END AS rate_remaining",
-            "CASE c_custkey % 13 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 401 WHEN 3 THEN 500 "
-            "ELSE 200 END AS http_status",
-            "CASE WHEN c_custkey % 2 = 0 THEN 'Resource not accessible' END AS response_message",
-            "c_custkey % 4 = 0 AS has_token",
-        )
-
-    def api_calls(self) -> DataFrame:
-        return self.table("events").selectExpr(
-            "event_id AS call_id",
-            "CASE event_id % 6 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'metadata' WHEN 2 THEN 'commits' "
-            "WHEN 3 THEN 'head' WHEN 4 THEN 'compare' ELSE 'zipball' END AS endpoint",
-            "CASE event_id % 7 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 409 "
-            "WHEN 4 THEN 503 ELSE 200 END AS http_status",
-        )
-
-    def review_requests(self) -> DataFrame:
-        """One request per customer: some forced, some with an unchanged head."""
-        return self.table("customer").selectExpr(
-            "c_custkey AS repo_id",
-            "c_custkey % 10 = 0 AS force_full",
-            "c_custkey % 4 = 1 AS same_head",
-            "CASE c_custkey % 6 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END AS compare_status",
-            "CASE c_custkey % 3 WHEN 0 THEN ' release ' WHEN 1 THEN '  ' END AS branch",
-        )
-
-    # -- responses -------------------------------------------------------------
-
-    def responses(self) -> DataFrame:
-        return self.table("events").select(
-            F.col("event_id").alias("response_id"),
-            F.expr(
-                "CASE event_id % 4 WHEN 0 THEN concat('{\"summary\":\"', event_type, "
-                "'\",\"score\":', CAST(event_id % 140 AS STRING), ',\"issues\":[]}') "
-                "WHEN 1 THEN concat('```json', chr(10), '{\"summary\":\"', event_type, "
-                "'\",\"score\":\"', CAST(event_id % 140 AS STRING), '\"}', chr(10), '```') "
-                "WHEN 2 THEN concat('Here is the review: ', props, ' done') "
-                "ELSE concat('no json ', event_type) END"
-            ).alias("text"),
-        )
-
-    def issue_responses(self) -> DataFrame:
-        """One response per line item, covering valid, malformed and odd issue lists."""
-        good = (
-            "concat('{\"file\":\"src/m', CAST(l_suppkey % 8 AS STRING), '.js\",\"line\":', "
-            "CAST(l_linenumber AS STRING), ',\"severity\":\"error\",\"category\":\"logic\","
-            "\"message\":\"m', CAST(l_suppkey % 3 AS STRING), '\",\"suggestion\":\"s\"}')"
-        )
-        odd = "'{\"file\":3,\"line\":\"7\",\"severity\":\"bad\",\"category\":\"x\"}'"
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("review_id"),
-            F.expr(
-                f"CASE l_partkey % 8 WHEN 0 THEN concat('{{\"summary\":\"ok\",\"score\":72.5,"
-                f"\"issues\":[', {good}, ',', {odd}, ']}}') "
-                f"WHEN 1 THEN concat('```json', chr(10), '{{\"score\":140,\"issues\":[', {good}, "
-                f"']}}', chr(10), '```') "
-                f"WHEN 2 THEN concat('Result: {{\"score\":-3,\"issues\":[', {odd}, ']}} end') "
-                "WHEN 3 THEN '{\"summary\":7,\"score\":60,\"issues\":[3]}' "
-                "WHEN 4 THEN '{\"issues\":\"x\"}' WHEN 5 THEN '[]' "
-                "WHEN 6 THEN '{\"score\":10,\"issues\":[null]}' "
-                "ELSE '{\"score\":1} tail {\"score\":2}' END"
-            ).alias("text"),
-        )
-
-    def fix_responses(self) -> DataFrame:
-        """One fix answer per order."""
-        return self.table("orders").select(
-            F.col("o_orderkey").alias("review_id"),
-            F.expr(
-                "CASE o_orderkey % 5 WHEN 0 THEN concat('{\"prTitle\":\"Fix ', "
-                "CAST(o_orderkey AS STRING), '\",\"prBody\":\"Body\",\"fixes\":[{\"file\":\"src/m', "
-                "CAST(o_custkey % 8 AS STRING), '.js\",\"newContent\":\"x\",\"explanation\":\"why\"},"
-                "{\"file\":\"src/b.js\",\"newContent\":\"y\"},{\"file\":\"src/c.js\"}]}') "
-                "WHEN 1 THEN concat('```json', chr(10), '{\"prBody\":\"B\",\"fixes\":"
-                "[{\"file\":\"a.js\",\"newContent\":\"z\"}]}', chr(10), '```') "
-                "WHEN 2 THEN '{\"prTitle\":5,\"fixes\":[{\"newContent\":\"q\"}]}' "
-                "WHEN 3 THEN 'sorry' ELSE '{\"fixes\":{}}' END"
-            ).alias("text"),
-        )
-
-    def provider_attempts(self) -> DataFrame:
-        """Two attempts per order: a primary and a fallback provider."""
-        attempts = F.expr(
-            "array(named_struct('provider', 'primary', 'attempt_pos', 0, "
-            "'text', CASE o_orderkey % 4 WHEN 0 THEN concat(' answer ', CAST(o_orderkey AS STRING)) "
-            "WHEN 1 THEN '  ' END, "
-            "'error', CASE o_orderkey % 4 WHEN 2 THEN 'Rate limit reached' WHEN 3 THEN 'timeout' END, "
-            "'status', CASE WHEN o_orderkey % 8 = 3 THEN 429 END), "
-            "named_struct('provider', 'fallback', 'attempt_pos', 1, "
-            "'text', CASE WHEN o_custkey % 3 <> 0 THEN concat('second ', CAST(o_custkey AS STRING)) END, "
-            "'error', CASE WHEN o_custkey % 3 = 0 THEN 'offline' END, 'status', CAST(NULL AS INT)))"
-        )
-        return self.table("orders").select(
-            F.col("o_orderkey").alias("review_id"), F.explode(attempts).alias("a")
-        ).select("review_id", "a.*")
-
-    # -- lint reports and runs ---------------------------------------------------
+    def attempts(self) -> DataFrame:
+        return self.view("first_attempts").unionByName(self.view("second_attempts"))
 
     def lint_reports(self, linter: str) -> DataFrame:
         """One report of the given tool per line item (see :data:`PAYLOADS`)."""
-        return self.table("lineitem").select(
-            F.expr("CAST(l_orderkey AS STRING)").alias("repo_id"),
-            F.lit(linter).alias("linter"),
-            F.lit("/checkout/repo").alias("root"),
-            F.expr(
-                f"CASE WHEN l_partkey % 10 = 0 THEN 'no report' ELSE {PAYLOADS[linter]} END"
-            ).alias("payload"),
-        )
-
-    def run_log(self) -> DataFrame:
-        """One linter run per order."""
-        names = ", ".join(f"'{name}'" for name in LINTERS)
-        return self.table("orders").selectExpr(
-            "o_orderkey AS repo_id",
-            f"element_at(array({names}), CAST(o_orderkey % 13 AS INT) + 1) AS linter",
-            "o_orderkey % 11 <> 0 AS ran",
-            "CASE o_orderkey % 7 WHEN 0 THEN 'ENOENT' WHEN 1 THEN 'ERR_INVALID_ARG_TYPE' END "
-            "AS error_code",
-            "CASE o_orderkey % 7 WHEN 2 THEN 'SyntaxError' WHEN 3 THEN 'Error' END AS error_name",
-            "CASE WHEN o_orderkey % 7 < 4 THEN concat('failed ', CAST(o_orderkey AS STRING)) END "
-            "AS error_message",
+        return self.table("lineitem").selectExpr(
+            "CAST(l_orderkey AS STRING) AS repo_id",
+            f"'{linter}' AS linter",
+            "'/checkout/repo' AS root",
+            f"CASE WHEN l_partkey % 10 = 0 THEN 'no report' ELSE {PAYLOADS[linter]} END AS payload",
         )
 
     def run_findings(self) -> DataFrame:
         """Findings attributed to the run of their order."""
-        names = ", ".join(f"'{name}'" for name in LINTERS)
-        return self.findings().withColumn(
-            "linter", F.expr(f"element_at(array({names}), CAST(review_id % 13 AS INT) + 1)")
-        ).withColumnRenamed("review_id", "repo_id")
+        return (
+            self.view("findings").withColumn("linter", F.expr(_linter_of("review_id")))
+            .withColumnRenamed("review_id", "repo_id")
+        )
 
 
-# Spark SQL expressions that write one report of each tool from a line item row.
+# SQL expressions that write one report of each tool from a line item row.
 _N = "CAST(l_linenumber AS STRING)"
 _C = "CAST(l_suppkey % 40 AS STRING)"
 _F = "CAST(l_partkey % 8 AS STRING)"
