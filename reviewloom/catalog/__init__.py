@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from reviewloom.session import configure
 
 _MODULES = (
-    "files", "scans", "requests",
+    "findings", "merging", "history", "files", "scans", "requests", "reports", "responses",
+    "prompts", "streams",
 )
 
 

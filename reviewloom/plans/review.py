@@ -195,8 +195,12 @@ def assemble_reports(
             lambda e: e["language"],
         ).alias("languages")
     )
+    headers = reviews.select(
+        "review_id", "repo_id", "repo_url", "default_branch", "mode", "base_sha", "head_sha",
+        "warnings",
+    )
     report = (
-        reviews.join(parsed, "review_id")
+        headers.join(parsed, "review_id")
         .join(counted(issues, "issue_count"), "review_id", "left")
         .join(counted(changes, "changed_file_count"), "review_id", "left")
         .join(lint_totals.withColumnRenamed("total", "lint_issues_found"), "review_id", "left")

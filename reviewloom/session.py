@@ -17,6 +17,9 @@ _SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Lets the map-side group limit apply to the 5000-file cap as well.
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
+    # Keyed streaming state on local disk instead of the executor heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
