@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import trimmed
 
 FENCE = "```"
+_MARK = "~~ end of value ~~"
 
 
 def strict_json(text: Column) -> Column:
     """Variant of exactly one JSON value, null for anything else.
 
-    The built-in parser stops after the first value. Wrapping the text once in an
-    object and once in an array makes trailing text break at least one of the two.
+    The built-in parser stops after the first value. Inside an array with an end mark
+    behind it, trailing text or a second value leaves the mark out of second place. Text
+    that holds the mark itself is checked by wrapping it in an object and in an array,
+    which cannot both swallow the same trailing text.
     """
+    marked = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')))
+    ends = F.try_variant_get(marked, "$[1]", "string") == _MARK
+    single = F.when(ends, F.try_variant_get(marked, "$[0]", "variant"))
     as_member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     as_element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(as_element.isNotNull(), F.try_variant_get(as_member, "$.v", "variant"))
+    wrapped = F.when(as_element.isNotNull(), F.try_variant_get(as_member, "$.v", "variant"))
+    return F.when(text.contains(_MARK), wrapped).otherwise(single)
 
 
 def without_fences(text: Column) -> Column:
@@ -27,12 +34,41 @@ def without_fences(text: Column) -> Column:
     return trimmed(F.regexp_replace(opened, r"\s*" + FENCE + r"\z", ""))
 
 
-def lenient_document(text: Column) -> Column:
-    """The fenced text itself, else the widest brace-to-brace span in it."""
-    clean = without_fences(text)
-    return F.coalesce(
-        strict_json(clean), strict_json(F.regexp_extract(clean, r"\{[\s\S]*\}", 0))
+def computed_once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column that later filters must not copy.
+
+    Spark moves a filter below the projection it reads and so evaluates the expression
+    twice. The output of a one-element generator is left where it is.
+    """
+    return frame.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def with_document(frame: DataFrame, text: str, into: str) -> DataFrame:
+    """Adds ``struct<root, doc>``: the JSON document in a text and its opening character.
+
+    The document is the text without fences, else the widest brace-to-brace span in it.
+    """
+    cleaned = computed_once(frame, "__clean", without_fences(F.col(text)))
+    # A failing parse is costly, so only text with matching outer brackets is tried. Bare
+    # numbers and words are no document and hold no braces, so they need no parse either.
+    bracketed = F.col("__clean").rlike(r'(?s)^(?:\{.*\}|\[.*\]|".*")\z')
+    direct = computed_once(
+        cleaned, "__direct",
+        F.struct(
+            F.col("__clean").alias("text"),
+            F.when(bracketed, strict_json(F.col("__clean"))).alias("doc"),
+        ),
+    )
+    span = F.regexp_extract("__direct.text", r"\{[\s\S]*\}", 0)
+    found = F.when(
+        F.col("__direct.doc").isNotNull(),
+        F.struct(
+            F.substring("__direct.text", 1, 1).alias("root"), F.col("__direct.doc").alias("doc")
+        ),
+    ).otherwise(
+        F.struct(F.lit("{").alias("root"), F.when(span != "", strict_json(span)).alias("doc"))
     )
+    return computed_once(direct, into, found).drop("__direct", "__clean")
 
 
 def field(value: Column, name: str) -> Column:
@@ -43,18 +79,6 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(_kind(value).startswith("OBJECT"), F.lit(False))
-
-
-def is_array(value: Column) -> Column:
-    return F.coalesce(_kind(value).startswith("ARRAY"), F.lit(False))
-
-
-def is_null_literal(value: Column) -> Column:
-    return F.coalesce(_kind(value) == "VOID", F.lit(False))
-
-
 def text_field(value: Column, name: str) -> Column:
     """String member, null when absent or of another type."""
     member = field(value, name)
@@ -70,5 +94,4 @@ def number_field(value: Column, name: str) -> Column:
 
 def array_field(value: Column, name: str) -> Column:
     """Array member as ``array<variant>``, null when absent or of another type."""
-    member = field(value, name)
-    return F.when(is_array(member), F.try_variant_get(member, "$", "array<variant>"))
+    return F.try_variant_get(value, f"$.{name}", "array<variant>")

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions.json_values import computed_once
 from reviewloom.functions.paths import relative_path
 from reviewloom.functions.severity import normalize_severity, normalize_severity_number
 from reviewloom.functions.text import number_or_one, trimmed, unescape_xml
@@ -89,21 +90,25 @@ def _findings(
     )
 
 
+def _items(frame: DataFrame, keep: list[str], items: Column, *names: str) -> DataFrame:
+    """Rows of an array or map with their position.
+
+    The outer generator keeps Spark from adding a size filter below it, which would
+    parse every payload a second time.
+    """
+    rows = frame.select(*keep, F.posexplode_outer(items).alias(*names))
+    return rows.where(F.col(names[-1]).isNotNull())
+
+
 def _flat(reports: DataFrame, parsed: Column) -> DataFrame:
     """One row per element ``m`` of a parsed array."""
-    return reports.withColumn("__items", parsed).select(
-        "repo_id", "root", F.posexplode("__items").alias("seq", "m")
-    )
+    return _items(reports, ["repo_id", "root"], parsed, "seq", "m")
 
 
 def _nested(reports: DataFrame, parsed: Column, children: str) -> DataFrame:
     """One row per element ``f`` and child ``m`` of a parsed array of files."""
-    files = reports.withColumn("__items", parsed).select(
-        "repo_id", "root", F.posexplode("__items").alias("outer", "f")
-    )
-    return files.select(
-        "repo_id", "root", "outer", "f", F.posexplode(f"f.{children}").alias("inner", "m")
-    )
+    files = _items(reports, ["repo_id", "root"], parsed, "outer", "f")
+    return _items(files, ["repo_id", "root", "outer", "f"], F.col(f"f.{children}"), "inner", "m")
 
 
 def eslint(reports: DataFrame) -> DataFrame:
@@ -115,10 +120,12 @@ def eslint(reports: DataFrame) -> DataFrame:
     )
 
 
+def _lines(reports: DataFrame) -> DataFrame:
+    return _items(reports, ["repo_id", "root"], F.split("payload", "\n", -1), "seq", "raw")
+
+
 def flake8(reports: DataFrame) -> DataFrame:
-    lines = reports.select(
-        "repo_id", "root", F.posexplode(F.split("payload", "\n", -1)).alias("seq", "raw")
-    ).withColumn("raw", trimmed(F.col("raw")))
+    lines = _lines(reports).withColumn("raw", trimmed(F.col("raw")))
     rows = lines.where(F.col("raw").rlike(FLAKE8_LINE))
 
     def part(group: int) -> Column:
@@ -132,11 +139,8 @@ def flake8(reports: DataFrame) -> DataFrame:
 
 
 def clippy(reports: DataFrame) -> DataFrame:
-    lines = reports.select(
-        "repo_id", "root", F.posexplode(F.split("payload", "\n", -1)).alias("seq", "raw")
-    )
     entries = (
-        lines.withColumn("e", F.from_json(trimmed(F.col("raw")), CLIPPY))
+        computed_once(_lines(reports), "e", F.from_json(trimmed(F.col("raw")), CLIPPY))
         .where((F.col("e.reason") == "compiler-message") & (F.size("e.message.spans") > 0))
         .withColumn("m", F.col("e.message"))
     )
@@ -177,18 +181,16 @@ def _attribute(attributes: str, name: str) -> Column:
 
 def checkstyle(reports: DataFrame) -> DataFrame:
     """Tag text ends at the first slash, so a message with one loses later attributes."""
-    segments = reports.select(
-        "repo_id", "root",
-        F.posexplode(F.split("payload", f"(?={CHECKSTYLE_FILE})", -1)).alias("outer", "segment"),
+    segments = _items(
+        reports, ["repo_id", "root"], F.split("payload", f"(?={CHECKSTYLE_FILE})", -1),
+        "outer", "segment",
     )
     named = segments.withColumn(
         "name", F.regexp_extract("segment", "^" + CHECKSTYLE_FILE, 1)
     ).where(F.col("name") != "")
-    tags = named.select(
-        "repo_id", "root", "outer", "name",
-        F.posexplode(F.regexp_extract_all("segment", F.lit(CHECKSTYLE_ERROR), 0)).alias(
-            "inner", "tag"
-        ),
+    tags = _items(
+        named, ["repo_id", "root", "outer", "name"],
+        F.regexp_extract_all("segment", F.lit(CHECKSTYLE_ERROR), 0), "inner", "tag",
     )
     rows = tags.withColumn("a", _attributes(F.col("tag")))
     rule = F.element_at(F.split(_attribute("a", "source"), r"\.", -1), -1)
@@ -228,14 +230,13 @@ def cppcheck(reports: DataFrame) -> DataFrame:
         F.regexp_extract_all("payload", cut, 1).alias("body"),
         F.regexp_extract_all("payload", cut, 2).alias("location"),
     )
-    chunks = reports.select("repo_id", "root", F.posexplode(pieces).alias("outer", "c"))
-    tags = chunks.select(
-        "repo_id", "root", "outer", F.col("c.location").alias("location"),
-        F.posexplode(F.regexp_extract_all("c.body", F.lit(CPPCHECK_ERROR), 0)).alias(
-            "inner", "tag"
-        ),
+    chunks = _items(reports, ["repo_id", "root"], pieces, "outer", "c")
+    tags = _items(
+        chunks.withColumn("location", F.col("c.location")),
+        ["repo_id", "root", "outer", "location"],
+        F.regexp_extract_all("c.body", F.lit(CPPCHECK_ERROR), 0), "inner", "tag",
     )
-    rows = tags.withColumn("a", _attributes(F.col("tag")))
+    rows = computed_once(tags, "a", _attributes(F.col("tag")))
 
     def located(group: int, attribute: str) -> Column:
         own = F.nullif(F.regexp_extract("location", CPPCHECK_LOCATION, group), F.lit(""))
@@ -263,11 +264,9 @@ def rubocop(reports: DataFrame) -> DataFrame:
 
 def phpcs(reports: DataFrame) -> DataFrame:
     parsed = F.from_json(_root_is(F.col("payload"), "{"), PHPCS)["files"]
-    files = reports.withColumn("__files", parsed).select(
-        "repo_id", "root", F.posexplode("__files").alias("outer", "path", "f")
-    )
-    rows = files.select(
-        "repo_id", "root", "outer", "path", F.posexplode("f.messages").alias("inner", "m")
+    files = _items(reports, ["repo_id", "root"], parsed, "outer", "path", "f")
+    rows = _items(
+        files, ["repo_id", "root", "outer", "path"], F.col("f.messages"), "inner", "m"
     )
     m = F.col("m")
     return _findings(

@@ -48,18 +48,16 @@ def is_rate_limited() -> Column:
     return said | F.coalesce(F.col("status") == 429, F.lit(False))
 
 
-def _document(responses: DataFrame) -> DataFrame:
-    parsed = responses.withColumn("doc", J.lenient_document(F.col("text")))
-    return parsed.withColumn("structured", J.is_object(F.col("doc")) | J.is_array(F.col("doc")))
-
-
-def _entries(name: str) -> Column:
-    return F.when(J.is_object(F.col("doc")), J.array_field(F.col("doc"), name))
+def _with_entries(responses: DataFrame, name: str) -> DataFrame:
+    """Adds the parsed document and its list member ``entries`` (null without a list)."""
+    parsed = J.with_document(responses, "text", "d")
+    entries = F.when(F.col("d.root") == "{", J.array_field(F.col("d.doc"), name))
+    return J.computed_once(parsed, "entries", entries)
 
 
 def _has_null_entry() -> Column:
     """An issue list with a literal null cannot be reported."""
-    return F.coalesce(F.exists("entries", J.is_null_literal), F.lit(False))
+    return F.coalesce(F.exists("entries", F.is_variant_null), F.lit(False))
 
 
 def parse_reviews(responses: DataFrame) -> DataFrame:
@@ -67,30 +65,32 @@ def parse_reviews(responses: DataFrame) -> DataFrame:
 
     Text without a JSON object or array becomes the summary itself, cut to 300 characters.
     """
-    doc = F.col("doc")
+    doc, root = F.col("d.doc"), F.col("d.root")
     keep = [c for c in responses.columns if c != "text"]
-    rows = _document(responses).withColumn("entries", _entries("issues"))
     bad = _has_null_entry()
+    structured = doc.isNotNull() & root.isin("{", "[")
     summary = F.when(
-        F.col("structured"), F.coalesce(J.text_field(doc, "summary"), F.lit(""))
+        structured, F.coalesce(J.text_field(doc, "summary"), F.lit(""))
     ).otherwise(F.substring("text", 1, SUMMARY_CHARS))
-    score = clamp_score(F.when(J.is_object(doc), J.number_field(doc, "score")))
-    return rows.select(
-        *keep,
+    score = clamp_score(F.when(root == "{", J.number_field(doc, "score")))
+    result = F.struct(
         F.when(~bad, summary).alias("summary"),
         F.when(~bad, score).alias("score"),
         F.when(~bad, F.coalesce(F.size("entries"), F.lit(0))).alias("issue_count"),
         F.when(bad, "INVALID_ISSUE").alias("parse_error"),
     )
+    rows = J.computed_once(_with_entries(responses, "issues"), "r", result)
+    return rows.select(*keep, "r.*")
 
 
 def parse_issues(responses: DataFrame, *keys: str) -> DataFrame:
     """Issues of every response in list order, each field coerced to its type."""
     item = F.col("item")
+    usable = F.when(~_has_null_entry(), F.col("entries"))
     rows = (
-        _document(responses).withColumn("entries", _entries("issues"))
-        .where(~_has_null_entry())
-        .select(*keys, F.posexplode("entries").alias("seq", "item"))
+        _with_entries(responses, "issues")
+        .select(*keys, F.posexplode_outer(usable).alias("seq", "item"))
+        .where(F.col("seq").isNotNull())
     )
     return rows.select(
         *keys,
@@ -107,12 +107,9 @@ def parse_issues(responses: DataFrame, *keys: str) -> DataFrame:
 def parse_fixes(responses: DataFrame) -> DataFrame:
     """``pr_title, pr_body, fixes`` per response; only fixes with a string file and
     content are kept."""
-    doc = F.col("doc")
+    doc = F.col("d.doc")
     keep = [c for c in responses.columns if c != "text"]
 
-    def usable(fix: Column) -> Column:
-        return J.text_field(fix, "file").isNotNull() & J.text_field(fix, "newContent").isNotNull()
-
     def shaped(fix: Column) -> Column:
         return F.struct(
             J.text_field(fix, "file").alias("file"),
@@ -120,10 +117,15 @@ def parse_fixes(responses: DataFrame) -> DataFrame:
             F.coalesce(J.text_field(fix, "explanation"), F.lit("")).alias("explanation"),
         )
 
-    fixes = F.transform(F.filter(F.coalesce(_entries("fixes"), F.expr("array()").cast("array<variant>")), usable), shaped)
-    return _document(responses).select(
-        *keep,
+    fixes = F.filter(
+        F.transform("entries", shaped),
+        lambda f: f["file"].isNotNull() & f["new_content"].isNotNull(),
+    )
+    empty = F.array().cast("array<struct<file:string,new_content:string,explanation:string>>")
+    result = F.struct(
         F.coalesce(J.text_field(doc, "prTitle"), F.lit(DEFAULT_PR_TITLE)).alias("pr_title"),
         F.coalesce(J.text_field(doc, "prBody"), F.lit("")).alias("pr_body"),
-        fixes.alias("fixes"),
+        F.coalesce(fixes, empty).alias("fixes"),
     )
+    rows = J.computed_once(_with_entries(responses, "fixes"), "r", result)
+    return rows.select(*keep, "r.*")

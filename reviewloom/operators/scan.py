@@ -98,10 +98,15 @@ SECRET_SKIPPED_FILES = ("README.md", ".env.example")
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
-    """``repo_id, path, line_no, text``; a trailing empty line and carriage returns stay."""
-    return files.select(
-        "repo_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "text")
-    ).withColumn("line_no", F.col("line_no") + 1)
+    """``repo_id, path, line_no, text``; a trailing empty line and carriage returns stay.
+
+    The outer generators here keep Spark from adding a size filter below them, which
+    would split (or match) every file twice.
+    """
+    lines = F.posexplode_outer(F.split("content", "\n", -1)).alias("line_no", "text")
+    return files.select("repo_id", "path", lines).where(F.col("text").isNotNull()).withColumn(
+        "line_no", F.col("line_no") + 1
+    )
 
 
 def _rule_hits(rules: Sequence[Rule], text: Column) -> Column:
@@ -132,8 +137,8 @@ def scan_rules(lines: DataFrame, rules: Sequence[Rule] = MONGO_RULES) -> DataFra
     any_rule = "|".join(f"(?:{rule.pattern})" for rule in rules)
     candidates = lines.where(F.col("text").rlike(any_rule) & ~is_commented(F.col("text")))
     return candidates.select(
-        "repo_id", "path", "line_no", F.explode(_rule_hits(rules, F.col("text"))).alias("h")
-    ).select("repo_id", "path", "line_no", "h.*")
+        "repo_id", "path", "line_no", F.explode_outer(_rule_hits(rules, F.col("text"))).alias("h")
+    ).where(F.col("h").isNotNull()).select("repo_id", "path", "line_no", "h.*")
 
 
 def database_files(files: DataFrame) -> DataFrame:
@@ -152,7 +157,8 @@ def _line_windows(files: DataFrame, size: int) -> DataFrame:
     zipped = F.arrays_zip(*[c.alias(f"l{i}") for i, c in enumerate(shifted)])
     return (
         files.withColumn("__lines", F.split("content", "\n", -1))
-        .select("repo_id", "path", F.posexplode(zipped).alias("line_no", "w"))
+        .select("repo_id", "path", F.posexplode_outer(zipped).alias("line_no", "w"))
+        .where(F.col("w").isNotNull())
         .withColumn("line_no", F.col("line_no") + 1)
     )
 
@@ -220,8 +226,8 @@ def scan_secrets(files: DataFrame, rules: Sequence[SecretRule] = SECRET_RULES) -
         ])
     )
     matched = lines.select(
-        "repo_id", "path", F.col("line_no").alias("line"), F.explode(hits).alias("h")
-    ).select("repo_id", "path", "line", "h.*")
+        "repo_id", "path", F.col("line_no").alias("line"), F.explode_outer(hits).alias("h")
+    ).where(F.col("h").isNotNull()).select("repo_id", "path", "line", "h.*")
     env_files = scanned.where(base_name(F.col("path")) == ".env").select(
         "repo_id", "path", F.lit(1).alias("line"), F.lit(ENV_FILE_ID).alias("pattern_id"),
         F.lit(ENV_FILE_LABEL).alias("label"), redacted(F.lit(".env")).alias("match_preview"),

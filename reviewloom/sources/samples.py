@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.operators.languages import REGISTRY
+from reviewloom.sources.tables import spread
 
 LINTERS = [entry[1] for entry in REGISTRY]
 
@@ -208,6 +209,11 @@ ROW_VIEWS: dict[str, tuple[str, list[str]]] = {
     ]),
 }
 
+# Views whose text is parsed or scanned.
+PARSED_VIEWS = (
+    "code_files", "secret_files", "responses", "issue_responses", "fix_responses", "compares",
+)
+
 
 class Samples:
     """Canonical tables over one folder of provided parquet files."""
@@ -220,9 +226,10 @@ class Samples:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
-        """One of the row-local views."""
+        """One of the row-local views; those that get parsed or scanned use all cores."""
         table, columns = ROW_VIEWS[name]
-        return self.table(table).selectExpr(*columns)
+        rows = self.table(table).selectExpr(*columns)
+        return spread(rows) if name in PARSED_VIEWS else rows
 
     def reviews(self) -> DataFrame:
         """A customer's first order, and every seventh order, is a full review."""
@@ -279,12 +286,12 @@ class Samples:
 
     def lint_reports(self, linter: str) -> DataFrame:
         """One report of the given tool per line item (see :data:`PAYLOADS`)."""
-        return self.table("lineitem").selectExpr(
+        return spread(self.table("lineitem").selectExpr(
             "CAST(l_orderkey AS STRING) AS repo_id",
             f"'{linter}' AS linter",
             "'/checkout/repo' AS root",
             f"CASE WHEN l_partkey % 10 = 0 THEN 'no report' ELSE {PAYLOADS[linter]} END AS payload",
-        )
+        ))
 
     def run_findings(self) -> DataFrame:
         """Findings attributed to the run of their order."""

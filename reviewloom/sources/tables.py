@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from reviewloom import schemas
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Deals rows out to all cores when the input has fewer splits than the cluster has cores.
+
+    For costly row-local work over a few unsplittable files; an input with enough splits
+    is returned unchanged.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def read_source_tree(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
     """``repo_id, path, content`` of unpacked repositories below ``root``.
 
