@@ -25,9 +25,8 @@ def read_source_tree(spark: SparkSession, root: str, repo_depth: int = 1) -> Dat
     files are skipped.
     """
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-        .text(root)
+        spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+        .text(root, wholetext=True, recursiveFileLookup=True)
         .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("uri"))
     )
     base = "/" + root.split("://", 1)[-1].strip("/").split("/")[-1] + "/"
@@ -48,7 +47,7 @@ def read_lint_reports(spark: SparkSession, path: str) -> DataFrame:
 def read_lint_report_files(spark: SparkSession, root: str, checkout_root: str) -> DataFrame:
     """Raw report files laid out as ``<root>/<linter>/<repo_id>.<suffix>``."""
     rows = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True)
         .select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("uri"))
     )
     pieces = F.split("uri", "/")
