@@ -108,7 +108,9 @@ def _languages_by_manifest(files: DataFrame, registry: Sequence[tuple]) -> DataF
             for language, _, _, _, manifests in registry if manifests
         ])
     )
-    return files.select("repo_id", F.explode(hits).alias("language"))
+    # The outer generator keeps Spark from testing every path twice.
+    found = files.select("repo_id", F.explode_outer(hits).alias("language"))
+    return found.where(F.col("language").isNotNull())
 
 
 def detect_languages(files: DataFrame, registry: Sequence[tuple] = REGISTRY) -> DataFrame:

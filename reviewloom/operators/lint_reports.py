@@ -221,19 +221,18 @@ def checkstyle_strict(reports: DataFrame) -> DataFrame:
 def cppcheck(reports: DataFrame) -> DataFrame:
     """An error without a location of its own takes the next one anywhere after it.
 
-    The text is cut after every location; all errors inside a cut share the location
-    that ends it.
+    The text is cut before every location; all errors of a piece share the location that
+    opens the next one.
     """
-    cut = F.lit(r"(?s)(.*?)(" + CPPCHECK_LOCATION.replace("([", "(?:[").replace(r"(\d", r"(?:\d")
-                + r"|\z)")
-    pieces = F.arrays_zip(
-        F.regexp_extract_all("payload", cut, 1).alias("body"),
-        F.regexp_extract_all("payload", cut, 2).alias("location"),
+    start = CPPCHECK_LOCATION.removesuffix(r'(?:\s+col="(\d+)")?')
+    cut = reports.withColumn("__cut", F.split("payload", f"(?={start})", -1))
+    following = F.slice("__cut", F.lit(2), F.size("__cut"))
+    pieces = F.arrays_zip(F.col("__cut").alias("body"), following.alias("next"))
+    chunks = _items(cut, ["repo_id", "root"], pieces, "outer", "c").withColumn(
+        "location", F.regexp_extract("c.next", "^" + CPPCHECK_LOCATION, 0)
     )
-    chunks = _items(reports, ["repo_id", "root"], pieces, "outer", "c")
     tags = _items(
-        chunks.withColumn("location", F.col("c.location")),
-        ["repo_id", "root", "outer", "location"],
+        chunks, ["repo_id", "root", "outer", "location"],
         F.regexp_extract_all("c.body", F.lit(CPPCHECK_ERROR), 0), "inner", "tag",
     )
     rows = computed_once(tags, "a", _attributes(F.col("tag")))

@@ -84,10 +84,15 @@ def merge_round(
     return keep_first(with_issue_key(merged), ["repo_id", "issue_key"], order).drop("issue_key")
 
 
-def round_facts(rounds: DataFrame, changes: DataFrame) -> DataFrame:
-    """Per repository: last full round and last incremental round that changed anything."""
+def _with_changes(rounds: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rounds marked with ``has_changes``."""
     changed = changes.select("review_id").distinct().withColumn("has_changes", F.lit(True))
-    marked = rounds.join(changed, "review_id", "left")
+    return rounds.join(changed, "review_id", "left").withColumn(
+        "has_changes", F.coalesce("has_changes", F.lit(False))
+    )
+
+
+def _facts(marked: DataFrame) -> DataFrame:
     position = round_position()
     full = F.col("mode") == "full"
     return marked.groupBy("repo_id").agg(
@@ -96,6 +101,33 @@ def round_facts(rounds: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+def round_facts(rounds: DataFrame, changes: DataFrame) -> DataFrame:
+    """Per repository: last full round and last incremental round that changed anything."""
+    return _facts(_with_changes(rounds, changes))
+
+
+def not_reset() -> Column:
+    """The position ``pos`` is not before the repository's last full round."""
+    return F.col("last_full").isNull() | (F.col("pos") >= F.col("last_full"))
+
+
+def was_deduplicated() -> Column:
+    """An incremental round with changes followed the last full round."""
+    later = F.col("last_full").isNull() | (F.col("last_changed") > F.col("last_full"))
+    return F.col("last_changed").isNotNull() & F.coalesce(later, F.lit(False))
+
+
+def first_of_equal(issues: DataFrame) -> DataFrame:
+    """Keeps the first of equal issues by ``pos, seq`` where ``dedup`` is set."""
+    own = F.concat_ws("#", F.lit(""), F.col("review_id"), F.col("seq"))
+    keyed = with_issue_key(issues).withColumn(
+        "issue_key", F.when(F.col("dedup"), F.col("issue_key")).otherwise(own)
+    )
+    return keep_first(keyed, ["repo_id", "issue_key"], [F.col("pos"), F.col("seq")]).drop(
+        "issue_key", "dedup", "pos"
+    )
+
+
 def last_touches(rounds: DataFrame, changes: DataFrame) -> DataFrame:
     """Per repository and file: the last incremental round that made its issues stale."""
     incremental = rounds.where(F.col("mode") == "incremental").select(
@@ -116,26 +148,14 @@ def open_issues(rounds: DataFrame, issues: DataFrame, changes: DataFrame) -> Dat
     full or changed something, and no later incremental round touched its file. Equal
     issues collapse to the first once an incremental round followed that full round.
     """
-    changed = changes.select("review_id").distinct()
-    facts = round_facts(rounds, changes)
-    current = (
-        rounds.join(facts, "repo_id")
+    marked = _with_changes(rounds, changes)
+    live = (
+        marked.where((F.col("mode") == "full") | F.col("has_changes"))
+        .join(_facts(marked), "repo_id")
         .withColumn("pos", round_position())
-        .where(F.col("last_full").isNull() | (F.col("pos") >= F.col("last_full")))
-        .withColumn(
-            "dedup",
-            F.coalesce(
-                F.col("last_changed").isNotNull()
-                & (F.col("last_full").isNull() | (F.col("last_changed") > F.col("last_full"))),
-                F.lit(False),
-            ),
-        )
+        .where(not_reset())
+        .select("review_id", "repo_id", "pos", was_deduplicated().alias("dedup"))
     )
-    full = current.where(F.col("mode") == "full")
-    incremental = current.where(F.col("mode") == "incremental").join(
-        changed, "review_id", "left_semi"
-    )
-    live = full.unionByName(incremental).select("review_id", "repo_id", "pos", "dedup")
     touched = last_touches(rounds, changes)
     alive = (
         issues.join(live, "review_id")
@@ -143,16 +163,7 @@ def open_issues(rounds: DataFrame, issues: DataFrame, changes: DataFrame) -> Dat
         .where(F.col("last_touch").isNull() | (F.col("last_touch") <= F.col("pos")))
         .drop("last_touch")
     )
-    keyed = with_issue_key(alive)
-    # Without dedup every row is its own key.
-    own = F.concat_ws("#", F.col("review_id").cast("string"), F.col("seq").cast("string"))
-    keyed = keyed.withColumn(
-        "issue_key",
-        F.when(F.col("dedup"), F.col("issue_key")).otherwise(F.concat(F.lit("#"), own)),
-    )
-    return keep_first(keyed, ["repo_id", "issue_key"], [F.col("pos"), F.col("seq")]).drop(
-        "issue_key", "dedup", "pos"
-    )
+    return first_of_equal(alive)
 
 
 def open_issue_totals(opened: DataFrame) -> DataFrame:

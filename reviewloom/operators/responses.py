@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from reviewloom.functions import json_values as J
 from reviewloom.functions.severity import CATEGORIES, SEVERITIES, clamp_score, one_of
 from reviewloom.functions.text import trimmed
-from reviewloom.operators.ranking import keep_first
 
 # Fallbacks of the parsers and texts of the provider choice.
 SUMMARY_CHARS = 300
@@ -22,24 +21,22 @@ def choose_provider(responses: DataFrame) -> DataFrame:
     Reviews where every attempt failed get ``error_code`` AI_UNAVAILABLE and the error
     of each attempt, at most a handful of providers per review.
     """
-    answered = responses.where(trimmed(F.col("text")) != "")
-    chosen = keep_first(answered, ["review_id"], [F.col("attempt_pos")]).select(
-        "review_id", trimmed(F.col("text")).alias("text"), F.col("provider").alias("provider_used")
+    answer = trimmed(F.col("text"))
+    answered = F.coalesce(answer, F.lit("")) != ""
+    message = F.coalesce("error", F.concat("provider", F.lit(" returned an empty response")))
+    position = F.col("attempt_pos")
+    picked = responses.groupBy("review_id").agg(
+        F.min_by(
+            F.struct(answer.alias("text"), F.col("provider").alias("provider_used")),
+            F.when(answered, position),
+        ).alias("chosen"),
+        F.min_by(message, F.when(~answered, position)).alias("first_error"),
+        F.max_by(message, F.when(~answered, position)).alias("last_error"),
+        F.bool_or(~answered & is_rate_limited()).alias("rate_limited"),
     )
-    message = F.coalesce(
-        "error", F.concat("provider", F.lit(" returned an empty response"))
-    )
-    failed = responses.where(F.coalesce(trimmed(F.col("text")), F.lit("")) == "")
-    errors = failed.groupBy("review_id").agg(
-        F.min_by(message, "attempt_pos").alias("first_error"),
-        F.max_by(message, "attempt_pos").alias("last_error"),
-        F.bool_or(is_rate_limited()).alias("rate_limited"),
-    )
-    return (
-        responses.select("review_id").distinct()
-        .join(chosen, "review_id", "left").join(errors, "review_id", "left")
-        .withColumn("error_code", F.when(F.col("text").isNull(), "AI_UNAVAILABLE"))
-        .withColumn("rate_limited", F.coalesce("rate_limited", F.lit(False)))
+    return picked.select(
+        "review_id", "chosen.*", "first_error", "last_error", "rate_limited",
+        F.when(F.col("chosen").isNull(), "AI_UNAVAILABLE").alias("error_code"),
     )
 
 

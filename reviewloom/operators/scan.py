@@ -134,8 +134,7 @@ def scan_rules(lines: DataFrame, rules: Sequence[Rule] = MONGO_RULES) -> DataFra
 
     The rules are literals, so every pattern compiles once; a line is read once for all.
     """
-    any_rule = "|".join(f"(?:{rule.pattern})" for rule in rules)
-    candidates = lines.where(F.col("text").rlike(any_rule) & ~is_commented(F.col("text")))
+    candidates = lines.where(F.col("text").rlike(_any_of(rules)) & ~is_commented(F.col("text")))
     return candidates.select(
         "repo_id", "path", "line_no", F.explode_outer(_rule_hits(rules, F.col("text"))).alias("h")
     ).where(F.col("h").isNotNull()).select("repo_id", "path", "line_no", "h.*")
@@ -205,14 +204,28 @@ def _is_skipped_for_secrets(path: Column) -> Column:
     return base_name(path).isin(*SECRET_SKIPPED_FILES)
 
 
+def _any_of(rules: Sequence[Rule] | Sequence[SecretRule]) -> str:
+    return "|".join(f"(?:{rule.pattern})" for rule in rules)
+
+
+def _may_contain(files: DataFrame, rules: Sequence[SecretRule]) -> DataFrame:
+    """Files that can hold a match, tested on whole content before lines are made.
+
+    Skipped when a pattern could tell the start of a line from the start of the content.
+    """
+    bare = "".join(rule.pattern for rule in rules).replace(_EDGE, "").replace(_END, "")
+    if any(token in bare for token in ("\\A", "\\z", "\\Z", "\\G", "(?<", "(?!", "(?=")):
+        return files
+    return files.where(F.col("content").rlike("(?m)" + _any_of(rules)))
+
+
 def scan_secrets(files: DataFrame, rules: Sequence[SecretRule] = SECRET_RULES) -> DataFrame:
     """Redacted secret findings; a committed ``.env`` file is one by itself (line 1).
 
     Every match position of a rule on a line is reported once per rule and line.
     """
     scanned = files.where(~_is_skipped_for_secrets(F.col("path")))
-    any_rule = "|".join(f"(?:{rule.pattern})" for rule in rules)
-    lines = explode_lines(scanned.where(F.col("content").rlike(any_rule)))
+    lines = explode_lines(_may_contain(scanned, rules)).where(F.col("text").rlike(_any_of(rules)))
     hits = F.array_compact(
         F.array(*[
             F.when(

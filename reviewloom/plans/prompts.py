@@ -224,21 +224,16 @@ def incremental_prompts(
     sizes = parts.groupBy("review_id").agg(
         F.sum(F.length("text") + 1).alias("chars")
     )
-    sized = parts.join(sizes, "review_id")
-    whole = (
-        sized.where(F.col("chars") <= whole_chars).groupBy("review_id")
-        .agg(_joined(["section", "file_order", "file", "part"], "text").alias("prompt"))
-        .select(
-            "review_id", F.lit(True).alias("is_whole"), F.lit(0).alias("section"),
-            F.lit(0).cast("bigint").alias("file_order"), F.lit("").alias("file"),
-            F.lit(0).cast("bigint").alias("part"), "prompt",
-        )
-    )
-    rest = sized.where(F.col("chars") > whole_chars).select(
-        "review_id", F.lit(False).alias("is_whole"), "section", "file_order", "file", "part",
-        F.col("text").alias("prompt"),
+    is_whole = F.col("chars") <= whole_chars
+    order = ["section", "file_order", "file", "part"]
+    # A whole prompt is one group, a part of a long prompt is a group of its own.
+    own = F.when(F.col("is_whole"), F.lit(None)).otherwise(F.struct(*order))
+    return (
+        parts.join(sizes, "review_id").withColumn("is_whole", is_whole)
+        .groupBy("review_id", "is_whole", own.alias("place"))
+        .agg(_joined(order, "text").alias("prompt"))
+        .select("review_id", "is_whole", *[F.col(f"place.{name}") for name in order], "prompt")
     )
-    return whole.unionByName(rest)
 
 
 def fix_prompts(

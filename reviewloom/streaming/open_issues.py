@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from reviewloom.operators import merge
-from reviewloom.operators.ranking import keep_first
 
 SLICES = 4
 _CHUNK = 10_000
@@ -130,20 +129,14 @@ def current_occurrences(spark: SparkSession, path: str) -> DataFrame:
 
 def open_issues(occurrences: DataFrame, rounds: DataFrame, changes: DataFrame) -> DataFrame:
     """Open issues from the streamed state: full-round reset and keep-first dedup."""
-    facts = merge.round_facts(rounds, changes)
     position = F.struct(F.timestamp_micros("at").alias("created_at"), F.col("review_id"))
-    full, changed = F.col("last_full"), F.col("last_changed")
     kept = (
-        occurrences.join(facts, "repo_id").withColumn("pos", position)
-        .where(full.isNull() | (F.col("pos") >= full))
+        occurrences.join(merge.round_facts(rounds, changes), "repo_id")
+        .withColumn("pos", position)
+        .where(merge.not_reset())
+        .withColumn("dedup", merge.was_deduplicated())
     )
-    dedup = changed.isNotNull() & (full.isNull() | (changed > full))
-    own = F.concat_ws("#", F.lit(""), F.col("review_id"), F.col("seq"))
-    keyed = merge.with_issue_key(kept).withColumn(
-        "issue_key", F.when(F.coalesce(dedup, F.lit(False)), F.col("issue_key")).otherwise(own)
-    )
-    first = keep_first(keyed, ["repo_id", "issue_key"], [F.col("pos"), F.col("seq")])
-    return first.select(
+    return merge.first_of_equal(kept).select(
         "repo_id", "review_id", "seq", "file", "line", "severity", "category", "message",
         "suggestion",
     )
