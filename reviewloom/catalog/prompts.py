@@ -66,11 +66,9 @@ def prompt_incremental_parts(spark, sf_dir):
     """The same prompts left in parts, as very long ones are."""
     s = Samples(spark, sf_dir)
     reviews = _reviews(s).where(F.col("mode") == "incremental")
-    parts = prompts.incremental_prompts(
-        reviews, s.changes(), s.lint_findings(), 10 ** 12, whole_chars=0
-    )
+    parts = prompts.incremental_parts(reviews, s.changes(), s.lint_findings(), 10 ** 12)
     return parts.groupBy("section").agg(
-        F.sum(F.length("prompt").cast("bigint")).alias("chars"), F.count(F.lit(1)).alias("parts")
+        F.sum(F.length("text").cast("bigint")).alias("chars"), F.count(F.lit(1)).alias("parts")
     )
 
 

@@ -35,24 +35,19 @@ def last_reviewed_pointers(reviews: DataFrame) -> DataFrame:
     )
 
 
-def with_round_numbers(reviews: DataFrame) -> DataFrame:
+def with_round_numbers(reviews: DataFrame, **options) -> DataFrame:
     """Adds ``round_no`` per repository; reviews are bucketed by day while counting."""
     return numbered(
-        reviews, ["repo_id"], [F.col("created_at"), F.col("review_id")],
-        F.to_date("created_at"), "round_no",
+        reviews, ["repo_id"], ["created_at", "review_id"], F.to_date("created_at"), "round_no",
+        **options,
     )
 
 
 def with_previous_review(reviews: DataFrame) -> DataFrame:
     """Round number and the review before each review of the same repository."""
-    rounds = with_round_numbers(reviews)
-    previous = rounds.select(
-        "repo_id",
-        (F.col("round_no") + 1).alias("round_no"),
-        F.col("review_id").alias("previous_review_id"),
-        F.col("score").alias("previous_score"),
+    return with_round_numbers(
+        reviews, previous={"review_id": "previous_review_id", "score": "previous_score"}
     )
-    return rounds.join(previous, ["repo_id", "round_no"], "left")
 
 
 def with_carried_score(reviews: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ one bucket of an ordered key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,35 +44,51 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return top_k(df, keys, order, 1, "__first").drop("__first")
 
 
-def _bucket_offsets(df: DataFrame, keys: Sequence[str], bucket: str, summary: Column) -> DataFrame:
-    """One row per key and bucket with an aggregate of that bucket."""
-    return df.groupBy(*keys, bucket).agg(summary)
+def _earlier_buckets(keys: Sequence[str]):
+    return (
+        Window.partitionBy(*keys).orderBy("__bucket")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, into: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    into: str,
+    previous: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Exact row number per key without windowing over the whole key.
 
     ``bucket`` must rise with ``order`` (for example the day of an ordered timestamp).
     Rows are numbered inside their bucket and shifted by the size of the earlier
-    buckets; the shift is a window over one small row per bucket.
+    buckets; the shift is a window over one small row per bucket. ``previous`` maps
+    columns to new columns that hold their value in the row before.
     """
+    previous = dict(previous or {})
+    carried = F.struct(*[F.col(c).alias(name) for c, name in previous.items()]) if previous else None
     tagged = df.withColumn("__bucket", bucket)
-    sizes = _bucket_offsets(tagged, keys, "__bucket", F.count(F.lit(1)).alias("__n"))
-    earlier = (
-        Window.partitionBy(*keys).orderBy("__bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.select(
-        *keys, "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__shift")
-    )
+    summary = [F.count(F.lit(1)).alias("__n")]
+    if previous:
+        summary.append(F.max_by(carried, F.struct(*order)).alias("__last"))
+    sizes = tagged.groupBy(*keys, "__bucket").agg(*summary)
+    earlier = _earlier_buckets(keys)
+    offsets = sizes.withColumn("__shift", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    if previous:
+        before = F.last("__last", ignorenulls=True).over(earlier)
+        offsets = offsets.withColumn("__before", before).drop("__last")
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    return (
-        tagged.join(offsets, [*keys, "__bucket"])
-        .withColumn(into, (F.row_number().over(inside) + F.col("__shift")).cast("bigint"))
-        .drop("__bucket", "__shift")
+    joined = tagged.join(offsets.drop("__n"), [*keys, "__bucket"])
+    result = joined.withColumn(
+        into, (F.row_number().over(inside) + F.col("__shift")).cast("bigint")
     )
+    if previous:
+        result = result.withColumn(
+            "__row", F.coalesce(F.lag(carried).over(inside), F.col("__before"))
+        )
+        result = result.withColumns({name: F.col(f"__row.{name}") for name in previous.values()})
+    return result.drop("__bucket", "__shift", "__before", "__row")
 
 
 def carried_forward(
@@ -92,13 +108,10 @@ def carried_forward(
     last_value = F.max_by(
         F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))
     ).alias("__last")
-    summaries = _bucket_offsets(tagged, keys, "__bucket", last_value)
-    earlier = (
-        Window.partitionBy(*keys).orderBy("__bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    summaries = tagged.groupBy(*keys, "__bucket").agg(last_value)
     before = summaries.select(
-        *keys, "__bucket", F.last("__last", ignorenulls=True).over(earlier).alias("__before")
+        *keys, "__bucket",
+        F.last("__last", ignorenulls=True).over(_earlier_buckets(keys)).alias("__before"),
     )
     inside = (
         Window.partitionBy(*keys, "__bucket").orderBy(*order)

@@ -15,6 +15,7 @@ FENCE = "```"
 ROWS_PER_PART = 4096
 # Prompts up to this many characters come as one text, longer ones as ordered parts.
 WHOLE_CHARS = 1_000_000
+_ROW_CHARS = 200
 
 NO_PATCH = (
     "(no patch available — file is binary, or the diff is too large to inline; "
@@ -178,37 +179,58 @@ def incremental_parts(
     )
     zero = F.lit(0).cast("bigint")
 
-    def unit(rows: DataFrame, section: int, file_order: Column, position: Column, text: Column):
-        file = F.col("file") if section == 2 and "file" in rows.columns else F.lit("")
-        return rows.select(
-            "review_id", F.lit(section).alias("section"), file_order.alias("file_order"),
-            file.alias("file"), position.cast("bigint").alias("position"), text.alias("text"),
+    def unit(section: int, file_order: Column, file, position: Column, text: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), file_order.alias("file_order"), file.alias("file"),
+            position.cast("bigint").alias("position"), text.alias("text"),
         )
 
+    def units(rows: DataFrame, *items: Column) -> DataFrame:
+        return rows.select("review_id", F.explode_outer(F.array(*items)).alias("u"))
+
+    none = F.lit("")
     keyed_changes = changes.join(reviews.select("review_id"), "review_id", "left_semi")
     relevant = in_changed_files(findings, keyed_changes, ["review_id"])
-    by_file = fnd.findings_by_file(relevant)
     lint = F.concat(
         F.lit("  "), _tag(), F.lit(" "), "file", F.lit(":L"), line_label(F.col("line")),
         F.lit(" "), _rule(), F.lit(" "), "message",
     )
-    heading = relevant.select("review_id").distinct()
-    units = (
-        unit(listed, 0, zero, zero, head)
-        .unionByName(unit(keyed_changes, 1, zero, F.col("file_no"), diff))
+    heading = fnd.total_findings(relevant, "review_id").where(F.col("total") > 0)
+    rows = (
+        units(listed, unit(0, zero, none, zero, head), unit(3, zero, none, zero, tail))
+        .unionByName(units(keyed_changes, unit(1, zero, none, F.col("file_no"), diff)))
         .unionByName(
-            unit(heading, 2, zero - 1, zero, F.lit("\n## Lint findings for changed files"))
+            units(heading, unit(2, zero - 1, none, zero, F.lit("\n## Lint findings for changed files")))
         )
-        .unionByName(unit(by_file, 2, F.col("file_order"), F.col("seq"), lint))
-        .unionByName(unit(reviews, 3, zero, zero, tail))
+        .unionByName(
+            units(
+                fnd.findings_by_file(relevant),
+                unit(2, F.col("file_order"), F.col("file"), F.col("seq"), lint),
+            )
+        )
+        .select("review_id", "u.*")
     )
     part = F.floor(F.col("position") / rows_per_part).alias("part")
     return (
-        units.groupBy("review_id", "section", "file_order", "file", part)
+        rows.groupBy("review_id", "section", "file_order", "file", part)
         .agg(_joined(["position"], "text").alias("text"))
     )
 
 
+def _char_estimates(changes: DataFrame, findings: DataFrame) -> DataFrame:
+    """Upper bound of the prompt length per review: all text columns and an allowance for
+    the fixed words of each row. Counted from the inputs, so no prompt is built for it."""
+
+    def chars(rows: DataFrame, *texts: str) -> DataFrame:
+        size = F.length(F.concat_ws("", *texts)) + _ROW_CHARS
+        return rows.groupBy("review_id").agg(F.sum(size.cast("bigint")).alias("chars"))
+
+    both = chars(changes, "filename", "previous_filename", "patch").unionByName(
+        chars(findings, "file", "rule_id", "message")
+    )
+    return both.groupBy("review_id").agg(F.sum("chars").alias("chars"))
+
+
 def incremental_prompts(
     reviews: DataFrame,
     changes: DataFrame,
@@ -218,18 +240,20 @@ def incremental_prompts(
 ) -> DataFrame:
     """Diff prompts; ``is_whole`` rows carry the full text, others are ordered parts.
 
-    Only prompts whose total length is known to be small are put together.
+    Only prompts whose rows are known to be few and short are put together.
     """
     parts = incremental_parts(reviews, changes, findings, rows_per_part)
-    sizes = parts.groupBy("review_id").agg(
-        F.sum(F.length("text") + 1).alias("chars")
+    large = (
+        _char_estimates(changes, findings)
+        .where(F.col("chars") > whole_chars)
+        .select("review_id", F.lit(False).alias("is_whole"))
     )
-    is_whole = F.col("chars") <= whole_chars
     order = ["section", "file_order", "file", "part"]
     # A whole prompt is one group, a part of a long prompt is a group of its own.
     own = F.when(F.col("is_whole"), F.lit(None)).otherwise(F.struct(*order))
     return (
-        parts.join(sizes, "review_id").withColumn("is_whole", is_whole)
+        parts.join(large, "review_id", "left")
+        .withColumn("is_whole", F.coalesce("is_whole", F.lit(True)))
         .groupBy("review_id", "is_whole", own.alias("place"))
         .agg(_joined(order, "text").alias("prompt"))
         .select("review_id", "is_whole", *[F.col(f"place.{name}") for name in order], "prompt")

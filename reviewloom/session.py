@@ -12,6 +12,8 @@ _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key of a join even when the step after it needs another shuffle then.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # JSON objects with a repeated key keep the last value.
     "spark.sql.variant.allowDuplicateKeys": "true",

@@ -237,13 +237,18 @@ class Samples:
         first = orders.groupBy("o_custkey").agg(
             F.min(F.struct("o_orderdate", "o_orderkey")).alias("first")
         )
-        is_first = F.col("first.o_orderkey") == F.col("o_orderkey")
+        # Joined on the unique order key, so a customer with many orders is no hot key.
+        marked = orders.join(
+            first.select(F.col("first.o_orderkey").alias("o_orderkey"), F.lit(True).alias("is_first")),
+            "o_orderkey", "left",
+        )
         key = F.col("o_orderkey")
-        return orders.join(first, "o_custkey").select(
+        full = F.col("is_first").isNotNull() | (key % 7 == 0)
+        return marked.select(
             key.alias("review_id"),
             F.col("o_custkey").alias("repo_id"),
             F.col("o_orderdate").alias("created_at"),
-            F.when(is_first | (key % 7 == 0), "full").otherwise("incremental").alias("mode"),
+            F.when(full, "full").otherwise("incremental").alias("mode"),
             F.when(key % 13 != 0, ((key * 37) % 101).cast("int")).alias("score"),
             F.md5(key.cast("string")).alias("head_sha"),
             F.when(key % 3 == 0, "main").otherwise("develop").alias("branch"),

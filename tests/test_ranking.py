@@ -45,9 +45,12 @@ def test_top_k_limits_before_the_shuffle(frame):
 
 
 def test_numbered(frame, rows):
-    got = ranking.numbered(frame, ["k"], [F.col("day"), F.col("id")], F.col("day"), "n")
-    want = {(key, i, n + 1) for key, g in by_key(rows).items() for n, (_, i, _) in enumerate(g)}
-    assert {(r["k"], r["id"], r["n"]) for r in got.collect()} == want
+    got = ranking.numbered(frame, ["k"], ["day", "id"], F.col("day"), "n", {"id": "before", "v": "w"})
+    want = {
+        (key, g[n][1], n + 1, g[n - 1][1] if n else None, g[n - 1][2] if n else None)
+        for key, g in by_key(rows).items() for n in range(len(g))
+    }
+    assert {(r["k"], r["id"], r["n"], r["before"], r["w"]) for r in got.collect()} == want
 
 
 def test_carried_forward(frame, rows):
