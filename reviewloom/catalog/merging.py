@@ -68,6 +68,13 @@ def open_issue_list(spark, sf_dir):
     return _open(spark, sf_dir).select("repo_id", "review_id", "seq", "file", "severity", "message")
 
 
+def open_issues_past(spark, sf_dir):
+    s = Samples(spark, sf_dir)
+    rounds = s.reviews().select("review_id", "repo_id", "created_at", "mode")
+    opened = merge.open_issues_as_of(rounds, s.issues(), s.changes(), "1998-01-01")
+    return merge.open_issue_totals(opened)
+
+
 _ROUNDS = (
     "a AS (SELECT review_id, repo_id FROM fx_reviews WHERE age = 1), "
     "b AS (SELECT review_id, repo_id FROM fx_reviews WHERE age = 2), "
@@ -99,7 +106,7 @@ _OPEN = (
     "inc AS (SELECT DISTINCT review_id FROM fx_changes), "
     "r AS (SELECT v.*, max(CASE WHEN mode = 'full' THEN round_no END) OVER (PARTITION BY repo_id) "
     "AS last_full, max(CASE WHEN mode = 'incremental' AND inc.review_id IS NOT NULL THEN round_no END) "
-    "OVER (PARTITION BY repo_id) AS last_changed FROM fx_reviews v "
+    "OVER (PARTITION BY repo_id) AS last_changed FROM {rounds} v "
     "LEFT JOIN inc ON inc.review_id = v.review_id), "
     "t0 AS (SELECT r.repo_id, r.round_no, c.filename, c.previous_filename, c.status FROM fx_changes c "
     "JOIN r ON r.review_id = c.review_id WHERE r.mode = 'incremental'), "
@@ -132,6 +139,7 @@ QUERIES = {
     "merge_with_renames": merge_with_renames,
     "open_issues": open_issues,
     "open_issue_list": open_issue_list,
+    "open_issues_past": open_issues_past,
 }
 
 ORACLES = {
@@ -162,8 +170,11 @@ ORACLES = {
         _MERGE_SELECT, "reviews", "findings", "changes", ctes=_ROUNDS + _PREVIOUS + _MERGED),
     "merge_with_renames": oracle(
         _MERGE_SELECT, "reviews", "findings", "changes", ctes=_ROUNDS + _MOVED + _MERGED),
-    "open_issues": oracle(_TOTALS, "reviews", "findings", "changes", ctes=_OPEN),
+    "open_issues": oracle(_TOTALS, "reviews", "findings", "changes", ctes=_OPEN.replace("{rounds}", "fx_reviews")),
+    "open_issues_past": oracle(
+        _TOTALS, "reviews", "findings", "changes", ctes=_OPEN.replace(
+            "{rounds}", "(SELECT * FROM fx_reviews WHERE created_at <= TIMESTAMP '1998-01-01')")),
     "open_issue_list": oracle(
         "SELECT repo_id, review_id, seq, file, severity, message FROM z WHERE rn = 1 OR NOT dd",
-        "reviews", "findings", "changes", ctes=_OPEN),
+        "reviews", "findings", "changes", ctes=_OPEN.replace("{rounds}", "fx_reviews")),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions import paths as P
@@ -88,17 +88,16 @@ def scan_stats(listing: DataFrame, max_files: int = P.MAX_FILES) -> DataFrame:
     )
 
 
-def manifest_paths(files: DataFrame) -> DataFrame:
+def is_manifest_visible(path: Column) -> Column:
     """Paths a manifest search can see: directories pruned, dot-files kept, one level deeper."""
-    path = F.col("path")
-    return files.where(~P.in_ignored_directory(path) & (P.depth(path) <= P.MAX_DEPTH + 1))
+    return ~P.in_ignored_directory(path) & (P.depth(path) <= P.MAX_DEPTH + 1)
 
 
 def manifest_directories(files: DataFrame, *names: str) -> DataFrame:
     """Distinct directories (empty for the root) that contain one of the manifests."""
     path = F.col("path")
     return (
-        manifest_paths(files).where(P.base_name(path).isin(*names))
+        files.where(is_manifest_visible(path) & P.base_name(path).isin(*names))
         .select(
             "repo_id", P.base_name(path).alias("manifest"), P.parent_directory(path).alias("directory")
         )

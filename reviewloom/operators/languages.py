@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions import paths as P
-from reviewloom.operators.files import manifest_paths, walk, walkable
+from reviewloom.operators.files import is_manifest_visible, walk, walkable
 
 # The linter registry in its order
 # (language, linter, flag, extensions, manifests).
@@ -99,7 +99,7 @@ def _languages_by_manifest(files: DataFrame, registry: Sequence[tuple]) -> DataF
     A manifest counts as a file in any visible directory, or as anything at the root.
     """
     path = F.col("path")
-    visible = ~P.in_ignored_directory(path) & (P.depth(path) <= P.MAX_DEPTH + 1)
+    visible = is_manifest_visible(path)
     base = P.base_name(path)
     top = F.substring_index(path, "/", 1)
     hits = F.array_compact(
@@ -184,8 +184,3 @@ def sql_dialects(files: DataFrame) -> DataFrame:
         F.when(F.bool_or("pg"), "postgres").otherwise("ansi").alias("dialect")
     )
 
-
-__all__ = [
-    "REGISTRY", "detect_languages", "extension_counts", "linter_plan", "manifest_languages",
-    "manifest_paths", "registry_extensions", "registry_table", "sql_dialects",
-]

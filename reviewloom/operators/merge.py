@@ -166,6 +166,14 @@ def open_issues(rounds: DataFrame, issues: DataFrame, changes: DataFrame) -> Dat
     return first_of_equal(alive)
 
 
+def open_issues_as_of(
+    rounds: DataFrame, issues: DataFrame, changes: DataFrame, moment: str
+) -> DataFrame:
+    """Issues that were open at a past moment: the same closed form over the rounds up to it."""
+    past = rounds.where(F.col("created_at") <= F.lit(moment).cast("timestamp"))
+    return open_issues(past, issues, changes)
+
+
 def open_issue_totals(opened: DataFrame) -> DataFrame:
     weight = F.coalesce(severity_weight(F.col("severity")), F.lit(0)).cast("bigint")
     return opened.groupBy("repo_id").agg(

@@ -54,7 +54,7 @@ def main() -> None:
     from reviewloom.catalog import oracle_sql, queries
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
-    sf_dir = f"/root/testdata/sf{sf}"
+    sf_dir = sf if "/" in sf else f"/root/testdata/sf{sf}"
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()

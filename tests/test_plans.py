@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
-
 from reviewloom.operators import history, merge, scoring
 from reviewloom.plans import fixes, prompts, review
 from reviewloom.sources import tables
