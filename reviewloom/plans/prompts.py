@@ -39,8 +39,8 @@ def _rule() -> Column:
 
 def _joined(order: list[str], text: str) -> Column:
     """Texts of a bounded group, sorted and joined by newlines."""
-    entries = F.array_sort(F.collect_list(F.struct(*order, text)))
-    return F.array_join(F.transform(entries, lambda e: e[text]), "\n")
+    entries = F.sort_array(F.collect_list(F.struct(*order, text)))
+    return F.array_join(entries.getField(text), "\n")
 
 
 def findings_block(
@@ -98,10 +98,7 @@ def full_prompts(
     """
     names = languages.groupBy("review_id").agg(
         F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("registry_pos", "language"))),
-                lambda e: e["language"],
-            ),
+            F.sort_array(F.collect_list(F.struct("registry_pos", "language"))).getField("language"),
             ", ",
         ).alias("language_list")
     )

@@ -181,7 +181,7 @@ def assemble_reports(
 
     run_list = runs.groupBy("review_id").agg(
         F.transform(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct("registry_pos", "linter", "status", "issue_count", "reason")
                 )
@@ -190,10 +190,8 @@ def assemble_reports(
         ).alias("linter_runs")
     )
     language_list = languages.groupBy("review_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("registry_pos", "language"))),
-            lambda e: e["language"],
-        ).alias("languages")
+        F.sort_array(F.collect_list(F.struct("registry_pos", "language")))
+        .getField("language").alias("languages")
     )
     headers = reviews.select(
         "review_id", "repo_id", "repo_url", "default_branch", "mode", "base_sha", "head_sha",

@@ -15,6 +15,8 @@ _SETTINGS = {
     # Split a hot key of a join even when the step after it needs another shuffle then.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Hash instead of sort where the measured build side of every partition is small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # JSON objects with a repeated key keep the last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Lets the map-side group limit apply to the 5000-file cap as well.

@@ -225,11 +225,11 @@ class Samples:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def view(self, name: str) -> DataFrame:
+    def view(self, view: str) -> DataFrame:
         """One of the row-local views; those that get parsed or scanned use all cores."""
-        table, columns = ROW_VIEWS[name]
-        rows = self.table(table).selectExpr(*columns)
-        return spread(rows) if name in PARSED_VIEWS else rows
+        name, columns = ROW_VIEWS[view]
+        table = self.table(name)
+        return (spread(table) if view in PARSED_VIEWS else table).selectExpr(*columns)
 
     def reviews(self) -> DataFrame:
         """A customer's first order, and every seventh order, is a full review."""
@@ -291,12 +291,12 @@ class Samples:
 
     def lint_reports(self, linter: str) -> DataFrame:
         """One report of the given tool per line item (see :data:`PAYLOADS`)."""
-        return spread(self.table("lineitem").selectExpr(
+        return spread(self.table("lineitem")).selectExpr(
             "CAST(l_orderkey AS STRING) AS repo_id",
             f"'{linter}' AS linter",
             "'/checkout/repo' AS root",
             f"CASE WHEN l_partkey % 10 = 0 THEN 'no report' ELSE {PAYLOADS[linter]} END AS payload",
-        ))
+        )
 
     def run_findings(self) -> DataFrame:
         """Findings attributed to the run of their order."""

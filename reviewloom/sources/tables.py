@@ -102,7 +102,7 @@ def issue_json(issues: DataFrame, rows_per_part: int = 1000) -> DataFrame:
     part = F.floor(F.col("seq") / rows_per_part).alias("part")
     return (
         issues.groupBy("review_id", part)
-        .agg(F.array_sort(F.collect_list(F.struct("seq", *[c for c in body if c != "seq"]))).alias("issues"))
+        .agg(F.sort_array(F.collect_list(F.struct("seq", *[c for c in body if c != "seq"]))).alias("issues"))
         .select("review_id", "part", F.to_json(F.struct("review_id", "part", "issues")).alias("json"))
     )
 
