@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # The blanks a script-language trim removes.
 BLANKS = (
-    " \t\n\u000b\f\r             "
-    "    　﻿"
+    " \t\n\u000b\f\r"
+    "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
 # Prefixes that mark a commented-out line.
