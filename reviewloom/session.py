@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -35,12 +34,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``.
+    """A fresh folder that the driver and all executors share.
 
-    Only where the session names none (tests on one machine) is a temporary
-    folder created and used instead.
+    It lies under the cluster's ``spark.checkpoint.dir``, else under the warehouse; never
+    under a folder of one machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir", "")
     if not base:
-        base = tempfile.mkdtemp(prefix="reviewloom-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
