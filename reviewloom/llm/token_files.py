@@ -2,9 +2,9 @@
 
 Documents are laid out in ascending ``doc_id`` order (rows of one id by text, null ids first).
 Each shard is two files: ``tokens-<k>.arrow`` holds the ids of its documents cut into equal
-sequences, with a mask that is 0 on the padding of the last one, and ``docs-<k>.arrow`` tells
-where each document begins. Both columns of the first are fixed-size lists of plain integers,
-so a memory-mapped shard gives any sequence and mask as a numpy view without a copy
+sequences, with a mask that is false on the padding of the last one, and ``docs-<k>.arrow`` tells
+where each document begins. Both columns of the first are fixed-size lists, of plain integers
+and of bits, so a memory-mapped shard gives any sequence and its mask without a copy
 (``open_shard``).
 
 A shard is written under a temporary name and renamed, and its content depends on its rows
@@ -156,7 +156,7 @@ class ShardWriter:
         kind = pa.from_numpy_dtype(dtype)
         self.length, self.dtype = length, dtype
         self.schemas = [
-            pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))]),
+            pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))]),
             pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]),
         ]
         self.sinks = [self.system.open_output_stream(p) for p in self.parts]
@@ -185,8 +185,7 @@ class ShardWriter:
                 break
             padded = np.zeros(-(-len(piece) // self.length) * self.length, dtype=self.dtype)
             padded[: len(piece)] = piece
-            mask = np.zeros(len(padded), dtype=np.uint8)
-            mask[: len(piece)] = 1
+            mask = np.arange(len(padded)) < len(piece)
             self.files[0].write_batch(pa.record_batch(
                 [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, mask)],
                 schema=self.schemas[0]))
@@ -202,19 +201,13 @@ class ShardWriter:
             self.system.move(part, name)
 
 
-def open_shard(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of a shard on a local disk as (sequences, length) views of the mapped file.
-
-    A shard is one run of equal batches; the batches are returned as a list of views.
-    """
+def open_shard(path: str) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """The batches of a shard on a local disk: ids as a (sequences, length) view of the mapped
+    file, and the mask, whose bits stay where they are."""
     file = pa.ipc.open_file(pa.memory_map(path))
-    batches = [file.get_batch(k) for k in range(file.num_record_batches)]
-
-    def view(batch, name):
-        column = batch.column(name)
-        return column.flatten().to_numpy(zero_copy_only=True).reshape(len(column), -1)
-
-    return [view(b, "ids") for b in batches], [view(b, "mask") for b in batches]
+    for k in range(file.num_record_batches):
+        ids, mask = file.get_batch(k).columns
+        yield ids.flatten().to_numpy(zero_copy_only=True).reshape(len(ids), -1), mask
 
 
 def write_tokens(
@@ -301,7 +294,7 @@ def _shard_documents(path: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
                 while have < size:
                     piece = tokens.get_batch(next_batch)
                     ids = piece.column("ids").flatten().to_numpy()
-                    kept = piece.column("mask").flatten().to_numpy().view(bool)
+                    kept = piece.column("mask").flatten().to_numpy(zero_copy_only=False)
                     parts.append(ids[kept].astype("<u4"))
                     have += len(parts[-1])
                     next_batch += 1
