@@ -259,25 +259,20 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
             ("shard", pa.int32()), ("doc_at", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()),
             ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                yield from _shard_documents(path, schema)
+            for path, start in zip(batch.column("path").to_pylist(), batch.column("shard_start").to_pylist()):
+                yield from _shard_documents(path, start, schema)
 
-    # Only names travel through Spark; a task maps or streams the shard that it is given.
+    # Names and offsets travel through Spark, one small row per shard.
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     names = manifest.select(
-        "shard", F.concat(F.lit(f"{folder.rstrip('/')}/"), F.lit("{}-"), F.format_string("%06d", "shard"),
+        "shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("shard_start"),
+        F.concat(F.lit(f"{folder.rstrip('/')}/"), F.lit("{}-"), F.format_string("%06d", "shard"),
                  F.lit(".arrow")).alias("path"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = names.repartitionById(tasks, F.col("shard") % tasks).mapInArrow(parse, _DOC)
-    # One small row per shard: what all earlier shards hold.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = manifest.select(
-        "shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("shard_start"))
-    return docs.join(offsets, "shard").select(
-        "doc_id", (F.col("shard_start") + F.col("start")).alias("start"), "n_tokens", "ids_crc32",
-        "shard", "doc_at")
+    return names.repartitionById(tasks, F.col("shard") % tasks).mapInArrow(parse, _DOC)
 
 
-def _shard_documents(path: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _shard_documents(path: str, shard_start: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     system, token_path = _filesystem(path.replace("{}", "tokens"))
     _, doc_path = _filesystem(path.replace("{}", "docs"))
     shard = int(path.rsplit("-", 1)[1].split(".")[0])
@@ -303,7 +298,7 @@ def _shard_documents(path: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(batch), shard, np.int32)),
                 pa.array(np.arange(seen, seen + len(batch))), batch.column("doc_id"),
-                batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64())], schema=schema)
+                pa.array(starts + shard_start), batch.column("n_tokens"), pa.array(sums, pa.int64())], schema=schema)
             seen += len(batch)
 
 
