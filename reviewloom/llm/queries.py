@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewloom.llm import decontaminate, near_dup, vectors
+from reviewloom.llm.decontaminate import op1_decontaminate
+from reviewloom.llm.near_dup import op2_near_dup
+from reviewloom.llm.pii import op6_pseudonyms
+from reviewloom.llm.secret_scan import op8_secret_scan
 from reviewloom.llm.token_files import op7_token_files
+from reviewloom.llm.vectors import op10_near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_near_dup": op2_near_dup,
+    "op6_pseudonyms": op6_pseudonyms,
     "op7_token_files": op7_token_files,
+    "op8_secret_scan": op8_secret_scan,
+    "op10_near_vectors": op10_near_vectors,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op2_near_dup": near_dup.ORACLE,
+    "op10_near_vectors": vectors.ORACLE,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
