@@ -4,9 +4,10 @@
    MinHash signature. Documents with equal sets are linked at once and stand for one
    representative, the smallest id, so that copies never meet each other again.
 2. Representatives that agree on a band of the signature are candidates. Each bucket first
-   offers the pairs of its smallest member with all others; when their links are known, only
-   pairs of a bucket that are not yet in one component are offered. A large group of near
-   copies thus costs about as many pairs as it has members.
+   offers the pairs of its smallest member with all others. When their links are known, the
+   buckets that still hold several components are cut into blocks of bounded size, and each
+   pair of blocks is compared in one task, only where components differ. A task returns links
+   between components, never its pairs.
 3. Candidates are verified in sequence (after BayesLSH, Satuluri and Parthasarathy, 2012):
    signatures are compared batch by batch, and a pair is dropped as soon as the posterior
    probability that its similarity reaches the threshold is below ``miss``, a uniform prior
@@ -38,6 +39,8 @@ from reviewloom.llm.text import SPACED, mix, shingles, utf8, word_hashes, words
 BANDS, ROWS = 28, 6
 BATCH = 28
 MISS = 1e-7
+#: Members of a bucket that meet as one block.
+BLOCK = 2048
 _SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, signature binary"
 
 
@@ -95,6 +98,15 @@ def signed(documents: DataFrame, words_per_shingle: int, size: int) -> DataFrame
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sign, _SIGNED)
 
 
+def keys_of(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """64-bit keys of the bands of each signature."""
+    parts = signatures.astype(np.uint64).reshape(len(signatures), bands, rows)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(rows):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
+    return key.view(np.int64)
+
+
 def band_keys(representatives: DataFrame, bands: int, rows: int) -> DataFrame:
     """``(band_key, doc_id)``; equal keys are equal bands, up to 64-bit collisions."""
 
@@ -102,14 +114,11 @@ def band_keys(representatives: DataFrame, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = b"".join(batch.column("signature").to_pylist())
-            parts = np.frombuffer(coded, np.uint32).astype(np.uint64).reshape(batch.num_rows, bands, rows)
-            key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (batch.num_rows, bands)).copy()
-            for k in range(rows):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
+            coded = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32)
+            key = keys_of(coded.reshape(batch.num_rows, -1), bands, rows)
             ids = np.repeat(batch.column("doc_id").to_numpy(), bands)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], names=["band_key", "doc_id"])
+                [pa.array(key.reshape(-1)), pa.array(ids)], names=["band_key", "doc_id"])
 
     return representatives.select("doc_id", "signature").mapInArrow(cut, "band_key bigint, doc_id bigint")
 
@@ -176,6 +185,74 @@ def _linked(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, percent:
         compare, "a bigint, b bigint")
 
 
+def _compare_tile(bands: int, rows: int, limits: list[tuple[int, int]], percent: int):
+    """Links between different components of a bucket, for one pair of its blocks."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        band, i, j = (table.column(c)[0].as_py() for c in ("band_key", "i", "j"))
+        block = table.column("block").to_numpy()
+        component = table.column("component").to_numpy()
+        label = component.copy()
+        coded = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(block), -1)
+        keys = keys_of(coded, bands, rows)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        at_band = int(np.argmax(keys[0] == band))
+        theirs = np.flatnonzero(block == j)
+        links = set()
+        for x in np.flatnonzero(block == i).tolist():
+            others = theirs[theirs > x] if i == j else theirs
+            others = others[label[others] != label[x]]
+            at, same = 0, np.zeros(len(others), np.int64)
+            for n, least in limits:
+                same += (coded[others, at:n] == coded[x, at:n]).sum(axis=1)
+                others, same, at = others[same >= least], same[same >= least], n
+            # A pair is compared only in the first band that it shares.
+            others = others[~(keys[others, :at_band] == keys[x, :at_band]).any(axis=1)]
+            if not len(others):
+                continue
+            flat = np.concatenate([sets[o] for o in others])
+            place = np.minimum(np.searchsorted(sets[x], flat), sizes[x] - 1)
+            both = np.add.reduceat(sets[x][place] == flat, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+            for o in others[100 * both >= percent * (sizes[x] + sizes[others] - both)].tolist():
+                if label[o] != label[x]:
+                    links.add((int(component[x]), int(component[o])))
+                    label[label == label[o]] = label[x]
+        ends = sorted(links)
+        return pa.table([pa.array([e[0] for e in ends], pa.int64()), pa.array([e[1] for e in ends], pa.int64())],
+                        schema=schema)
+
+    return run
+
+
+def _between(labelled: DataFrame, representatives: DataFrame, texts: DataFrame, words_per_shingle: int, compare):
+    """Links between components that meet in a bucket, found tile by tile."""
+    open_ = labelled.groupBy("band_key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
+    ).where("low < high").select("band_key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = labelled.join(open_, "band_key").select(
+        "band_key", "doc_id", "component", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"))
+    used = rows.select("doc_id").distinct()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x.tobytes() for x in _sets(batch.column("text"), words_per_shingle)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("signature"), pa.array(sets, pa.binary())],
+                names=["doc_id", "signature", "hashes"])
+
+    sets = staged(texts.join(
+        representatives.select("doc_id", "signature").join(used, "doc_id", "left_semi"), "doc_id"
+    ).select("doc_id", "signature", "text").mapInArrow(
+        hashed, "doc_id bigint, signature binary, hashes binary"), "sets").dropDuplicates(["doc_id", "hashes"])
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
+        F.least(k, "block").cast("int").alias("i"), F.greatest(k, "block").cast("int").alias("j")))
+    return rows.join(sets, "doc_id").select("*", F.explode(tiles).alias("tile")).select(
+        "band_key", "tile.i", "tile.j", "block", "component", "signature", "hashes"
+    ).groupBy("band_key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
 def near_duplicates(
     documents: DataFrame, words_per_shingle: int = 3, percent: int = 85, bands: int = BANDS,
     rows: int = ROWS, batch: int = BATCH, miss: float = MISS,
@@ -207,14 +284,10 @@ def near_duplicates(
     found = links(stars)
     joined = components(found, "a", "b").withColumnRenamed("node", "doc_id")
     labelled = staged(members.join(joined, "doc_id", "left").select(
-        "band_key", "hub", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
-    # What its bucket's smallest member did not draw in is compared with the whole bucket.
-    hubs = labelled.where("doc_id = hub").select("band_key", F.col("component").alias("hub_component"))
-    apart = labelled.join(hubs, "band_key").where("component <> hub_component").select(
-        "band_key", F.col("doc_id").alias("x"), F.col("component").alias("x_component"))
-    again = apart.join(labelled.where("doc_id <> hub"), "band_key").where("component <> x_component").select(
-        F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    found = found.unionByName(links(again))
+        "band_key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
+    compare = _compare_tile(bands, rows, least_matches(size, batch, threshold, miss), percent)
+    found = found.unionByName(staged(
+        _between(labelled, representatives, texts, words_per_shingle, compare), "between"))
     final = components(found, "a", "b").select(F.col("node").alias("doc_id"), F.col("component"))
     roots = representatives.join(final, "doc_id", "left").select(
         "set_key", F.coalesce("component", "doc_id").alias("root"))
