@@ -10,16 +10,20 @@ from reviewloom.llm import decontaminate, near_dup, vectors
 from reviewloom.llm.decontaminate import op1_decontaminate
 from reviewloom.llm.near_dup import op2_near_dup
 from reviewloom.llm.pii import op6_pseudonyms
+from reviewloom.llm.quality import op9_quality
 from reviewloom.llm.secret_scan import op8_secret_scan
 from reviewloom.llm.token_files import op7_token_files
+from reviewloom.llm.toxicity import op4_toxicity
 from reviewloom.llm.vectors import op10_near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_dup": op2_near_dup,
+    "op4_toxicity": op4_toxicity,
     "op6_pseudonyms": op6_pseudonyms,
     "op7_token_files": op7_token_files,
     "op8_secret_scan": op8_secret_scan,
+    "op9_quality": op9_quality,
     "op10_near_vectors": op10_near_vectors,
 }
 
