@@ -300,7 +300,7 @@ def near_duplicates(
 def keep_one(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that stay; of repeated rows with the kept id, one stays."""
     stays = near_duplicates(documents.select("doc_id", "text"), **options).where("kept").select("doc_id").distinct()
-    some = documents.where(F.col("doc_id").isNotNull()).join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    some = documents.where(F.col("doc_id").isNotNull()).join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return some.select(*documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))
 
 

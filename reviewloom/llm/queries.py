@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm import decontaminate, near_dup, vectors
 from reviewloom.llm.decontaminate import op1_decontaminate
+from reviewloom.llm.katz import op3_katz
 from reviewloom.llm.near_dup import op2_near_dup
+from reviewloom.llm.packing import op5_packing
 from reviewloom.llm.pii import op6_pseudonyms
 from reviewloom.llm.quality import op9_quality
 from reviewloom.llm.secret_scan import op8_secret_scan
@@ -19,12 +22,15 @@ from reviewloom.llm.vectors import op10_near_vectors
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_dup": op2_near_dup,
+    "op3_katz": op3_katz,
     "op4_toxicity": op4_toxicity,
+    "op5_packing": op5_packing,
     "op6_pseudonyms": op6_pseudonyms,
     "op7_token_files": op7_token_files,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
     "op10_near_vectors": op10_near_vectors,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
