@@ -48,7 +48,7 @@ def pr_decision(spark, sf_dir):
 
 
 def score_band(spark, sf_dir):
-    reviews = Samples(spark, sf_dir).reviews().where(F.col("score").isNotNull())
+    reviews = Samples(spark, sf_dir).reviews()
     return reviews.select(
         "review_id", "score", S.score_band(F.col("score")).alias("band"),
         S.score_tone(F.col("score")).alias("tone"),
@@ -146,7 +146,7 @@ ORACLES = {
         "SELECT review_id, score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 70 THEN 'Good' "
         "WHEN score >= 50 THEN 'Fair' WHEN score >= 30 THEN 'Poor' ELSE 'Critical' END AS band, "
         "CASE WHEN score >= 70 THEN 'ok' WHEN score >= 50 THEN 'warn' ELSE 'error' END AS tone "
-        "FROM fx_reviews WHERE score IS NOT NULL", "reviews"),
+        "FROM fx_reviews", "reviews"),
     "score_carry_forward": oracle(
         "SELECT review_id, score, coalesce(last_value(score IGNORE NULLS) OVER (PARTITION BY repo_id "
         "ORDER BY round_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS stored_score "

@@ -129,8 +129,8 @@ def register_repos(spark, sf_dir):
         "o_orderkey AS repo_id", "o_orderdate AS created_at",
         "CASE WHEN o_orderkey % 3 = 0 THEN true END AS private",
     )
-    existing = s.table("customer").where("c_custkey % 4 = 0").selectExpr(
-        "concat('repo-', CAST(c_custkey AS STRING), '-5-LOW') AS github_id"
+    existing = s.table("customer").selectExpr(
+        "concat('repo-', CAST(c_custkey * 4 AS STRING), '-5-LOW') AS github_id"
     )
     return history.new_repositories(candidates, existing).select("github_id", "repo_id", "private")
 
@@ -143,9 +143,11 @@ def unique_audit(spark, sf_dir):
 
 
 def fk_audit(spark, sf_dir):
-    """Reviews whose repository is missing from a registry without every ninth customer."""
+    """Reviews whose repository is missing from a registry that lists every ninth customer under another id."""
     s = Samples(spark, sf_dir)
-    registry = s.table("customer").where("c_custkey % 9 <> 0").selectExpr("c_custkey AS repo_id")
+    registry = s.table("customer").selectExpr(
+        "CASE WHEN c_custkey % 9 = 0 THEN -1 - c_custkey ELSE c_custkey END AS repo_id"
+    )
     reviews = s.table("orders").selectExpr("o_orderkey AS review_id", "o_custkey AS repo_id")
     return history.orphans(reviews, registry, "repo_id", "repo_id")
 
@@ -239,8 +241,8 @@ ORACLES = {
         "AS github_id, o_orderkey AS repo_id, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN true END, false) "
         "AS private, row_number() OVER (PARTITION BY o_custkey % 500, o_orderpriority "
         "ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) SELECT github_id, repo_id, private FROM c "
-        "WHERE rn = 1 AND github_id NOT IN (SELECT concat('repo-', CAST(c_custkey AS STRING), '-5-LOW') "
-        "FROM customer WHERE c_custkey % 4 = 0)"
+        "WHERE rn = 1 AND github_id NOT IN (SELECT concat('repo-', CAST(c_custkey * 4 AS STRING), '-5-LOW') "
+        "FROM customer)"
     ),
     "unique_audit": (
         "SELECT concat(c_mktsegment, '-', CAST(c_nationkey AS STRING)) AS email, count(*) AS n "

@@ -38,10 +38,10 @@ def _runs(s: Samples):
 
 
 def _contents(s: Samples):
-    """Half of the files every repository's findings name, row by row from customers."""
+    """The files every repository's findings name, row by row from customers."""
     return s.table("customer").select(
         F.col("c_custkey").alias("repo_id"), F.col("c_name"),
-        F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k"),
+        F.explode(F.array(*[F.lit(k) for k in range(8)])).alias("k"),
     ).selectExpr(
         "repo_id", "concat('src/m', CAST(k AS STRING), '.js') AS path",
         "concat('// ', c_name, chr(10), 'f(', CAST(k AS STRING), ')') AS content",
@@ -59,14 +59,14 @@ def prompt_incremental(spark, sf_dir):
     s = Samples(spark, sf_dir)
     reviews = _reviews(s).where(F.col("mode") == "incremental")
     built = prompts.incremental_prompts(reviews, s.changes(), s.lint_findings(), 10 ** 12)
-    return built.select("review_id", "is_whole", "prompt")
+    return built.select("review_id", "section", "file_order", "file", "part", "text")
 
 
 def prompt_incremental_parts(spark, sf_dir):
-    """The same prompts left in parts, as very long ones are."""
+    """Totals of the parts of each section."""
     s = Samples(spark, sf_dir)
     reviews = _reviews(s).where(F.col("mode") == "incremental")
-    parts = prompts.incremental_parts(reviews, s.changes(), s.lint_findings(), 10 ** 12)
+    parts = prompts.incremental_prompts(reviews, s.changes(), s.lint_findings(), 10 ** 12)
     return parts.groupBy("section").agg(
         F.sum(F.length("text").cast("bigint")).alias("chars"), F.count(F.lit(1)).alias("parts")
     )
@@ -220,15 +220,15 @@ _UNITS = (
     "c.filename = f.file), "
     f"u AS (SELECT v.review_id, 0 AS s, 0 AS a, 0 AS b, '## Repository: ' || {_URL_V} || chr(10) || "
     "'## Files changed in this diff: ' || CAST((SELECT count(*) FROM fx_changes c WHERE c.review_id = "
-    "v.review_id) AS STRING) || chr(10) || chr(10) || '## Diff' AS t FROM v UNION ALL "
+    "v.review_id) AS STRING) || chr(10) || chr(10) || '## Diff' AS t, '' AS file FROM v UNION ALL "
     "SELECT c.review_id, 1, 0, file_no, chr(10) || '### ' || filename || ' (' || status || ')' || "
     "coalesce(chr(10) || 'renamed from: ' || previous_filename, '') || chr(10) || "
-    f"coalesce('```diff' || chr(10) || patch || chr(10) || '```', {_NO_PATCH}) FROM fx_changes c "
+    f"coalesce('```diff' || chr(10) || patch || chr(10) || '```', {_NO_PATCH}), '' FROM fx_changes c "
     "JOIN v ON v.review_id = c.review_id UNION ALL "
-    "SELECT DISTINCT review_id, 2, -1, 0, chr(10) || '## Lint findings for changed files' FROM l UNION ALL "
+    "SELECT DISTINCT review_id, 2, -1, 0, chr(10) || '## Lint findings for changed files', '' FROM l UNION ALL "
     f"SELECT review_id, 2, fo, seq, '  ' || {_SEV} || ' ' || file || ':L' || {_LINE} || ' [' || rule_id || "
-    "'] ' || message FROM l UNION ALL SELECT review_id, 3, 0, 0, chr(10) || '---' || chr(10) || "
-    "'Review only the diff above and produce the structured JSON review report.' FROM v)"
+    "'] ' || message, file FROM l UNION ALL SELECT review_id, 3, 0, 0, chr(10) || '---' || chr(10) || "
+    "'Review only the diff above and produce the structured JSON review report.', '' FROM v)"
 )
 def _fix_ctes(issues: int, files: int) -> str:
     return _FIX.replace("{issues}", str(issues)).replace("{files}", str(files))
@@ -240,7 +240,7 @@ _FIX = (
     "ff AS (SELECT review_id, file, row_number() OVER (PARTITION BY review_id ORDER BY min(rank)) AS fr "
     "FROM top GROUP BY review_id, file), "
     "fl AS (SELECT c_custkey AS repo_id, k, 'src/m' || CAST(k AS STRING) || '.js' AS path, '// ' || c_name "
-    "|| chr(10) || 'f(' || CAST(k AS STRING) || ')' AS content FROM customer, (SELECT unnest([0, 1, 2, 3]) "
+    "|| chr(10) || 'f(' || CAST(k AS STRING) || ')' AS content FROM customer, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) "
     "AS k) ks), "
     "bl AS (SELECT review_id, count(*) AS n, "
     + _agg(f"'- ' || {_SEV} || ' ' || file || ':' || {_LINE} || ' — ' || message || CASE WHEN suggestion "
@@ -313,7 +313,8 @@ ORACLES = {
         "LEFT JOIN t ON t.review_id = v.review_id",
         "reviews", "findings", "metadata", "run_log", ctes=_FULL),
     "prompt_incremental": oracle(
-        f"SELECT review_id, true AS is_whole, {_agg('t', 's, a, b')} AS prompt FROM u GROUP BY review_id",
+        f"SELECT review_id, s AS section, CAST(a AS BIGINT) AS file_order, file, CAST(b // 1000000000000 AS "
+        f"BIGINT) AS part, {_agg('t', 'b')} AS text FROM u GROUP BY review_id, s, a, file, b // 1000000000000",
         "reviews", "changes", "findings", ctes=_UNITS),
     "prompt_incremental_parts": oracle(
         "SELECT s AS section, CAST(sum(c) AS BIGINT) AS chars, count(*) AS parts FROM (SELECT review_id, s, "

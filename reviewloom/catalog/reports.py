@@ -24,15 +24,21 @@ def lint_report(linter, spark, sf_dir):
 
 
 def all_lint_reports(spark, sf_dir):
-    """Mixed reports of three tools through the one normalisation job."""
-    s = Samples(spark, sf_dir)
-    mixed = s.lint_reports("eslint").unionByName(s.lint_reports("flake8")).unionByName(
-        s.lint_reports("cppcheck")
-    )
-    found = lint_reports.normalize_lint_reports(mixed)
-    return found.groupBy("linter", "severity").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("line").cast("bigint")).alias("lines")
+    """Reports of all twelve tools, one per line item, through the one normalisation job."""
+    return _shown(lint_reports.normalize_lint_reports(Samples(spark, sf_dir).mixed_reports()))
+
+
+def lint_report_malformed(spark, sf_dir):
+    """The same reports with trailing text, a second value or single quotes: JSON tools give no rows."""
+    mixed = Samples(spark, sf_dir).mixed_reports()
+    broken = (
+        F.when(F.col("repo_id").cast("bigint") % 3 == 0, F.concat("payload", F.lit(" trailing")))
+        .when(F.col("repo_id").cast("bigint") % 3 == 1, F.concat("payload", F.lit(" "), "payload"))
+        .otherwise(F.replace("payload", F.lit('"'), F.lit("'")))
     )
+    whole = ("flake8", "checkstyle", "cppcheck")
+    payload = F.when(F.col("linter").isin(*whole), F.col("payload")).otherwise(broken)
+    return _shown(lint_reports.normalize_lint_reports(mixed.withColumn("payload", payload)))
 
 
 def linter_runs(spark, sf_dir):
@@ -107,16 +113,27 @@ _EXPECTED = {
 }
 
 
-def _expected(linter: str) -> str:
+def _expected(linter: str, where: str = "true") -> str:
     return " UNION ALL ".join(
         f"SELECT CAST(l_orderkey AS STRING) AS repo_id, {file} AS file, CAST({seq} AS BIGINT) AS seq, "
         f"CAST({line} AS INT) AS line, CAST({col} AS INT) AS col, {severity} AS severity, "
         f"{message} AS message, {rule} AS rule_id, '{linter}' AS source FROM lineitem "
-        "WHERE l_partkey % 10 <> 0"
+        f"WHERE l_partkey % 10 <> 0 AND {where}"
         for file, seq, line, col, severity, message, rule in _EXPECTED[linter]
     )
 
 
+# With trailing text only the last line is broken; with the report twice, the line where both meet.
+_CLIPPY_FIRST, _CLIPPY_LAST = _EXPECTED["clippy"]
+_CLIPPY_LEFT = " UNION ALL ".join(
+    f"SELECT CAST(l_orderkey AS STRING) AS repo_id, {file} AS file, CAST({seq} AS BIGINT) AS seq, "
+    f"CAST({line} AS INT) AS line, CAST({col} AS INT) AS col, {severity} AS severity, {message} AS message, "
+    f"{rule} AS rule_id, 'clippy' AS source FROM lineitem WHERE l_partkey % 10 <> 0 AND "
+    f"(l_orderkey + l_linenumber) % 12 = 2 AND {where}"
+    for (file, _, line, col, severity, message, rule), seq, where in (
+        (_CLIPPY_FIRST, 0, "l_orderkey % 3 < 2"), (_CLIPPY_LAST, 6, "l_orderkey % 3 = 1"))
+)
+
 _STATUS = (
     "s AS (SELECT *, CASE WHEN NOT ran THEN 'skipped' WHEN repo_id % 7 < 4 THEN 'failed' ELSE 'success' END "
     "AS status, CASE WHEN ran AND repo_id % 7 < 4 THEN CASE repo_id % 7 WHEN 0 THEN 'binary_not_found' "
@@ -126,16 +143,22 @@ _STATUS = (
 QUERIES = {
     **{f"lint_report_{name.replace('-', '_')}": partial(lint_report, name) for name in _EXPECTED},
     "all_lint_reports": all_lint_reports,
+    "lint_report_malformed": lint_report_malformed,
     "linter_runs": linter_runs,
     "isolated_findings": isolated_findings,
 }
 
 ORACLES = {
     **{f"lint_report_{name.replace('-', '_')}": _expected(name) for name in _EXPECTED},
-    "all_lint_reports": (
-        "SELECT source AS linter, severity, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM ("
-        + " UNION ALL ".join(_expected(name) for name in ("eslint", "flake8", "cppcheck"))
-        + ") t GROUP BY source, severity"
+    "all_lint_reports": " UNION ALL ".join(
+        _expected(name, f"(l_orderkey + l_linenumber) % 12 = {k}") for k, name in enumerate(_EXPECTED)
+    ),
+    # A broken line of the line-wise JSON tool leaves its other lines, so it has rows of its own.
+    "lint_report_malformed": " UNION ALL ".join(
+        [
+            _expected(name, f"(l_orderkey + l_linenumber) % 12 = {k}")
+            for k, name in enumerate(_EXPECTED) if name in ("flake8", "checkstyle", "cppcheck")
+        ] + [_CLIPPY_LEFT]
     ),
     "linter_runs": oracle(
         "SELECT *, CASE status WHEN 'success' THEN CASE issue_count WHEN 0 THEN 'Clean' WHEN 1 THEN "

@@ -108,8 +108,8 @@ _LABELS = {rule.pattern_id: rule.label for rule in scan.SECRET_RULES}
 _SKIPPED = "regexp_extract(path, '[^/]*$') IN ('README.md', '.env.example')"
 _SECRETS = _lines("secret_files", f"NOT {_SKIPPED}") + ", s AS (" + " UNION ALL ".join(
     f"SELECT repo_id, path, CAST(i AS INT) AS line, '{name}' AS pattern_id, '{_LABELS[name]}' AS label, "
-    f"concat(substr(regexp_extract(t, {_quoted(p)}), 1, 6), '***REDACTED***') AS match_preview "
-    f"FROM n WHERE regexp_matches(t, {_quoted(p)})"
+    f"concat(substr(m, 1, 6), '***REDACTED***') AS match_preview "
+    f"FROM (SELECT repo_id, path, i, unnest(regexp_extract_all(t, {_quoted(p)})) AS m FROM n) u"
     for p, name in _SECRET_PATTERNS
 ) + (
     " UNION ALL SELECT repo_id, path, 1, 'env_file_committed', '.env file committed to repository', "

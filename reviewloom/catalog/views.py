@@ -28,7 +28,7 @@ _COMBINED = {
         "CASE WHEN k % 4 <> 0 THEN concat('@@ -1 +1 @@', chr(10), '+line ', CAST(k AS STRING)) END "
         "AS patch, CAST(k + s AS INT) AS additions, CAST(s AS INT) AS deletions "
         "FROM (SELECT l_orderkey AS review_id, l_suppkey % 8 AS k, "
-        "min(l_linenumber + l_partkey) % 5 AS s FROM lineitem WHERE l_quantity > 20 "
+        "min(l_linenumber + l_partkey) % 5 AS s FROM lineitem "
         "GROUP BY l_orderkey, l_suppkey % 8) t",
     ),
     "tree": (

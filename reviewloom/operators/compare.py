@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions.json_values import computed_once, strict_json
 from reviewloom.schemas import COMPARE_PAYLOAD
 
 
@@ -15,7 +16,12 @@ def _same(payload: Column) -> Column:
 
 
 def _parsed(compares: DataFrame) -> DataFrame:
-    return compares.withColumn("p", F.from_json("payload", COMPARE_PAYLOAD))
+    """Payloads that are exactly one JSON value, parsed once; ``p`` is null for others."""
+    document = F.when(
+        strict_json(F.col("payload")).isNotNull(),
+        F.from_json("payload", COMPARE_PAYLOAD, {"allowSingleQuotes": "false"}),
+    )
+    return computed_once(compares, "p", document)
 
 
 def changed_files(compares: DataFrame) -> DataFrame:

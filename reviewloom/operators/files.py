@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions import paths as P
-from reviewloom.operators.joins import checked_broadcast
 from reviewloom.operators.ranking import top_k
 
 CAP_WARNING = (
@@ -20,16 +19,14 @@ CAP_WARNING = (
 def walkable(
     files: DataFrame,
     extensions: Sequence[str] | None = None,
-    max_depth: int = P.MAX_DEPTH,
+    max_depth: int | None = P.MAX_DEPTH,
     skip_hidden: bool = True,
 ) -> DataFrame:
-    """Files a walk visits: not ignored, not too deep, optionally of given extensions."""
+    """Files a walk visits: not ignored, not too deep (``None``: any depth), optionally of given extensions."""
     path = F.col("path")
-    kept = files.where(
-        (P.depth(path) <= max_depth)
-        & ~P.in_ignored_directory(path, skip_hidden)
-        & ~P.is_ignored_file(path)
-    )
+    kept = files.where(~P.in_ignored_directory(path, skip_hidden) & ~P.is_ignored_file(path))
+    if max_depth is not None:
+        kept = kept.where(P.depth(path) <= max_depth)
     if extensions is not None:
         kept = kept.where(P.extension(path).isin(*[e.lower() for e in extensions]))
     return kept
@@ -46,32 +43,38 @@ def capped(files: DataFrame, max_files: int = P.MAX_FILES) -> DataFrame:
 
 
 def walk(
-    files: DataFrame, extensions: Sequence[str] | None = None, max_files: int = P.MAX_FILES
+    files: DataFrame, extensions: Sequence[str] | None = None, max_files: int | None = None,
+    max_depth: int | None = None,
 ) -> DataFrame:
-    """Capped listing of walkable files."""
-    return capped(walkable(files, extensions), max_files)
+    """``repo_id, path`` of walkable files; without ``max_files`` and ``max_depth`` of all of them."""
+    kept = walkable(files, extensions, max_depth)
+    return kept.select("repo_id", "path") if max_files is None else capped(kept, max_files)
 
 
 def source_files(files: DataFrame, max_files: int = P.MAX_FILES) -> DataFrame:
-    return walk(files, P.SOURCE_EXTENSIONS, max_files)
+    return walk(files, P.SOURCE_EXTENSIONS, max_files, P.MAX_DEPTH)
 
 
 def walk_with_content(
-    files: DataFrame, extensions: Sequence[str] | None = None, max_files: int = P.MAX_FILES
+    files: DataFrame, extensions: Sequence[str] | None = None, max_files: int | None = None,
+    max_depth: int | None = None,
 ) -> DataFrame:
-    """The walked files with all their columns, without shuffling content.
+    """The walked files with all their columns; without ``max_files`` none is left out.
 
     Only a repository over the cap needs a cut: the path at the cap position. The cuts
-    (at most one per ``max_files`` files) are found on paths alone and joined back.
+    (at most one per ``max_files`` files) are found on paths alone and joined back; whether
+    by broadcast is left to the adaptive planner, which knows their size.
     """
-    kept = walkable(files, extensions)
+    kept = walkable(files, extensions, max_depth)
+    if max_files is None:
+        return kept
     cuts = (
         top_k(kept.select("repo_id", "path"), ["repo_id"], [F.col("path")], max_files, "position")
         .where(F.col("position") == max_files)
         .select("repo_id", F.col("path").alias("cut"))
     )
     return (
-        kept.join(checked_broadcast(cuts), "repo_id", "left")
+        kept.join(cuts, "repo_id", "left")
         .where(F.col("cut").isNull() | (F.col("path") <= F.col("cut")))
         .drop("cut")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions import paths as P
+from reviewloom.functions.json_values import computed_once
 from reviewloom.operators.files import is_manifest_visible, walk, walkable
 
 # The linter registry in its order
@@ -62,10 +63,13 @@ def _extension_list(registry: Sequence[tuple]) -> list[str]:
 
 
 
-def extension_counts(files: DataFrame, registry: Sequence[tuple] = REGISTRY) -> DataFrame:
+def extension_counts(
+    files: DataFrame, registry: Sequence[tuple] = REGISTRY, max_files: int | None = None,
+    max_depth: int | None = None,
+) -> DataFrame:
     """File count per repository and registry extension, zeros included."""
     extensions = _extension_list(registry)
-    listing = walk(files, extensions)
+    listing = walk(files, extensions, max_files, max_depth)
     counted = (
         listing.select("repo_id", P.extension(F.col("path")).alias("ext"))
         .groupBy("repo_id", "ext").agg(F.count(F.lit(1)).alias("n"))
@@ -113,12 +117,15 @@ def _languages_by_manifest(files: DataFrame, registry: Sequence[tuple]) -> DataF
     return found.where(F.col("language").isNotNull())
 
 
-def detect_languages(files: DataFrame, registry: Sequence[tuple] = REGISTRY) -> DataFrame:
+def detect_languages(
+    files: DataFrame, registry: Sequence[tuple] = REGISTRY, max_files: int | None = None,
+    max_depth: int | None = None,
+) -> DataFrame:
     """``repo_id, language, registry_pos`` for every language present.
 
     A repository with JavaScript also gets the built-in MongoDB analyzer.
     """
-    listing = walk(files, _extension_list(registry))
+    listing = walk(files, _extension_list(registry), max_files, max_depth)
     found = _languages_by_extension(listing, registry).unionByName(
         _languages_by_manifest(files, registry)
     )
@@ -164,15 +171,17 @@ def sql_dialects(files: DataFrame) -> DataFrame:
     """
     path = F.col("path")
     names = "struct<dependencies:map<string,string>,devDependencies:map<string,string>>"
-    package = F.from_json("content", names)
+    # Parsed once: the generator keeps the parse below the tests that read it.
+    package = F.when(path == "package.json", F.from_json("content", names, {"allowSingleQuotes": "false"}))
     is_pg = F.lit(False)
     for name in POSTGRES_PACKAGES:
         for group in ("dependencies", "devDependencies"):
             is_pg = is_pg | F.coalesce(
-                F.map_contains_key(package[group], F.lit(name)), F.lit(False)
+                F.map_contains_key(F.col(f"package.{group}"), F.lit(name)), F.lit(False)
             )
     psql = walkable(files, [".psql"]).select("repo_id", F.lit(True).alias("pg"))
-    manifests = files.where(path.isin("package.json", "requirements.txt")).select(
+    roots = files.where(path.isin("package.json", "requirements.txt"))
+    manifests = computed_once(roots, "package", package).select(
         "repo_id",
         F.when(path == "package.json", is_pg)
         .otherwise(F.coalesce(F.col("content").rlike(POSTGRES_REQUIREMENTS), F.lit(False)))

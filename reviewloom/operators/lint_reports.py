@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.functions.json_values import computed_once
+from reviewloom.functions.json_values import computed_once, strict_json
 from reviewloom.functions.paths import relative_path
 from reviewloom.functions.severity import normalize_severity, normalize_severity_number
 from reviewloom.functions.text import number_or_one, trimmed, unescape_xml
@@ -69,9 +69,16 @@ def _or(value: Column, default) -> Column:
     return F.coalesce(value, F.lit(default))
 
 
-def _root_is(payload: Column, bracket: str) -> Column:
-    """Parses nothing when the JSON root is not of the expected kind."""
-    return F.when(trimmed(payload).startswith(bracket), payload)
+_STRICT = {"allowSingleQuotes": "false"}
+
+
+def _document(payload: Column, bracket: str, layout: str) -> Column:
+    """The payload as ``layout``; null unless it is exactly one JSON value of the expected root.
+
+    Numbers written as strings count as missing.
+    """
+    single = trimmed(payload).startswith(bracket) & strict_json(payload).isNotNull()
+    return F.when(single, F.from_json(payload, layout, _STRICT))
 
 
 def _nested_seq(outer: str = "outer", inner: str = "inner") -> Column:
@@ -112,7 +119,7 @@ def _nested(reports: DataFrame, parsed: Column, children: str) -> DataFrame:
 
 
 def eslint(reports: DataFrame) -> DataFrame:
-    rows = _nested(reports, F.from_json(_root_is(F.col("payload"), "["), ESLINT), "messages")
+    rows = _nested(reports, _document(F.col("payload"), "[", ESLINT), "messages")
     m = F.col("m")
     return _findings(
         rows, "eslint", F.col("f.filePath"), _nested_seq(), _or(m.line, 1), _or(m.column, 1),
@@ -140,7 +147,7 @@ def flake8(reports: DataFrame) -> DataFrame:
 
 def clippy(reports: DataFrame) -> DataFrame:
     entries = (
-        computed_once(_lines(reports), "e", F.from_json(trimmed(F.col("raw")), CLIPPY))
+        computed_once(_lines(reports), "e", _document(trimmed(F.col("raw")), "{", CLIPPY))
         .where((F.col("e.reason") == "compiler-message") & (F.size("e.message.spans") > 0))
         .withColumn("m", F.col("e.message"))
     )
@@ -156,7 +163,7 @@ def clippy(reports: DataFrame) -> DataFrame:
 
 
 def golangci(reports: DataFrame) -> DataFrame:
-    parsed = F.from_json(_root_is(F.col("payload"), "{"), GOLANGCI)["Issues"]
+    parsed = _document(F.col("payload"), "{", GOLANGCI)["Issues"]
     rows = _flat(reports, parsed).where(_or(F.col("m.Pos.Filename"), "") != "")
     m = F.col("m")
     return _findings(
@@ -251,7 +258,7 @@ def cppcheck(reports: DataFrame) -> DataFrame:
 
 
 def rubocop(reports: DataFrame) -> DataFrame:
-    parsed = F.from_json(_root_is(F.col("payload"), "{"), RUBOCOP)["files"]
+    parsed = _document(F.col("payload"), "{", RUBOCOP)["files"]
     rows = _nested(reports, parsed, "offenses")
     m = F.col("m")
     return _findings(
@@ -262,7 +269,7 @@ def rubocop(reports: DataFrame) -> DataFrame:
 
 
 def phpcs(reports: DataFrame) -> DataFrame:
-    parsed = F.from_json(_root_is(F.col("payload"), "{"), PHPCS)["files"]
+    parsed = _document(F.col("payload"), "{", PHPCS)["files"]
     files = _items(reports, ["repo_id", "root"], parsed, "outer", "path", "f")
     rows = _items(
         files, ["repo_id", "root", "outer", "path"], F.col("f.messages"), "inner", "m"
@@ -275,7 +282,7 @@ def phpcs(reports: DataFrame) -> DataFrame:
 
 
 def swiftlint(reports: DataFrame) -> DataFrame:
-    parsed = F.from_json(_root_is(F.col("payload"), "["), SWIFTLINT)
+    parsed = _document(F.col("payload"), "[", SWIFTLINT)
     rows = _flat(reports, parsed).where(_or(F.col("m.file"), "") != "")
     m = F.col("m")
     return _findings(
@@ -286,7 +293,7 @@ def swiftlint(reports: DataFrame) -> DataFrame:
 
 
 def ktlint(reports: DataFrame) -> DataFrame:
-    rows = _nested(reports, F.from_json(_root_is(F.col("payload"), "["), KTLINT), "errors")
+    rows = _nested(reports, _document(F.col("payload"), "[", KTLINT), "errors")
     m = F.col("m")
     return _findings(
         rows, "ktlint", _or(F.col("f.file"), ""), _nested_seq(), _or(m.line, 1), _or(m.col, 1),
@@ -296,7 +303,7 @@ def ktlint(reports: DataFrame) -> DataFrame:
 
 
 def shellcheck(reports: DataFrame) -> DataFrame:
-    parsed = F.from_json(_root_is(F.col("payload"), "["), SHELLCHECK)
+    parsed = _document(F.col("payload"), "[", SHELLCHECK)
     rows = _flat(reports, parsed).where(_or(F.col("m.file"), "") != "")
     m = F.col("m")
     return _findings(
@@ -307,7 +314,7 @@ def shellcheck(reports: DataFrame) -> DataFrame:
 
 
 def sqlfluff(reports: DataFrame) -> DataFrame:
-    rows = _nested(reports, F.from_json(_root_is(F.col("payload"), "["), SQLFLUFF), "violations")
+    rows = _nested(reports, _document(F.col("payload"), "[", SQLFLUFF), "violations")
     m = F.col("m")
     return _findings(
         rows, "sqlfluff", _or(F.col("f.filepath"), ""), _nested_seq(), _or(m.line_no, 1),

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.paths import base_name
 from reviewloom.functions.text import is_commented, redacted
-from reviewloom.operators.joins import checked_broadcast
 
 
 @dataclass(frozen=True)
@@ -222,22 +221,21 @@ def _may_contain(files: DataFrame, rules: Sequence[SecretRule]) -> DataFrame:
 def scan_secrets(files: DataFrame, rules: Sequence[SecretRule] = SECRET_RULES) -> DataFrame:
     """Redacted secret findings; a committed ``.env`` file is one by itself (line 1).
 
-    Every match position of a rule on a line is reported once per rule and line.
+    Every match of a rule on a line is a finding; matches of one rule do not overlap.
     """
     scanned = files.where(~_is_skipped_for_secrets(F.col("path")))
     lines = explode_lines(_may_contain(scanned, rules)).where(F.col("text").rlike(_any_of(rules)))
-    hits = F.array_compact(
-        F.array(*[
-            F.when(
-                F.col("text").rlike(rule.pattern),
-                F.struct(
-                    F.lit(rule.pattern_id).alias("pattern_id"), F.lit(rule.label).alias("label"),
-                    redacted(F.regexp_extract("text", rule.pattern, 0)).alias("match_preview"),
-                ),
-            )
-            for rule in rules
-        ])
-    )
+
+    def hits_of(rule: SecretRule) -> Column:
+        return F.transform(
+            F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)),
+            lambda match: F.struct(
+                F.lit(rule.pattern_id).alias("pattern_id"), F.lit(rule.label).alias("label"),
+                redacted(match).alias("match_preview"),
+            ),
+        )
+
+    hits = F.flatten(F.array(*[hits_of(rule) for rule in rules]))
     matched = lines.select(
         "repo_id", "path", F.col("line_no").alias("line"), F.explode_outer(hits).alias("h")
     ).where(F.col("h").isNotNull()).select("repo_id", "path", "line", "h.*")
@@ -258,6 +256,13 @@ def secret_scan_stats(files: DataFrame, findings: DataFrame) -> DataFrame:
     return counts.join(found, "repo_id", "left").fillna(0, ["findings_count"])
 
 
+# The text of an aborted review.
+SECRETS_MESSAGE = (
+    "Secret scan detected %d potential secret(s) in the repository. Review aborted "
+    "to prevent leaking credentials to the AI provider."
+)
+
+
 def secret_gate(findings: DataFrame) -> DataFrame:
     """Repositories whose review is aborted, with the reason."""
     return (
@@ -265,15 +270,11 @@ def secret_gate(findings: DataFrame) -> DataFrame:
         .withColumn("code", F.lit("SECRETS_FOUND"))
         .withColumn(
             "message",
-            F.format_string(
-                "Secret scan detected %d potential secret(s) in the repository. Review aborted "
-                "to prevent leaking credentials to the AI provider.",
-                "findings_count",
-            ),
+            F.format_string(SECRETS_MESSAGE, "findings_count"),
         )
     )
 
 
 def without_blocked(table: DataFrame, gate: DataFrame) -> DataFrame:
-    """Rows of repositories that pass the gate; file content is not shuffled for it."""
-    return table.join(checked_broadcast(gate.select("repo_id")), "repo_id", "left_anti")
+    """Rows of repositories that pass the gate, joined on the keys of the blocked ones alone."""
+    return table.join(gate.select("repo_id"), "repo_id", "left_anti")

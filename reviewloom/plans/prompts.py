@@ -13,10 +13,8 @@ FENCE = "```"
 
 # Rows of one text part; positions are unique per review, so a part is bounded by this.
 ROWS_PER_PART = 4096
-# Prompts up to this many characters come as one text, longer ones as ordered parts.
-WHOLE_CHARS = 1_000_000
-_ROW_CHARS = 200
 
+# Texts of the prompts, here and in the functions below.
 NO_PATCH = (
     "(no patch available — file is binary, or the diff is too large to inline; "
     "skip detailed review of this file)"
@@ -141,10 +139,10 @@ def full_prompts(
     return rows.select("review_id", prompt.alias("prompt"))
 
 
-def incremental_parts(
+def incremental_prompts(
     reviews: DataFrame, changes: DataFrame, findings: DataFrame, rows_per_part: int = ROWS_PER_PART
 ) -> DataFrame:
-    """Diff prompts as ordered parts ``review_id, section, file_order, file, part, text``.
+    """Diff prompts of any size as ordered parts ``review_id, section, file_order, file, part, text``.
 
     Neither diffs nor lint lines are capped, so nothing is collected per review. A part
     covers a range of ``rows_per_part`` positions of one file's list, where positions are
@@ -214,49 +212,6 @@ def incremental_parts(
     )
 
 
-def _char_estimates(changes: DataFrame, findings: DataFrame) -> DataFrame:
-    """Upper bound of the prompt length per review: all text columns and an allowance for
-    the fixed words of each row. Counted from the inputs, so no prompt is built for it."""
-
-    def chars(rows: DataFrame, *texts: str) -> DataFrame:
-        size = F.length(F.concat_ws("", *texts)) + _ROW_CHARS
-        return rows.groupBy("review_id").agg(F.sum(size.cast("bigint")).alias("chars"))
-
-    both = chars(changes, "filename", "previous_filename", "patch").unionByName(
-        chars(findings, "file", "rule_id", "message")
-    )
-    return both.groupBy("review_id").agg(F.sum("chars").alias("chars"))
-
-
-def incremental_prompts(
-    reviews: DataFrame,
-    changes: DataFrame,
-    findings: DataFrame,
-    rows_per_part: int = ROWS_PER_PART,
-    whole_chars: int = WHOLE_CHARS,
-) -> DataFrame:
-    """Diff prompts; ``is_whole`` rows carry the full text, others are ordered parts.
-
-    Only prompts whose rows are known to be few and short are put together.
-    """
-    parts = incremental_parts(reviews, changes, findings, rows_per_part)
-    large = (
-        _char_estimates(changes, findings)
-        .where(F.col("chars") > whole_chars)
-        .select("review_id", F.lit(False).alias("is_whole"))
-    )
-    order = ["section", "file_order", "file", "part"]
-    # A whole prompt is one group, a part of a long prompt is a group of its own.
-    own = F.when(F.col("is_whole"), F.lit(None)).otherwise(F.struct(*order))
-    return (
-        parts.join(large, "review_id", "left")
-        .withColumn("is_whole", F.coalesce("is_whole", F.lit(True)))
-        .groupBy("review_id", "is_whole", own.alias("place"))
-        .agg(_joined(order, "text").alias("prompt"))
-        .select("review_id", "is_whole", *[F.col(f"place.{name}") for name in order], "prompt")
-    )
-
-
 def fix_prompts(
     reviews: DataFrame,
     issues: DataFrame,

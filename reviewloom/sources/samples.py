@@ -263,7 +263,7 @@ class Samples:
 
     def changes(self) -> DataFrame:
         grouped = (
-            self.table("lineitem").where("l_quantity > 20")
+            self.table("lineitem")
             .groupBy(F.col("l_orderkey").alias("review_id"), F.expr("l_suppkey % 8").alias("k"))
             .agg(F.expr("min(l_linenumber + l_partkey) % 5").alias("s"))
         )
@@ -298,6 +298,18 @@ class Samples:
             f"CASE WHEN l_partkey % 10 = 0 THEN 'no report' ELSE {PAYLOADS[linter]} END AS payload",
         )
 
+    def mixed_reports(self) -> DataFrame:
+        """One report per line item, of each of the twelve tools in turn."""
+        turn = "(l_orderkey + l_linenumber) % 12"
+        payload = " ".join(f"WHEN {k} THEN {text}" for k, text in enumerate(PAYLOADS.values()))
+        name = " ".join(f"WHEN {k} THEN '{linter}'" for k, linter in enumerate(PAYLOADS))
+        return spread(self.table("lineitem")).selectExpr(
+            "CAST(l_orderkey AS STRING) AS repo_id",
+            f"CASE {turn} {name} END AS linter",
+            "'/checkout/repo' AS root",
+            f"CASE WHEN l_partkey % 10 = 0 THEN 'no report' ELSE CASE {turn} {payload} END END AS payload",
+        )
+
     def run_findings(self) -> DataFrame:
         """Findings attributed to the run of their order."""
         return (

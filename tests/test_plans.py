@@ -67,13 +67,25 @@ def test_incremental_parts_make_the_whole(spark):
         "review_id int, file_no int, filename string, previous_filename string, status string, patch string")
     findings = spark.createDataFrame(
         [(1, i, f"f{i % 9}.js", i, "error", "r", f"m{i}") for i in range(40)], FINDING)
-    whole = prompts.incremental_prompts(reviews, changes, findings).collect()
-    assert [r["is_whole"] for r in whole] == [True]
-    parts = prompts.incremental_prompts(reviews, changes, findings, rows_per_part=3, whole_chars=10)
-    rows = parts.orderBy("section", "file_order", "file", "part").collect()
-    assert len(rows) > 10 and not any(r["is_whole"] for r in rows)
-    assert "\n".join(r["prompt"] for r in rows) == whole[0]["prompt"]
-    assert "f7.js" not in whole[0]["prompt"] and "f8.js" not in whole[0]["prompt"]
+    order = ["section", "file_order", "file", "part"]
+
+    def text(rows):
+        return "\n".join(r["text"] for r in rows.orderBy(*order).collect())
+
+    whole = text(prompts.incremental_prompts(reviews, changes, findings))
+    parts = prompts.incremental_prompts(reviews, changes, findings, rows_per_part=3)
+    assert parts.count() > 20 and text(parts) == whole
+    assert "f7.js" not in whole and "f8.js" not in whole
+
+
+def test_incremental_prompt_ignores_unrelated_findings(spark):
+    reviews = spark.createDataFrame([(1, "u")], "review_id int, repo_url string")
+    changes = spark.createDataFrame(
+        [(1, 0, "a.js", None, "modified", "+x")],
+        "review_id int, file_no int, filename string, previous_filename string, status string, patch string")
+    findings = spark.createDataFrame([(1, i, "other.js", i, "error", "r", f"m{i}") for i in range(6000)], FINDING)
+    rows = prompts.incremental_prompts(reviews, changes, findings).collect()
+    assert sorted(r["section"] for r in rows) == [0, 1, 3] and sum(len(r["text"]) for r in rows) < 300
 
 
 def test_review_job_end_to_end(spark):
