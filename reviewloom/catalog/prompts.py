@@ -149,24 +149,41 @@ def report_export(spark, sf_dir):
                        .alias("issues"))
 
 
-def merged_reviews(spark, sf_dir):
-    """Parsed answers merged into stored issues by mode; only per-repository totals are shown."""
-    s = Samples(spark, sf_dir)
-    latest = s.table("customer").selectExpr(
-        "c_custkey AS repo_id", "c_custkey AS review_id",
-        "CASE c_custkey % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'incremental' ELSE 'unchanged' END AS mode",
+def _merged(s: Samples):
+    """Two requests per repository, answered alike, merged into its stored issues."""
+    both = s.table("customer").select("c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    latest = both.selectExpr(
+        "c_custkey AS repo_id", "c_custkey * 2 + k AS review_id",
+        "CASE (c_custkey + k) % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'incremental' ELSE 'unchanged' END AS mode",
     )
-    # seq of parsed issues restarts per answer, so answers are one per repository here.
-    answers = s.table("customer").selectExpr(
-        "c_custkey AS repo_id", "c_custkey AS review_id",
+    answers = both.selectExpr(
+        "c_custkey AS repo_id", "c_custkey * 2 + k AS review_id",
         "concat('{\"issues\":[{\"file\":\"src/m1.js\",\"message\":\"new\",\"severity\":\"error\"},"
         "{\"file\":\"src/m1.js\",\"message\":\"new\",\"severity\":\"error\"}]}') AS text",
     )
     rounds = s.reviews().groupBy("repo_id").agg(F.max("review_id").alias("review_id"))
     previous = s.issues().join(rounds, "review_id")
-    changes = s.changes().join(rounds, "review_id")
-    merged = review.merged_issues(answers, latest, previous, changes)
-    return merged.groupBy("repo_id", "origin").agg(F.count(F.lit(1)).alias("n"))
+    # The second request of a repository finds no changes.
+    changes = s.changes().join(rounds, "review_id").withColumn("review_id", F.col("repo_id") * 2)
+    return review.merged_issues(answers, latest, previous, changes)
+
+
+def merged_reviews(spark, sf_dir):
+    """Issues of each merged list by origin."""
+    return _merged(Samples(spark, sf_dir)).groupBy("review_id", "origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_issue_list(spark, sf_dir):
+    """The merged lists in their order."""
+    return _merged(Samples(spark, sf_dir)).select(
+        "repo_id", "review_id", "list_pos", "origin", "seq", "file", "line", "category", "message")
+
+
+def merged_export(spark, sf_dir):
+    """The merged lists as whole JSON documents."""
+    rows = tables.issue_json(_merged(Samples(spark, sf_dir)).select(
+        "review_id", "list_pos", "file", "message"), rows_per_part=4)
+    return rows.select("review_id", F.col("part").cast("bigint").alias("part"), "json")
 
 
 def _agg(text: str, order: str) -> str:
@@ -282,6 +299,25 @@ _REPORT = (
     "f.file WHERE f.review_id = v.review_id) AS lint_issues_found FROM fx_reviews v)"
 )
 
+_MERGED = (
+    "m AS (SELECT repo_id, max(review_id) AS review_id FROM fx_reviews GROUP BY repo_id), "
+    "q AS (SELECT c_custkey AS repo_id, c_custkey * 2 + k AS review_id, (c_custkey + k) % 3 AS mode, k "
+    "FROM customer, (SELECT unnest([0, 1]) AS k) ks), "
+    "p AS (SELECT f.*, q.repo_id, q.review_id AS request, q.mode, q.k FROM fx_findings f "
+    "JOIN m ON m.review_id = f.review_id JOIN q ON q.repo_id = m.repo_id), "
+    "d AS (SELECT m.repo_id, coalesce(previous_filename, filename) AS file FROM fx_changes c JOIN m "
+    "ON m.review_id = c.review_id WHERE status <> 'added' UNION SELECT m.repo_id, filename FROM "
+    "fx_changes c JOIN m ON m.review_id = c.review_id WHERE status = 'removed'), "
+    "n AS (SELECT repo_id, review_id, mode, unnest([0, 1]) AS seq FROM q WHERE mode < 2), "
+    "a AS (SELECT repo_id, request AS review_id, mode, 0 AS origin, seq, file, line, category, message FROM p "
+    "WHERE mode = 2 OR mode = 1 AND (k = 1 OR NOT EXISTS (SELECT 1 FROM d WHERE d.repo_id = p.repo_id AND "
+    "d.file = p.file)) UNION ALL SELECT repo_id, review_id, mode, 1, seq, 'src/m1.js', CAST(NULL AS INT), 'lint', "
+    "'new' FROM n), "
+    f"y AS (SELECT *, row_number() OVER (PARTITION BY review_id, {ISSUE_KEY} ORDER BY origin, seq) AS rn FROM a), "
+    "z AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY origin, seq) AS list_pos FROM y "
+    "WHERE mode <> 1 OR rn = 1)"
+)
+
 QUERIES = {
     "prompt_full": prompt_full,
     "prompt_incremental": prompt_incremental,
@@ -294,6 +330,8 @@ QUERIES = {
     "persisted_review": persisted_review,
     "report_export": report_export,
     "merged_reviews": merged_reviews,
+    "merged_issue_list": merged_issue_list,
+    "merged_export": merged_export,
 }
 
 ORACLES = {
@@ -328,16 +366,17 @@ ORACLES = {
         "dc.review_id = v.review_id WHERE opens AND token", "reviews", "findings",
         ctes=_fix_ctes(10, 6) + ", " + _DECIDE),
     "merged_reviews": oracle(
-        "SELECT c_custkey AS repo_id, 1 AS origin, CAST(CASE c_custkey % 3 WHEN 0 THEN 2 ELSE 1 END AS "
-        "BIGINT) AS n FROM customer WHERE c_custkey % 3 < 2 UNION ALL SELECT repo_id, 0, count(*) FROM p "
-        "WHERE repo_id % 3 = 2 GROUP BY repo_id UNION ALL SELECT p.repo_id, 0, count(DISTINCT "
-        f"{ISSUE_KEY}) FROM p WHERE repo_id % 3 = 1 AND NOT EXISTS (SELECT 1 FROM d WHERE d.repo_id = "
-        "p.repo_id AND d.file = p.file) GROUP BY p.repo_id", "reviews", "findings", "changes",
-        ctes="m AS (SELECT repo_id, max(review_id) AS review_id FROM fx_reviews GROUP BY repo_id), "
-        "p AS (SELECT f.*, m.repo_id FROM fx_findings f JOIN m ON m.review_id = f.review_id), "
-        "d AS (SELECT m.repo_id, coalesce(previous_filename, filename) AS file FROM fx_changes c JOIN m "
-        "ON m.review_id = c.review_id WHERE status <> 'added' UNION SELECT m.repo_id, filename FROM "
-        "fx_changes c JOIN m ON m.review_id = c.review_id WHERE status = 'removed')"),
+        "SELECT review_id, origin, count(*) AS n FROM z GROUP BY review_id, origin",
+        "reviews", "findings", "changes", ctes=_MERGED),
+    "merged_issue_list": oracle(
+        "SELECT repo_id, review_id, list_pos, origin, seq, file, line, category, message FROM z",
+        "reviews", "findings", "changes", ctes=_MERGED),
+    "merged_export": oracle(
+        "SELECT review_id, list_pos // 4 AS part, '{\"review_id\":' || CAST(review_id AS STRING) || "
+        "',\"part\":' || CAST(list_pos // 4 AS STRING) || ',\"issues\":[' || string_agg('{\"list_pos\":' || "
+        "CAST(list_pos AS STRING) || ',\"file\":\"' || file || '\",\"message\":\"' || message || '\"}', ',' "
+        "ORDER BY list_pos) || ']}' AS json FROM z GROUP BY review_id, list_pos // 4",
+        "reviews", "findings", "changes", ctes=_MERGED),
     "fix_outcome": oracle(
         "SELECT review_id, ready, outcome FROM oc", "reviews", "findings", ctes=_DECIDE),
     "pr_payload": oracle(

@@ -27,9 +27,12 @@ def worst_first(table: DataFrame) -> list[Column]:
     """Stable severity order of a list.
 
     Lint findings are listed file by file (see :func:`findings_by_file`, which adds
-    ``file_order``); issue lists are ordered by ``seq`` alone.
+    ``file_order``); merged lists by ``list_pos``; other issue lists by ``seq`` alone.
     """
-    position = ["file_order", "file", "seq"] if "file_order" in table.columns else ["seq", "file"]
+    if "file_order" in table.columns:
+        position = ["file_order", "file", "seq"]
+    else:
+        position = ["list_pos"] if "list_pos" in table.columns else ["seq", "file"]
     return [severity_rank(F.col("severity")), *[F.col(c) for c in position], F.col("message")]
 
 

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.severity import issue_key, severity_weight
-from reviewloom.operators.ranking import keep_first
+from reviewloom.operators.ranking import keep_first, numbered
+
+# Source positions that are numbered together.
+_POSITIONS = 4096
 
 
 def round_position() -> Column:
@@ -36,26 +39,26 @@ def dropped_paths(changes: DataFrame, *keys: str) -> DataFrame:
 
 
 def carried_over(
-    previous: DataFrame, changes: DataFrame, carry_renames: bool = False
+    previous: DataFrame, changes: DataFrame, carry_renames: bool = False, key: str = "repo_id"
 ) -> DataFrame:
-    """Previous issues that survive a round of changes, both keyed by ``repo_id``.
+    """Previous issues that survive a round of changes, both keyed by ``key``.
 
     By default a renamed file's old issues are dropped. With ``carry_renames`` they move
     to the new path instead.
     """
-    stale = dropped_paths(changes, "repo_id").distinct()
+    stale = dropped_paths(changes, key).distinct()
     if not carry_renames:
-        return previous.join(stale, ["repo_id", "file"], "left_anti")
+        return previous.join(stale, [key, "file"], "left_anti")
     renamed = F.col("status") == "renamed"
     moves = (
         changes.where(renamed & F.col("previous_filename").isNotNull())
-        .groupBy("repo_id", F.col("previous_filename").alias("file"))
+        .groupBy(key, F.col("previous_filename").alias("file"))
         .agg(F.max("filename").alias("moved_to"))
     )
-    stale = stale.join(moves, ["repo_id", "file"], "left_anti")
+    stale = stale.join(moves, [key, "file"], "left_anti")
     return (
-        previous.join(stale, ["repo_id", "file"], "left_anti")
-        .join(moves, ["repo_id", "file"], "left")
+        previous.join(stale, [key, "file"], "left_anti")
+        .join(moves, [key, "file"], "left")
         .withColumn("file", F.coalesce("moved_to", "file"))
         .drop("moved_to")
         .select(*previous.columns)
@@ -71,17 +74,27 @@ def with_issue_key(issues: DataFrame) -> DataFrame:
 
 
 def merge_round(
-    previous: DataFrame, new: DataFrame, changes: DataFrame, carry_renames: bool = False
+    previous: DataFrame, new: DataFrame, changes: DataFrame, carry_renames: bool = False,
+    key: str = "repo_id",
 ) -> DataFrame:
-    """One incremental round for many repositories at once.
+    """One incremental round for many repositories (or reviews, as ``key`` says) at once.
 
     Carried issues come before new ones (``origin`` 0 and 1); the first of equal
-    issues stays.
+    issues stays. ``seq`` orders each of both lists.
     """
-    carried = carried_over(previous, changes, carry_renames).withColumn("origin", F.lit(0))
+    carried = carried_over(previous, changes, carry_renames, key).withColumn("origin", F.lit(0))
     merged = carried.unionByName(new.withColumn("origin", F.lit(1)))
     order = [F.col("origin"), F.col("seq")]
-    return keep_first(with_issue_key(merged), ["repo_id", "issue_key"], order).drop("issue_key")
+    return keep_first(with_issue_key(merged), [key, "issue_key"], order).drop("issue_key")
+
+
+def with_list_position(merged: DataFrame, key: str = "review_id") -> DataFrame:
+    """``list_pos``: place from 1 of each issue in its merged list, carried issues first.
+
+    Consumers order a merged list by it; ``seq`` restarts with every source list.
+    """
+    bucket = F.struct("origin", F.floor(F.col("seq") / F.lit(_POSITIONS)).alias("part"))
+    return numbered(merged, [key], ["origin", "seq"], bucket, "list_pos")
 
 
 def _with_changes(rounds: DataFrame, changes: DataFrame) -> DataFrame:

@@ -121,7 +121,9 @@ def merged_issues(
     into the previous list, unchanged ones keep the previous list.
 
     ``responses`` has ``review_id, repo_id, text``; ``modes`` has ``repo_id, review_id, mode``;
-    ``previous`` and ``changes`` are keyed by ``repo_id``.
+    ``changes`` is keyed by ``review_id`` and ``previous`` by ``repo_id``, of which every
+    review of the repository takes the whole list. ``list_pos`` orders each merged list; a
+    ``list_pos`` of ``previous`` is its order, else its ``seq``.
     """
     new = parse_issues(responses, "review_id", "repo_id")
     columns = new.columns
@@ -130,16 +132,19 @@ def merged_issues(
         return table.join(modes.where(F.col("mode") == mode).select(*keys), keys, "left_semi")
 
     full = of_mode(new, "full", ["review_id"]).withColumn("origin", F.lit(1))
+    if "list_pos" in previous.columns:
+        previous = previous.withColumn("seq", F.col("list_pos"))
     stored = previous.drop("review_id").join(
         modes.where(F.col("mode") != "full").select("repo_id", "review_id"), "repo_id"
     ).select(*columns)
     incremental = merge.merge_round(
         of_mode(stored, "incremental", ["review_id"]),
         of_mode(new, "incremental", ["review_id"]),
-        of_mode(changes, "incremental", ["repo_id"]),
+        of_mode(changes, "incremental", ["review_id"]),
+        key="review_id",
     )
     kept = of_mode(stored, "unchanged", ["review_id"]).withColumn("origin", F.lit(0))
-    return full.unionByName(incremental).unionByName(kept)
+    return merge.with_list_position(full.unionByName(incremental).unionByName(kept))
 
 
 def unchanged_reports(requests: DataFrame, previous_issues: DataFrame) -> DataFrame:

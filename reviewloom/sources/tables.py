@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom import schemas
@@ -18,19 +21,35 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
+def _plain_path(root: str) -> str:
+    """The path part of a folder name, without scheme, authority or a slash at the end."""
+    path = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root)
+    return (path if path != root or root.startswith("/") else os.path.abspath(root)).rstrip("/")
+
+
+def _escaped(root: str) -> str:
+    """A folder name whose characters are all meant literally, not as a file pattern."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", root)
+
+
+def _below(uri: Column, root: str) -> Column:
+    """The decoded path of a file below ``root``, cut off as a plain prefix."""
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(decoded, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.substring(path, F.lit(len(_plain_path(root)) + 2), F.length(path))
+
+
 def read_source_tree(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
     """``repo_id, path, content`` of unpacked repositories below ``root``.
 
-    The first ``repo_depth`` directories below the root name the repository. Unreadable
-    files are skipped.
+    The first ``repo_depth`` directories below the root name the repository. A file that
+    cannot be read fails the job rather than being left out without a trace.
     """
     files = (
-        spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-        .text(root, wholetext=True, recursiveFileLookup=True)
+        spark.read.text(_escaped(root), wholetext=True, recursiveFileLookup=True)
         .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("uri"))
     )
-    base = "/" + root.split("://", 1)[-1].strip("/").split("/")[-1] + "/"
-    inner = F.split(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))), base, 2)[1]
+    inner = _below(F.col("uri"), root)
     repo = F.array_join(F.slice(F.split(inner, "/"), 1, repo_depth), "/")
     return files.select(
         repo.alias("repo_id"),
@@ -45,15 +64,16 @@ def read_lint_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lint_report_files(spark: SparkSession, root: str, checkout_root: str) -> DataFrame:
-    """Raw report files laid out as ``<root>/<linter>/<repo_id>.<suffix>``."""
+    """Raw report files laid out as ``<root>/<linter>/<repo_id>.<suffix>``; the id may hold slashes."""
     rows = (
-        spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+        spark.read.text(_escaped(root), wholetext=True, recursiveFileLookup=True)
         .select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("uri"))
     )
-    pieces = F.split("uri", "/")
-    repo = F.regexp_replace(F.element_at(pieces, -1), r"\.[^.]*\z", "")
+    inner = _below(F.col("uri"), root)
+    name = F.substring(inner, F.length(F.substring_index(inner, "/", 1)) + 2, F.length(inner))
+    repo = F.regexp_replace(name, r"\.[^./]*\z", "")
     return rows.select(
-        repo.alias("repo_id"), F.element_at(pieces, -2).alias("linter"),
+        repo.alias("repo_id"), F.substring_index(inner, "/", 1).alias("linter"),
         F.concat(F.lit(checkout_root.rstrip("/") + "/"), repo).alias("root"), "payload",
     )
 
@@ -95,14 +115,16 @@ def report_json(reports: DataFrame) -> DataFrame:
 def issue_json(issues: DataFrame, rows_per_part: int = 1000) -> DataFrame:
     """Issue lists as nested JSON, in parts of at most ``rows_per_part`` positions each.
 
-    ``seq`` is unique per review, so no collected list can exceed that size; the parts
-    sorted by ``part`` are the whole list.
+    Positions are unique per review: ``list_pos`` of a merged list (see
+    ``merge.with_list_position``), else ``seq``. So no collected list can exceed that size;
+    the parts sorted by ``part`` are the whole list.
     """
-    body = [c for c in issues.columns if c not in ("review_id", "repo_id", "origin")]
-    part = F.floor(F.col("seq") / rows_per_part).alias("part")
+    position = "list_pos" if "list_pos" in issues.columns else "seq"
+    body = [c for c in issues.columns if c not in ("review_id", "repo_id", "origin", position)]
+    part = F.floor(F.col(position) / rows_per_part).alias("part")
     return (
         issues.groupBy("review_id", part)
-        .agg(F.sort_array(F.collect_list(F.struct("seq", *[c for c in body if c != "seq"]))).alias("issues"))
+        .agg(F.sort_array(F.collect_list(F.struct(position, *body))).alias("issues"))
         .select("review_id", "part", F.to_json(F.struct("review_id", "part", "issues")).alias("json"))
     )
 

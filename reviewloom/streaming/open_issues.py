@@ -1,9 +1,10 @@
-"""Open-issue lists as streaming state.
+"""Open-issue lists as a stream.
 
-A stream of issue and touch events is folded into state per repository and file. The
-state does not depend on arrival order: it keeps every occurrence of an issue that is
-not older than the last touch of its file, so late events are simply applied. Full
-rounds, which reset a whole repository, are applied when the state is read.
+A stream of issue and touch events is folded per repository and file: the state is the last
+touch alone, and only what a batch changes goes to the log, its new occurrences that are not
+older than the touch and the touch itself. Reading the log drops the occurrences that a later
+touch made stale, so it does not depend on arrival order: late events are simply applied.
+Full rounds, which reset a whole repository, are applied when the log is read.
 
 A file's issues are spread over a few slices by issue key; touches go to every slice.
 """
@@ -19,20 +20,21 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from reviewloom.operators import merge
 
 SLICES = 4
-_CHUNK = 10_000
-_NEVER = (-(2 ** 63), 0)
 
-EVENT = (
-    "repo_id bigint, file string, slice int, kind string, at bigint, review_id bigint, seq bigint, "
-    "line int, severity string, category string, message string, suggestion string"
-)
 _OCCURRENCE = (
-    "at bigint, review_id bigint, seq bigint, line int, severity string, category string, "
+    "at bigint, review_id {review}, seq bigint, line int, severity string, category string, "
     "message string, suggestion string"
 )
-STATE_ROW = "repo_id bigint, file string, slice int, version bigint, alive boolean, " + _OCCURRENCE
 _FIELDS = [part.split()[0] for part in _OCCURRENCE.split(", ")]
-_StateRow = Row(*[part.split()[0] for part in STATE_ROW.split(", ")])
+
+
+def event_schema(repo_id: str = "bigint", review_id: str = "bigint") -> str:
+    """Columns of events, and of the log, for the id types of the reviews."""
+    return f"repo_id {repo_id}, file string, slice int, kind string, " + _OCCURRENCE.replace("{review}", review_id)
+
+
+EVENT = event_schema()
+_LogRow = Row("repo_id", "file", "slice", "kind", *_FIELDS)
 
 
 def _micros():
@@ -63,68 +65,59 @@ def review_events(
 
 
 class OpenIssueProcessor(StatefulProcessor):
-    """State of one file slice: the last touch and the occurrences not older than it.
+    """Last touch of one file slice; gives the rows by which a batch changes its open issues."""
 
-    An emptied slice gives one row with ``alive`` false.
-    """
+    def __init__(self, review_id: str = "bigint"):
+        self._review_id = review_id
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._touch = handle.getValueState("touch", "at bigint, review_id bigint, version bigint")
-        self._open = handle.getListState("open", _OCCURRENCE)
+        self._touch = handle.getValueState("touch", f"at bigint, review_id {self._review_id}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         stored = self._touch.get()
-        touch, version = (tuple(stored[:2]), stored[2]) if stored else (_NEVER, 0)
-        newest, added, known = touch, [], version > 0
+        before = tuple(stored) if stored else None
+        newest = before
         for event in rows:
             position = (event["at"], event["review_id"])
             if event["kind"] == "touch":
-                newest = max(newest, position)
-            elif position >= newest:
-                added.append(tuple(event[name] for name in _FIELDS))
-                if len(added) == _CHUNK:
-                    self._open.appendList(added)
-                    added, known = [], True
-        added = [row for row in added if row[:2] >= newest]
-        self._touch.update((*newest, version + 1))
-        alive = list(added)
-        if known and self._open.exists():
-            before = [tuple(row) for row in self._open.get()]
-            alive = [row for row in before if row[:2] >= newest] + added
-            if not alive:
-                self._open.clear()
-            elif len(alive) < len(before) + len(added):
-                self._open.put(alive)
-            elif added:
-                self._open.appendList(added)
-        elif added:
-            self._open.put(added)
-        head = (*key, version + 1)
-        for row in alive or [None]:
-            yield _StateRow(*head, row is not None, *(row or (None,) * len(_FIELDS)))
+                newest = position if newest is None else max(newest, position)
+            elif newest is None or position >= newest:
+                yield _LogRow(*key, "issue", *[event[name] for name in _FIELDS])
+        if newest != before:
+            self._touch.update(newest)
+            yield _LogRow(*key, "touch", *newest, *(None,) * (len(_FIELDS) - 2))
 
     def close(self) -> None:
         pass
 
 
-def open_issue_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Folds the event stream into state and appends each changed slice to ``path``."""
-    states = events.groupBy("repo_id", "file", "slice").transformWithState(
-        statefulProcessor=OpenIssueProcessor(), outputStructType=STATE_ROW,
+def open_issue_stream(
+    events: DataFrame, path: str, checkpoint: str, repo_id: str = "bigint", review_id: str = "bigint"
+) -> StreamingQuery:
+    """Folds the event stream and appends what each batch changes to ``path``."""
+    changed = events.groupBy("repo_id", "file", "slice").transformWithState(
+        statefulProcessor=OpenIssueProcessor(review_id), outputStructType=event_schema(repo_id, review_id),
         outputMode="append", timeMode="none",
     )
     return (
-        states.writeStream.format("parquet").outputMode("append")
+        changed.writeStream.format("parquet").outputMode("append")
         .option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def current_occurrences(spark: SparkSession, path: str) -> DataFrame:
-    """Newest version of every slice."""
-    log = spark.read.schema(STATE_ROW).parquet(path)
-    newest = log.groupBy("repo_id", "file", "slice").agg(F.max("version").alias("version"))
-    return log.join(newest, ["repo_id", "file", "slice", "version"]).where("alive")
+def current_occurrences(
+    spark: SparkSession, path: str, repo_id: str = "bigint", review_id: str = "bigint"
+) -> DataFrame:
+    """Occurrences of the log that no later touch made stale."""
+    log = spark.read.schema(event_schema(repo_id, review_id)).parquet(path)
+    touches = log.where(F.col("kind") == "touch").groupBy("repo_id", "file", "slice").agg(
+        F.max(F.struct("at", "review_id")).alias("touch")
+    )
+    issues = log.where(F.col("kind") == "issue").join(touches, ["repo_id", "file", "slice"], "left")
+    return issues.where(
+        F.col("touch").isNull() | (F.struct("at", "review_id") >= F.col("touch"))
+    ).drop("touch", "kind")
 
 
 def open_issues(occurrences: DataFrame, rounds: DataFrame, changes: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Walks, detection, plans and scans on literal repositories."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.operators import files as fl
@@ -46,7 +47,9 @@ def test_cap_is_exact_for_a_hot_repository(spark):
     counts = {r["repo_id"]: r["count"] for r in listing.groupBy("repo_id").count().collect()}
     assert counts == {"hot": 5000, "r": 2}
     assert listing.where("repo_id = 'hot'").agg(F.max("path")).collect()[0][0] == "f04999.py"
-    with_text = fl.walk_with_content(files, [".py"])
+    assert fl.walk(files, [".py"]).count() == 6002
+    assert fl.walk_with_content(files, [".py"]).count() == 6002
+    with_text = fl.walk_with_content(files, [".py"], 5000)
     assert with_text.select("repo_id", "path").exceptAll(listing).count() == 0
     assert with_text.count() == 5002
 
@@ -157,3 +160,29 @@ def test_lint_report_files(spark, tmp_path):
     target.write_text("./a.py:1:1: E1 m\n")
     row = tables.read_lint_report_files(spark, str(tmp_path / "reports"), "/w/").collect()[0]
     assert (row["repo_id"], row["linter"], row["root"]) == ("one", "flake8", "/w/one")
+
+
+@pytest.mark.parametrize("name", ["src", "c++", "a b", "100%", "x[1]"])
+def test_source_tree_root_is_a_plain_prefix(spark, tmp_path, name):
+    root = tmp_path / name / "b" / name
+    (root / "repo1" / "lib").mkdir(parents=True)
+    (root / "repo1" / "lib" / "a.py").write_text("x")
+    (root / "repo 2+%").mkdir()
+    (root / "repo 2+%" / "b c.py").write_text("y")
+    rows = tables.read_source_tree(spark, str(root)).collect()
+    assert {tuple(r) for r in rows} == {("repo1", "lib/a.py", "x"), ("repo 2+%", "b c.py", "y")}
+
+
+def test_lint_report_files_decode_their_names(spark, tmp_path):
+    folder = tmp_path / "reports" / "eslint"
+    folder.mkdir(parents=True)
+    (folder / "my repo.json").write_text("[]")
+    row = tables.read_lint_report_files(spark, str(tmp_path / "reports"), "/w/").collect()[0]
+    assert (row["repo_id"], row["linter"], row["root"]) == ("my repo", "eslint", "/w/my repo")
+
+
+def test_every_secret_of_a_line_is_found(spark):
+    keys = "AKIA" + "A" * 16, "AKIA" + "B" * 16
+    files = spark.createDataFrame([("r", "a.js", f"x {keys[0]} y {keys[1]}\nz {keys[0]}")], "repo_id string, path string, content string")
+    rows = scan.scan_secrets(files).collect()
+    assert sorted(r["line"] for r in rows) == [1, 1, 2]

@@ -114,3 +114,37 @@ def test_stream_equals_fold_in_any_arrival_order(spark, tmp_path):
     stream.open_issue_stream(source, f"{tmp_path}/state", f"{tmp_path}/check").awaitTermination()
     occurrences = stream.current_occurrences(spark, f"{tmp_path}/state")
     assert _listed(stream.open_issues(occurrences, rounds, changes), final) == final
+
+
+def test_reviews_of_one_repository_keep_their_own_lists(spark):
+    from reviewloom.plans import review
+
+    text = '{"issues":[{"file":"a.js","message":"m","severity":"error","category":"logic"}]}'
+    answers = spark.createDataFrame([(9, 1, text), (9, 2, text)], "repo_id int, review_id int, text string")
+    modes = spark.createDataFrame([(9, 1, "incremental"), (9, 2, "incremental")], "repo_id int, review_id int, mode string")
+    previous = spark.createDataFrame(
+        [(9, 5, "b.js", None, "error", "logic", "old", "")],
+        "repo_id int, seq bigint, file string, line int, severity string, category string, message string, suggestion string")
+    changes = spark.createDataFrame(
+        [(1, "a.js", None, "modified"), (2, "b.js", None, "modified")],
+        "review_id int, filename string, previous_filename string, status string")
+    rows = review.merged_issues(answers, modes, previous, changes).orderBy("review_id", "list_pos").collect()
+    assert [(r["review_id"], r["list_pos"], r["file"]) for r in rows] == [(1, 1, "b.js"), (1, 2, "a.js"), (2, 1, "a.js")]
+
+
+def test_a_batch_writes_only_what_it_changes(spark, tmp_path):
+    def event(kind, at, review_id, seq=None, message=None):
+        return (1, "a.js", 0, kind, at, review_id, seq, 1, "error", "logic", message, "")
+
+    def add(rows):
+        spark.createDataFrame(rows, stream.EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        source = spark.readStream.schema(stream.EVENT).parquet(f"{tmp_path}/events")
+        stream.open_issue_stream(source, f"{tmp_path}/log", f"{tmp_path}/check").awaitTermination()
+        return spark.read.parquet(f"{tmp_path}/log").count()
+
+    before = add([event("issue", 10, 1, k, f"m{k}") for k in range(300)])
+    assert add([event("issue", 20, 2, 0, "new")]) == before + 1
+    assert add([event("touch", 15, 3)]) == before + 2
+    left = stream.current_occurrences(spark, f"{tmp_path}/log").collect()
+    assert [r["message"] for r in left] == ["new"]
+    assert add([event("issue", 5, 0, 0, "late and stale")]) == before + 2

@@ -125,7 +125,8 @@ def test_review_job_end_to_end(spark):
     changes = spark.createDataFrame(
         [(1, 0, "server.py", None, "modified", None)],
         "review_id int, file_no int, filename string, previous_filename string, status string, patch string")
-    diff = {r["review_id"]: r["prompt"] for r in review.incremental_review_prompts(admitted, stage, changes).collect()}
+    parts = review.incremental_review_prompts(admitted, stage, changes).orderBy("section", "file_order", "file", "part")
+    diff = {1: "\n".join(r["text"] for r in parts.where("review_id = 1").collect())}
     assert "(no patch available" in diff[1] and "server.py:L1 [E1] m" in diff[1] and "app.js" not in diff[1]
 
 
