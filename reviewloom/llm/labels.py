@@ -14,14 +14,21 @@ def remainder(doc_id, folds: int):
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learns, most: dict[int, int]):
-    """Texts and labels of the bounded training sample, in a fixed order."""
-    one = labels.where(F.col(label).isin(*most)).groupBy("doc_id").agg(F.max(label).alias("label")).where(learns)
-    rows = documents.select("doc_id", "text").join(one, "doc_id").where(
-        F.length(F.coalesce("text", F.lit(""))) <= LONGEST)
-    texts, values = [], []
+    """Texts and labels of the bounded training sample, in a fixed order.
+
+    The sample is drawn from the labels alone: of each value, the first ids in hash order, as
+    many as ``most`` says. Those few ids are then looked up in the documents, so no other text
+    moves. An id with several rows gives its smallest text.
+    """
+    spark = documents.sparkSession
+    one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(*most)).groupBy("doc_id").agg(
+        F.max(label).alias("label")).where(learns)
+    drawn = []
     for value, limit in most.items():
-        drawn = rows.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(limit)
-        for row in drawn.collect():
-            texts.append(row["text"] or "")
-            values.append(value)
-    return texts, values
+        rows = one.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+        drawn += [(r["doc_id"], value, k) for k, r in enumerate(rows.select("doc_id").collect())]
+    wanted = F.broadcast(spark.createDataFrame(drawn, "doc_id bigint, label int, place int"))
+    found = documents.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).where(
+        F.length("text") <= LONGEST).join(wanted, "doc_id").groupBy("label", "place").agg(F.min("text").alias("text"))
+    rows = sorted(found.collect(), key=lambda r: (-r["label"], r["place"]))
+    return [r["text"] for r in rows], [r["label"] for r in rows]
