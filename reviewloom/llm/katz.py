@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.llm.store import prepared
+from reviewloom.llm.store import prepared, staged
 from reviewloom.llm.text import SPACED, mix, utf8, word_hashes, words
 
 FOLDS, HELD = 7, 2
@@ -89,8 +89,11 @@ def common_words(documents: DataFrame, most: int) -> tuple[np.ndarray, np.ndarra
         if size:
             yield frequent()
 
-    rows = documents.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(
-        F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
+    counts = staged(documents.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(
+        F.sum("n").alias("n")), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # At most 8 * most words can be as frequent as this, however many there are in all.
+    rows = counts.where(F.col("n") * F.lit(8 * most) >= F.lit(total)).orderBy(F.desc("n"), "word").limit(most).collect()
     found = np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64)
     found = np.append(found, _BEGIN)[: max(1, len(found) + 1)]
     times = np.array([r["n"] for r in rows] + [0], dtype=np.int64)
