@@ -344,7 +344,15 @@ def normalize_lint_reports(
 ) -> DataFrame:
     """All reports as one findings table; ``formats`` plugs in further tools.
 
-    With reports stored partitioned by ``linter`` each branch reads only its own files.
+    With reports stored partitioned by ``linter`` each branch reads only its own files. Where
+    a checkout has several reports of one tool, ``report_pos`` orders them and is returned.
     """
+    several = "report_pos" in reports.columns
+    if several:  # the formats hand the repository through unread, so the position rides on it
+        reports = reports.withColumn("repo_id", F.struct("repo_id", "report_pos"))
     branches = [parse(reports.where(F.col("linter") == name)) for name, parse in formats.items()]
-    return reduce(DataFrame.unionByName, branches)
+    found = reduce(DataFrame.unionByName, branches)
+    if several:
+        found = found.withColumn("report_pos", F.col("repo_id.report_pos")).withColumn(
+            "repo_id", F.col("repo_id.repo_id"))
+    return found

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions import urls as U
 from reviewloom.operators import eligibility, files as fl, languages as lang, merge, runs as rn, scan
 from reviewloom.operators.lint_reports import normalize_lint_reports
+from reviewloom.operators.ranking import numbered
 from reviewloom.operators.responses import parse_issues, parse_reviews
 from reviewloom.plans.prompts import full_prompts, incremental_prompts
 
@@ -76,7 +77,10 @@ def lint_stage(
         .join(planned, ["repo_id", "linter"])
     )
     code_files = fl.walk_with_content(open_files, scan.MONGO_EXTENSIONS)
-    reported = normalize_lint_reports(reports).unionByName(scan.analyze_database_usage(code_files))
+    if "report_pos" not in reports.columns:
+        reports = reports.withColumn("report_pos", F.lit(0))
+    analyzed = scan.analyze_database_usage(code_files).withColumn("report_pos", F.lit(0))
+    reported = normalize_lint_reports(reports).unionByName(analyzed)
     findings = rn.results_of_successful(reported, statuses)
     return LintStage(secrets, gate, detections, plan, rn.with_counts(statuses, findings), findings)
 
@@ -96,12 +100,14 @@ def full_review_prompts(admitted: DataFrame, stage: LintStage) -> DataFrame:
 
 
 def with_list_position(findings: DataFrame) -> DataFrame:
-    """One ``seq`` across all linters of a repository: registry order, then report order."""
+    """One ``seq`` across all linters of a review: registry order, then the order of a tool's
+    reports, then that of each report."""
     names = [entry[1] for entry in lang.REGISTRY]
     linter = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("linter"))
-    return findings.withColumn(
-        "seq", linter.cast("bigint") * F.lit(2 ** 58) + F.col("seq")
-    )
+    placed = findings.withColumn("linter_pos", linter)
+    order = ["linter_pos", "report_pos", "seq", "file", "line", "rule_id", "message"]
+    numbers = numbered(placed, ["review_id"], order, F.struct("linter_pos", "report_pos"), "list_no")
+    return numbers.withColumn("seq", F.col("list_no")).drop("linter_pos", "list_no")
 
 
 def incremental_review_prompts(

@@ -2,7 +2,10 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from reviewloom.operators import history, merge, scoring
+from reviewloom.operators.lint_reports import normalize_lint_reports
 from reviewloom.plans import fixes, prompts, review
 from reviewloom.sources import tables
 
@@ -130,6 +133,16 @@ def test_review_job_end_to_end(spark):
     assert "(no patch available" in diff[1] and "server.py:L1 [E1] m" in diff[1] and "app.js" not in diff[1]
 
 
+def test_several_reports_of_one_tool_keep_their_order(spark):
+    reports = spark.createDataFrame(
+        [("a", "flake8", "/w", f"f{p}.py:{n}:1: E1 m\nf{p}.py:{n + 1}:1: E1 m", p) for p, n in ((1, 3), (0, 7))],
+        "repo_id string, linter string, root string, payload string, report_pos int")
+    found = normalize_lint_reports(reports).withColumn("review_id", F.lit(1))
+    rows = review.with_list_position(found).orderBy("seq").collect()
+    assert [(r["seq"], r["file"], r["line"]) for r in rows] == [
+        (1, "f0.py", 7), (2, "f0.py", 8), (3, "f1.py", 3), (4, "f1.py", 4)]
+
+
 def test_pr_payload_and_outcomes(spark):
     reviews = spark.createDataFrame(
         [(n, "r", 10, "abcdef0123", "main", "u", 5, n != 2) for n in (1, 2, 3, 4)],
