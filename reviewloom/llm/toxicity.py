@@ -117,7 +117,7 @@ def _toxic_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     (marks, often), (usual, seldom) = _counts(toxic), _counts(ordinary)
     place = np.minimum(np.searchsorted(usual, marks), max(0, len(usual) - 1))
     there = np.where(usual[place] == marks, seldom[place], 0) if len(usual) else np.zeros(len(marks))
-    telling = (often >= max(3, len(toxic) / 3000)) & (
+    telling = (often >= max(3, len(toxic) / 1000)) & (
         often / max(1, len(toxic)) >= 8 * (there + 0.5) / max(1, len(ordinary)))
     chosen, known, samples = set(marks[telling].tolist()), {}, []
     for piece in toxic:
