@@ -11,7 +11,7 @@ from reviewloom.session import configure
 
 _MODULES = (
     "findings", "merging", "history", "files", "scans", "requests", "reports", "responses",
-    "prompts", "streams",
+    "prompts", "jobs", "streams",
 )
 
 

@@ -113,6 +113,11 @@ _EXPECTED = {
 }
 
 
+def expected_rows(linter: str) -> list[tuple]:
+    """Expected rows of one report of the tool (see ``_EXPECTED``)."""
+    return _EXPECTED[linter]
+
+
 def _expected(linter: str, where: str = "true") -> str:
     return " UNION ALL ".join(
         f"SELECT CAST(l_orderkey AS STRING) AS repo_id, {file} AS file, CAST({seq} AS BIGINT) AS seq, "

@@ -104,6 +104,8 @@ _SECRET_PATTERNS = (
     (r"""\b(?i:api[_-]?key|secret|token|passwd|password)\s*[:=]\s*['"][A-Za-z0-9_\-]{16,}['"]""",
      "generic_api_key_assignment"),
 )
+#: A line ``t`` holds a secret.
+SECRET_EXPRESSIONS = "(" + " OR ".join(f"regexp_matches(t, {_quoted(p)})" for p, _ in _SECRET_PATTERNS) + ")"
 _LABELS = {rule.pattern_id: rule.label for rule in scan.SECRET_RULES}
 _SKIPPED = "regexp_extract(path, '[^/]*$') IN ('README.md', '.env.example')"
 _SECRETS = _lines("secret_files", f"NOT {_SKIPPED}") + ", s AS (" + " UNION ALL ".join(

@@ -94,6 +94,23 @@ ROW_VIEWS: dict[str, tuple[str, list[str]]] = {
         "ELSE '/config.js' END) AS path",
         "text AS content",
     ]),
+    # One repository of one file for each document, for the whole jobs.
+    "job_files": ("documents", [
+        "concat('doc', CAST(doc_id AS STRING)) AS repo_id",
+        "concat(CASE WHEN doc_id % 11 = 0 THEN 'node_modules/' "
+        "WHEN doc_id % 13 = 0 THEN 'src/.hidden/' ELSE 'src/' END, lang, '/f', "
+        "CAST(doc_id AS STRING), CASE doc_id % 6 WHEN 0 THEN '.js' WHEN 1 THEN '.py' "
+        "WHEN 2 THEN '.SQL' WHEN 3 THEN '.min.js' WHEN 4 THEN '.png' ELSE '.ts' END) AS path",
+        "text AS content",
+    ]),
+    "job_metadata": ("documents", [
+        "concat('doc', CAST(doc_id AS STRING)) AS repo_id",
+        "doc_id % 11 = 0 AS archived", "false AS disabled", "false AS fork", "false AS private",
+        "CAST(100 AS BIGINT) AS size_kb", "'main' AS default_branch", "true AS has_commits",
+        "CAST(NULL AS INT) AS rate_remaining",
+        "CASE WHEN doc_id % 17 = 3 THEN 404 ELSE 200 END AS http_status",
+        "CAST(NULL AS STRING) AS response_message", "true AS has_token",
+    ]),
     "repo_urls": ("pages", [
         "page_id",
         "CASE page_id % 5 WHEN 0 THEN url "
@@ -298,13 +315,13 @@ class Samples:
             f"CASE WHEN l_partkey % 10 = 0 THEN 'no report' ELSE {PAYLOADS[linter]} END AS payload",
         )
 
-    def mixed_reports(self) -> DataFrame:
+    def mixed_reports(self, repo: str = "CAST(l_orderkey AS STRING)", *further: str) -> DataFrame:
         """One report per line item, of each of the twelve tools in turn."""
         turn = "(l_orderkey + l_linenumber) % 12"
         payload = " ".join(f"WHEN {k} THEN {text}" for k, text in enumerate(PAYLOADS.values()))
         name = " ".join(f"WHEN {k} THEN '{linter}'" for k, linter in enumerate(PAYLOADS))
         return spread(self.table("lineitem")).selectExpr(
-            "CAST(l_orderkey AS STRING) AS repo_id",
+            f"{repo} AS repo_id", *further,
             f"CASE {turn} {name} END AS linter",
             "'/checkout/repo' AS root",
             f"CASE WHEN l_partkey % 10 = 0 THEN 'no report' ELSE CASE {turn} {payload} END END AS payload",
