@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions import urls as U
@@ -187,9 +187,21 @@ def assemble_reports(
         "review_id", "provider_used", "summary", "score"
     )
 
-    def counted(table: DataFrame, into: str) -> DataFrame:
-        return table.groupBy("review_id").agg(F.count(F.lit(1)).alias(into))
+    # All counts in one keyed aggregate, so the headers meet them in one join.
+    names = ("issue_count", "changed_file_count", "lint_issues_found")
 
+    def share(table: DataFrame, into: str, n: Column) -> DataFrame:
+        zero = F.lit(0).cast("bigint")
+        return table.select(
+            "review_id", *[(n.cast("bigint") if name == into else zero).alias(name) for name in names]
+        )
+
+    counts = (
+        share(issues, "issue_count", F.lit(1))
+        .unionByName(share(changes, "changed_file_count", F.lit(1)))
+        .unionByName(share(lint_totals, "lint_issues_found", F.col("total")))
+        .groupBy("review_id").agg(*[F.sum(name).alias(name) for name in names])
+    )
     run_list = runs.groupBy("review_id").agg(
         F.transform(
             F.sort_array(
@@ -210,13 +222,11 @@ def assemble_reports(
     )
     report = (
         headers.join(parsed, "review_id")
-        .join(counted(issues, "issue_count"), "review_id", "left")
-        .join(counted(changes, "changed_file_count"), "review_id", "left")
-        .join(lint_totals.withColumnRenamed("total", "lint_issues_found"), "review_id", "left")
+        .join(counts, "review_id", "left")
         .join(run_list, "review_id", "left")
         .join(language_list, "review_id", "left")
         .join(outcomes, "review_id", "left")
-        .fillna(0, ["issue_count", "changed_file_count", "lint_issues_found"])
+        .fillna(0, list(names))
     )
     return report.select(
         "review_id", "repo_id", "repo_url", "default_branch", "mode", "base_sha", "head_sha",
