@@ -274,7 +274,7 @@ def with_verdict(found: DataFrame, per_hit: int = 20) -> DataFrame:
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    own = [F.col(f"doc.{c}") for c in documents.columns]
+    own = [F.col(f"doc.`{c}`") for c in documents.columns]
     packed = documents.select(F.col("text"), F.struct(*[F.col(c) for c in documents.columns]).alias("doc"))
     kept = with_verdict(find_matches(packed, benchmark)).where(~F.col("contaminated"))
     return kept.select(*own)
