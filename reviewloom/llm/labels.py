@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Characters of a text that a training sample may hold.
@@ -13,12 +17,12 @@ def remainder(doc_id, folds: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learns, most: dict[int, int]):
-    """Texts and labels of the bounded training sample, in a fixed order.
+def fitted(documents: DataFrame, labels: DataFrame, label: str, learns, most: dict[int, int], train):
+    """``train(texts, labels)`` over the bounded training sample, run in one task.
 
     The sample is drawn from the labels alone: of each value, the first ids in hash order, as
     many as ``most`` says. Those few ids are then looked up in the documents, so no other text
-    moves. An id with several rows gives its smallest text.
+    moves, and none comes to the driver. An id with several rows gives its smallest text.
     """
     spark = documents.sparkSession
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(*most)).groupBy("doc_id").agg(
@@ -30,5 +34,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learns,
     wanted = F.broadcast(spark.createDataFrame(drawn, "doc_id bigint, label int, place int"))
     found = documents.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).where(
         F.length("text") <= LONGEST).join(wanted, "doc_id").groupBy("label", "place").agg(F.min("text").alias("text"))
-    rows = sorted(found.collect(), key=lambda r: (-r["label"], r["place"]))
-    return [r["text"] for r in rows], [r["label"] for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (-r["label"], r["place"]))
+        model = train([r["text"] for r in rows], [r["label"] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    row = found.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else train([], [])

@@ -22,12 +22,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.llm.labels import labelled_sample, remainder
+from reviewloom.llm.labels import fitted, remainder
 from reviewloom.llm.store import prepared
 from reviewloom.llm.text import SPACED, mix, utf8, word_hashes, words
 
@@ -111,8 +112,13 @@ def _document(text: str) -> tuple[np.ndarray, np.ndarray]:
     return seen, share / max(1.0, share.sum())
 
 
-def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """Vectors and softmax layer by gradient descent; the order of steps is fixed."""
+def train(
+    texts: list[str], labels: list[int], share: float | None = None, rounds: int = ROUNDS, rate: float = RATE
+) -> Model:
+    """Vectors and softmax layer by gradient descent; the order of steps is fixed.
+
+    ``share`` is the share of label 1 among all labelled rows, which the sample may not show.
+    """
     y = np.array(labels, dtype=np.int64)
     rng = np.random.default_rng(0)
     if not 0 < y.sum() < len(y):
@@ -137,7 +143,8 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float
             bias -= step * 0.1 * p
             at += 1
     # Both classes weighed the same while training; the bias now gets their true odds back.
-    odds = np.log(y.mean() / (1 - y.mean()))
+    share = float(y.mean()) if share is None else share
+    odds = np.log(share / (1 - share))
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0] + odds))
 
 
@@ -145,7 +152,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled rows outside the held-out fold."""
     prepared(documents.sparkSession)
     learns = remainder(F.col("doc_id"), _FOLDS) != _HELD
-    return train(*labelled_sample(documents, labels, "quality", learns, {0: MOST, 1: MOST}))
+    good, all_ = labels.where(F.col("quality").isin(0, 1) & learns).agg(
+        F.sum(F.col("quality").cast("bigint")), F.count("*")).first()
+    share = ((good or 0) + 1) / (all_ + 2)
+    return fitted(documents, labels, "quality", learns, {0: MOST, 1: MOST}, partial(train, share=share))
 
 
 def with_score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.llm.labels import labelled_sample, remainder
+from reviewloom.llm.labels import fitted, remainder
 from reviewloom.llm.store import prepared
 
 MOST_TOXIC, MOST_ORDINARY = 1500, 4000
@@ -99,9 +99,14 @@ def _grams(word: bytes) -> np.ndarray:
     return np.unique(out)
 
 
-def _counts(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *[_grams(b" " + p + b" ") for p in pieces]]),
-                     return_counts=True)
+def _counts(pieces: list[bytes], step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Byte sequences of all pieces and in how many they are, ``step`` pieces at a time."""
+    found, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for at in range(0, len(pieces), step):
+        more, n = np.unique(np.concatenate([_grams(b" " + p + b" ") for p in pieces[at : at + step]]), return_counts=True)
+        found, place = np.unique(np.concatenate([found, more]), return_inverse=True)
+        times = np.bincount(place, weights=np.concatenate([times, n]), minlength=len(found)).astype(np.int64)
+    return found, times
 
 
 def _dictionary(size: int, samples: list[bytes]) -> bytes:
@@ -188,8 +193,8 @@ def score(model: Model, texts: list[str]) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, folds: int = _FOLDS) -> Model:
     """The model of the labelled rows outside fold 0."""
     prepared(documents.sparkSession)
-    return train(*labelled_sample(
-        documents, labels, "toxic", remainder(F.col("doc_id"), folds) != 0, {1: MOST_TOXIC, 0: MOST_ORDINARY}))
+    learns = remainder(F.col("doc_id"), folds) != 0
+    return fitted(documents, labels, "toxic", learns, {1: MOST_TOXIC, 0: MOST_ORDINARY}, train)
 
 
 def with_score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
