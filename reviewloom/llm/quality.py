@@ -113,11 +113,11 @@ def _document(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(
-    texts: list[str], labels: list[int], share: float | None = None, rounds: int = ROUNDS, rate: float = RATE
+    texts: list[str], labels: list[int], overall: float | None = None, rounds: int = ROUNDS, rate: float = RATE
 ) -> Model:
     """Vectors and softmax layer by gradient descent; the order of steps is fixed.
 
-    ``share`` is the share of label 1 among all labelled rows, which the sample may not show.
+    ``overall`` is the share of label 1 among all labelled rows, which the sample may not show.
     """
     y = np.array(labels, dtype=np.int64)
     rng = np.random.default_rng(0)
@@ -143,8 +143,8 @@ def train(
             bias -= step * 0.1 * p
             at += 1
     # Both classes weighed the same while training; the bias now gets their true odds back.
-    share = float(y.mean()) if share is None else share
-    odds = np.log(share / (1 - share))
+    overall = float(y.mean()) if overall is None else overall
+    odds = np.log(overall / (1 - overall))
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0] + odds))
 
 
@@ -155,7 +155,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     good, all_ = labels.where(F.col("quality").isin(0, 1) & learns).agg(
         F.sum(F.col("quality").cast("bigint")), F.count("*")).first()
     share = ((good or 0) + 1) / (all_ + 2)
-    return fitted(documents, labels, "quality", learns, {0: MOST, 1: MOST}, partial(train, share=share))
+    return fitted(documents, labels, "quality", learns, {0: MOST, 1: MOST}, partial(train, overall=share))
 
 
 def with_score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
