@@ -25,6 +25,7 @@ SOURCE_EXTENSIONS = (
     ".sql", ".lua", ".r", ".yaml", ".yml", ".toml", ".json", ".md",
 )
 
+# Limits of a capped listing.
 MAX_DEPTH = 20
 MAX_FILES = 5000
 

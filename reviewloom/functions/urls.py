@@ -10,11 +10,9 @@ from reviewloom.functions.text import trimmed
 # URL patterns and first path segments that never name an owner.
 HOST = r"(?:https?://)?(?:www\.)?github\.com/"
 GIST_PREFIX = r"(?i)^(?:https?://)?(?:www\.)?(?:gist\.github\.com|github\.com/gist)"
-RESERVED_SEGMENTS = (
-    "orgs", "settings", "marketplace", "features", "pricing", "login", "signup", "gist", "gists",
-)
 STRICT_URL = (
-    "(?i)^" + HOST + "(?!" + "|".join(f"{name}/" for name in RESERVED_SEGMENTS) + ")"
+    "(?i)^" + HOST
+    + "(?!orgs/|settings/|marketplace/|features/|pricing/|login/|signup/|gist/|gists/)"
     + r"([^/?#\s]+)/([^/?#\s]+?)(?:\.git)?(?:[/?#].*)?\z"
 )
 TRACKED_URL = "^" + HOST + r"([^/]+)/([^/]+?)(?:\.git)?/?\z"

@@ -111,6 +111,7 @@ def eligibility_code(min_remaining: int = MIN_REMAINING) -> Column:
 
 def eligibility_message() -> Column:
     """Text for the code in column ``eligibility_code``."""
+    # The messages.
     code = F.col("eligibility_code")
     return (
         F.when(
@@ -160,6 +161,7 @@ def size_gate(requests: DataFrame) -> DataFrame:
     for name in ("owner", "repo", "branch"):
         missing = missing | (F.coalesce(F.col(name), F.lit("")) == "")
     too_large = F.col("size_kb") > SIZE_LIMIT_KB
+    # The messages.
     return requests.withColumn(
         "gate_code", F.when(missing, "INVALID_INPUT").when(too_large, "REPO_TOO_LARGE")
     ).withColumn(

@@ -23,6 +23,7 @@ def classify_runs(log: DataFrame) -> DataFrame:
     reason = F.when(failed, failure_reason(
         F.coalesce("error_code", F.lit("")), F.coalesce("error_name", F.lit(""))
     ))
+    # The text of a missing tool.
     missing = F.concat(
         F.col("linter"), F.lit(" binary not found. Install it on the server to enable "),
         F.col("linter"), F.lit(" linting."),
@@ -54,6 +55,7 @@ def with_counts(runs: DataFrame, findings: DataFrame) -> DataFrame:
 def status_text() -> Column:
     """Display text of a run row with ``status, reason, issue_count``."""
     n = F.col("issue_count")
+    # The display texts.
     return (
         F.when(
             F.col("status") == "success",

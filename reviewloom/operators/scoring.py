@@ -55,6 +55,7 @@ def _opens(score_threshold: int, weighted_threshold: int) -> Column:
 
 
 def _reason(score_threshold: int, weighted_threshold: int) -> Column:
+    # The reasons.
     return (
         F.when(~F.col("actionable"), "no error/warning-level issues found")
         .when(F.col("score").isNull(), "no score")
