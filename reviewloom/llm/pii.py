@@ -9,13 +9,14 @@ values stay different, and equal values are equal in every document under one ke
 | kind | validated by | permuted |
 |---|---|---|
 | card | 13 to 19 digits, or groups with blanks or hyphens; Luhn sum | all digits but the check digit, which is computed anew |
-| phone | ten digits of the North American plan, optional +1 | area, exchange and line |
+| phone | ten digits in groups, optional +1, or +1 and ten digits | all ten digits, numbers of the North American plan among themselves and all others among themselves |
 | ssn | area, group and serial in use | the number among those in use |
 | address | four octets of up to 255 | all 32 bits |
 | date | a day of the calendar, years 1500 to 2199 | the day among the 146,097 of its 400 years |
 | email | a mail address | letters and digits before the @, each within its class |
 
-A date with slashes is read month first, or day first where only that is a day.
+A date with slashes is read month first, or day first where only that is a day. One with
+hyphens may be followed by a T and the hour.
 
 Everything else in a text stays as it is. Null texts stay null and empty ones empty.
 """
@@ -35,11 +36,11 @@ _MONTH, _DAY = r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "address": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\w)",
-    "iso": rf"(?<![\w-]){_YEAR}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-])",
+    "iso": rf"(?<![\w-]){_YEAR}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?:(?![\w-])|(?=T\d\d))",
     "dotted": rf"(?<![\w.]){_DAY}\.{_MONTH}\.{_YEAR}(?!\.?\w)",
     "slashed": rf"(?<![\w/])(?:{_MONTH}/{_DAY}|{_DAY}/{_MONTH})/{_YEAR}(?![\w/])",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+1\d{10})(?![\w-])",
     "card": r"(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
 }
 _ANY = "|".join(f"(?:{p})" for p in _PATTERNS.values())
@@ -116,15 +117,28 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
+    """Plan numbers have an area and an exchange from 200 on; the 360,000 other pairs are
+    counted by area below 200, then by area and exchange below 200."""
+
+    def written(area: Column, exchange: Column, line: Column) -> Column:
+        return F.concat(_padded(area, 3), _padded(exchange, 3), _padded(line, 4))
+
     def renew(digits: Column) -> Column:
         at = F.length(digits) - 9
         area, exchange, line = (
             F.substring(digits, at + k, F.lit(n)).cast("bigint") for k, n in ((0, 3), (3, 3), (6, 4)))
         number = ((area - 200) * 800 + exchange - 200) * 10000 + line
-        new = _let(permuted(number, 800, 8_000_000, key, "phone"), lambda p: F.concat(
-            (_whole(p, _big(8_000_000)) + 200).cast("string"),
-            (_whole(F.pmod(p, _big(8_000_000)), _big(10_000)) + 200).cast("string"),
-            _padded(F.pmod(p, _big(10_000)), 4)))
+        planned = _let(permuted(number, 800, 8_000_000, key, "phone"), lambda p: written(
+            _whole(p, _big(8_000_000)) + 200,
+            _whole(F.pmod(p, _big(8_000_000)), _big(10_000)) + 200,
+            F.pmod(p, _big(10_000))))
+        pair = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+        other = _let(permuted(pair * 10000 + line, 360_000, 10_000, key, "other phone"), lambda p: _let(
+            _whole(p, _big(10_000)), lambda q: written(
+                F.when(q < 200_000, _whole(q, _big(1000))).otherwise(_whole(q - 200_000, _big(200)) + 200),
+                F.when(q < 200_000, F.pmod(q, _big(1000))).otherwise(F.pmod(q - 200_000, _big(200))),
+                F.pmod(p, _big(10_000)))))
+        new = F.when((area >= 200) & (exchange >= 200), planned).otherwise(other)
         return F.concat(F.substring(digits, F.lit(1), at - 1), new)
 
     return _let(_let(_digits(value), renew), lambda d: _refilled(value, d))

@@ -111,3 +111,42 @@ def test_query_replaces_every_value(spark):
         for a, b in zip(old, new):
             changed += a != b
     assert changed > 0
+
+
+def phone(digits):
+    """Plan numbers are permuted among themselves, all others too."""
+    area, exchange, line = int(digits[:3]), int(digits[3:6]), int(digits[6:])
+    if area >= 200 and exchange >= 200:
+        pair, line = divmod(feistel(((area - 200) * 800 + exchange - 200) * 10000 + line, 800, 8_000_000, "phone"), 10_000)
+        return f"{pair // 800 + 200:03}{pair % 800 + 200:03}{line:04}"
+    others = 200_000 + (area - 200) * 200 + exchange if area >= 200 else area * 1000 + exchange
+    pair, line = divmod(feistel(others * 10000 + line, 360_000, 10_000, "other phone"), 10_000)
+    area, exchange = divmod(pair, 1000) if pair < 200_000 else (200 + (pair - 200_000) // 200, (pair - 200_000) % 200)
+    return f"{area:03}{exchange:03}{line:04}"
+
+
+def test_phones_of_every_area_and_exchange(spark):
+    numbers = ["0175557713", "1325551352", "5830551234", "9991999999", "0000000000", "2000000000", "1999999999", "2002000000", "9999999999"]
+    texts = [t for n in numbers for t in (f"call +1 ({n[:3]}) {n[3:6]}-{n[6:]}.", f"{n[:3]}-{n[3:6]}-{n[6:]} or {n[:3]}.{n[3:6]}.{n[6:]}", f"+1{n}")]
+    want = [t for n in map(phone, numbers) for t in (f"call +1 ({n[:3]}) {n[3:6]}-{n[6:]}.", f"{n[:3]}-{n[3:6]}-{n[6:]} or {n[:3]}.{n[3:6]}.{n[6:]}", f"+1{n}")]
+    assert replaced(spark, texts) == want
+    assert len(set(map(phone, numbers))) == len(numbers) and not set(map(phone, numbers)) & set(numbers)
+
+
+def test_dates_before_an_hour(spark):
+    got = replaced(spark, ["at 2024-02-29T10:15:00Z, 2024-02-29Tx"])
+    assert got == [f"at {date(datetime.date(2024, 2, 29)).isoformat()}T10:15:00Z, 2024-02-29Tx"]
+
+
+def test_query_replaces_every_phone(spark):
+    folder, form = "/root/testdata/sf0.1", re.compile(r"\+1 \((\d{3})\) (\d{3})-(\d{4})")
+    before = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    new, rows = {}, 0
+    for r in pii.op6_pseudonyms(spark, folder).collect():
+        old, now = (form.findall(t or "") for t in (before[r["doc_id"]], r["text"]))
+        assert len(old) == len(now)
+        rows += len(old)
+        for a, b in zip(old, now):
+            assert a != b and new.setdefault(a, b) == b
+    assert rows == 159 and len(set(new.values())) == len(new)
+    assert sum(area < "2" or exchange < "2" for area, exchange, _ in new) > 0
