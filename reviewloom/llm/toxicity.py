@@ -7,12 +7,16 @@ many bytes the toxic one saves in each window, taken against several thresholds,
 features of a logistic calibration, fitted on labelled rows that the dictionaries have not
 seen.
 
-Most of a toxic document is ordinary, so its toxic dictionary is trained on the words that
-hold a byte sequence found far more often in toxic than in ordinary windows; equal windows
-count once, so copies do not weigh more.
+Most of a toxic document is ordinary, so its toxic dictionary is trained on telling words
+alone: those that hold a sequence of ``GRAM`` bytes with the blanks around them, or are a whole
+shorter word, in at least ``TELLING`` times as large a share of toxic as of ordinary windows. Phrases
+of words that do not tell by themselves are not learned. Equal windows count once, so copies do
+not weigh more.
 
 The training sample is bounded: at most ``MOST_TOXIC`` and ``MOST_ORDINARY`` labelled rows
-(the first in hash order of ``doc_id``) of at most ``labels.LONGEST`` characters. All documents are
+(the first in hash order of ``doc_id``) of at most ``labels.LONGEST`` characters; of a text with
+more than ``TEXT_WINDOWS`` training windows every k-th, fewer than twice as many; and at most
+``ORDINARY_WINDOWS`` distinct ordinary windows for the ordinary dictionary. All documents are
 scored, over their whole texts. Scores use nothing but the text.
 
 Defined results: null texts count as empty; empty texts get the score of a text without
@@ -36,7 +40,8 @@ from reviewloom.llm.labels import fitted, remainder
 from reviewloom.llm.store import prepared
 
 MOST_TOXIC, MOST_ORDINARY = 1500, 4000
-WINDOW, LEVEL, GRAM = 48, 12, 6
+TEXT_WINDOWS, ORDINARY_WINDOWS = 400, 40_000
+WINDOW, LEVEL, GRAM, TELLING = 48, 12, 6, 8
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 14, 1 << 12
 _THRESHOLDS = (1, 2, 3, 4, 5, 6, 8, 10)
 _FOLDS = 5
@@ -89,14 +94,19 @@ def features(text: str, ordinary: bytes, toxic: bytes) -> list[float]:
     return [saved.mean(), saved[-1], saved[-3:].mean(), *shares, *counts]
 
 
-def _grams(word: bytes) -> np.ndarray:
-    flat = np.frombuffer(word, np.uint8).astype(np.uint64)
-    if len(flat) < GRAM:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(flat) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
+def _short(word: bytes) -> int:
+    """Key of a word too short for a sequence with the blanks around it; no sequence has it."""
+    return len(word) << 56 | int.from_bytes(word, "big")
+
+
+def _grams(piece: bytes) -> np.ndarray:
+    """Byte sequences and short words of a piece."""
+    flat = np.frombuffer(piece, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(flat) - GRAM + 1), np.uint64)
+    for k in range(GRAM if len(out) else 0):
         out = (out << np.uint64(8)) | flat[k : len(flat) - GRAM + 1 + k]
-    return np.unique(out)
+    short = [_short(word) for word in set(piece.split(b" ")) if 0 < len(word) < GRAM - 2]
+    return np.unique(np.concatenate([out, np.array(short, np.uint64)]))
 
 
 def _counts(pieces: list[bytes], step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
@@ -118,18 +128,18 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
 
 
 def _toxic_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Words of toxic windows with a byte sequence that ordinary windows seldom have."""
+    """Words of toxic windows that are or hold what ordinary windows seldom have."""
     (marks, often), (usual, seldom) = _counts(toxic), _counts(ordinary)
     place = np.minimum(np.searchsorted(usual, marks), max(0, len(usual) - 1))
     there = np.where(usual[place] == marks, seldom[place], 0) if len(usual) else np.zeros(len(marks))
     telling = (often >= max(3, len(toxic) / 1000)) & (
-        often / max(1, len(toxic)) >= 8 * (there + 0.5) / max(1, len(ordinary)))
+        often / max(1, len(toxic)) >= TELLING * (there + 0.5) / max(1, len(ordinary)))
     chosen, known, samples = set(marks[telling].tolist()), {}, []
     for piece in toxic:
         hit = []
         for word in piece.split(b" "):
             if word not in known:
-                known[word] = len(word) >= 4 and not chosen.isdisjoint(_grams(b" " + word + b" ").tolist())
+                known[word] = not chosen.isdisjoint(_grams(b" " + word + b" ").tolist())
             if known[word]:
                 hit.append(word)
         if hit:
@@ -137,8 +147,8 @@ def _toxic_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return [b"".join(samples[k : k + 4]) for k in range(0, len(samples), 4)]
 
 
-def _spread(pieces: list[bytes], most: int = 400) -> list[bytes]:
-    """At most about ``most`` windows, from all over a long text."""
+def _spread(pieces: list[bytes], most: int = TEXT_WINDOWS) -> list[bytes]:
+    """Fewer than twice ``most`` windows, from all over a long text."""
     return pieces[:: max(1, len(pieces) // most)]
 
 
@@ -171,7 +181,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
         if not out:
             (toxic if label else ordinary).update(_spread(windows(text, 256)))
     toxic, ordinary = sorted(toxic - ordinary), sorted(ordinary)
-    order = np.random.default_rng(0).permutation(len(ordinary))[:40_000]
+    order = np.random.default_rng(0).permutation(len(ordinary))[:ORDINARY_WINDOWS]
     usual = _dictionary(ORDINARY_BYTES, [ordinary[k] for k in order])
     marked = _dictionary(TOXIC_BYTES, _toxic_samples(toxic, ordinary))
     if not marked:

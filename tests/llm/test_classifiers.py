@@ -42,6 +42,14 @@ def test_toxicity_learns_rare_words():
     assert toxicity.score(model, ["x" * 100_000])[0] < 0.9
 
 
+def test_toxicity_learns_short_words():
+    texts, labels = corpus()
+    for rude, short in (("wretchedfool", "zug"), ("blockhead", "kek"), ("numbskull", "fy")):
+        texts = [t.replace(rude, short) for t in texts]
+    model = toxicity.train(texts[:300], labels[:300])
+    assert auc(labels[300:], toxicity.score(model, texts[300:])) > 0.95
+
+
 def test_windows_hold_the_whole_text():
     text = "Some words here. More é words\nand a" + "b" * 500 + " end!"
     joined = b"".join(toxicity.windows(text))
