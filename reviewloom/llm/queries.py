@@ -7,8 +7,10 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import decontaminate, near_dup, vectors
+from reviewloom.llm import decontaminate, fill_middle, importance, near_dup, vectors
 from reviewloom.llm.decontaminate import op1_decontaminate
+from reviewloom.llm.fill_middle import op12_fill_middle
+from reviewloom.llm.importance import op11_importance
 from reviewloom.llm.katz import op3_katz
 from reviewloom.llm.near_dup import op2_near_dup
 from reviewloom.llm.packing import op5_packing
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
     "op10_near_vectors": op10_near_vectors,
+    "op11_importance": op11_importance,
+    "op12_fill_middle": op12_fill_middle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -37,6 +41,8 @@ ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_near_dup": near_dup.ORACLE,
     "op10_near_vectors": vectors.ORACLE,
+    "op11_importance": importance.ORACLE,
+    "op12_fill_middle": fill_middle.ORACLE,
 }
 
 
