@@ -12,6 +12,7 @@ from reviewloom.llm.decontaminate import op1_decontaminate
 from reviewloom.llm.fill_middle import op12_fill_middle
 from reviewloom.llm.importance import op11_importance
 from reviewloom.llm.katz import op3_katz
+from reviewloom.llm.mixture import op13_language
 from reviewloom.llm.near_dup import op2_near_dup
 from reviewloom.llm.packing import op5_packing
 from reviewloom.llm.pii import op6_pseudonyms
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_vectors": op10_near_vectors,
     "op11_importance": op11_importance,
     "op12_fill_middle": op12_fill_middle,
+    "op13_language": op13_language,
     "pipeline": corpus_pipeline.run,
 }
 
