@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from reviewloom.session import configure
 
 _MODULES = (
-    "findings", "merging", "history", "files", "scans", "requests", "reports", "responses",
+    "findings", "merging", "timelines", "history", "files", "scans", "requests", "reports", "responses",
     "prompts", "jobs", "streams",
 )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reviewloom.sources.samples import ROW_VIEWS
+from reviewloom.sources.samples import LONG_CHANGES, ROW_VIEWS
 
 _COMBINED = {
     "reviews": (
@@ -31,6 +31,15 @@ _COMBINED = {
         "min(l_linenumber + l_partkey) % 5 AS s FROM lineitem "
         "GROUP BY l_orderkey, l_suppkey % 8) t",
     ),
+    "long": (
+        ("long_rounds", "long_findings"),
+        "SELECT DISTINCT * FROM fx_long_rounds",
+    ),
+    "long_changes": (
+        (),
+        f"SELECT {', '.join(LONG_CHANGES)} FROM (SELECT CAST(floor(l_orderkey / 16) AS BIGINT) AS review_id, "
+        "l_partkey % 400 AS k, min(l_linenumber + l_suppkey) % 6 AS s FROM lineitem GROUP BY ALL) t",
+    ),
     "tree": (
         ("files", "manifests"),
         "SELECT repo_id, path FROM fx_files UNION ALL SELECT DISTINCT repo_id, path FROM fx_manifests",

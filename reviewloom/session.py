@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings; cluster sizing (executors, shuffle partitions) stays with the cluster.
 _SETTINGS = {
@@ -43,3 +43,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(frame: DataFrame, purpose: str) -> DataFrame:
+    """Write ``frame`` to the shared scratch folder and read it back.
+
+    Cuts the lineage, so later steps neither recompute it nor depend on lost executors.
+    """
+    path = scratch_dir(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -49,6 +49,24 @@ ROW_VIEWS: dict[str, tuple[str, list[str]]] = {
         "ELSE '' END AS suggestion",
         "concat('rule/', CAST(l_suppkey % 5 AS STRING)) AS rule_id",
     ]),
+    # Line items as findings of long histories: sixteen orders a round, every third round in one
+    # repository. The same rows, grouped, are the changes of the round.
+    "long_findings": ("lineitem", [
+        "CAST(floor(l_orderkey / 16) AS BIGINT) AS review_id",
+        "CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS seq",
+        "concat('src/f', CAST(l_partkey % 400 AS STRING), '.js') AS file",
+        "CASE WHEN l_linestatus = 'F' THEN l_linenumber END AS line",
+        "CASE l_returnflag WHEN 'R' THEN 'error' WHEN 'A' THEN 'warning' ELSE 'info' END AS severity",
+        "'lint' AS category",
+        "concat('msg-', CAST(l_suppkey % 2 AS STRING)) AS message",
+    ]),
+    "long_rounds": ("orders", [
+        "CAST(floor(o_orderkey / 16) AS BIGINT) AS review_id",
+        "CASE WHEN CAST(floor(o_orderkey / 16) AS BIGINT) % 3 = 0 THEN 0 "
+        "ELSE CAST(floor(o_orderkey / 16) AS BIGINT) % 40 + 1 END AS repo_id",
+        "CASE WHEN CAST(floor(o_orderkey / 16) AS BIGINT) % 100 = 7 THEN 'full' ELSE 'incremental' END AS mode",
+        "to_timestamp(946684800 + 86400 * CAST(floor(o_orderkey / 48) AS BIGINT)) AS created_at",
+    ]),
     "files": ("documents", [
         "source AS repo_id",
         "concat(CASE WHEN doc_id % 11 = 0 THEN 'node_modules/' "
@@ -226,6 +244,15 @@ ROW_VIEWS: dict[str, tuple[str, list[str]]] = {
     ]),
 }
 
+# Select list of the changes of long histories, from a review, a file number and a kind.
+LONG_CHANGES = [
+    "review_id",
+    "concat('src/f', CAST(k AS STRING), '.js') AS filename",
+    "CASE WHEN s IN (3, 4) THEN concat('src/f', CAST(CASE WHEN k % 2 = 0 THEN k + 1 ELSE k - 1 END AS STRING), '.js') "
+    "WHEN s = 5 THEN concat('src/f', CAST((k + 131) % 400 AS STRING), '.js') END AS previous_filename",
+    "CASE s WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'removed' ELSE 'renamed' END AS status",
+]
+
 # Views whose text is parsed or scanned.
 PARSED_VIEWS = (
     "code_files", "secret_files", "responses", "issue_responses", "fix_responses", "compares",
@@ -298,6 +325,15 @@ class Samples:
             "CAST(s AS INT) AS deletions",
         )
 
+    def long_rounds(self) -> DataFrame:
+        return self.view("long_rounds").distinct()
+
+    def long_changes(self) -> DataFrame:
+        """Changes of the long histories, more than half of them renames; some names swap for good."""
+        return self.table("lineitem").groupBy(
+            F.expr("CAST(floor(l_orderkey / 16) AS BIGINT)").alias("review_id"), F.expr("l_partkey % 400").alias("k")
+        ).agg(F.expr("min(l_linenumber + l_suppkey) % 6").alias("s")).selectExpr(*LONG_CHANGES)
+
     def tree(self) -> DataFrame:
         """Paths of the files and of the manifests between them."""
         files = self.view("files").select("repo_id", "path")
