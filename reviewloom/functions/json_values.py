@@ -1,4 +1,4 @@
-"""Strict JSON parsing and type tests on variant values."""
+"""Strict JSON parsing into a layout or a variant, and type tests on variant values."""
 
 from __future__ import annotations
 
@@ -9,11 +9,58 @@ from reviewloom.functions.text import trimmed
 
 FENCE = "```"
 _MARK = "~~ end of value ~~"
+# From this size on a valid value may be larger than a variant can be.
+_LARGE = 16 << 20
+_STRICT = {
+    "allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "maxStringLen": str(2 ** 31 - 1),
+}
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def one_value(text: Column, layout: str) -> Column:
+    """The text as ``layout`` (columns, or ``array<struct<...>>``) if it is exactly one JSON value.
+
+    Null for anything else, and where the root is of another kind; members of another type
+    are null. One parse and no limit of size: the text is the first element of an array with
+    an end mark as its second. A text with something behind its value leaves the mark out of
+    that place. One that holds the mark itself is marked with its digest, which no text holds.
+    """
+    listed = layout.startswith("array<struct<")
+    members = layout.removeprefix("array<struct<").removesuffix(">>") if listed else layout
+    root = f"struct<{members}, `~end` string>"
+    mark = F.when(text.contains(_MARK), F.sha2(text, 256)).otherwise(_MARK)
+    tail = (',[{"~end":"', '"}]]') if listed else (',{"~end":"', '"}]')
+    marked = F.concat(F.lit("["), text, F.lit(tail[0]), mark, F.lit(tail[1]))
+
+    def unmarked(pair: Column) -> Column:
+        last = F.get(F.get(pair, F.lit(1)), F.lit(0)) if listed else F.get(pair, F.lit(1))
+        return F.when((F.size(pair) == 2) & (last["~end"] == mark), F.get(pair, F.lit(0)))
+
+    parsed = F.from_json(marked, f"array<array<{root}>>" if listed else f"array<{root}>", _STRICT)
+    return F.when(trimmed(text).startswith("[" if listed else "{"), let(parsed, unmarked))
 
 
 def strict_json(text: Column) -> Column:
     """Variant of exactly one JSON value, null for anything else.
 
+    A variant holds 128 MB at most. A valid value that is too large fails the job.
+    """
+    value = _variant(text)
+    elements = let(
+        F.from_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')), "array<string>", _STRICT),
+        lambda e: (F.size(e) == 2) & (F.get(e, F.lit(1)) == _MARK))
+    lost = (F.octet_length(text) > _LARGE) & elements
+    too_large = F.raise_error(F.lit("JSON value is larger than a variant can be"))
+    return F.coalesce(value, F.when(lost, too_large.cast("variant")))
+
+
+def _variant(text: Column) -> Column:
+    """The value between array brackets.
+
     The built-in parser stops after the first value. Inside an array with an end mark
     behind it, trailing text or a second value leaves the mark out of second place. Text
     that holds the mark itself is checked by wrapping it in an object and in an array,

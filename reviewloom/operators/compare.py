@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.functions.json_values import computed_once, strict_json
+from reviewloom.functions.json_values import computed_once, one_value
 from reviewloom.schemas import COMPARE_PAYLOAD
 
 
@@ -17,11 +17,7 @@ def _same(payload: Column) -> Column:
 
 def _parsed(compares: DataFrame) -> DataFrame:
     """Payloads that are exactly one JSON value, parsed once; ``p`` is null for others."""
-    document = F.when(
-        strict_json(F.col("payload")).isNotNull(),
-        F.from_json("payload", COMPARE_PAYLOAD, {"allowSingleQuotes": "false"}),
-    )
-    return computed_once(compares, "p", document)
+    return computed_once(compares, "p", one_value(F.col("payload"), COMPARE_PAYLOAD))
 
 
 def changed_files(compares: DataFrame) -> DataFrame:

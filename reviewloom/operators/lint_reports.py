@@ -1,19 +1,22 @@
 """Raw lint reports of twelve tools, normalised into one findings table.
 
-Input rows are ``repo_id, linter, root, payload``. Every format is a function from
-its rows to the common shape; payloads that do not parse give no rows and never fail
-a task. ``seq`` orders a report's findings (outer position, then inner position).
+Input rows are ``repo_id, linter, root, payload``. Every format is an expression from a
+payload to an array of findings of the common shape, so reports of all tools are read and
+parsed once, each by the expression of its tool. Payloads that do not parse give no rows and
+never fail a task; their size has no limit. ``seq`` orders a report's findings (outer
+position, then inner position).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.functions.json_values import computed_once, strict_json
+from reviewloom.functions.json_values import let, one_value
 from reviewloom.functions.paths import relative_path
 from reviewloom.functions.severity import normalize_severity, normalize_severity_number
 from reviewloom.functions.text import number_or_one, trimmed, unescape_xml
@@ -69,108 +72,79 @@ def _or(value: Column, default) -> Column:
     return F.coalesce(value, F.lit(default))
 
 
-_STRICT = {"allowSingleQuotes": "false"}
-
-
-def _document(payload: Column, bracket: str, layout: str) -> Column:
-    """The payload as ``layout``; null unless it is exactly one JSON value of the expected root.
-
-    Numbers written as strings count as missing.
-    """
-    single = trimmed(payload).startswith(bracket) & strict_json(payload).isNotNull()
-    return F.when(single, F.from_json(payload, layout, _STRICT))
+_FINDINGS = (
+    "array<struct<file:string, seq:bigint, line:int, column:int, severity:string, message:string, rule_id:string>>"
+)
 
 
-def _nested_seq(outer: str = "outer", inner: str = "inner") -> Column:
-    return F.col(outer).cast("bigint") * F.lit(_INNER) + F.col(inner)
+def _none() -> Column:
+    return F.array().cast(_FINDINGS)
 
 
-def _findings(
-    rows: DataFrame, source: str, file: Column, seq: Column, line: Column, column: Column,
-    severity: Column, message: Column, rule_id: Column,
-) -> DataFrame:
-    return rows.select(
-        "repo_id", F.lit(source).alias("linter"), relative_path(F.col("root"), file).alias("file"),
-        seq.cast("bigint").alias("seq"), line.cast("int").alias("line"),
-        column.cast("int").alias("column"), severity.alias("severity"),
-        message.alias("message"), rule_id.alias("rule_id"), F.lit(source).alias("source"),
+def _finding(
+    root: Column, file: Column, seq: Column, line: Column, column: Column, severity: Column, message: Column,
+    rule_id: Column,
+) -> Column:
+    return F.struct(
+        relative_path(root, file).alias("file"), seq.cast("bigint").alias("seq"), line.cast("int").alias("line"),
+        column.cast("int").alias("column"), severity.alias("severity"), message.alias("message"),
+        rule_id.alias("rule_id"),
     )
 
 
-def _items(frame: DataFrame, keep: list[str], items: Column, *names: str) -> DataFrame:
-    """Rows of an array or map with their position.
+def _flat(items: Column, make: Callable[[Column, Column], Column], keep=None) -> Column:
+    """One finding per element that is there (and that ``keep`` admits), with its position."""
+    def one(m: Column, i: Column) -> Column:
+        return F.when(m.isNotNull() if keep is None else m.isNotNull() & keep(m), make(m, i))
 
-    The outer generator keeps Spark from adding a size filter below it, which would
-    parse every payload a second time.
-    """
-    rows = frame.select(*keep, F.posexplode_outer(items).alias(*names))
-    return rows.where(F.col(names[-1]).isNotNull())
-
-
-def _flat(reports: DataFrame, parsed: Column) -> DataFrame:
-    """One row per element ``m`` of a parsed array."""
-    return _items(reports, ["repo_id", "root"], parsed, "seq", "m")
+    return F.array_compact(F.transform(items, one))
 
 
-def _nested(reports: DataFrame, parsed: Column, children: str) -> DataFrame:
-    """One row per element ``f`` and child ``m`` of a parsed array of files."""
-    files = _items(reports, ["repo_id", "root"], parsed, "outer", "f")
-    return _items(files, ["repo_id", "root", "outer", "f"], F.col(f"f.{children}"), "inner", "m")
+def _nested(files: Column, children: Callable[[Column], Column], make, keep=None) -> Column:
+    """One finding per child of each element, numbered by both positions."""
+    def of_file(f: Column, i: Column) -> Column:
+        outer = i.cast("bigint") * F.lit(_INNER)
+        return F.coalesce(_flat(children(f), lambda m, j: make(f, m, outer + j), keep), _none())
 
+    return F.flatten(F.transform(files, of_file))
 
-def eslint(reports: DataFrame) -> DataFrame:
-    rows = _nested(reports, _document(F.col("payload"), "[", ESLINT), "messages")
-    m = F.col("m")
-    return _findings(
-        rows, "eslint", F.col("f.filePath"), _nested_seq(), _or(m.line, 1), _or(m.column, 1),
-        normalize_severity_number(m.severity), m.message, _or(m.ruleId, "eslint/unknown"),
-    )
 
+def eslint(payload: Column, root: Column) -> Column:
+    return _nested(one_value(payload, ESLINT), lambda f: f["messages"], lambda f, m, seq: _finding(
+        root, f["filePath"], seq, _or(m["line"], 1), _or(m["column"], 1),
+        normalize_severity_number(m["severity"]), m["message"], _or(m["ruleId"], "eslint/unknown")))
 
-def _lines(reports: DataFrame) -> DataFrame:
-    return _items(reports, ["repo_id", "root"], F.split("payload", "\n", -1), "seq", "raw")
 
+def flake8(payload: Column, root: Column) -> Column:
+    def of_line(raw: Column, i: Column) -> Column:
+        def part(group: int) -> Column:
+            return F.regexp_extract(raw, FLAKE8_LINE, group)
 
-def flake8(reports: DataFrame) -> DataFrame:
-    lines = _lines(reports).withColumn("raw", trimmed(F.col("raw")))
-    rows = lines.where(F.col("raw").rlike(FLAKE8_LINE))
+        found = _finding(
+            root, part(1), i, part(2).try_cast("int"), part(3).try_cast("int"), F.lit("warning"), part(5), part(4))
+        return found.withField("file", F.regexp_replace(found["file"], r"^\./", ""))
 
-    def part(group: int) -> Column:
-        return F.regexp_extract("raw", FLAKE8_LINE, group)
+    lines = F.transform(F.split(payload, "\n", -1), trimmed)
+    return _flat(lines, of_line, lambda raw: raw.rlike(FLAKE8_LINE))
 
-    found = _findings(
-        rows, "flake8", part(1), F.col("seq"), part(2).try_cast("int"), part(3).try_cast("int"),
-        F.lit("warning"), part(5), part(4),
-    )
-    return found.withColumn("file", F.regexp_replace("file", r"^\./", ""))
 
+def clippy(payload: Column, root: Column) -> Column:
+    def of_entry(e: Column, i: Column) -> Column:
+        m = e["message"]
+        primary = F.filter(m["spans"], lambda span: span["is_primary"])
+        return let(F.coalesce(F.get(primary, F.lit(0)), F.get(m["spans"], F.lit(0))), lambda span: _finding(
+            root, span["file_name"], i, _or(span["line_start"], 1), _or(span["column_start"], 1),
+            normalize_severity(m["level"]), m["message"], _or(m["code"]["code"], "clippy/unknown")))
 
-def clippy(reports: DataFrame) -> DataFrame:
-    entries = (
-        computed_once(_lines(reports), "e", _document(trimmed(F.col("raw")), "{", CLIPPY))
-        .where((F.col("e.reason") == "compiler-message") & (F.size("e.message.spans") > 0))
-        .withColumn("m", F.col("e.message"))
-    )
-    primary = F.filter("m.spans", lambda span: span.is_primary)
-    rows = entries.withColumn(
-        "span", F.coalesce(F.get(primary, 0), F.get(F.col("m.spans"), 0))
-    )
-    return _findings(
-        rows, "clippy", F.col("span.file_name"), F.col("seq"), _or(F.col("span.line_start"), 1),
-        _or(F.col("span.column_start"), 1), normalize_severity(F.col("m.level")),
-        F.col("m.message"), _or(F.col("m.code.code"), "clippy/unknown"),
-    )
+    entries = F.transform(F.split(payload, "\n", -1), lambda raw: one_value(trimmed(raw), CLIPPY))
+    return _flat(entries, of_entry, lambda e: (e["reason"] == "compiler-message") & (F.size(e["message"]["spans"]) > 0))
 
 
-def golangci(reports: DataFrame) -> DataFrame:
-    parsed = _document(F.col("payload"), "{", GOLANGCI)["Issues"]
-    rows = _flat(reports, parsed).where(_or(F.col("m.Pos.Filename"), "") != "")
-    m = F.col("m")
-    return _findings(
-        rows, "golangci-lint", m.Pos.Filename, F.col("seq"), _or(m.Pos.Line, 1),
-        _or(m.Pos.Column, 1), F.lit("warning"), _or(m.Text, ""),
-        F.concat(F.lit("golangci-lint/"), _or(m.FromLinter, "unknown")),
-    )
+def golangci(payload: Column, root: Column) -> Column:
+    return _flat(one_value(payload, GOLANGCI)["Issues"], lambda m, i: _finding(
+        root, m["Pos"]["Filename"], i, _or(m["Pos"]["Line"], 1), _or(m["Pos"]["Column"], 1), F.lit("warning"),
+        _or(m["Text"], ""), F.concat(F.lit("golangci-lint/"), _or(m["FromLinter"], "unknown"))),
+        lambda m: _or(m["Pos"]["Filename"], "") != "")
 
 
 def _attributes(tag: Column) -> Column:
@@ -180,33 +154,30 @@ def _attributes(tag: Column) -> Column:
     )
 
 
-def _attribute(attributes: str, name: str) -> Column:
+def _attribute(attributes: Column, name: str) -> Column:
     """Last value of a named attribute, null without one."""
     found = F.filter(attributes, lambda pair: pair["name"] == name)
     return F.try_element_at(found, F.lit(-1))["value"]
 
 
-def checkstyle(reports: DataFrame) -> DataFrame:
+def checkstyle(payload: Column, root: Column) -> Column:
     """Tag text ends at the first slash, so a message with one loses later attributes."""
-    segments = _items(
-        reports, ["repo_id", "root"], F.split("payload", f"(?={CHECKSTYLE_FILE})", -1),
-        "outer", "segment",
-    )
-    named = segments.withColumn(
-        "name", F.regexp_extract("segment", "^" + CHECKSTYLE_FILE, 1)
-    ).where(F.col("name") != "")
-    tags = _items(
-        named, ["repo_id", "root", "outer", "name"],
-        F.regexp_extract_all("segment", F.lit(CHECKSTYLE_ERROR), 0), "inner", "tag",
-    )
-    rows = tags.withColumn("a", _attributes(F.col("tag")))
-    rule = F.element_at(F.split(_attribute("a", "source"), r"\.", -1), -1)
-    return _findings(
-        rows, "checkstyle", F.col("name"), _nested_seq(), number_or_one(_attribute("a", "line")),
-        number_or_one(_attribute("a", "column")), normalize_severity(_attribute("a", "severity")),
-        unescape_xml(_or(_attribute("a", "message"), ""), apostrophe=True),
-        F.concat(F.lit("checkstyle/"), _or(rule, "unknown")),
-    )
+    def tags(segment: Column) -> Column:
+        named = segment.rlike("^" + CHECKSTYLE_FILE)
+        return F.when(named, F.regexp_extract_all(segment, F.lit(CHECKSTYLE_ERROR), 0))
+
+    def of_tag(segment: Column, tag: Column, seq: Column) -> Column:
+        return let(_attributes(tag), lambda a: _finding(
+            root, F.regexp_extract(segment, "^" + CHECKSTYLE_FILE, 1), seq, number_or_one(_attribute(a, "line")),
+            number_or_one(_attribute(a, "column")), normalize_severity(_attribute(a, "severity")),
+            unescape_xml(_or(_attribute(a, "message"), ""), apostrophe=True),
+            _checkstyle_rule(_attribute(a, "source"))))
+
+    return _nested(F.split(payload, f"(?={CHECKSTYLE_FILE})", -1), tags, of_tag)
+
+
+def _checkstyle_rule(source: Column) -> Column:
+    return F.concat(F.lit("checkstyle/"), _or(F.element_at(F.split(source, r"\.", -1), -1), "unknown"))
 
 
 def checkstyle_strict(reports: DataFrame) -> DataFrame:
@@ -215,115 +186,108 @@ def checkstyle_strict(reports: DataFrame) -> DataFrame:
         "file array<struct<_name:string, error:array<struct<_line:string, _column:string, "
         "_severity:string, _message:string, _source:string>>>>"
     )
-    rows = _nested(reports, F.from_xml("payload", layout)["file"], "error")
-    m = F.col("m")
-    rule = F.element_at(F.split(m._source, r"\.", -1), -1)
-    return _findings(
-        rows, "checkstyle", F.col("f._name"), _nested_seq(), number_or_one(m._line),
-        number_or_one(m._column), normalize_severity(m._severity), _or(m._message, ""),
-        F.concat(F.lit("checkstyle/"), _or(rule, "unknown")),
-    )
 
+    def read(payload: Column, root: Column) -> Column:
+        return _nested(F.from_xml(payload, layout)["file"], lambda f: f["error"], lambda f, m, seq: _finding(
+            root, f["_name"], seq, number_or_one(m["_line"]), number_or_one(m["_column"]),
+            normalize_severity(m["_severity"]), _or(m["_message"], ""), _checkstyle_rule(m["_source"])))
+
+    return Format("checkstyle", read)(reports)
 
-def cppcheck(reports: DataFrame) -> DataFrame:
+
+def cppcheck(payload: Column, root: Column) -> Column:
     """An error without a location of its own takes the next one anywhere after it.
 
     The text is cut before every location; all errors of a piece share the location that
     opens the next one.
     """
     start = CPPCHECK_LOCATION.removesuffix(r'(?:\s+col="(\d+)")?')
-    cut = reports.withColumn("__cut", F.split("payload", f"(?={start})", -1))
-    following = F.slice("__cut", F.lit(2), F.size("__cut"))
-    pieces = F.arrays_zip(F.col("__cut").alias("body"), following.alias("next"))
-    chunks = _items(cut, ["repo_id", "root"], pieces, "outer", "c").withColumn(
-        "location", F.regexp_extract("c.next", "^" + CPPCHECK_LOCATION, 0)
-    )
-    tags = _items(
-        chunks, ["repo_id", "root", "outer", "location"],
-        F.regexp_extract_all("c.body", F.lit(CPPCHECK_ERROR), 0), "inner", "tag",
-    )
-    rows = computed_once(tags, "a", _attributes(F.col("tag")))
-
-    def located(group: int, attribute: str) -> Column:
-        own = F.nullif(F.regexp_extract("location", CPPCHECK_LOCATION, group), F.lit(""))
-        return F.coalesce(own, _attribute("a", attribute))
-
-    rows = rows.withColumn("file", _or(located(1, "file"), "")).where(F.col("file") != "")
-    return _findings(
-        rows, "cppcheck", F.col("file"), _nested_seq(), number_or_one(located(2, "line")),
-        number_or_one(located(3, "col")), normalize_severity(_attribute("a", "severity")),
-        unescape_xml(_or(_attribute("a", "msg"), ""), apostrophe=False),
-        F.concat(F.lit("cppcheck/"), _or(_attribute("a", "id"), "unknown")),
-    )
 
+    def pieces(cut: Column) -> Column:
+        following = F.slice(cut, F.lit(2), F.size(cut))
+        return F.arrays_zip(cut.alias("body"), following.alias("next"))
 
-def rubocop(reports: DataFrame) -> DataFrame:
-    parsed = _document(F.col("payload"), "{", RUBOCOP)["files"]
-    rows = _nested(reports, parsed, "offenses")
-    m = F.col("m")
-    return _findings(
-        rows, "rubocop", F.col("f.path"), _nested_seq(), _or(m.location.start_line, 1),
-        _or(m.location.start_column, 1), normalize_severity(m.severity), _or(m.message, ""),
-        _or(m.cop_name, "rubocop/unknown"),
-    )
+    def of_tag(piece: Column, tag: Column, seq: Column) -> Column:
+        def found(a: Column) -> Column:
+            def located(group: int, attribute: str) -> Column:
+                own = F.regexp_extract(piece["next"], "^" + CPPCHECK_LOCATION, group)
+                return F.coalesce(F.nullif(own, F.lit("")), _attribute(a, attribute))
 
+            return let(_or(located(1, "file"), ""), lambda file: F.when(file != "", _finding(
+                root, file, seq, number_or_one(located(2, "line")), number_or_one(located(3, "col")),
+                normalize_severity(_attribute(a, "severity")),
+                unescape_xml(_or(_attribute(a, "msg"), ""), apostrophe=False),
+                F.concat(F.lit("cppcheck/"), _or(_attribute(a, "id"), "unknown")))))
 
-def phpcs(reports: DataFrame) -> DataFrame:
-    parsed = _document(F.col("payload"), "{", PHPCS)["files"]
-    files = _items(reports, ["repo_id", "root"], parsed, "outer", "path", "f")
-    rows = _items(
-        files, ["repo_id", "root", "outer", "path"], F.col("f.messages"), "inner", "m"
-    )
-    m = F.col("m")
-    return _findings(
-        rows, "phpcs", F.col("path"), _nested_seq(), _or(m.line, 1), _or(m.column, 1),
-        normalize_severity(m.type), _or(m.message, ""), _or(m.source, "phpcs/unknown"),
-    )
+        return let(_attributes(tag), found)
 
+    return _nested(
+        let(F.split(payload, f"(?={start})", -1), pieces),
+        lambda piece: F.regexp_extract_all(piece["body"], F.lit(CPPCHECK_ERROR), 0), of_tag)
 
-def swiftlint(reports: DataFrame) -> DataFrame:
-    parsed = _document(F.col("payload"), "[", SWIFTLINT)
-    rows = _flat(reports, parsed).where(_or(F.col("m.file"), "") != "")
-    m = F.col("m")
-    return _findings(
-        rows, "swiftlint", m.file, F.col("seq"), _or(m.line, 1), _or(m.character, 1),
-        normalize_severity(m.severity), _or(m.reason, ""),
-        F.concat(F.lit("swiftlint/"), _or(m.rule_id, "unknown")),
-    )
 
+def rubocop(payload: Column, root: Column) -> Column:
+    return _nested(one_value(payload, RUBOCOP)["files"], lambda f: f["offenses"], lambda f, m, seq: _finding(
+        root, f["path"], seq, _or(m["location"]["start_line"], 1), _or(m["location"]["start_column"], 1),
+        normalize_severity(m["severity"]), _or(m["message"], ""), _or(m["cop_name"], "rubocop/unknown")))
 
-def ktlint(reports: DataFrame) -> DataFrame:
-    rows = _nested(reports, _document(F.col("payload"), "[", KTLINT), "errors")
-    m = F.col("m")
-    return _findings(
-        rows, "ktlint", _or(F.col("f.file"), ""), _nested_seq(), _or(m.line, 1), _or(m.col, 1),
-        F.lit("warning"), _or(m.message, ""),
-        F.concat(F.lit("ktlint/"), _or(m.rule, "unknown")),
-    )
 
+def phpcs(payload: Column, root: Column) -> Column:
+    files = F.map_entries(one_value(payload, PHPCS)["files"])
+    return _nested(files, lambda f: f["value"]["messages"], lambda f, m, seq: _finding(
+        root, f["key"], seq, _or(m["line"], 1), _or(m["column"], 1), normalize_severity(m["type"]),
+        _or(m["message"], ""), _or(m["source"], "phpcs/unknown")))
 
-def shellcheck(reports: DataFrame) -> DataFrame:
-    parsed = _document(F.col("payload"), "[", SHELLCHECK)
-    rows = _flat(reports, parsed).where(_or(F.col("m.file"), "") != "")
-    m = F.col("m")
-    return _findings(
-        rows, "shellcheck", m.file, F.col("seq"), _or(m.line, 1), _or(m.column, 1),
-        normalize_severity(m.level), _or(m.message, ""),
-        F.concat(F.lit("shellcheck/SC"), _or(m.code, 0).cast("string")),
-    )
 
+def _has_file(m: Column) -> Column:
+    return _or(m["file"], "") != ""
 
-def sqlfluff(reports: DataFrame) -> DataFrame:
-    rows = _nested(reports, _document(F.col("payload"), "[", SQLFLUFF), "violations")
-    m = F.col("m")
-    return _findings(
-        rows, "sqlfluff", _or(F.col("f.filepath"), ""), _nested_seq(), _or(m.line_no, 1),
-        _or(m.line_pos, 1), F.lit("warning"), _or(m.description, ""),
-        F.concat(F.lit("sqlfluff/"), _or(m.code, "unknown")),
-    )
+
+def swiftlint(payload: Column, root: Column) -> Column:
+    return _flat(one_value(payload, SWIFTLINT), lambda m, i: _finding(
+        root, m["file"], i, _or(m["line"], 1), _or(m["character"], 1), normalize_severity(m["severity"]),
+        _or(m["reason"], ""), F.concat(F.lit("swiftlint/"), _or(m["rule_id"], "unknown"))), _has_file)
+
+
+def ktlint(payload: Column, root: Column) -> Column:
+    return _nested(one_value(payload, KTLINT), lambda f: f["errors"], lambda f, m, seq: _finding(
+        root, _or(f["file"], ""), seq, _or(m["line"], 1), _or(m["col"], 1), F.lit("warning"), _or(m["message"], ""),
+        F.concat(F.lit("ktlint/"), _or(m["rule"], "unknown"))))
+
+
+def shellcheck(payload: Column, root: Column) -> Column:
+    return _flat(one_value(payload, SHELLCHECK), lambda m, i: _finding(
+        root, m["file"], i, _or(m["line"], 1), _or(m["column"], 1), normalize_severity(m["level"]),
+        _or(m["message"], ""), F.concat(F.lit("shellcheck/SC"), _or(m["code"], 0).cast("string"))), _has_file)
+
+
+def sqlfluff(payload: Column, root: Column) -> Column:
+    return _nested(one_value(payload, SQLFLUFF), lambda f: f["violations"], lambda f, m, seq: _finding(
+        root, _or(f["filepath"], ""), seq, _or(m["line_no"], 1), _or(m["line_pos"], 1), F.lit("warning"),
+        _or(m["description"], ""), F.concat(F.lit("sqlfluff/"), _or(m["code"], "unknown"))))
+
+
+def _rows(reports: DataFrame, linter: Column, found: Column) -> DataFrame:
+    """Findings as rows. The outer generator keeps Spark from testing the array, and so from
+    parsing every payload a second time, below it."""
+    position = ["report_pos"] if "report_pos" in reports.columns else []
+    listed = reports.select("repo_id", *position, linter.alias("linter"), F.explode_outer(found).alias("f"))
+    return listed.where(F.col("f").isNotNull()).select(
+        "repo_id", "linter", "f.*", F.col("linter").alias("source"), *position)
+
+
+@dataclass(frozen=True)
+class Format:
+    """A tool's report format; called with its reports it gives their findings."""
+
+    linter: str
+    findings: Callable[[Column, Column], Column]
+
+    def __call__(self, reports: DataFrame) -> DataFrame:
+        return _rows(reports, F.lit(self.linter), self.findings(F.col("payload"), F.col("root")))
 
 
-FORMATS: dict[str, Callable[[DataFrame], DataFrame]] = {
+_READERS = {
     "eslint": eslint,
     "flake8": flake8,
     "clippy": clippy,
@@ -337,6 +301,7 @@ FORMATS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "shellcheck": shellcheck,
     "sqlfluff": sqlfluff,
 }
+FORMATS: dict[str, Callable[[DataFrame], DataFrame]] = {name: Format(name, read) for name, read in _READERS.items()}
 
 
 def normalize_lint_reports(
@@ -344,15 +309,28 @@ def normalize_lint_reports(
 ) -> DataFrame:
     """All reports as one findings table; ``formats`` plugs in further tools.
 
-    With reports stored partitioned by ``linter`` each branch reads only its own files. Where
-    a checkout has several reports of one tool, ``report_pos`` orders them and is returned.
+    Reports of every :class:`Format` are read once and each payload is parsed by the one
+    expression of its tool. Any other function from reports to findings reads the reports of
+    its tool on its own. Where a checkout has several reports of one tool, ``report_pos``
+    orders them and is returned.
     """
+    own = {name: f for name, f in formats.items() if isinstance(f, Format)}
+    branches = []
+    if own:
+        found = reduce(
+            lambda chosen, item: chosen.when(F.col("linter") == item[0], item[1].findings(F.col("payload"), F.col("root"))),
+            own.items(), F.when(F.lit(False), _none()))
+        branches.append(_rows(reports.where(F.col("linter").isin(*own)), F.col("linter"), found))
     several = "report_pos" in reports.columns
-    if several:  # the formats hand the repository through unread, so the position rides on it
-        reports = reports.withColumn("repo_id", F.struct("repo_id", "report_pos"))
-    branches = [parse(reports.where(F.col("linter") == name)) for name, parse in formats.items()]
-    found = reduce(DataFrame.unionByName, branches)
-    if several:
-        found = found.withColumn("report_pos", F.col("repo_id.report_pos")).withColumn(
-            "repo_id", F.col("repo_id.repo_id"))
-    return found
+    for name, read in formats.items():
+        if name in own:
+            continue
+        rows = reports.where(F.col("linter") == name)
+        if several:  # a function hands the repository through unread, so the position rides on it
+            rows = rows.withColumn("repo_id", F.struct("repo_id", "report_pos"))
+        found = read(rows)
+        if several:
+            found = found.withColumn("report_pos", F.col("repo_id.report_pos")).withColumn(
+                "repo_id", F.col("repo_id.repo_id"))
+        branches.append(found)
+    return reduce(DataFrame.unionByName, branches)

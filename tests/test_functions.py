@@ -1,5 +1,6 @@
 """Literal edge cases of the column functions."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.functions import json_values as J
@@ -118,3 +119,14 @@ def test_strict_json(spark):
     got = column(spark, texts, lambda v: J.strict_json(v).cast("string"))
     assert got[:8] == ['{"a":1}', None, None, None, None, '{"a":2}', None, None]
     assert got[8:] == ["7", None, "~~ end of value ~~"]
+
+
+def test_valid_json_too_large_for_a_variant_fails_the_job(spark, tmp_path):
+    text = F.concat(F.lit('{"a":['), F.repeat(F.lit("[],"), 24_000_000), F.lit("[]]}"))
+    frame = spark.range(2).withColumn("text", F.concat(text, F.when(F.col("id") == 1, " x").otherwise("")))
+    frame.write.parquet(str(tmp_path / "answers"))
+    answers = spark.read.parquet(str(tmp_path / "answers"))
+    value = J.strict_json(F.col("text")).isNull()
+    assert answers.where("id = 1").select(value).first()[0]
+    with pytest.raises(Exception, match="larger than a variant"):
+        answers.where("id = 0").select(value).collect()

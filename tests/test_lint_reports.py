@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from reviewloom.operators import lint_reports, runs
 
 
@@ -133,3 +135,55 @@ def test_run_classification_and_text(spark):
         "clippy": ("skipped", None, "Skipped — no matching files"),
         "rubocop": ("success", None, "Clean"),
     }
+
+
+REPORTS = "repo_id string, linter string, root string, payload string"
+
+
+def test_large_report_keeps_all_findings(spark, tmp_path):
+    entry = json.dumps({"file": "z.sh", "line": 3, "message": "long text " * 95})
+    n = 140_000
+    spark.createDataFrame([("r", "shellcheck", "/w", "")], REPORTS).withColumn(
+        "payload", F.concat(F.lit("["), F.repeat(F.lit(entry + ","), n), F.lit(entry + "]"))
+    ).write.parquet(str(tmp_path / "reports"))
+    reports = spark.read.parquet(str(tmp_path / "reports"))
+    assert reports.select(F.octet_length("payload")).first()[0] > 135_000_000
+    assert lint_reports.normalize_lint_reports(reports).count() == n + 1
+
+
+def test_exactly_one_value(spark):
+    item = '{"file":"a","line":1}'
+    mark = "~~ end of value ~~"
+    cases = {
+        f"[{item}]": 1, f" \n[{item},{item}]\t": 2, f"[{item}] x": 0, f"[{item}][{item}]": 0, f"[{item}],[{item}]": 0,
+        f"[{item}]]": 0, f"[{item}": 0, f'[{item}],"b":[{item}]': 0, f"[{item}]],[[{item}]": 0, "[{'file':'a'}]": 0,
+        '[{"file":"a","line":NaN}]': 0, '[{"file":"a","line":"7"}]': 1, f'[{item},null,{{"file":""}}]': 1, f'[{item},3]': 0,
+        f'[{{"file":"{mark}"}}]': 1, f'[{item}],[{{"~end":"{mark}"}}]]': 0, f'[{{"file":"a","~end":"{mark}"}}]': 1, item: 0,
+    }
+    for payload, n in cases.items():
+        frame = spark.createDataFrame([("r", "shellcheck", "/w", payload)], REPORTS)
+        assert lint_reports.normalize_lint_reports(frame).count() == n, payload
+
+
+def test_one_scan_and_one_generator_for_all_tools(spark, tmp_path):
+    spark.createDataFrame([], REPORTS).write.parquet(str(tmp_path / "reports"))
+    found = lint_reports.normalize_lint_reports(spark.read.parquet(str(tmp_path / "reports")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Generate explode") == 1
+    # Nine JSON layouts and no variant; each is named once, in the generator.
+    assert plan.count("from_json(") == 9 and "parse_json" not in plan
+
+
+def test_plugged_in_tool(spark):
+    def lines(reports):
+        return reports.select(
+            "repo_id", F.lit("own").alias("linter"), F.lit("f").alias("file"), F.lit(0).cast("bigint").alias("seq"),
+            F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit("info").alias("severity"),
+            F.col("payload").alias("message"), F.lit("own/x").alias("rule_id"), F.lit("own").alias("source"))
+
+    rows = [("r", "own", "/w", "text", 5), ("r", "flake8", "/w", "a.py:1:2: E1 m", 6), ("r", "other", "/w", "x", 7)]
+    frame = spark.createDataFrame(rows, REPORTS + ", report_pos int")
+    found = lint_reports.normalize_lint_reports(frame, {**lint_reports.FORMATS, "own": lines}).collect()
+    assert sorted((r["repo_id"], r["linter"], r["message"], r["report_pos"]) for r in found) == [
+        ("r", "flake8", "m", 6), ("r", "own", "text", 5)]
+    assert lint_reports.normalize_lint_reports(frame.drop("report_pos"), {"own": lines}).count() == 1
