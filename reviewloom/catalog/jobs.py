@@ -10,14 +10,26 @@ from pyspark.sql import functions as F
 from reviewloom.catalog.reports import expected_rows
 from reviewloom.catalog.scans import SECRET_EXPRESSIONS
 from reviewloom.catalog.views import RANK, oracle
-from reviewloom.plans import review
+from reviewloom.operators.languages import REGISTRY
+from reviewloom.operators.scan import ANALYZER, MONGO_RULES, PREFER_LEAN
+from reviewloom.plans import review, stored
+from reviewloom.session import scratch_dir, staged
 from reviewloom.sources.samples import LINTERS, Samples
 
 _REPO = "concat('doc', CAST(doc_id AS STRING))"
+# The changed file of each kind of repository, which the reports of its tool name.
+_CHANGED = (
+    "src/m1.js", "pkg/m1.py", "src/m1.rs", "pkg/m1.go", "src/M1.java", "lib/m1.rb", "m1.php", "m1.cpp", "M1.swift",
+    "src/M1.kt", "bin/m1.sh", "db/m1.sql",
+)
+_CHANGED_FILE = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(_CHANGED))
+_CHANGED_FILE = f"CASE {{key}} % 15 {_CHANGED_FILE} ELSE 'src/m1.js' END"
 
 
 def _stage(spark, s: Samples):
-    run_log = s.table("documents").select(
+    """Written once, into a folder of its own; later steps read the tables."""
+    documents = s.table("documents")
+    run_log = documents.select(
         "doc_id", F.explode(F.array(*[F.lit(name) for name in LINTERS])).alias("linter")
     ).selectExpr(
         f"{_REPO} AS repo_id", "linter", "doc_id % 19 <> 4 AS ran",
@@ -25,10 +37,10 @@ def _stage(spark, s: Samples):
         "CASE WHEN doc_id % 7 = 5 THEN 'spawn' END AS error_message",
     )
     reports = s.mixed_reports(
-        "concat('doc', CAST(l_orderkey % 200 AS STRING))",
+        f"concat('doc', CAST(l_orderkey % {documents.count()} AS STRING))",
         "(l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS report_pos",
     )
-    return review.lint_stage(spark, s.view("job_files"), reports, run_log)
+    return stored.stored_lint_stage(spark, s.view("job_files"), reports, run_log, scratch_dir(spark, "review"))
 
 
 def _admitted(s: Samples, stage):
@@ -36,7 +48,8 @@ def _admitted(s: Samples, stage):
         f"{_REPO} AS repo_id", "doc_id AS review_id",
         "concat('https://github.com/o/r', CAST(doc_id AS STRING)) AS repo_url",
     )
-    return review.admit(requests, s.view("job_metadata"), stage.gate)
+    # Every later step is keyed by the admitted requests, so they are written once as well.
+    return staged(review.admit(requests, s.view("job_metadata"), stage.gate), "admitted")
 
 
 def full_review_job(spark, sf_dir):
@@ -51,34 +64,44 @@ def incremental_review_job(spark, sf_dir):
     stage = _stage(spark, s)
     changes = s.table("documents").selectExpr(
         "doc_id AS review_id", "0 AS file_no",
-        "CASE doc_id % 6 WHEN 1 THEN 'pkg/m1.py' WHEN 2 THEN 'db/m1.sql' ELSE 'src/m1.js' END AS filename",
+        _CHANGED_FILE.format(key="doc_id") + " AS filename",
         "CAST(NULL AS STRING) AS previous_filename", "'modified' AS status", "'+x' AS patch",
     )
     return review.incremental_review_prompts(_admitted(s, stage), stage, changes).select(
         "review_id", "section", "file_order", "file", F.col("part").cast("bigint").alias("part"), "text")
 
 
-_TOOLS = (("eslint", 0, "language = 'javascript'"), ("flake8", 1, "language = 'python'"), ("sqlfluff", 11, "language = 'sql'"))
+_LANGUAGE = "CASE {key} % 15 " + " ".join(f"WHEN {k} THEN '{e[0]}'" for k, e in enumerate(REGISTRY[:12])) + (
+    " WHEN 14 THEN 'javascript' END")
+_TOOL = "CASE language " + " ".join(f"WHEN '{e[0]}' THEN '{e[1]}'" for e in REGISTRY[:12]) + " END"
 _OWN_REPORTS = " UNION ALL ".join(
-    "SELECT l_orderkey % 200 AS review_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS report_pos, "
-    f"{file} AS file, {seq} AS seq, CAST({line} AS INT) AS line, {severity} AS severity, {message} AS message, "
-    f"{rule} AS rule_id, '{language.split()[-1].strip(chr(39))}' AS language FROM lineitem "
+    "SELECT l_orderkey % (SELECT count(*) FROM documents) AS review_id, "
+    "(l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS report_pos, "
+    f"{file} AS file, CAST({seq} AS BIGINT) AS seq, CAST({line} AS INT) AS line, {severity} AS severity, {message} AS message, "
+    f"{rule} AS rule_id, {turn} AS tool, '{entry[0]}' AS language FROM lineitem "
     f"WHERE l_partkey % 10 <> 0 AND (l_orderkey + l_linenumber) % 12 = {turn}"
-    for tool, turn, language in _TOOLS
-    for file, seq, line, _, severity, message, rule in expected_rows(tool)
+    for turn, entry in enumerate(REGISTRY[:12])
+    for file, seq, line, _, severity, message, rule in expected_rows(entry[1])
+)
+_ANALYZED = " UNION ALL ".join(
+    f"SELECT v.review_id, 0 AS report_pos, j.path AS file, CAST({place * 2 ** 32 + 2} AS BIGINT) AS seq, 2 AS line, "
+    f"'{rule.severity}' AS severity, '{rule.message}' AS message, '{rule.rule_id}' AS rule_id, 12 AS tool "
+    f"FROM v JOIN fx_job_files j ON j.repo_id = concat('doc', CAST(v.review_id AS STRING)) WHERE v.analyzed"
+    for place, rule in ((1, MONGO_RULES[1]), (len(MONGO_RULES), PREFER_LEAN))
 )
 _JOB = (
     "n AS (SELECT repo_id, unnest(string_split(content, chr(10))) AS t FROM fx_job_files), "
     f"blocked AS (SELECT DISTINCT repo_id FROM n WHERE {SECRET_EXPRESSIONS}), "
     # One file each: ignored and hidden folders and generated or unknown files give no language.
-    "v AS (SELECT doc_id AS review_id, doc_id % 7 = 5 AS missing, doc_id % 19 <> 4 AS ran, doc_id % 11 = 0 AS archived, "
-    "CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN NULL WHEN doc_id % 6 IN (0, 5) THEN 'javascript' "
-    "WHEN doc_id % 6 = 1 THEN 'python' WHEN doc_id % 6 = 2 THEN 'sql' END AS language FROM documents "
-    f"WHERE doc_id % 17 <> 3 AND {_REPO} NOT IN (SELECT repo_id FROM blocked)), "
+    "v AS (SELECT *, language = 'javascript' AND review_id % 4 < 3 AS analyzed FROM ("
+    "SELECT doc_id AS review_id, doc_id % 7 = 5 AS missing, doc_id % 19 <> 4 AS ran, doc_id % 11 = 0 AS archived, "
+    f"CASE WHEN doc_id % 11 <> 0 AND doc_id % 13 <> 0 THEN {_LANGUAGE.format(key='doc_id')} END AS language FROM documents "
+    f"WHERE doc_id % 17 <> 3 AND {_REPO} NOT IN (SELECT repo_id FROM blocked)) d), "
     f"r0 AS ({_OWN_REPORTS}), "
-    "f AS (SELECT r0.*, row_number() OVER (PARTITION BY r0.review_id ORDER BY report_pos, seq, file, line, rule_id, "
-    "message) AS pos FROM r0 JOIN v ON v.review_id = r0.review_id AND v.language = r0.language "
-    "WHERE ran AND NOT missing)"
+    "r1 AS (SELECT r0.* EXCLUDE (language) FROM r0 JOIN v ON v.review_id = r0.review_id AND v.language = r0.language "
+    f"WHERE ran AND NOT missing UNION ALL {_ANALYZED}), "
+    "f AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY tool, report_pos, seq, file, line, rule_id, "
+    "message) AS pos FROM r1)"
 )
 _BLOCKS = (
     "o AS (SELECT review_id, file, min(pos) AS file_order FROM f GROUP BY ALL), "
@@ -90,10 +113,9 @@ _BLOCKS = (
     "'] L' || CAST(line AS STRING) || ' [' || rule_id || '] ' || message, chr(10) ORDER BY rank) AS block FROM g "
     "WHERE file_rank <= 20 GROUP BY review_id, file_rank, file), "
     "b AS (SELECT review_id, string_agg(block, chr(10) ORDER BY file_rank) AS blocks FROM h GROUP BY review_id), "
-    "t AS (SELECT review_id, count(*) AS total, count(DISTINCT file) AS files FROM f GROUP BY review_id)"
+    "t AS (SELECT review_id, count(*) AS total, count(DISTINCT CASE WHEN tool < 12 THEN file END) AS files FROM f "
+    "GROUP BY review_id)"
 )
-_TOOL = "CASE language WHEN 'javascript' THEN 'eslint' WHEN 'python' THEN 'flake8' ELSE 'sqlfluff' END"
-
 QUERIES = {"full_review_job": full_review_job, "incremental_review_job": incremental_review_job}
 
 ORACLES = {
@@ -105,7 +127,7 @@ ORACLES = {
         "|| chr(10) ELSE '' END || '## Linter Run Summary' || chr(10) || CASE WHEN language IS NULL OR NOT ran THEN '' "
         f"WHEN missing THEN '- ' || {_TOOL} || ': ✗ not installed' || chr(10) ELSE '- ' || {_TOOL} || ': ✓ ' || "
         "CAST(coalesce(files, 0) AS STRING) || ' files with issues' || chr(10) END || CASE WHEN language = 'javascript' "
-        "THEN '- mongodb-analyzer: ✓ 0 files with issues' || chr(10) ELSE '' END || chr(10) || '## Lint Findings "
+        f"THEN '- {ANALYZER}: ✓ ' || CASE WHEN analyzed THEN '1' ELSE '0' END || ' files with issues' || chr(10) ELSE '' END || chr(10) || '## Lint Findings "
         "(showing ' || CAST(least(60, coalesce(total, 0)) AS STRING) || ' of ' || CAST(coalesce(total, 0) AS STRING) || "
         "' total)' || chr(10) || coalesce(blocks, 'No lint issues found.') || chr(10) || chr(10) || '---' || chr(10) || "
         "'Analyze the above findings and produce a structured JSON review report.' AS prompt FROM v "
@@ -114,8 +136,7 @@ ORACLES = {
     "incremental_review_job": oracle(
         "SELECT review_id, section, file_order, file, part, string_agg(text, chr(10) ORDER BY pos) AS text FROM u "
         "GROUP BY ALL", "job_files", ctes=_JOB + ", "
-        "c AS (SELECT review_id, CASE review_id % 6 WHEN 1 THEN 'pkg/m1.py' WHEN 2 THEN 'db/m1.sql' ELSE 'src/m1.js' "
-        "END AS file FROM v), l AS (SELECT f.* FROM f JOIN c ON c.review_id = f.review_id AND c.file = f.file), "
+        f"c AS (SELECT review_id, {_CHANGED_FILE.format(key='review_id')} AS file FROM v), l AS (SELECT f.* FROM f JOIN c ON c.review_id = f.review_id AND c.file = f.file), "
         "u AS (SELECT review_id, 0 AS section, CAST(0 AS BIGINT) AS file_order, '' AS file, CAST(0 AS BIGINT) AS part, "
         "CAST(0 AS BIGINT) AS pos, '## Repository: https://github.com/o/r' || CAST(review_id AS STRING) || chr(10) || "
         "'## Files changed in this diff: 1' || chr(10) || chr(10) || '## Diff' AS text FROM v UNION ALL "

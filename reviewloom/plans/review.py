@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,30 +60,43 @@ def lint_stage(
 ) -> LintStage:
     """Secret gate, language detection, linter plan, run status and all findings.
 
-    Reports and runs outside the plan are ignored; a failed run has no findings.
+    Reports and runs outside the plan are ignored; a failed run has no findings. The tables
+    are lazy; ``stored.stored_lint_stage`` writes each of them once.
     """
-    secrets = scan.scan_secrets(files)
-    gate = scan.secret_gate(secrets)
+    def analyzed(open_files: DataFrame) -> DataFrame:
+        return scan.analyze_database_usage(fl.walk_with_content(open_files, scan.MONGO_EXTENSIONS))
+
+    return staged_tables(spark, scan.scan_secrets(files), files, analyzed, reports, run_log)
+
+
+def staged_tables(
+    spark: SparkSession, secrets: DataFrame, files: DataFrame, analyzed: Callable[[DataFrame], DataFrame],
+    reports: DataFrame, run_log: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, table: table,
+) -> LintStage:
+    """The lint stage from secrets, a listing, and a function from admitted files to analyzer
+    findings; ``keep`` gets each table once, by name, and returns what later steps read."""
+    secrets = keep("secrets", secrets)
+    gate = keep("gate", scan.secret_gate(secrets))
     open_files = scan.without_blocked(files, gate)
-    detections = lang.detect_languages(open_files)
-    plan = lang.linter_plan(detections, lang.registry_table(spark))
+    detections = keep("detections", lang.detect_languages(open_files))
+    plan = keep("plan", lang.linter_plan(detections, lang.registry_table(spark)))
     statuses = rn.classify_runs(run_log)
     analyzer = plan.where(F.col("linter") == scan.ANALYZER).select(
         "repo_id", "linter", F.lit("success").alias("status"),
         F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("reason"),
     )
     planned = plan.select("repo_id", "linter", "registry_pos")
-    statuses = (
+    statuses = keep("statuses", (
         statuses.where(F.col("linter") != scan.ANALYZER).unionByName(analyzer)
         .join(planned, ["repo_id", "linter"])
-    )
-    code_files = fl.walk_with_content(open_files, scan.MONGO_EXTENSIONS)
+    ))
     if "report_pos" not in reports.columns:
         reports = reports.withColumn("report_pos", F.lit(0))
-    analyzed = scan.analyze_database_usage(code_files).withColumn("report_pos", F.lit(0))
-    reported = normalize_lint_reports(reports).unionByName(analyzed)
-    findings = rn.results_of_successful(reported, statuses)
-    return LintStage(secrets, gate, detections, plan, rn.with_counts(statuses, findings), findings)
+    reported = normalize_lint_reports(reports).unionByName(
+        analyzed(open_files).withColumn("report_pos", F.lit(0)))
+    findings = keep("findings", rn.results_of_successful(reported, statuses))
+    runs = keep("runs", rn.with_counts(statuses, findings))
+    return LintStage(secrets, gate, detections, plan, runs, findings)
 
 
 def full_review_prompts(admitted: DataFrame, stage: LintStage) -> DataFrame:

@@ -53,3 +53,20 @@ def staged(frame: DataFrame, purpose: str) -> DataFrame:
     path = scratch_dir(frame.sparkSession, purpose)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists, on whatever file system it lies."""
+    place, system = _file_system(spark, path)
+    return system.exists(place)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that nothing reads any more."""
+    place, system = _file_system(spark, path)
+    system.delete(place, True)

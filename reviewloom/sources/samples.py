@@ -31,6 +31,12 @@ _GOOD_ISSUE = (
 )
 _ODD_ISSUE = "'{\"file\":3,\"line\":\"7\",\"severity\":\"bad\",\"category\":\"x\"}'"
 
+# File names of the whole jobs by document: one for each tool, two that no walk keeps, one more.
+JOB_EXTENSIONS = (
+    ".js", ".py", ".rs", ".go", ".java", ".rb", ".php", ".cpp", ".swift", ".kt", ".sh", ".SQL", ".min.js", ".png", ".ts",
+)
+_JOB_CASES = " ".join(f"WHEN {k} THEN '{ext}'" for k, ext in enumerate(JOB_EXTENSIONS))
+
 # view -> (table, select list)
 ROW_VIEWS: dict[str, tuple[str, list[str]]] = {
     # Line items as findings; seq packs the line number and tie-breakers.
@@ -112,14 +118,14 @@ ROW_VIEWS: dict[str, tuple[str, list[str]]] = {
         "ELSE '/config.js' END) AS path",
         "text AS content",
     ]),
-    # One repository of one file for each document, for the whole jobs.
+    # One repository of one file for each document, for the whole jobs; see JOB_EXTENSIONS.
     "job_files": ("documents", [
         "concat('doc', CAST(doc_id AS STRING)) AS repo_id",
         "concat(CASE WHEN doc_id % 11 = 0 THEN 'node_modules/' "
         "WHEN doc_id % 13 = 0 THEN 'src/.hidden/' ELSE 'src/' END, lang, '/f', "
-        "CAST(doc_id AS STRING), CASE doc_id % 6 WHEN 0 THEN '.js' WHEN 1 THEN '.py' "
-        "WHEN 2 THEN '.SQL' WHEN 3 THEN '.min.js' WHEN 4 THEN '.png' ELSE '.ts' END) AS path",
-        "text AS content",
+        f"CAST(doc_id AS STRING), CASE doc_id % 15 {_JOB_CASES} END) AS path",
+        "CASE WHEN doc_id % 15 IN (0, 14) AND doc_id % 4 < 3 THEN concat('import mongoose', chr(10), "
+        "'User.find({})', chr(10), text) ELSE text END AS content",
     ]),
     "job_metadata": ("documents", [
         "concat('doc', CAST(doc_id AS STRING)) AS repo_id",
