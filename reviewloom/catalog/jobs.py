@@ -67,7 +67,7 @@ def incremental_review_job(spark, sf_dir):
         _CHANGED_FILE.format(key="doc_id") + " AS filename",
         "CAST(NULL AS STRING) AS previous_filename", "'modified' AS status", "'+x' AS patch",
     )
-    return review.incremental_review_prompts(_admitted(s, stage), stage, changes).select(
+    return review.incremental_review_prompts(_admitted(s, stage), stage, staged(changes, "changes")).select(
         "review_id", "section", "file_order", "file", F.col("part").cast("bigint").alias("part"), "text")
 
 
