@@ -145,7 +145,12 @@ def _dealt(plan: Plan, group: int, ids: list, word, before, counts, folds: int,
         raw = (before[a:b][~c] & _CONTEXT).view(np.uint8).reshape(-1, 8)[:, :7]
         yield p, ("tokens", group, len(ids), flags, w[new], run, of_common,
                   place[a:b][c].astype(np.uint16), doc[a:b][c], np.ascontiguousarray(raw), doc[a:b][~c])
-    yield group % plan.parts, ("ids", group, ids, held, counts)
+    yield _part_of(group, plan.parts), ("ids", group, ids, held, counts)
+
+
+def _part_of(group: int, parts: int) -> int:
+    """Partition of a group of documents, mixed so that any number of partitions gets an even share."""
+    return int(mix(np.array([group], dtype=np.uint64))[0] % np.uint64(parts))
 
 
 def _opened(plan: Plan, records: list):
@@ -248,7 +253,7 @@ def _scored(plan: Plan, totals: Totals):
     def run(records) -> Iterator[tuple]:
         found, ids = _split(records)
         for record in ids:
-            yield record[1] % plan.parts, record
+            yield _part_of(record[1], plan.parts), record
         if not found:
             return
         t = _opened(plan, found)
@@ -269,7 +274,7 @@ def _scored(plan: Plan, totals: Totals):
             for x in (base[t["word"]], value[t["pair"]] - follows[t["word"]], (c1 > 0)[t["word"]])
         ]
         for group, at, n in t["groups"]:
-            yield group % plan.parts, ("sums", group, *[x[at : at + n] for x in sums[:2]], sums[2][at : at + n].astype(np.uint32))
+            yield _part_of(group, plan.parts), ("sums", group, *[x[at : at + n] for x in sums[:2]], sums[2][at : at + n].astype(np.uint32))
         some, of = np.unique(t["pair_context"][seen], return_inverse=True)
         left = np.bincount(of, weights=(c2 - star)[seen], minlength=len(some))
         covered = np.bincount(of, weights=chance[t["pair_word"]][seen], minlength=len(some))
@@ -302,9 +307,9 @@ def _weighted(parts: int):
                 earlier = added.get(record[1])
                 added[record[1]] = [a + b for a, b in zip(earlier, record[2:])] if earlier else list(record[2:])
             else:
-                yield record[1] % parts, record
+                yield _part_of(record[1], parts), record
         for group, sums in added.items():
-            yield group % parts, ("sums", group, *sums)
+            yield _part_of(group, parts), ("sums", group, *sums)
         if not contexts or not opened:
             return
         context, of = np.unique(np.concatenate([c[0] for c in contexts]), return_inverse=True)
@@ -321,7 +326,7 @@ def _weighted(parts: int):
                     gains[group] = gains.get(group, 0.0) + per[at : at + n]
         for group, value in gains.items():
             some = np.flatnonzero(value)
-            yield group % parts, ("gains", group, some.astype(np.uint32), value[some])
+            yield _part_of(group, parts), ("gains", group, some.astype(np.uint32), value[some])
 
     return run
 

@@ -98,3 +98,11 @@ def test_query(spark):
     check(got, rows)
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+@pytest.mark.parametrize("parts", [7, 8, 16, 200, 256])
+def test_groups_are_dealt_evenly(parts):
+    """First groups of many input splits, and all groups of few."""
+    for groups in ([p << 24 for p in range(64 * parts)], [(p << 24) + n for p in range(8) for n in range(8 * parts)]):
+        found = np.bincount([katz._part_of(g, parts) for g in groups], minlength=parts)
+        assert found.max() <= 2 * np.median(found)
