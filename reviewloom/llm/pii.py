@@ -12,11 +12,14 @@ values stay different, and equal values are equal in every document under one ke
 | phone | ten digits in groups, optional +1, or +1 and ten digits | all ten digits, numbers of the North American plan among themselves and all others among themselves |
 | ssn | area, group and serial in use | the number among those in use |
 | address | four octets of up to 255 | all 32 bits |
-| date | a day of the calendar, years 1500 to 2199 | the day among the 146,097 of its 400 years |
+| date | a day of the calendar, years 1500 to 2199 | the day among those that have the same spelling |
 | email | a mail address | letters and digits before the @, each within its class |
 
-A date with slashes is read month first, or day first where only that is a day. One with
-hyphens may be followed by a T and the hour.
+A date with slashes is read month first, or day first where only that is a day, which then is
+the 13th or later. Days are permuted among those of 1500 to 2199 that are read the same way
+and whose day and month have as many digits, so a pseudonym has the length of its date, is
+found and read again the same way, and no two dates share one. A date with hyphens may be
+followed by a T and the hour.
 
 Everything else in a text stays as it is. Null texts stay null and empty ones empty.
 """
@@ -160,28 +163,72 @@ def _address(value: Column, key: str) -> Column:
         F.pmod(_whole(p, _big(256**k)), _big(256)).cast("string") for k in (3, 2, 1, 0)]))
 
 
-def _day(year: Column, month: Column, day: Column, key: str, write) -> Column:
-    """The permuted day, or null if there is no such day."""
-    first = F.make_date(year, month, F.lit(1))
-    number = (F.unix_date(first) + day - 1 + 135_140).cast("bigint")  # days from 1600-01-01
-    cycle = F.floor(number / 146_097).cast("bigint")
-    moved = permuted(F.pmod(number, _big(146_097)), 189, 773, key, "date") + cycle * 146_097 - 135_140
-    return F.when(day <= F.dayofmonth(F.last_day(first)), _let(F.date_from_unix_date(moved.cast("int")), write))
+#: Years of dates, and days from the first of them to 1970.
+_FIRST, _YEARS, _EPOCH = 1500, 700, 171_664
+#: Days of these years by last month and first day of the month: (two factors of their number,
+#: days of a year that are left out).
+_DAYS = {(12, 1): (370, 691, 0), (9, 1): (310, 617, 92), (12, 13): (170, 911, 144), (9, 13): (430, 269, 200)}
+
+
+def _day_number(year: Column, month: Column | int) -> Column:
+    return F.unix_date(F.make_date(year, F.lit(month) if isinstance(month, int) else month, F.lit(1))) + _EPOCH
+
+
+def _among(year: Column, month: Column, day: Column, months: int, low: int, key: str) -> Column:
+    """The day permuted among all days from ``low`` on of the first ``months`` months of a year."""
+    a, b, out = _DAYS[months, low]
+
+    def start(y: Column) -> Column:  # days of earlier years
+        return _day_number(y, 1) - (y - _FIRST) * out
+
+    def before(y: Column, m: Column) -> Column:  # days of earlier months of the year
+        return _day_number(y, m) - _day_number(y, 1) - (low - 1) * (m - 1)
+
+    def found(rank: Column) -> Column:
+        guess = F.floor(rank * _YEARS / (a * b)).cast("int") + _FIRST
+        near = F.sequence(F.greatest(guess - 2, F.lit(_FIRST)), F.least(guess + 2, F.lit(_FIRST + _YEARS - 1)))
+        return _let(F.array_max(F.filter(near, lambda y: start(y) <= rank)), lambda y: _let(rank - start(y), lambda rest: _let(
+            F.array_max(F.filter(F.sequence(F.lit(1), F.lit(months)), lambda m: before(y, m) <= rest)), lambda m: F.struct(
+                y.alias("year"), m.alias("month"), (rest - before(y, m) + low).cast("int").alias("day")))))
+
+    rank = (start(year) + before(year, month) + day - low).cast("bigint")
+    return _let(permuted(rank, a, b, key, f"date {low}" if low > 1 else "date"), found)
+
+
+def _early(year: Column, month: Column, day: Column, months: int, key: str) -> Column:
+    """The day permuted among the first nine of the first ``months`` months of all years."""
+    number = (((year - _FIRST) * months + month - 1) * 9 + day - 1).cast("bigint")
+    return _let(permuted(number, _YEARS, months * 9, key, "early date"), lambda p: F.struct(
+        (_whole(p, _big(months * 9)) + _FIRST).cast("int").alias("year"),
+        (F.pmod(_whole(p, _big(9)), _big(months)) + 1).cast("int").alias("month"), (F.pmod(p, _big(9)) + 1).cast("int").alias("day")))
+
+
+def _moved(year: Column, month: Column, day: Column, low: int, key: str) -> Column:
+    """The permuted day of ``year, month, day``, written as texts; null if there is no such day."""
+    y, m, d = (x.cast("int") for x in (year, month, day))
+    days = F.dayofmonth(F.last_day(F.make_date(y, m, F.lit(1))))
+    short_month, short_day = F.length(month) == 1, F.length(day) == 1
+    new = F.when(short_month & short_day, _early(y, m, d, 9, key)).when(short_day, _early(y, m, d, 12, key)).when(
+        short_month, _among(y, m, d, 9, low, key)).otherwise(_among(y, m, d, 12, low, key))
+    return F.when((d >= low) & (d <= days), new)
 
 
 def _date(value: Column, kind: str, key: str) -> Column:
-    parts = [F.regexp_extract(value, r"^(\d+)\D(\d+)\D(\d+)$", k).cast("int") for k in (1, 2, 3)]
+    a, b, c = (F.regexp_extract(value, r"^(\d+)\D(\d+)\D(\d+)$", k) for k in (1, 2, 3))
+
+    def written(new: Column, order: tuple[str, str, str], sign: str) -> Column:
+        parts = dict(zip(order, (a, b, c)))
+        return _let(new, lambda n: F.when(n.isNotNull(), F.concat_ws(sign, *[
+            _padded(n[name], F.length(parts[name])) for name in order])))
+
     if kind == "iso":
-        return F.coalesce(_day(*parts, key, lambda d: F.date_format(d, "yyyy-MM-dd")), value)
-    a, b, year = parts
-    month_first = lambda d: F.concat_ws(
-        "/", _padded(F.month(d), 2), _padded(F.dayofmonth(d), 2), F.year(d).cast("string"))
-    day_first = lambda sign: lambda d: F.concat_ws(
-        sign, _padded(F.dayofmonth(d), 2), _padded(F.month(d), 2), F.year(d).cast("string"))
+        return F.coalesce(written(_moved(a, b, c, 1, key), ("year", "month", "day"), "-"), value)
+    day_first = ("day", "month", "year")
     if kind == "dotted":
-        return F.coalesce(_day(year, b, a, key, day_first(".")), value)
+        return F.coalesce(written(_moved(c, b, a, 1, key), day_first, "."), value)
     return F.coalesce(
-        F.when(a <= 12, _day(year, a, b, key, month_first)), F.when(b <= 12, _day(year, b, a, key, day_first("/"))), value)
+        F.when(a.cast("int") <= 12, written(_moved(c, a, b, 1, key), ("month", "day", "year"), "/")).when(
+            b.cast("int") <= 12, written(_moved(c, b, a, 13, key), day_first, "/")), value)
 
 
 def _email(value: Column, key: str) -> Column:

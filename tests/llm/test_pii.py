@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import re
+from functools import lru_cache
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,10 +39,24 @@ def card(value):
     return "".join(next(out) if c.isdigit() else c for c in value)
 
 
-def date(day):
-    number = (day - datetime.date(1600, 1, 1)).days
-    cycle, rest = divmod(number, 146097)
-    return datetime.date(1600, 1, 1) + datetime.timedelta(cycle * 146097 + feistel(rest, 189, 773, "date"))
+@lru_cache(None)
+def spelled_alike(months, first, last):
+    """All days of 1500 to 2199 in the first months, from one day of the month to another, in order."""
+    day, out = datetime.date(1500, 1, 1), []
+    while day.year < 2200:
+        if day.month <= months and first <= day.day <= last:
+            out.append(day)
+        day += datetime.timedelta(1)
+    return out, {d: k for k, d in enumerate(out)}
+
+
+def date(day, months=12, first=1, last=31):
+    days, place = spelled_alike(months, first, last)
+    if last == 9:
+        return days[feistel(place[day], 700, months * 9, "early date")]
+    a, b = {(12, 1): (370, 691), (9, 1): (310, 617), (12, 13): (170, 911), (9, 13): (430, 269)}[months, first]
+    assert a * b == len(days)
+    return days[feistel(place[day], a, b, "date" if first == 1 else "date 13")]
 
 
 def address(value):
@@ -76,7 +91,47 @@ def test_formats_stay_and_equal_values_stay_linked(spark):
     assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", got[1]) and got[1] != "123-45-6789"
     assert re.fullmatch(r"Mail [a-z]{5}\.\d\d@mail8\.example\.com", got[2]) and "bosbt.42" not in got[2]
     day = date(datetime.date(1999, 12, 31))
-    assert got[3] == day.strftime("%d.%m.") + f"{day.year} " + day.strftime("%m/%d/") + f"{day.year} " + day.strftime("%d/%m/") + f"{day.year}"
+    late = date(datetime.date(1999, 12, 31), first=13)  # read day first, as no month has the number 31
+    assert got[3] == day.strftime("%d.%m.") + f"{day.year} " + day.strftime("%m/%d/") + f"{day.year} " + late.strftime("%d/%m/") + f"{late.year}"
+
+
+def test_dates_keep_their_spelling(spark):
+    days = [datetime.date(2024, 2, 29), datetime.date(1900, 9, 30), datetime.date(1500, 1, 1), datetime.date(2199, 9, 13), datetime.date(1583, 5, 9)]
+    got = replaced(spark, [f"{d.day}.{d.month}.{d.year} {d.month}/{d.day}/{d.year} {d.day}/{d.month}/{d.year}" for d in days])
+    for d, text in zip(days, got):
+        last = 9 if d.day < 10 else 31
+        new = date(d, 9, 1, last)
+        dotted, month_first, other = text.split(" ")
+        assert dotted == f"{new.day:0{len(str(d.day))}}.{new.month}.{new.year}"
+        assert month_first == f"{new.month}/{new.day:0{len(str(d.day))}}/{new.year}"
+        if d.day > 12:
+            late = date(d, 9, 13)
+            assert other == f"{late.day}/{late.month}/{late.year}"
+
+
+def test_no_two_dates_share_a_pseudonym(spark):
+    """All days of 40 years in every spelling: as long as before, found and read again the same way."""
+    day, texts = datetime.date(1990, 1, 1), set()
+    while day.year < 2030:
+        y, m, d = day.year, day.month, day.day
+        texts.add(day.isoformat())
+        for mm in {f"{m}", f"{m:02}"}:
+            for dd in {f"{d}", f"{d:02}"}:
+                texts |= {f"{dd}.{mm}.{y}", f"{mm}/{dd}/{y}", f"{dd}/{mm}/{y}"}
+        day += datetime.timedelta(1)
+    texts = sorted(texts)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    rows = frame.select("text", pii.pseudonymised(F.col("text"), KEY).alias("p")).collect()
+    assert len({r["p"] for r in rows}) == len(texts) == len(rows)
+    found = re.compile("|".join(f"(?:{pii._PATTERNS[k]})" for k in ("iso", "dotted", "slashed")))
+    changed = 0
+    for r in rows:
+        old, new = (re.split(r"\D", r[k]) for k in ("text", "p"))
+        assert list(map(len, old)) == list(map(len, new)) and found.fullmatch(r["p"])
+        changed += r["text"] != r["p"]
+        if "/" in r["text"]:
+            assert (int(old[0]) > 12) == (int(new[0]) > 12)
+    assert changed > 0.999 * len(rows)
 
 
 @pytest.mark.parametrize("text", [
