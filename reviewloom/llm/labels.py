@@ -8,9 +8,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Characters of a text that a training sample may hold.
-LONGEST = 200_000
-
 
 def remainder(doc_id, folds: int):
     """Fold of a document: CRC-32 of its id as text."""
@@ -32,8 +29,8 @@ def fitted(documents: DataFrame, labels: DataFrame, label: str, learns, most: di
         rows = one.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         drawn += [(r["doc_id"], value, k) for k, r in enumerate(rows.select("doc_id").collect())]
     wanted = F.broadcast(spark.createDataFrame(drawn, "doc_id bigint, label int, place int"))
-    found = documents.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).where(
-        F.length("text") <= LONGEST).join(wanted, "doc_id").groupBy("label", "place").agg(F.min("text").alias("text"))
+    found = documents.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).join(
+        wanted, "doc_id").groupBy("label", "place").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (-r["label"], r["place"]))

@@ -10,8 +10,8 @@ For scoring, the layer is applied to the vectors beforehand, so that a feature i
 number; a batch of documents then adds up numbers of its distinct words.
 
 The training sample is bounded: at most ``MOST`` labelled rows of each class, the first in
-hash order of ``doc_id``, of at most ``labels.LONGEST`` characters. All documents are scored
-over their whole texts, and scores use nothing but the text.
+hash order of ``doc_id``, with their whole texts. All documents are scored over their whole
+texts, and scores use nothing but the text.
 
 Defined results: null texts count as empty; an empty text gets the probability of the bias
 alone; a document with several labels takes the largest; without rows of both classes every

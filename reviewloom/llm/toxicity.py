@@ -14,10 +14,8 @@ of words that do not tell by themselves are not learned. Equal windows count onc
 not weigh more.
 
 The training sample is bounded: at most ``MOST_TOXIC`` and ``MOST_ORDINARY`` labelled rows
-(the first in hash order of ``doc_id``) of at most ``labels.LONGEST`` characters; of a text with
-more than ``TEXT_WINDOWS`` training windows every k-th, fewer than twice as many; and at most
-``ORDINARY_WINDOWS`` distinct ordinary windows for the ordinary dictionary. All documents are
-scored, over their whole texts. Scores use nothing but the text.
+(the first in hash order of ``doc_id``). Of these rows the whole texts are learned, and all
+documents are scored over their whole texts. Scores use nothing but the text.
 
 Defined results: null texts count as empty; empty texts get the score of a text without
 toxic windows; a document with several labels counts as toxic if one says so; without toxic
@@ -40,7 +38,6 @@ from reviewloom.llm.labels import fitted, remainder
 from reviewloom.llm.store import prepared
 
 MOST_TOXIC, MOST_ORDINARY = 1500, 4000
-TEXT_WINDOWS, ORDINARY_WINDOWS = 400, 40_000
 WINDOW, LEVEL, GRAM, TELLING = 48, 12, 6, 8
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 14, 1 << 12
 _THRESHOLDS = (1, 2, 3, 4, 5, 6, 8, 10)
@@ -84,13 +81,13 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 def features(text: str, ordinary: bytes, toxic: bytes) -> list[float]:
-    """Bytes saved per window: mean, largest, mean of the three largest, and shares and counts
-    above thresholds."""
+    """Bytes saved per window: mean, largest, mean of the three largest, and shares and logarithms
+    of counts above thresholds."""
     plain, marked = _compressor(ordinary).compress, _compressor(toxic + ordinary).compress
     saved = np.array([len(plain(w)) - len(marked(w)) for w in windows(text)] or [0], dtype=np.float64)
     saved.sort()
     shares = [(saved > t).mean() for t in _THRESHOLDS]
-    counts = [min(20.0, (saved > t).sum()) for t in (3, 5, 8)]
+    counts = [np.log1p((saved > t).sum()) for t in (3, 5, 8)]
     return [saved.mean(), saved[-1], saved[-3:].mean(), *shares, *counts]
 
 
@@ -147,11 +144,6 @@ def _toxic_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return [b"".join(samples[k : k + 4]) for k in range(0, len(samples), 4)]
 
 
-def _spread(pieces: list[bytes], most: int = TEXT_WINDOWS) -> list[bytes]:
-    """Fewer than twice ``most`` windows, from all over a long text."""
-    return pieces[:: max(1, len(pieces) // most)]
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
@@ -179,9 +171,9 @@ def train(texts: list[str], labels: list[int]) -> Model:
     toxic, ordinary = set(), set()
     for text, label, out in zip(texts, labels, held):
         if not out:
-            (toxic if label else ordinary).update(_spread(windows(text, 256)))
+            (toxic if label else ordinary).update(windows(text, 256))
     toxic, ordinary = sorted(toxic - ordinary), sorted(ordinary)
-    order = np.random.default_rng(0).permutation(len(ordinary))[:ORDINARY_WINDOWS]
+    order = np.random.default_rng(0).permutation(len(ordinary))
     usual = _dictionary(ORDINARY_BYTES, [ordinary[k] for k in order])
     marked = _dictionary(TOXIC_BYTES, _toxic_samples(toxic, ordinary))
     if not marked:
