@@ -44,6 +44,23 @@ def review_rounds(spark, sf_dir):
     return rows.select("review_id", "repo_id", "round_no", "previous_review_id", "previous_score")
 
 
+# Repository 0 has every third event, all of one day, so its day is cut into many slices.
+_HOT_EVENTS = (
+    "CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS repo_id",
+    "event_id AS review_id",
+    "CASE WHEN event_id % 3 = 0 THEN DATE '2024-01-01' ELSE CAST(ts AS DATE) END AS created_at",
+    "CASE WHEN event_id % 5 <> 0 THEN CAST(floor(value) AS INT) END AS score",
+)
+
+
+def hot_day_rounds(spark, sf_dir):
+    """Round numbers, rounds before and stored scores where one day of one repository is a third of all."""
+    events = Samples(spark, sf_dir).table("events").selectExpr(*_HOT_EVENTS)
+    rounds = history.with_previous_review(events, slice_rows=200)
+    stored = history.with_carried_score(rounds, slice_rows=200)
+    return stored.select("repo_id", "review_id", "round_no", "previous_review_id", "previous_score", "stored_score")
+
+
 def attach_latest_review(spark, sf_dir):
     s = Samples(spark, sf_dir)
     requests = s.view("requests").select("repo_id")
@@ -167,6 +184,7 @@ QUERIES = {
     "last_reviewed_pointer": last_reviewed_pointer,
     "review_history": review_history,
     "review_rounds": review_rounds,
+    "hot_day_rounds": hot_day_rounds,
     "attach_latest_review": attach_latest_review,
     "mode_resolution": mode_resolution,
     "not_comparable_fallback": not_comparable_fallback,
@@ -195,6 +213,13 @@ ORACLES = {
         "SELECT review_id, repo_id, round_no, lag(review_id) OVER w AS previous_review_id, "
         "lag(score) OVER w AS previous_score FROM fx_reviews "
         "WINDOW w AS (PARTITION BY repo_id ORDER BY round_no)", "reviews"),
+    "hot_day_rounds": (
+        f"WITH e AS (SELECT {', '.join(_HOT_EVENTS)} FROM events) SELECT repo_id, review_id, "
+        "row_number() OVER w AS round_no, lag(review_id) OVER w AS previous_review_id, "
+        "lag(score) OVER w AS previous_score, coalesce(last_value(score IGNORE NULLS) OVER (PARTITION BY repo_id "
+        "ORDER BY created_at, review_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS stored_score "
+        "FROM e WINDOW w AS (PARTITION BY repo_id ORDER BY created_at, review_id)"
+    ),
     "attach_latest_review": oracle(
         "SELECT r.repo_id, v.review_id AS previous_review_id, v.score AS previous_score, "
         "(SELECT count(*) FROM fx_findings f WHERE f.review_id = v.review_id) AS previous_issues "

@@ -58,7 +58,7 @@ def prompt_full(spark, sf_dir):
 def prompt_incremental(spark, sf_dir):
     s = Samples(spark, sf_dir)
     reviews = _reviews(s).where(F.col("mode") == "incremental")
-    built = prompts.incremental_prompts(reviews, s.changes(), s.lint_findings(), 10 ** 12)
+    built = prompts.incremental_prompts(reviews, s.changes(), s.lint_findings())
     return built.select("review_id", "section", "file_order", "file", "part", "text")
 
 
@@ -66,12 +66,22 @@ def prompt_incremental_parts(spark, sf_dir):
     """Totals of the parts of each section."""
     s = Samples(spark, sf_dir)
     reviews = _reviews(s).where(F.col("mode") == "incremental")
-    parts = prompts.incremental_prompts(reviews, s.changes(), s.lint_findings(), 10 ** 12)
+    parts = prompts.incremental_prompts(reviews, s.changes(), s.lint_findings())
     return parts.groupBy("section").agg(
         F.sum(F.length("text").cast("bigint")).alias("chars"), F.count(F.lit(1)).alias("parts")
     )
 
 
+_BYTES = 512
+
+
+def prompt_incremental_bytes(spark, sf_dir):
+    """Whole diff prompts in parts of at most 512 bytes, most diffs and lists cut somewhere."""
+    s = Samples(spark, sf_dir)
+    reviews = _reviews(s).where(F.col("mode") == "incremental")
+    return prompts.incremental_prompt_parts(reviews, s.changes(), s.lint_findings(), _BYTES)
+
+
 def prompt_fix(spark, sf_dir):
     s = Samples(spark, sf_dir)
     reviews = s.reviews().withColumn("repo_url", F.expr(_URL))
@@ -322,6 +332,7 @@ QUERIES = {
     "prompt_full": prompt_full,
     "prompt_incremental": prompt_incremental,
     "prompt_incremental_parts": prompt_incremental_parts,
+    "prompt_incremental_bytes": prompt_incremental_bytes,
     "prompt_fix": prompt_fix,
     "fix_outcome": fix_outcome,
     "pr_payload": pr_payload,
@@ -351,12 +362,23 @@ ORACLES = {
         "LEFT JOIN t ON t.review_id = v.review_id",
         "reviews", "findings", "metadata", "run_log", ctes=_FULL),
     "prompt_incremental": oracle(
-        f"SELECT review_id, s AS section, CAST(a AS BIGINT) AS file_order, file, CAST(b // 1000000000000 AS "
-        f"BIGINT) AS part, {_agg('t', 'b')} AS text FROM u GROUP BY review_id, s, a, file, b // 1000000000000",
+        "SELECT review_id, s AS section, CAST(a AS BIGINT) AS file_order, file, "
+        f"CAST(b // {prompts.ROWS_PER_PART} AS BIGINT) AS part, {_agg('t', 'b')} AS text FROM u "
+        f"GROUP BY review_id, s, a, file, b // {prompts.ROWS_PER_PART}",
         "reviews", "changes", "findings", ctes=_UNITS),
     "prompt_incremental_parts": oracle(
         "SELECT s AS section, CAST(sum(c) AS BIGINT) AS chars, count(*) AS parts FROM (SELECT review_id, s, "
-        "a, b // 1000000000000 AS p, sum(length(t)) + count(*) - 1 AS c FROM u GROUP BY ALL) x GROUP BY s",
+        f"a, b // {prompts.ROWS_PER_PART} AS p, sum(length(t)) + count(*) - 1 AS c FROM u GROUP BY ALL) x GROUP BY s",
+        "reviews", "changes", "findings", ctes=_UNITS),
+    "prompt_incremental_bytes": oracle(
+        f"SELECT review_id, CAST(start // {_BYTES // 2} AS BIGINT) AS part, "
+        "string_agg(piece, '' ORDER BY s, a, file, b, i) AS text FROM (SELECT *, "
+        "coalesce(sum(strlen(piece)) OVER (PARTITION BY review_id ORDER BY s, a, file, b, i "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT review_id, s, a, file, "
+        f"b, i, substr(t, CAST(i * {_BYTES // 8} + 1 AS BIGINT), {_BYTES // 8}) AS piece FROM (SELECT *, "
+        f"unnest(range((length(t) + {_BYTES // 8} - 1) // {_BYTES // 8})) AS i FROM (SELECT review_id, s, a, "
+        "file, b, CASE WHEN s > 0 THEN chr(10) ELSE '' END || t AS t FROM u) x0) x1) x2) x3 "
+        f"GROUP BY review_id, start // {_BYTES // 2}",
         "reviews", "changes", "findings", ctes=_UNITS),
     "prompt_fix": oracle(
         f"SELECT v.review_id, {_FIX_TEXT} AS prompt {_FIX_FROM}", "reviews", "findings",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import non_blank
-from reviewloom.operators.ranking import carried_forward, keep_first, numbered, top_k
+from reviewloom.operators.ranking import SLICE_ROWS, carried_forward, keep_first, numbered, top_k
 
 
 def newest_first() -> list[Column]:
@@ -35,26 +35,28 @@ def last_reviewed_pointers(reviews: DataFrame) -> DataFrame:
     )
 
 
-def with_round_numbers(reviews: DataFrame, **options) -> DataFrame:
-    """Adds ``round_no`` per repository; reviews are bucketed by day while counting."""
+def with_round_numbers(
+    reviews: DataFrame, slice_rows: int | None = SLICE_ROWS, **options
+) -> DataFrame:
+    """Adds ``round_no`` per repository; counted by day, and a long day in slices."""
     return numbered(
         reviews, ["repo_id"], ["created_at", "review_id"], F.to_date("created_at"), "round_no",
-        **options,
+        slice_rows=slice_rows, **options,
     )
 
 
-def with_previous_review(reviews: DataFrame) -> DataFrame:
+def with_previous_review(reviews: DataFrame, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """Round number and the review before each review of the same repository."""
     return with_round_numbers(
-        reviews, previous={"review_id": "previous_review_id", "score": "previous_score"}
+        reviews, slice_rows, previous={"review_id": "previous_review_id", "score": "previous_score"}
     )
 
 
-def with_carried_score(reviews: DataFrame) -> DataFrame:
+def with_carried_score(reviews: DataFrame, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """Stored score: own score, else the last earlier one, else zero."""
     carried = carried_forward(
         reviews, ["repo_id"], ["created_at", "review_id"], F.to_date("created_at"),
-        "score", "stored_score",
+        "score", "stored_score", slice_rows,
     )
     return carried.withColumn("stored_score", F.coalesce("stored_score", F.lit(0)))
 

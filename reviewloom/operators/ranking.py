@@ -1,8 +1,8 @@
 """Per-key ranking that stays distributed when one key owns a large share of the rows.
 
 A plain window puts every row of a key into one task. The helpers here only ever
-window over groups with a known bound: k rows per map task, k rows per salt, or
-one bucket of an ordered key.
+window over groups with a known bound: k rows per map task, k rows per salt, one
+bucket of an ordered key, or one slice of such a bucket.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 # Above this many rows per key a top-k is first taken within hash slices of the key.
 _SLICED_FROM = 500
 _SLICES = 128
+# Expected rows of a slice of an ordered bucket, for keys that may put any share of their rows into one.
+SLICE_ROWS = 65_536
+# Cuts that one coarse cut stands for when a row looks up its slice.
+_COARSE = 128
 
 
 def top_k(
@@ -44,9 +48,41 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return top_k(df, keys, order, 1, "__first").drop("__first")
 
 
-def _earlier_buckets(keys: Sequence[str]):
+def _sliced(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, slice_rows: int | None
+) -> tuple[DataFrame, list[str]]:
+    """Rows with the columns of their ordered group below the key, and the names of those columns.
+
+    Without ``slice_rows`` the group is the bucket. With it a bucket is cut where a hash of the
+    order columns says so, once in about ``slice_rows`` rows: every run finds the same cuts, a
+    small bucket has none, and one of n rows has about n / slice_rows. Rows equal in all order
+    columns stay in one slice.
+    """
+    tagged = df.withColumn("__bucket", bucket)
+    if slice_rows is None:
+        return tagged, ["__bucket"]
+    group = [*keys, "__bucket"]
+    place = F.struct(*order)
+    drawn = F.pmod(F.xxhash64(*keys, *order), F.lit(slice_rows)) == 0
+    cuts = (
+        tagged.where(drawn).groupBy(*group).agg(F.sort_array(F.collect_set(place)).alias("__cuts"))
+        .withColumn("__coarse", F.filter("__cuts", lambda _, i: i % _COARSE == 0))
+    )
+    block = F.size(F.filter("__coarse", lambda cut: cut <= place)) - 1
+    within = F.slice("__cuts", block * _COARSE + 1, _COARSE)
+    number = block * _COARSE + F.size(F.filter(within, lambda cut: cut <= place))
+    rows = (
+        tagged.join(cuts, group, "left")
+        .withColumn("__slice", F.when(block >= 0, number).otherwise(0))
+        .drop("__cuts", "__coarse")
+    )
+    # Named in full: the partitioning by bucket that the join leaves would serve a window too.
+    return rows.repartition(*group, "__slice"), ["__bucket", "__slice"]
+
+
+def _earlier(keys: Sequence[str], parts: Sequence[str]):
     return (
-        Window.partitionBy(*keys).orderBy("__bucket")
+        Window.partitionBy(*keys).orderBy(*parts)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
 
@@ -58,28 +94,30 @@ def numbered(
     bucket: Column,
     into: str,
     previous: Mapping[str, str] | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Exact row number per key without windowing over the whole key.
 
     ``bucket`` must rise with ``order`` (for example the day of an ordered timestamp).
     Rows are numbered inside their bucket and shifted by the size of the earlier
     buckets; the shift is a window over one small row per bucket. ``previous`` maps
-    columns to new columns that hold their value in the row before.
+    columns to new columns that hold their value in the row before. ``slice_rows`` cuts
+    buckets of more rows into slices, where one bucket may hold any share of a key.
     """
     previous = dict(previous or {})
     carried = F.struct(*[F.col(c).alias(name) for c, name in previous.items()]) if previous else None
-    tagged = df.withColumn("__bucket", bucket)
+    tagged, parts = _sliced(df, keys, order, bucket, slice_rows)
     summary = [F.count(F.lit(1)).alias("__n")]
     if previous:
         summary.append(F.max_by(carried, F.struct(*order)).alias("__last"))
-    sizes = tagged.groupBy(*keys, "__bucket").agg(*summary)
-    earlier = _earlier_buckets(keys)
+    sizes = tagged.groupBy(*keys, *parts).agg(*summary)
+    earlier = _earlier(keys, parts)
     offsets = sizes.withColumn("__shift", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
     if previous:
         before = F.last("__last", ignorenulls=True).over(earlier)
         offsets = offsets.withColumn("__before", before).drop("__last")
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    joined = tagged.join(offsets.drop("__n"), [*keys, "__bucket"])
+    inside = Window.partitionBy(*keys, *parts).orderBy(*order)
+    joined = tagged.join(offsets.drop("__n"), [*keys, *parts])
     result = joined.withColumn(
         into, (F.row_number().over(inside) + F.col("__shift")).cast("bigint")
     )
@@ -88,7 +126,34 @@ def numbered(
             "__row", F.coalesce(F.lag(carried).over(inside), F.col("__before"))
         )
         result = result.withColumns({name: F.col(f"__row.{name}") for name in previous.values()})
-    return result.drop("__bucket", "__shift", "__before", "__row")
+    return result.drop(*parts, "__shift", "__before", "__row")
+
+
+def running_total(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    value: str,
+    into: str,
+    slice_rows: int | None = SLICE_ROWS,
+) -> DataFrame:
+    """Sum of ``value`` over all earlier rows of the key, by the plan of :func:`numbered`."""
+    tagged, parts = _sliced(df, keys, order, bucket, slice_rows)
+    sums = tagged.groupBy(*keys, *parts).agg(F.sum(value).alias("__sum"))
+    shifts = sums.select(
+        *keys, *parts,
+        F.coalesce(F.sum("__sum").over(_earlier(keys, parts)), F.lit(0)).alias("__shift"),
+    )
+    before = (
+        Window.partitionBy(*keys, *parts).orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return (
+        tagged.join(shifts, [*keys, *parts])
+        .withColumn(into, F.coalesce(F.sum(value).over(before), F.lit(0)) + F.col("__shift"))
+        .drop(*parts, "__shift")
+    )
 
 
 def carried_forward(
@@ -98,30 +163,31 @@ def carried_forward(
     bucket: Column,
     value: str,
     into: str,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Last non-null ``value`` up to and including each row, per key.
 
     Same two-level plan as :func:`numbered`: the last value of each bucket comes from a
     map-side combined aggregate, only those summaries are windowed across the key.
     """
-    tagged = df.withColumn("__bucket", bucket)
+    tagged, parts = _sliced(df, keys, order, bucket, slice_rows)
     last_value = F.max_by(
         F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))
     ).alias("__last")
-    summaries = tagged.groupBy(*keys, "__bucket").agg(last_value)
+    summaries = tagged.groupBy(*keys, *parts).agg(last_value)
     before = summaries.select(
-        *keys, "__bucket",
-        F.last("__last", ignorenulls=True).over(_earlier_buckets(keys)).alias("__before"),
+        *keys, *parts,
+        F.last("__last", ignorenulls=True).over(_earlier(keys, parts)).alias("__before"),
     )
     inside = (
-        Window.partitionBy(*keys, "__bucket").orderBy(*order)
+        Window.partitionBy(*keys, *parts).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        tagged.join(before, [*keys, "__bucket"])
+        tagged.join(before, [*keys, *parts])
         .withColumn(
             into,
             F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("__before")),
         )
-        .drop("__bucket", "__before")
+        .drop(*parts, "__before")
     )

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from reviewloom.functions.text import line_label
 from reviewloom.operators import findings as fnd
 from reviewloom.operators.merge import in_changed_files
+from reviewloom.operators.parts import PART_BYTES, byte_parts
+from reviewloom.operators.ranking import SLICE_ROWS
 
 FENCE = "```"
 
@@ -139,15 +141,8 @@ def full_prompts(
     return rows.select("review_id", prompt.alias("prompt"))
 
 
-def incremental_prompts(
-    reviews: DataFrame, changes: DataFrame, findings: DataFrame, rows_per_part: int = ROWS_PER_PART
-) -> DataFrame:
-    """Diff prompts of any size as ordered parts ``review_id, section, file_order, file, part, text``.
-
-    Neither diffs nor lint lines are capped, so nothing is collected per review. A part
-    covers a range of ``rows_per_part`` positions of one file's list, where positions are
-    unique; sorted by the order columns and joined by newlines the parts are the whole prompt.
-    """
+def _incremental_units(reviews: DataFrame, changes: DataFrame, findings: DataFrame) -> DataFrame:
+    """Diff prompts as ordered units ``review_id, section, file_order, file, position, text``."""
     counts = changes.groupBy("review_id").agg(F.count(F.lit(1)).alias("n"))
     listed = reviews.join(counts, "review_id", "left")
     head = _lines(
@@ -191,7 +186,7 @@ def incremental_prompts(
         F.lit(" "), _rule(), F.lit(" "), "message",
     )
     heading = fnd.total_findings(relevant, "review_id").where(F.col("total") > 0)
-    rows = (
+    return (
         units(listed, unit(0, zero, none, zero, head), unit(3, zero, none, zero, tail))
         .unionByName(units(keyed_changes, unit(1, zero, none, F.col("file_no"), diff)))
         .unionByName(
@@ -205,13 +200,41 @@ def incremental_prompts(
         )
         .select("review_id", "u.*")
     )
+
+
+def incremental_prompts(
+    reviews: DataFrame, changes: DataFrame, findings: DataFrame, rows_per_part: int = ROWS_PER_PART
+) -> DataFrame:
+    """Diff prompts of any size as ordered parts ``review_id, section, file_order, file, part, text``.
+
+    Neither diffs nor lint lines are capped, so nothing is collected per review. A part
+    covers a range of ``rows_per_part`` positions of one file's list, where positions are
+    unique; sorted by the order columns and joined by newlines the parts are the whole prompt.
+    """
     part = F.floor(F.col("position") / rows_per_part).alias("part")
     return (
-        rows.groupBy("review_id", "section", "file_order", "file", part)
+        _incremental_units(reviews, changes, findings)
+        .groupBy("review_id", "section", "file_order", "file", part)
         .agg(_joined(["position"], "text").alias("text"))
     )
 
 
+def incremental_prompt_parts(
+    reviews: DataFrame, changes: DataFrame, findings: DataFrame, max_bytes: int = PART_BYTES,
+    slice_rows: int | None = SLICE_ROWS,
+) -> DataFrame:
+    """Diff prompts as ``review_id, part, text``, run together in the order of ``part``.
+
+    No part has more than ``max_bytes`` bytes, whatever the length of a diff or a list.
+    """
+    units = _incremental_units(reviews, changes, findings)
+    line = F.when(F.col("section") == 0, F.col("text")).otherwise(F.concat(F.lit("\n"), "text"))
+    return byte_parts(
+        units.withColumn("text", line), ["review_id"], ["section", "file_order", "file", "position"],
+        F.col("section"), "text", max_bytes, slice_rows,
+    )
+
+
 def fix_prompts(
     reviews: DataFrame,
     issues: DataFrame,

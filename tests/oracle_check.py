@@ -42,8 +42,7 @@ def compare(spark, con, build, sql, sf_dir):
     if sorted(frame.columns) != sorted(names):
         return f"columns {sorted(frame.columns)} vs {sorted(names)}", len(got)
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        missing = [r for r in want if r not in set(got)][:3]
+        extra, missing = sorted(set(got) - set(want))[:3], sorted(set(want) - set(got))[:3]
         return f"{len(got)} vs {len(want)} rows\n   spark only {extra}\n   sql only   {missing}", len(got)
     return None, len(got)
 

@@ -44,8 +44,11 @@ def test_top_k_limits_before_the_shuffle(frame):
     assert text.count("WindowGroupLimit") == 2
 
 
-def test_numbered(frame, rows):
-    got = ranking.numbered(frame, ["k"], ["day", "id"], F.col("day"), "n", {"id": "before", "v": "w"})
+@pytest.mark.parametrize("slice_rows", [None, 8, 10**6])
+@pytest.mark.parametrize("bucket", ["day", "1"])
+def test_numbered(frame, rows, bucket, slice_rows):
+    got = ranking.numbered(
+        frame, ["k"], ["day", "id"], F.expr(bucket), "n", {"id": "before", "v": "w"}, slice_rows)
     want = {
         (key, g[n][1], n + 1, g[n - 1][1] if n else None, g[n - 1][2] if n else None)
         for key, g in by_key(rows).items() for n in range(len(g))
@@ -53,8 +56,10 @@ def test_numbered(frame, rows):
     assert {(r["k"], r["id"], r["n"], r["before"], r["w"]) for r in got.collect()} == want
 
 
-def test_carried_forward(frame, rows):
-    got = ranking.carried_forward(frame, ["k"], ["day", "id"], F.col("day"), "v", "c")
+@pytest.mark.parametrize("slice_rows", [None, 8])
+@pytest.mark.parametrize("bucket", ["day", "1"])
+def test_carried_forward(frame, rows, bucket, slice_rows):
+    got = ranking.carried_forward(frame, ["k"], ["day", "id"], F.expr(bucket), "v", "c", slice_rows)
     want = set()
     for key, group in by_key(rows).items():
         last = None
@@ -62,3 +67,25 @@ def test_carried_forward(frame, rows):
             last = v if v is not None else last
             want.add((key, i, last))
     assert {(r["k"], r["id"], r["c"]) for r in got.collect()} == want
+
+
+def test_running_total(frame, rows):
+    got = ranking.running_total(frame, ["k"], ["day", "id"], F.lit(1), "id", "before", 8)
+    want = {
+        (key, i, sum(j for _, j, _ in g[:n])) for key, g in by_key(rows).items() for n, (_, i, _) in enumerate(g)
+    }
+    assert {(r["k"], r["id"], r["before"]) for r in got.collect()} == want
+
+
+def test_slices_of_one_hot_day_are_small_and_spread(spark):
+    """A third of all rows lies in one bucket; no slice or task gets a fixed share of them."""
+    rows = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id", "1 AS day")
+    sliced, parts = ranking._sliced(rows, ["k"], ["id"], F.col("day"), 50)
+    sizes = [r["count"] for r in sliced.where("k = 0").groupBy(*parts).count().collect()]
+    assert sum(sizes) == 10_000 and len(sizes) > 128 and max(sizes) < 1000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = [r["count"] for r in sliced.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(tasks) < 30_000 / 4
