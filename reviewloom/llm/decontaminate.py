@@ -2,10 +2,11 @@
 
 Documents stay where they are read. Each task gathers them into shards of bounded size and
 builds a word suffix array of each shard; every suffix of the benchmark items is then
-binary-searched in it, all suffixes at once. The range found has all places where the first
+binary-searched in it, all at once. The range found has all places where the first
 words of the test suffix occur verbatim; from each place the match is extended as far as both
-texts agree. Found ranges are compared word by word with the texts, so equal hashes of
-different words do no harm.
+texts agree. Words are compared as text before they are numbered, so equal hashes of
+different words do no harm. Test suffixes that begin with the same window are searched once,
+and a document gets the set of their items, not every pair of an item and a place.
 
 A suffix that does not begin with as many benchmark words as the shortest window has cannot
 equal the start of any window, and is left out of the array.
@@ -33,40 +34,160 @@ from reviewloom.llm.text import ALNUM, utf8, word_hashes, words
 
 WINDOW = 13
 BLOCK_CHARS = 16_000_000
+# Letters of a word that are compared for all words at once; longer words go on one by one.
+_LETTERS = 64
 #: Words of a shard; a longer document is a shard of its own.
 SHARD_WORDS = 1_000_000
 _MATCH = "struct<item_id: string, item_at: int, doc_at: int, n_words: int>"
-_FOUND = f"n_words bigint, matches array<{_MATCH}>"
 _MATCH_TYPE = pa.list_(pa.struct([
     ("item_id", pa.string()), ("item_at", pa.int32()), ("doc_at", pa.int32()), ("n_words", pa.int32())]))
+_NO_ITEMS = np.zeros(0, dtype=np.int32)
 
 
 class TestSuffixes:
-    """The suffixes of a block of benchmark items that begin a window."""
+    """The suffixes of a block of benchmark items that begin a window, sorted, as compact arrays.
+
+    Suffixes with equal first words are one group with one list of items, so a passage that
+    many items share is searched, extended and counted once.
+    """
 
     __test__ = False
 
     def __init__(self, item_ids: list[str], texts: list[str], window: int):
         flat, bounds = utf8(pa.array(texts, pa.large_string()))
         starts, ends, first = words(flat, bounds, ALNUM)
-        hashes = word_hashes(flat, starts, ends)
-        self.vocabulary = np.unique(hashes)
+        spelled = _spelled(flat, starts, ends)
+        of = dict(zip(spelled, word_hashes(flat, starts, ends).tolist()))
+        ordered = sorted(of, key=lambda word: (of[word], word))
         # Ids from 1; 0 is any other word, and stands after the end of each item too.
-        coded = np.searchsorted(self.vocabulary, hashes) + 1
+        code = {word: k + 1 for k, word in enumerate(ordered)}
+        self.vocabulary = np.array([of[word] for word in ordered], dtype=np.uint64)
+        self.alike = int(np.unique(self.vocabulary, return_counts=True)[1].max()) if ordered else 0
+        self.letters = np.frombuffer(b"".join(ordered), dtype=np.uint8)
+        self.letter_ends = np.cumsum([len(word) for word in ordered], dtype=np.int64)
         sizes = np.diff(first)
-        self.item_ids = item_ids
-        self.words = [_spelled(flat, starts[a:b], ends[a:b]) for a, b in zip(first[:-1], first[1:])]
-        self.sizes = sizes
+        self.window = window
+        self.item_ids, self.sizes = item_ids, sizes
         self.item_first = np.cumsum(sizes + window) - (sizes + window)
-        self.coded = np.zeros(int((sizes + window).sum()), dtype=np.int64)
+        self.coded = np.zeros(int((sizes + window).sum()) + window, dtype=np.int32)
+        shift = np.repeat(np.arange(len(sizes)) * window, sizes)
+        self.coded[np.arange(len(spelled)) + shift] = [code[word] for word in spelled]
         n_windows = np.where(sizes >= window, sizes - window + 1, (sizes > 0).astype(np.int64))
-        self.item = np.repeat(np.arange(len(sizes)), n_windows)
-        self.at = np.arange(len(self.item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        for k, (a, b) in enumerate(zip(first[:-1], first[1:])):
-            self.coded[self.item_first[k] : self.item_first[k] + sizes[k]] = coded[a:b]
-        self.length = np.minimum(sizes[self.item], window)
-        self.heads = self.coded[(self.item_first[self.item] + self.at)[:, None] + np.arange(window)]
-        self.shortest = int(self.length.min()) if len(self.length) else 0
+        item = np.repeat(np.arange(len(sizes)), n_windows)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+        place = self.item_first[item] + at
+        order = np.argsort(_ranks(self.coded, int(sizes.max(initial=0)) + 1)[place], kind="stable")
+        self.item, self.at, self.place = item[order].astype(np.int32), at[order].astype(np.int32), place[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = False
+        for k in range(window):
+            new[1:] |= self.coded[self.place[1:] + k] != self.coded[self.place[:-1] + k]
+        self.group_first = np.flatnonzero(new)
+        self.group_end = np.append(self.group_first[1:], len(order)).astype(np.int64)
+        heads = self.place[self.group_first]
+        self.length = sum(((self.coded[heads + k] > 0).astype(np.int64) for k in range(window)),
+                          np.zeros(len(heads), dtype=np.int64))
+        self.shortest = int(self.length.min()) if len(heads) else 0
+        self._list_items(np.cumsum(new) - 1)
+        # The word before all suffixes of a group, if it is the same for all; else 0.
+        before = np.where(self.at > 0, self.coded[self.place - 1], 0)
+        if len(heads):
+            low, high = (f.reduceat(before, self.group_first) for f in (np.minimum, np.maximum))
+            before = np.where(low == high, low, 0)
+        self.before = before
+
+    def _list_items(self, group: np.ndarray) -> None:
+        """The distinct item ids of each group, as places in the sorted list of all ids."""
+        self.names = sorted(set(self.item_ids))
+        rank = {name: k for k, name in enumerate(self.names)}
+        ranks = np.array([rank[name] for name in self.item_ids], dtype=np.int64)
+        pairs = np.unique(group * max(1, len(self.names)) + ranks[self.item])
+        self.listed = (pairs % max(1, len(self.names))).astype(np.int32)
+        self.listed_ends = np.searchsorted(
+            pairs // max(1, len(self.names)), np.arange(len(self.group_first)), side="right")
+
+    def heads(self, groups: np.ndarray) -> np.ndarray:
+        return self.coded[self.place[self.group_first[groups]][:, None] + np.arange(self.window)]
+
+    def items_of(self, groups: np.ndarray) -> np.ndarray:
+        """The distinct items of some groups, in the order of their ids."""
+        lists = [self.listed[self.listed_ends[g - 1] if g else 0 : self.listed_ends[g]] for g in groups.tolist()]
+        return lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+
+    def encode(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ids of words; words are compared letter by letter, not only by hash."""
+        coded = np.zeros(len(starts), dtype=np.int32)
+        if not len(self.vocabulary) or not len(starts):
+            return coded
+        hashes = word_hashes(flat, starts, ends)
+        first = np.searchsorted(self.vocabulary, hashes)
+        for step in range(self.alike):
+            entry = np.minimum(first + step, len(self.vocabulary) - 1)
+            some = np.flatnonzero((self.vocabulary[entry] == hashes) & (coded == 0))
+            same = some[self._same(flat, starts[some], ends[some], entry[some])]
+            coded[same] = entry[same] + 1
+        return coded
+
+    def _same(self, flat, starts, ends, entry) -> np.ndarray:
+        theirs = np.where(entry > 0, self.letter_ends[entry - 1], 0)
+        sizes = ends - starts
+        equal = sizes == self.letter_ends[entry] - theirs
+        open_ = np.flatnonzero(equal)
+        for k in range(_LETTERS):
+            open_ = open_[sizes[open_] > k]
+            if not len(open_):
+                return equal
+            letter = flat[starts[open_] + k]
+            letter = np.where((letter >= 65) & (letter <= 90), letter + 32, letter)
+            differ = letter != self.letters[theirs[open_] + k]
+            equal[open_[differ]] = False
+            open_ = open_[~differ]
+        for k in open_.tolist():
+            own = flat[starts[k] : ends[k]].tobytes().lower()
+            equal[k] = own == self.letters[theirs[k] : theirs[k] + sizes[k]].tobytes()
+        return equal
+
+    def extend(self, groups: np.ndarray, spread: np.ndarray, places: np.ndarray):
+        """Longest match of any suffix of each group from each place, and a suffix that has it.
+
+        The suffixes that agree so far are one range of the sorted list; each further word
+        narrows it by binary search.
+        """
+        low, high = self.group_first[groups].copy(), self.group_end[groups].copy()
+        length = self.length[groups].copy()
+        growing = np.flatnonzero(length == self.window)
+        while len(growing):
+            wanted = spread[places[growing] + length[growing]]
+            growing, wanted = growing[wanted > 0], wanted[wanted > 0]
+            lower, upper = (self._bound(low[growing], high[growing], length[growing], wanted + up) for up in (0, 1))
+            more = lower < upper
+            growing = growing[more]
+            low[growing], high[growing] = lower[more], upper[more]
+            length[growing] += 1
+        return length, low
+
+    def _bound(self, low, high, depth, wanted) -> np.ndarray:
+        """First of the suffixes low..high whose word at ``depth`` is not below ``wanted``."""
+        low, high = low.copy(), high.copy()
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            mid = (low[open_] + high[open_]) // 2
+            less = self.coded[self.place[mid] + depth[open_]] < wanted[open_]
+            low[open_[less]] = mid[less] + 1
+            high[open_[~less]] = mid[~less]
+            open_ = open_[low[open_] < high[open_]]
+        return low
+
+
+def _ranks(coded: np.ndarray, depth: int) -> np.ndarray:
+    """Places' ranks by at least their first ``depth`` words, by prefix doubling."""
+    ranks, step = coded.astype(np.int64), 1
+    while step < depth:
+        after = np.zeros_like(ranks)
+        after[: len(ranks) - step] = ranks[step:]
+        ranks = np.unique(ranks * (int(ranks.max(initial=0)) + 1) + after, return_inverse=True)[1] + 0
+        step *= 2
+    return ranks
 
 
 def _spelled(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -92,93 +213,84 @@ def suffix_array(coded: np.ndarray, shortest: int, window: int) -> np.ndarray:
 
 
 def search(order: np.ndarray, coded: np.ndarray, suffixes: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
-    """For each test suffix, the range of the array whose first words equal its first words."""
-    window = suffixes.heads.shape[1]
+    """For each group of test suffixes, the range of the array whose first words equal its first words."""
+    window, n = suffixes.window, len(suffixes.length)
+    heads = suffixes.heads(np.arange(n))
     within = np.arange(window)[None, :] < suffixes.length[:, None]
 
     def bound(strict: bool) -> np.ndarray:
-        low = np.zeros(len(suffixes.item), dtype=np.int64)
-        high = np.full(len(suffixes.item), len(order), dtype=np.int64)
+        low = np.zeros(n, dtype=np.int64)
+        high = np.full(n, len(order), dtype=np.int64)
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
                 return low
             mid = (low[open_] + high[open_]) // 2
             there = coded[order[mid][:, None] + np.arange(window)]
-            differ = (there != suffixes.heads[open_]) & within[open_]
+            differ = (there != heads[open_]) & within[open_]
             k = np.argmax(differ, axis=1)
             rows = np.arange(len(open_))
             some = differ[rows, k]
-            less = some & (there[rows, k] < suffixes.heads[open_][rows, k])
+            less = some & (there[rows, k] < heads[open_][rows, k])
             right = less | (~some if strict else False)
             low[open_] = np.where(right, mid + 1, low[open_])
             high[open_] = np.where(right, high[open_], mid)
 
-    if not len(order) or not len(suffixes.item):
-        none = np.zeros(len(suffixes.item), dtype=np.int64)
+    if not len(order) or not n:
+        none = np.zeros(n, dtype=np.int64)
         return none, none
     return bound(False), bound(True)
 
 
-def matches(flat, bounds, suffixes: TestSuffixes, window: int) -> tuple[np.ndarray, list[list[tuple]]]:
-    """Words of each text, and its verified matches (item index, item word, word, words)."""
+def matches(flat, bounds, suffixes: TestSuffixes, window: int):
+    """Words of each text, its maximal matches (item index, item word, word, words) and its items.
+
+    A place has at most one group of each length, so the work grows with the words of the
+    texts, however many items share a passage. A match is given once, with one item that has
+    it; the items are places in ``suffixes.names``.
+    """
     starts, ends, first = words(flat, bounds, ALNUM)
     counts = np.diff(first)
     found: list[list[tuple]] = [[] for _ in counts]
-    if not len(suffixes.item) or not len(starts):
-        return counts, found
-    hashes = word_hashes(flat, starts, ends)
-    place = np.searchsorted(suffixes.vocabulary, hashes)
-    place[place == len(suffixes.vocabulary)] = 0
-    coded = np.where(suffixes.vocabulary[place] == hashes, place + 1, 0)
+    items = [_NO_ITEMS] * len(counts)
+    if not len(suffixes.length) or not len(starts):
+        return counts, found, items
+    coded = suffixes.encode(flat, starts, ends)
     # Unknown words between the texts, so that no match goes over the end of one.
     gap = window
     shift = np.repeat(np.arange(len(counts)) * gap, counts)
-    spread = np.zeros(len(coded) + gap * len(counts) + window, dtype=np.int64)
+    spread = np.zeros(len(coded) + gap * len(counts) + window, dtype=np.int32)
     spread[np.arange(len(coded)) + shift] = coded
     text_first = first[:-1] + np.arange(len(counts)) * gap
     order = suffix_array(spread, suffixes.shortest, window)
     low, high = search(order, spread, suffixes)
     hit = np.flatnonzero(high > low)
     if not len(hit):
-        return counts, found
+        return counts, found, items
     sizes = (high - low)[hit]
-    which = np.repeat(hit, sizes)
+    groups = np.repeat(hit, sizes)
     ranges = np.repeat(low[hit] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
     places = order[ranges]
-    # Only the first suffix of a run is extended: the one whose word before differs.
-    here = suffixes.item_first[suffixes.item[which]] + suffixes.at[which]
-    before = (suffixes.at[which] > 0) & (places > 0)
-    before[before] = suffixes.coded[here[before] - 1] == spread[places[before] - 1]
-    which, places, here = which[~before], places[~before], here[~before]
-    length = suffixes.length[which].copy()
-    growing = np.arange(len(length))
-    item_end = suffixes.item_first[suffixes.item[which]] + suffixes.sizes[suffixes.item[which]]
-    while len(growing):
-        a, b = here[growing] + length[growing], places[growing] + length[growing]
-        more = (a < item_end[growing]) & (b < len(spread))
-        growing, a, b = growing[more], a[more], b[more]
-        growing = growing[(suffixes.coded[a] == spread[b]) & (spread[b] > 0)]
-        length[growing] += 1
+    by_place = np.argsort(places, kind="stable")
+    groups, places = groups[by_place], places[by_place]
     texts = np.searchsorted(text_first, places, side="right") - 1
-    spelled: dict[int, list[bytes]] = {}
-    for k in np.argsort(texts, kind="stable").tolist():
-        text, item, at, size = int(texts[k]), int(suffixes.item[which[k]]), int(suffixes.at[which[k]]), int(length[k])
-        if text not in spelled:
-            spelled = {text: _spelled(flat, starts[first[text] : first[text + 1]], ends[first[text] : first[text + 1]])}
-        to = int(places[k] - text_first[text])
-        for a, b in _verified(suffixes.words[item][at : at + size], spelled[text][to : to + size]):
-            if b - a >= min(window, int(suffixes.sizes[item])):
-                found[text].append((item, at + a, to + a, b - a))
-    return counts, found
-
-
-def _verified(ours: list[bytes], theirs: list[bytes]) -> list[tuple[int, int]]:
-    """Ranges in which the words are equal as text, not only as hashes."""
-    if ours == theirs:
-        return [(0, len(ours))]
-    cuts = [-1, *[k for k, (a, b) in enumerate(zip(ours, theirs)) if a != b], len(ours)]
-    return [(a + 1, b) for a, b in zip(cuts[:-1], cuts[1:]) if b > a + 1]
+    cuts = np.flatnonzero(np.diff(texts, prepend=-1, append=len(counts)))
+    known: dict[bytes, np.ndarray] = {}
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        own = np.unique(groups[a:b])
+        key = own.tobytes()
+        if key not in known:
+            known[key] = suffixes.items_of(own)
+        items[int(texts[a])] = known[key]
+    # A match that all suffixes of a group continue to the left is part of a longer one.
+    previous = np.where(places > 0, spread[places - 1], 0)
+    starting = (previous == 0) | (previous != suffixes.before[groups])
+    groups, places, texts = groups[starting], places[starting], texts[starting]
+    length, suffix = suffixes.extend(groups, spread, places)
+    columns = (texts, suffixes.item[suffix], suffixes.at[suffix], places - text_first[texts], length)
+    for text, item, at, to, size in zip(*(column.tolist() for column in columns)):
+        found[text].append((item, at, to, size))
+    return counts, found, items
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[list[str], list[str]]]:
@@ -201,14 +313,17 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[list[str],
 def find_matches(
     documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """All columns of ``documents`` with ``n_words`` and ``matches``.
+    """All columns of ``documents`` with ``n_words``, ``matches`` and ``items``.
 
-    ``matches`` are the maximal verbatim matches of at least a window (or a whole shorter
-    item): item id, place in the item, place in the document and length, counted in words.
+    ``matches`` are verbatim matches of at least a window (or a whole shorter item): item id,
+    place in the item, place in the document and length, counted in words. From each place
+    where one begins the longest is given, with one item that has it; together they cover
+    every hit word. ``items`` are the distinct ids of all items with occurring windows, sorted.
     """
     spark = prepared(documents.sparkSession)
     found = documents.withColumns({
-        "n_words": F.lit(None).cast("bigint"), "matches": F.array().cast(f"array<{_MATCH}>")})
+        "n_words": F.lit(None).cast("bigint"), "matches": F.array().cast(f"array<{_MATCH}>"),
+        "items": F.array().cast("array<string>")})
     schema = found.schema
     blocks = 0
     for ids, texts in _blocks(benchmark, block_chars):
@@ -240,15 +355,20 @@ def _searcher(shared, window: int):
 def _search_shard(batches: list[pa.RecordBatch], suffixes: TestSuffixes, window: int):
     table = pa.Table.from_batches(batches)
     flat, bounds = utf8(table.column("text"))
-    counts, found = matches(flat, bounds, suffixes, window)
-    some = len(table.column("matches").combine_chunks().flatten()) > 0
-    earlier = table.column("matches").to_pylist() if some else None
-    rows = []
-    for k, own in enumerate(found):
-        new = [{"item_id": suffixes.item_ids[i], "item_at": a, "doc_at": d, "n_words": n} for i, a, d, n in own]
-        rows.append((earlier[k] if earlier else []) + new)
-    table = table.set_column(table.schema.get_field_index("n_words"), "n_words", pa.array(counts, pa.int64()))
-    table = table.set_column(table.schema.get_field_index("matches"), "matches", pa.array(rows, _MATCH_TYPE))
+    counts, found, items = matches(flat, bounds, suffixes, window)
+    earlier = table.column("matches").combine_chunks()
+    rows = [[{"item_id": suffixes.item_ids[i], "item_at": a, "doc_at": d, "n_words": n} for i, a, d, n in own]
+            for own in found]
+    names = pa.array(suffixes.names, pa.string())
+    ends = np.cumsum([0, *map(len, items)], dtype=np.int32)
+    listed = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(np.concatenate([_NO_ITEMS, *items]))))
+    if len(earlier.flatten()):
+        rows = [a + b for a, b in zip(earlier.to_pylist(), rows)]
+        both = zip(table.column("items").to_pylist(), listed.to_pylist())
+        listed = pa.array([sorted({*a, *b}) for a, b in both], pa.list_(pa.string()))
+    new = {"n_words": pa.array(counts, pa.int64()), "matches": pa.array(rows, _MATCH_TYPE), "items": listed}
+    for name, column in new.items():
+        table = table.set_column(table.schema.get_field_index(name), name, column)
     yield from table.combine_chunks().to_batches()
 
 
@@ -263,11 +383,12 @@ def with_verdict(found: DataFrame, per_hit: int = 20) -> DataFrame:
     covered = F.aggregate(ordered, none, lambda s, m: F.struct(
         (s["n"] + F.greatest(F.lit(0).cast("bigint"), m["b"] - F.greatest(m["a"], s["to"]))).alias("n"),
         F.greatest(s["to"], m["b"]).alias("to")))["n"]
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
-    return found.withColumns({"n_hit": covered, "items": items}).withColumns({
+    return found.withColumns({
+        "n_hit": covered,
         "n_items": F.size("items").cast("bigint"),
         "items_sha256": F.sha2(F.array_join("items", ","), 256),
         "longest": F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0)),
+    }).withColumns({
         "contaminated": (F.col("n_hit") > 0) & (F.lit(per_hit) * F.col("n_hit") >= F.col("n_words")),
     }).drop("items")
 

@@ -61,6 +61,49 @@ def test_removal_keeps_columns_and_clean_rows(make):
     assert dc.remove_contaminated(make([], DOCS), make(items, ITEMS)).count() == 0
 
 
+def longest(text, items, window):
+    """Longest run of words that the text shares with an item, from a whole window or short item on."""
+    best = 0
+    for item in items:
+        for p in range(len(text)):
+            for q in range(len(item)):
+                size = 0
+                while p + size < len(text) and q + size < len(item) and text[p + size] == item[q + size]:
+                    size += 1
+                if size >= window or 0 < len(item) == size:
+                    best = max(best, size)
+    return best
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_shared_passages_are_not_multiplied(n):
+    import time
+
+    import pyarrow as pa
+    from reviewloom.llm.text import utf8
+
+    passage = " ".join(LONG.split()[:13])
+    suffixes = dc.TestSuffixes([str(k) for k in range(n)], [f"a{k} {passage} z{k}" for k in range(n)], 13)
+    start = time.time()
+    _, found, listed = dc.matches(*utf8(pa.array([f"u{k} {passage} v{k}" for k in range(n)])), suffixes, 13)
+    assert all(len(own) == 1 for own in found) and all(len(ids) == n for ids in listed)
+    assert time.time() - start < 1
+
+
+def test_words_of_equal_hash_are_told_apart(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from reviewloom.llm.text import utf8
+
+    monkeypatch.setattr(dc, "word_hashes", lambda flat, starts, ends: (ends - starts).astype(np.uint64))
+    long = "y" * 100
+    items = ["aa bb cc", f"aa {long}a x"]
+    docs = ["aa BB cc", "bb aa cc", f"AA {long}a x", f"aa {long}b x", "dd"]
+    suffixes = dc.TestSuffixes(["1", "2"], items, 3)
+    found = dc.matches(*utf8(pa.array(docs)), suffixes, 3)[1]
+    assert [[i for i, *_ in own] for own in found] == [[0], [], [1], [], []]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=30), min_size=1, max_size=5),
        st.lists(st.lists(st.sampled_from("abcd"), max_size=12), min_size=1, max_size=4))
@@ -72,10 +115,12 @@ def test_search_equals_brute_force(docs, items):
     suffixes = dc.TestSuffixes([str(k) for k in range(len(items))], items, 4)
     from reviewloom.llm.text import utf8
 
-    counts, found = dc.matches(*utf8(pa.array(docs)), suffixes, 4)
-    for text, n, own, want in zip(docs, counts, found, brute(docs, list(enumerate(items)), 4)):
+    counts, found, listed = dc.matches(*utf8(pa.array(docs)), suffixes, 4)
+    for text, n, own, ids, want in zip(docs, counts, found, listed, brute(docs, list(enumerate(items)), 4)):
         hit = {x for _, _, at, size in own for x in range(at, at + size)}
-        assert (int(n), len(hit), len({i for i, *_ in own})) == want[:3]
+        assert (int(n), len(hit), len(ids)) == want[:3]
+        assert hashlib.sha256(",".join(suffixes.names[k] for k in ids).encode()).hexdigest() == want[3]
+        assert max((size for *_, size in own), default=0) == longest(words(text), map(words, items), 4)
         for i, at, to, size in own:
             assert words(items[i])[at : at + size] == words(text)[to : to + size]
     assert isinstance(counts, np.ndarray)
