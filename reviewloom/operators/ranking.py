@@ -17,6 +17,8 @@ _SLICED_FROM = 500
 _SLICES = 128
 # Expected rows of a slice of an ordered bucket, for keys that may put any share of their rows into one.
 SLICE_ROWS = 65_536
+# Copies of the few cuts, so that the rows of one bucket look them up in as many tasks.
+_SALTS = 128
 # Cuts that one coarse cut stands for when a row looks up its slice.
 _COARSE = 128
 
@@ -67,14 +69,16 @@ def _sliced(
     cuts = (
         tagged.where(drawn).groupBy(*group).agg(F.sort_array(F.collect_set(place)).alias("__cuts"))
         .withColumn("__coarse", F.filter("__cuts", lambda _, i: i % _COARSE == 0))
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("bigint"))
     )
     block = F.size(F.filter("__coarse", lambda cut: cut <= place)) - 1
     within = F.slice("__cuts", block * _COARSE + 1, _COARSE)
     number = block * _COARSE + F.size(F.filter(within, lambda cut: cut <= place))
     rows = (
-        tagged.join(cuts, group, "left")
+        tagged.withColumn("__salt", F.pmod(F.xxhash64(*order, F.lit(1)), F.lit(_SALTS)).cast("bigint"))
+        .join(cuts, [*group, "__salt"], "left")
         .withColumn("__slice", F.when(block >= 0, number).otherwise(0))
-        .drop("__cuts", "__coarse")
+        .drop("__cuts", "__coarse", "__salt")
     )
     # Named in full: the partitioning by bucket that the join leaves would serve a window too.
     return rows.repartition(*group, "__slice"), ["__bucket", "__slice"]
