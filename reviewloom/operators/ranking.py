@@ -69,7 +69,7 @@ def _sliced(
     cuts = (
         tagged.where(drawn).groupBy(*group).agg(F.sort_array(F.collect_set(place)).alias("__cuts"))
         .withColumn("__coarse", F.filter("__cuts", lambda _, i: i % _COARSE == 0))
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("bigint"))
+        .withColumn("__salt", F.explode(F.expr(f"sequence(0L, {_SALTS - 1}L)")))
     )
     block = F.size(F.filter("__coarse", lambda cut: cut <= place)) - 1
     within = F.slice("__cuts", block * _COARSE + 1, _COARSE)
