@@ -9,7 +9,7 @@ from reviewloom.catalog.views import oracle
 from reviewloom.operators import merge
 from reviewloom.session import scratch_dir
 from reviewloom.sources.samples import Samples
-from reviewloom.streaming import append, open_issues as stream
+from reviewloom.streaming import append, compacted, open_issues as stream
 
 
 def stream_open_issues(spark, sf_dir):
@@ -29,6 +29,23 @@ def stream_open_issues(spark, sf_dir):
     return merge.open_issue_totals(opened)
 
 
+def stream_compacted_issues(spark, sf_dir):
+    """Open issues from a stream whose log is compacted after every second batch."""
+    s = Samples(spark, sf_dir)
+    rounds = s.reviews().select("review_id", "repo_id", "created_at", "mode")
+    folder = scratch_dir(spark, "compacted-issues")
+    events = compacted.review_events(rounds, s.issues(), s.changes())
+    events.repartitionByRange(4, "at").write.parquet(f"{folder}/events")
+    source = (
+        spark.readStream.schema(stream.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    )
+    compacted.compacted_stream(source, f"{folder}/log", f"{folder}/check", most=2).awaitTermination()
+    occurrences = compacted.current_occurrences(spark, f"{folder}/log")
+    return stream.open_issues(occurrences, rounds, s.changes()).select(
+        "repo_id", "review_id", "seq", "file", "severity", "message"
+    )
+
+
 def stream_append(spark, sf_dir):
     """Orders appended as reviews by a stream, counted per branch and month."""
     folder = scratch_dir(spark, "append")
@@ -51,10 +68,15 @@ def stream_append(spark, sf_dir):
     )
 
 
-QUERIES = {"stream_open_issues": stream_open_issues, "stream_append": stream_append}
+QUERIES = {
+    "stream_open_issues": stream_open_issues,
+    "stream_compacted_issues": stream_compacted_issues,
+    "stream_append": stream_append,
+}
 
 ORACLES = {
     "stream_open_issues": _MERGE_ORACLES["open_issues"],
+    "stream_compacted_issues": _MERGE_ORACLES["open_issue_list"],
     "stream_append": oracle(
         "SELECT branch, strftime(created_at, '%Y-%m') AS month, count(*) AS n, CAST(sum(review_id) AS "
         "BIGINT) AS ids FROM fx_reviews GROUP BY ALL", "reviews"),

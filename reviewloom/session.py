@@ -66,6 +66,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below a folder; none if it does not exist."""
+    place, system = _file_system(spark, path)
+    if not system.exists(place):
+        return []
+    return [s.getPath().getName() for s in system.listStatus(place) if s.isDirectory()]
+
+
+def total_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    place, system = _file_system(spark, path)
+    return system.getContentSummary(place).getLength()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder that nothing reads any more."""
     place, system = _file_system(spark, path)
