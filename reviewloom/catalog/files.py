@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from reviewloom.catalog.views import oracle
 from reviewloom.functions import paths as P
 from reviewloom.operators import files as fl, languages as lang
+from reviewloom.session import scratch_dir
+from reviewloom.sources import trees
 from reviewloom.sources.samples import Samples
 
 
@@ -24,6 +26,14 @@ def source_listing(spark, sf_dir):
     return fl.source_files(Samples(spark, sf_dir).view("files"))
 
 
+def tree_listing(spark, sf_dir):
+    """Files unpacked as a source tree, listed without opening ignored directories, then read."""
+    root = scratch_dir(spark, "source-tree")
+    trees.write_source_tree(Samples(spark, sf_dir).view("files"), root)
+    listing = trees.list_source_tree(spark, root, extensions=P.SOURCE_EXTENSIONS)
+    return trees.with_contents(listing, root).select("repo_id", "path", F.md5("content").alias("digest"))
+
+
 def file_cap(spark, sf_dir):
     return fl.source_files(Samples(spark, sf_dir).view("files"), max_files=5)
 
@@ -138,6 +148,7 @@ _LINTERS = ", ".join(
 QUERIES = {
     "path_parts": path_parts,
     "source_listing": source_listing,
+    "tree_listing": tree_listing,
     "file_cap": file_cap,
     "listing_with_content": listing_with_content,
     "scan_stats": scan_stats,
@@ -158,6 +169,9 @@ ORACLES = {
         f"CAST({_DEPTH} AS INT) AS depth, {_IGNORED_DIR} AS ignored_dir, "
         f"{_IGNORED_FILE} AS ignored_file, path AS relative FROM fx_files", "files"),
     "source_listing": oracle("SELECT * FROM l", "files", ctes=_listed("files", _SOURCE, 5000)),
+    "tree_listing": oracle(
+        f"SELECT repo_id, path, md5(coalesce(content, '')) AS digest FROM fx_files WHERE {_WALK} AND {_EXT} IN ({_SOURCE})",
+        "files"),
     "file_cap": oracle("SELECT * FROM l", "files", ctes=_listed("files", _SOURCE, 5)),
     "listing_with_content": oracle(
         "SELECT l.repo_id, l.path, CAST(length(content) AS INT) AS chars FROM l "

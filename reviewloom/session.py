@@ -60,6 +60,13 @@ def _file_system(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with scheme and authority, as Spark reads it: without a scheme it lies on the
+    default file system, not on the disk of whichever machine looks."""
+    place, system = _file_system(spark, path)
+    return system.makeQualified(place).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder exists, on whatever file system it lies."""
     place, system = _file_system(spark, path)
