@@ -8,6 +8,8 @@ from reviewloom.catalog.views import oracle
 from reviewloom.functions.text import display_date, short_sha
 from reviewloom.operators import history
 from reviewloom.plans.review import unchanged_reports
+from reviewloom.session import scratch_dir
+from reviewloom.sources.review_store import ReviewStore
 from reviewloom.sources.samples import Samples
 
 
@@ -24,6 +26,29 @@ def latest_review(spark, sf_dir):
     return rows.select("repo_id", "review_id", "mode", "score")
 
 
+def _store(spark, s: Samples) -> ReviewStore:
+    """The sample reviews in a store, appended in two parts."""
+    columns = "review_id bigint, repo_id bigint, created_at timestamp, mode string, score int"
+    store = ReviewStore(spark, scratch_dir(spark, "review-store"), columns, buckets=8, slots=4)
+    reviews = s.reviews().select("review_id", "repo_id", "created_at", "mode", "score")
+    early = F.col("created_at") < F.lit("1995-07-01").cast("timestamp")
+    store.append(reviews.where(early))
+    store.append(reviews.where(~early))
+    return store
+
+
+def stored_latest_review(spark, sf_dir):
+    """Latest reviews from the store: bucketed by repository, no exchange after the appends."""
+    return _store(spark, Samples(spark, sf_dir)).latest().select("repo_id", "review_id", "mode", "score")
+
+
+def stored_review_history(spark, sf_dir):
+    """Histories of the requested repositories from the store; its rows stay where they are."""
+    s = Samples(spark, sf_dir)
+    rows = _store(spark, s).histories(s.view("requests"))
+    return rows.select("repo_id", "review_id", "mode", "score")
+
+
 def last_reviewed_pointer(spark, sf_dir):
     return history.last_reviewed_pointers(Samples(spark, sf_dir).reviews())
 
@@ -181,6 +206,8 @@ _MODES = (
 
 QUERIES = {
     "latest_review": latest_review,
+    "stored_latest_review": stored_latest_review,
+    "stored_review_history": stored_review_history,
     "last_reviewed_pointer": last_reviewed_pointer,
     "review_history": review_history,
     "review_rounds": review_rounds,
@@ -202,6 +229,11 @@ QUERIES = {
 ORACLES = {
     "latest_review": oracle(
         "SELECT repo_id, review_id, mode, score FROM fx_reviews WHERE age = 1", "reviews"),
+    "stored_latest_review": oracle(
+        "SELECT repo_id, review_id, mode, score FROM fx_reviews WHERE age = 1", "reviews"),
+    "stored_review_history": oracle(
+        "SELECT repo_id, review_id, mode, score FROM fx_reviews WHERE repo_id IN (SELECT repo_id FROM fx_requests)",
+        "reviews", "requests"),
     "last_reviewed_pointer": oracle(
         "SELECT repo_id, head_sha AS last_reviewed_sha, branch AS last_reviewed_branch "
         "FROM fx_reviews WHERE age = 1", "reviews"),
