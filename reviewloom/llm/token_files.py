@@ -8,7 +8,10 @@ and of bits, so a memory-mapped shard gives any sequence and its mask without a
 (``open_shard``).
 
 A shard is written under a temporary name and renamed, and its content depends on its rows
-only, so a repeated or speculative task writes the same file again.
+only, so a repeated or speculative task writes the same file again, or leaves the one that is
+there where a rename does not replace. A folder without a scheme is on Spark's default file
+system, never on the disk of an executor. A task holds 64 sequences and the ids of one Arrow
+batch, so a very long text is encoded whole and written in pieces.
 
 Null or empty texts have only the end id. An empty table gives no shards and no rows.
 Other columns of the input are ignored.
@@ -32,6 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from reviewloom.llm.store import prepared, scratch_dir
+from reviewloom.session import qualified
 
 END_ID = 2
 SEQUENCE = 2048
@@ -141,15 +145,21 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder if ":" in folder else f"file://{os.path.abspath(folder)}")
+def _rename(system: fs.FileSystem, part: str, name: str) -> None:
+    """Gives a finished file its name; where one is there already and stays, it is the same."""
+    try:
+        system.move(part, name)
+    except OSError:
+        if system.get_file_info(name).type != fs.FileType.File:
+            raise
+        system.delete_file(part)
 
 
 class ShardWriter:
     """Writes the files of one shard, a bounded number of sequences at a time."""
 
     def __init__(self, folder: str, shard: int, length: int, dtype: np.dtype):
-        self.system, base = _filesystem(folder)
+        self.system, base = fs.FileSystem.from_uri(folder)
         self.system.create_dir(base, recursive=True)
         self.names = [f"{base}/{kind}-{shard:06d}.arrow" for kind in ("tokens", "docs")]
         self.parts = [f"{name}.{uuid.uuid4().hex}.tmp" for name in self.names]
@@ -198,7 +208,7 @@ class ShardWriter:
         for file, sink, part, name in zip(self.files, self.sinks, self.parts, self.names):
             file.close()
             sink.close()
-            self.system.move(part, name)
+            _rename(self.system, part, name)
 
 
 def open_shard(path: str) -> Iterator[tuple[np.ndarray, pa.Array]]:
@@ -219,6 +229,7 @@ def write_tokens(
     ``shards`` is the number of range partitions of ``doc_id``; by default that of shuffles.
     """
     spark = prepared(documents.sparkSession, 256)
+    folder = qualified(spark, folder)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +273,7 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
             for path, start in zip(batch.column("path").to_pylist(), batch.column("shard_start").to_pylist()):
                 yield from _shard_documents(path, start, schema)
 
+    folder = qualified(spark, folder)
     # Names and offsets travel through Spark, one small row per shard.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     names = manifest.select(
@@ -273,8 +285,8 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
 
 
 def _shard_documents(path: str, shard_start: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    system, token_path = _filesystem(path.replace("{}", "tokens"))
-    _, doc_path = _filesystem(path.replace("{}", "docs"))
+    system, token_path = fs.FileSystem.from_uri(path.replace("{}", "tokens"))
+    _, doc_path = fs.FileSystem.from_uri(path.replace("{}", "docs"))
     shard = int(path.rsplit("-", 1)[1].split(".")[0])
     with system.open_input_file(token_path) as token_source, system.open_input_file(doc_path) as doc_source:
         tokens, docs = pa.ipc.open_file(token_source), pa.ipc.open_file(doc_source)

@@ -1,8 +1,11 @@
 import glob
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
+from pyarrow import fs
 from tokenizers import Tokenizer
 
 from reviewloom.llm import token_files as tf
@@ -51,6 +54,28 @@ def test_round_trip(spark, make, tmp_path):
     assert total == sum(len(ids_of(r[1])) for r in rows)
 
 
+def test_a_file_that_is_there_stays(tmp_path):
+    class Kept:
+        """A file system whose rename does not replace."""
+
+        def __init__(self):
+            self.local = fs.LocalFileSystem()
+            self.get_file_info, self.delete_file = self.local.get_file_info, self.local.delete_file
+
+        def move(self, part, name):
+            if os.path.exists(name) or not os.path.exists(part):
+                raise OSError("not renamed")
+            self.local.move(part, name)
+
+    part, name = f"{tmp_path}/x.tmp", f"{tmp_path}/x"
+    for _ in range(2):
+        open(part, "w").close()
+        tf._rename(Kept(), part, name)
+        assert os.listdir(tmp_path) == ["x"]
+    with pytest.raises(OSError):
+        tf._rename(Kept(), f"{tmp_path}/lost.tmp", f"{tmp_path}/y")
+
+
 def test_empty_table(spark, make, tmp_path):
     manifest = tf.write_tokens(make([], SCHEMA), str(tmp_path), PATH)
     assert tf.read_documents(spark, str(tmp_path), manifest).count() == 0
