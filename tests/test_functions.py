@@ -130,3 +130,18 @@ def test_valid_json_too_large_for_a_variant_fails_the_job(spark, tmp_path):
     assert answers.where("id = 1").select(value).first()[0]
     with pytest.raises(Exception, match="larger than a variant"):
         answers.where("id = 0").select(value).collect()
+
+
+def test_paths_without_scheme_are_on_the_default_file_system(spark):
+    from reviewloom.session import qualified
+
+    conf = spark._jsc.hadoopConfiguration()
+    assert qualified(spark, "/a/b").startswith("file:/")
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.other.link./a", "file:///tmp")
+    conf.set("fs.defaultFS", "viewfs://other/")
+    try:
+        assert qualified(spark, "/a/b") == "viewfs://other/a/b"
+        assert qualified(spark, "file:/a/b").startswith("file:/")
+    finally:
+        conf.set("fs.defaultFS", before)
