@@ -113,12 +113,16 @@ def list_source_tree(
     return walkable(rows, extensions, max_depth, skip_hidden)
 
 
-def with_contents(listing: DataFrame, root: str) -> DataFrame:
+def with_contents(listing: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
     """``repo_id, path, content`` of the listed files only; one that cannot be read fails the job.
 
-    Bytes that are not UTF-8 become replacement characters.
+    The names are dealt to ``tasks`` tasks (by default those of a shuffle) by their hash, so the
+    files of one large directory are read by all. Bytes that are not UTF-8 become replacement
+    characters.
     """
-    root = qualified(listing.sparkSession, root)
+    spark = listing.sparkSession
+    root = qualified(spark, root)
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("content", pa.large_string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +140,8 @@ def with_contents(listing: DataFrame, root: str) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
-    return listing.select("repo_id", "path").mapInArrow(run, "repo_id string, path string, content string")
+    dealt = listing.select("repo_id", "path").repartition(tasks, "repo_id", "path")
+    return dealt.mapInArrow(run, "repo_id string, path string, content string")
 
 
 def write_source_tree(files: DataFrame, root: str) -> None:
