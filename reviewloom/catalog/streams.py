@@ -12,16 +12,30 @@ from reviewloom.sources.samples import Samples
 from reviewloom.streaming import append, compacted, open_issues as stream
 
 
+# Batches of a whole history, however many files its events fill.
+BATCHES = 4
+
+
+def _streamed(spark, events, path):
+    """The events as a stream that comes in ``BATCHES`` batches of whole files."""
+    events.write.parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    return (
+        spark.readStream.schema(stream.EVENT).option("maxFilesPerTrigger", max(1, -(-files // BATCHES))).parquet(path)
+    )
+
+
+def _parts(spark):
+    """Ranges of time, some for every batch and as many as the session shuffles to."""
+    return -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // BATCHES) * BATCHES
+
+
 def stream_open_issues(spark, sf_dir):
     """Open issues per repository from the streamed state; equals the batch closed form."""
     s = Samples(spark, sf_dir)
     rounds = s.reviews().select("review_id", "repo_id", "created_at", "mode")
     folder = scratch_dir(spark, "open-issues")
-    stream.review_events(rounds, s.issues(), s.changes()).write.parquet(f"{folder}/events")
-    events = (
-        spark.readStream.schema(stream.EVENT).option("maxFilesPerTrigger", 4)
-        .parquet(f"{folder}/events")
-    )
+    events = _streamed(spark, stream.review_events(rounds, s.issues(), s.changes()), f"{folder}/events")
     stream.open_issue_stream(events, f"{folder}/state", f"{folder}/check").awaitTermination()
     opened = stream.open_issues(
         stream.current_occurrences(spark, f"{folder}/state"), rounds, s.changes()
@@ -35,10 +49,7 @@ def stream_compacted_issues(spark, sf_dir):
     rounds = s.reviews().select("review_id", "repo_id", "created_at", "mode")
     folder = scratch_dir(spark, "compacted-issues")
     events = compacted.review_events(rounds, s.issues(), s.changes())
-    events.repartitionByRange(4, "at").write.parquet(f"{folder}/events")
-    source = (
-        spark.readStream.schema(stream.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
-    )
+    source = _streamed(spark, events.repartitionByRange(_parts(spark), "at"), f"{folder}/events")
     compacted.compacted_stream(source, f"{folder}/log", f"{folder}/check", most=2).awaitTermination()
     occurrences = compacted.current_occurrences(spark, f"{folder}/log")
     return stream.open_issues(occurrences, rounds, s.changes()).select(

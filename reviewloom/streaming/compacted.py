@@ -7,11 +7,12 @@ or not at all. A reader takes the newest snapshot and the deltas after it; these
 next snapshot but one, so compaction does not take files from a reader that has just opened.
 
 Batches are applied once: a batch that runs again after a failure finds its delta, or a
-snapshot that has it already, and only brings its state up to date.
+snapshot that has it already, and does nothing.
 
 A full round is a touch of the whole repository, an event without a file, and so part of the
-state too. In a snapshot touches of files are already applied, and the state holds back what is
-older than them; only the last full round of each repository is kept beside the occurrences.
+state too. In a snapshot touches of files are already applied; only the last full round of each
+repository is kept beside the occurrences. The last touches, which hold back what is older than
+them, lie beside it in ``_touches/<through>``, written before the snapshot that counts on them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from reviewloom.session import discard, exists, folders, total_bytes
 from reviewloom.streaming import open_issues as stream
 
 _NAME = re.compile(r"(snapshot|delta)-(\d+)\Z")
-_SLICE = ["repo_id", "file", "slice"]
+_SLICE = stream.KEY
 # A snapshot is due when the deltas hold this share of its bytes, or are this many.
 SHARE, MOST_DELTAS = 0.5, 64
 
@@ -75,6 +76,18 @@ def _log(spark: SparkSession, path: str, schema: str, through: int | None, delta
     return spark.read.schema(schema).parquet(*parts)
 
 
+def _touch_folder(path: str, through: int) -> str:
+    return f"{path}/_touches/{through:09d}"
+
+
+def _touches(spark: SparkSession, path: str, schema: str, through: int | None, deltas: list[int]) -> DataFrame:
+    """Last touches of everything in the log, those of batches before the snapshot too."""
+    rows = _log(spark, path, schema, None, deltas)
+    if through is not None and exists(spark, _touch_folder(path, through)):
+        rows = rows.unionByName(spark.read.schema(schema).parquet(_touch_folder(path, through)))
+    return stream.last_touches(rows)
+
+
 def folded(log: DataFrame, lateness: int | None = None) -> DataFrame:
     """Log rows that still count: occurrences that no later touch made stale, and the last full
     round of every repository.
@@ -114,11 +127,15 @@ def compact(spark: SparkSession, path: str, schema: str = stream.EVENT, lateness
     through, deltas = _generation(spark, path)
     if not deltas:
         return
+    touches = _touches(spark, path, schema, through, deltas)
+    touches.select(*_SLICE, F.lit("touch").alias("kind"), "touch.at", "touch.review_id").write.mode("overwrite").parquet(
+        _touch_folder(path, deltas[-1]))
     log = folded(_log(spark, path, schema, through, deltas), lateness)
     log.write.mode("overwrite").parquet(_folder(path, "snapshot", deltas[-1]))
     snapshots, all_deltas = _written(spark, path)
     for old in snapshots[:-2]:
         discard(spark, _folder(path, "snapshot", old))
+        discard(spark, _touch_folder(path, old))
     for old in all_deltas if through is not None else []:
         if old <= through:
             discard(spark, _folder(path, "delta", old))
@@ -142,19 +159,14 @@ def compacted_stream(
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         snapshots, deltas = _written(spark, path)
-        if number in deltas or (snapshots and number <= snapshots[-1]):
-            batch.write.format("noop").mode("overwrite").save()
-        else:
-            batch.write.mode("overwrite").parquet(_folder(path, "delta", number))
+        if number not in deltas and not (snapshots and number <= snapshots[-1]):
+            known = _touches(spark, path, schema, *_generation(spark, path))
+            stream.changed_by(batch, known).write.mode("overwrite").parquet(_folder(path, "delta", number))
         if _due(spark, path, share, most):
             compact(spark, path, schema, lateness)
 
-    changed = events.groupBy(*_SLICE).transformWithState(
-        statefulProcessor=stream.OpenIssueProcessor(review_id), outputStructType=schema,
-        outputMode="append", timeMode="none",
-    )
     return (
-        changed.writeStream.outputMode("append").foreachBatch(apply)
+        events.writeStream.outputMode("append").foreachBatch(apply)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

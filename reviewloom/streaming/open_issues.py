@@ -6,20 +6,27 @@ older than the touch and the touch itself. Reading the log drops the occurrences
 touch made stale, so it does not depend on arrival order: late events are simply applied.
 Full rounds, which reset a whole repository, are applied when the log is read.
 
+The log is one folder per batch, ``batch=<number>``, that counts once Spark's writer has left its
+success marker. The state is what the touches of the log say, so it needs no store of its own: a
+batch is aggregated and joined with it as a table, however many keys it has.
+
 A file's issues are spread over a few slices by issue key; touches go to every slice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from reviewloom.operators import merge
+from reviewloom.session import exists, folders
 
 SLICES = 4
+KEY = ["repo_id", "file", "slice"]
+_BATCH = re.compile(r"batch=(\d+)\Z")
 
 _OCCURRENCE = (
     "at bigint, review_id {review}, seq bigint, line int, severity string, category string, "
@@ -34,7 +41,6 @@ def event_schema(repo_id: str = "bigint", review_id: str = "bigint") -> str:
 
 
 EVENT = event_schema()
-_LogRow = Row("repo_id", "file", "slice", "kind", *_FIELDS)
 
 
 def _micros():
@@ -64,45 +70,53 @@ def review_events(
     return issue_events.unionByName(touch_events, allowMissingColumns=True)
 
 
-class OpenIssueProcessor(StatefulProcessor):
-    """Last touch of one file slice; gives the rows by which a batch changes its open issues."""
+def last_touches(log: DataFrame) -> DataFrame:
+    """``touch``, the last one, of every file slice that has any."""
+    touches = log.where(F.col("kind") == "touch")
+    return touches.groupBy(*KEY).agg(F.max(F.struct("at", "review_id")).alias("touch"))
 
-    def __init__(self, review_id: str = "bigint"):
-        self._review_id = review_id
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._touch = handle.getValueState("touch", f"at bigint, review_id {self._review_id}")
+def changed_by(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """Log rows by which a batch changes the open issues: occurrences that no touch so far made
+    stale, and touches newer than the ``known`` ones (see ``last_touches``)."""
+    place = F.struct("at", "review_id")
+    none = F.lit(None).cast(known.schema["touch"].dataType)
+    touches = (
+        last_touches(batch).select(*KEY, F.col("touch").alias("fresh"), none.alias("known"))
+        .unionByName(known.select(*KEY, none.alias("fresh"), F.col("touch").alias("known")))
+        .groupBy(*KEY).agg(F.max("fresh").alias("fresh"), F.max("known").alias("known"))
+    )
+    newer = touches.where(F.col("fresh").isNotNull() & (F.col("known").isNull() | (F.col("fresh") > F.col("known"))))
+    last = touches.select(*[F.col(c).alias(f"t_{c}") for c in KEY], F.greatest("fresh", "known").alias("touch"))
+    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in KEY]
+    issues = batch.where(F.col("kind") == "issue").join(last, same, "left")
+    return issues.where(F.col("touch").isNull() | (place >= F.col("touch"))).select(*batch.columns).unionByName(
+        newer.select(*KEY, F.lit("touch").alias("kind"), "fresh.at", "fresh.review_id"), allowMissingColumns=True)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stored = self._touch.get()
-        before = tuple(stored) if stored else None
-        newest = before
-        for event in rows:
-            position = (event["at"], event["review_id"])
-            if event["kind"] == "touch":
-                newest = position if newest is None else max(newest, position)
-            elif newest is None or position >= newest:
-                yield _LogRow(*key, "issue", *[event[name] for name in _FIELDS])
-        if newest != before:
-            self._touch.update(newest)
-            yield _LogRow(*key, "touch", *newest, *(None,) * (len(_FIELDS) - 2))
 
-    def close(self) -> None:
-        pass
+def _log(spark: SparkSession, path: str, schema: str) -> tuple[list[int], DataFrame]:
+    """Numbers of the batches in the log, and its rows."""
+    found = [m for m in map(_BATCH.match, folders(spark, path)) if m and exists(spark, f"{path}/{m[0]}/_SUCCESS")]
+    numbers = [int(m[1]) for m in found]
+    if not found:
+        return numbers, spark.createDataFrame([], schema)
+    return numbers, spark.read.schema(schema).parquet(*[f"{path}/{m[0]}" for m in found])
 
 
 def open_issue_stream(
     events: DataFrame, path: str, checkpoint: str, repo_id: str = "bigint", review_id: str = "bigint"
 ) -> StreamingQuery:
-    """Folds the event stream and appends what each batch changes to ``path``."""
-    changed = events.groupBy("repo_id", "file", "slice").transformWithState(
-        statefulProcessor=OpenIssueProcessor(review_id), outputStructType=event_schema(repo_id, review_id),
-        outputMode="append", timeMode="none",
-    )
+    """Folds the event stream and appends what each batch changes to ``path``, each batch once."""
+    schema = event_schema(repo_id, review_id)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        written, log = _log(batch.sparkSession, path, schema)
+        if number not in written:
+            changed_by(batch, last_touches(log)).write.mode("overwrite").parquet(f"{path}/batch={number:09d}")
+
     return (
-        changed.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        events.writeStream.outputMode("append").foreachBatch(apply)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
@@ -110,11 +124,8 @@ def current_occurrences(
     spark: SparkSession, path: str, repo_id: str = "bigint", review_id: str = "bigint"
 ) -> DataFrame:
     """Occurrences of the log that no later touch made stale."""
-    log = spark.read.schema(event_schema(repo_id, review_id)).parquet(path)
-    touches = log.where(F.col("kind") == "touch").groupBy("repo_id", "file", "slice").agg(
-        F.max(F.struct("at", "review_id")).alias("touch")
-    )
-    issues = log.where(F.col("kind") == "issue").join(touches, ["repo_id", "file", "slice"], "left")
+    _, log = _log(spark, path, event_schema(repo_id, review_id))
+    issues = log.where(F.col("kind") == "issue").join(last_touches(log), KEY, "left")
     return issues.where(
         F.col("touch").isNull() | (F.struct("at", "review_id") >= F.col("touch"))
     ).drop("touch", "kind")

@@ -102,3 +102,33 @@ def test_an_open_reader_outlives_one_compaction(spark, tmp_path):
         assert reader.count() == n + 1
     assert compacted.current_occurrences(spark, path).count() == 3
     assert compacted.current_occurrences(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_a_batch_changes_only_what_is_newer_than_all_touches(spark):
+    """Against touches of earlier batches and of its own, in files without a name too."""
+    known = stream.last_touches(spark.createDataFrame(
+        [_event("touch", 5, 5), _event("touch", 3, 3), _event("touch", 7, 7, file=None)], stream.EVENT))
+    batch = spark.createDataFrame([
+        _event("issue", 4, 4, seq=0), _event("issue", 5, 5, seq=1), _event("touch", 4, 4), _event("touch", 2, 2, file="b.js"),
+        _event("issue", 1, 1, file="b.js", seq=2), _event("issue", 6, 6, file=None, seq=3), _event("issue", 1, 1, file="c.js", seq=4),
+    ], stream.EVENT)
+    rows = [(r["kind"], r["file"], r["at"]) for r in stream.changed_by(batch, known).collect()]
+    assert sorted(rows) == [("issue", "a.js", 5), ("issue", "c.js", 1), ("touch", "b.js", 2)]
+
+
+def test_late_occurrences_stay_out_after_compaction(spark, tmp_path):
+    """Snapshots hold no touches of files, yet what is older than these is dropped in later batches."""
+    for rows in ([_event("issue", 3, 3, seq=0), _event("touch", 5, 5)], [_event("issue", 6, 6, seq=1)], [_event("issue", 4, 4, seq=2)]):
+        spark.createDataFrame(rows, stream.EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        _run(spark, tmp_path, most=1)
+    assert [r["at"] for r in compacted.current_occurrences(spark, f"{tmp_path}/log").collect()] == [6]
+
+
+def test_batches_do_not_grow_with_the_files_of_a_history(spark, tmp_path):
+    from reviewloom.catalog import streams
+
+    rows = [_event("issue", n, n, seq=n) for n in range(40)]
+    source = streams._streamed(spark, spark.createDataFrame(rows, stream.EVENT).repartition(24, "at"), f"{tmp_path}/events")
+    stream.open_issue_stream(source, f"{tmp_path}/log", f"{tmp_path}/check").awaitTermination()
+    assert len(os.listdir(f"{tmp_path}/log")) <= streams.BATCHES
+    assert stream.current_occurrences(spark, f"{tmp_path}/log").count() == 40
