@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.functions.text import trimmed
+from reviewloom.functions.text import left_trimmed, trimmed_long
 
 FENCE = "```"
 _MARK = "~~ end of value ~~"
@@ -41,7 +41,7 @@ def one_value(text: Column, layout: str) -> Column:
         return F.when((F.size(pair) == 2) & (last["~end"] == mark), F.get(pair, F.lit(0)))
 
     parsed = F.from_json(marked, f"array<array<{root}>>" if listed else f"array<{root}>", _STRICT)
-    return F.when(trimmed(text).startswith("[" if listed else "{"), let(parsed, unmarked))
+    return F.when(left_trimmed(text).startswith("[" if listed else "{"), let(parsed, unmarked))
 
 
 def strict_json(text: Column) -> Column:
@@ -66,9 +66,11 @@ def _variant(text: Column) -> Column:
     that holds the mark itself is checked by wrapping it in an object and in an array,
     which cannot both swallow the same trailing text.
     """
-    marked = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')))
-    ends = F.try_variant_get(marked, "$[1]", "string") == _MARK
-    single = F.when(ends, F.try_variant_get(marked, "$[0]", "variant"))
+    def first(marked: Column) -> Column:
+        ends = F.try_variant_get(marked, "$[1]", "string") == _MARK
+        return F.when(ends, F.try_variant_get(marked, "$[0]", "variant"))
+
+    single = let(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]'))), first)
     as_member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     as_element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     wrapped = F.when(as_element.isNotNull(), F.try_variant_get(as_member, "$.v", "variant"))
@@ -78,7 +80,24 @@ def _variant(text: Column) -> Column:
 def without_fences(text: Column) -> Column:
     """Drops a leading and a trailing code fence, then trims."""
     opened = F.regexp_replace(text, "(?i)^" + FENCE + r"(?:json)?\s*", "")
-    return trimmed(F.regexp_replace(opened, r"\s*" + FENCE + r"\z", ""))
+    closed = F.regexp_replace(opened, r"\s*" + FENCE + r"\z", "")
+    return let(F.when(text.contains(FENCE), closed).otherwise(text), trimmed_long)
+
+
+def _bracketed(text: Column) -> Column:
+    """Whether the text is within braces, brackets or quotes, each with an end of its own."""
+    quoted = text.startswith('"') & text.endswith('"') & (F.octet_length(text) > 1)
+    return (text.startswith("{") & text.endswith("}")) | (text.startswith("[") & text.endswith("]")) | quoted
+
+
+def _braces(text: Column) -> Column:
+    """The text from its first opening to its last closing brace, empty without these."""
+    def closed(rest: Column) -> Column:
+        behind = F.length(F.substring_index(rest, "}", -1))
+        return F.substring(rest, F.lit(1), F.length(rest) - behind)
+
+    start = F.instr(text, "{")
+    return F.when(start == 0, "").otherwise(let(F.substring(text, start, F.length(text)), closed))
 
 
 def computed_once(frame: DataFrame, name: str, value: Column) -> DataFrame:
@@ -98,7 +117,7 @@ def with_document(frame: DataFrame, text: str, into: str) -> DataFrame:
     cleaned = computed_once(frame, "__clean", without_fences(F.col(text)))
     # A failing parse is costly, so only text with matching outer brackets is tried. Bare
     # numbers and words are no document and hold no braces, so they need no parse either.
-    bracketed = F.col("__clean").rlike(r'(?s)^(?:\{.*\}|\[.*\]|".*")\z')
+    bracketed = _bracketed(F.col("__clean"))
     direct = computed_once(
         cleaned, "__direct",
         F.struct(
@@ -106,14 +125,14 @@ def with_document(frame: DataFrame, text: str, into: str) -> DataFrame:
             F.when(bracketed, strict_json(F.col("__clean"))).alias("doc"),
         ),
     )
-    span = F.regexp_extract("__direct.text", r"\{[\s\S]*\}", 0)
+    within = let(_braces(F.col("__direct.text")), lambda span: F.when(span != "", strict_json(span)))
     found = F.when(
         F.col("__direct.doc").isNotNull(),
         F.struct(
             F.substring("__direct.text", 1, 1).alias("root"), F.col("__direct.doc").alias("doc")
         ),
     ).otherwise(
-        F.struct(F.lit("{").alias("root"), F.when(span != "", strict_json(span)).alias("doc"))
+        F.struct(F.lit("{").alias("root"), within.alias("doc"))
     )
     return computed_once(direct, into, found).drop("__direct", "__clean")
 

@@ -22,6 +22,16 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def trimmed_long(text: Column) -> Column:
+    """The same for long texts; it names ``text`` more than once.
+
+    Trimming at the end walks through the whole text, with a copy of every character, so it is
+    left out where the last character is no blank.
+    """
+    ends_blank = F.contains(F.lit(BLANKS), F.substring(text, -1, 1))
+    return F.when(~ends_blank, left_trimmed(text)).otherwise(trimmed(text))
+
+
 def left_trimmed(text: Column) -> Column:
     return F.ltrim(text, F.lit(BLANKS))
 

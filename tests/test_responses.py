@@ -77,3 +77,25 @@ def test_provider_choice(spark):
     assert got["c"]["error_code"] == "AI_UNAVAILABLE"
     assert got["c"]["first_error"] == "p returned an empty response"
     assert got["c"]["last_error"] == "down"
+
+
+def test_documents_are_found_without_patterns(spark):
+    """Brackets and the widest brace-to-brace span as the patterns gave them, on odd texts too."""
+    from pyspark.sql import functions as F
+
+    from reviewloom.functions import json_values as J
+    from reviewloom.functions import text as X
+
+    texts = [
+        "", "{", "}", "{}", "}{", "} {a} b} c", "{a", "a}", "[", "[]", "[\n]", "{]", '"', '""', '"a"', "x{\n{é}\n}ü", "{a}\n", None,
+        "  {a} ﻿", "   ", "a　", "\n", "é", "``` {a}\n```", "```json\n[1]```", "``` a ``` b", "`` a ``",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", J._bracketed(F.col("t")).alias("b"), F.col("t").rlike(r'(?s)^(?:\{.*\}|\[.*\]|".*")\z').alias("b0"),
+        J._braces(F.col("t")).alias("s"), F.regexp_extract("t", r"\{[\s\S]*\}", 0).alias("s0"),
+        X.trimmed_long(F.col("t")).alias("x"), X.trimmed(F.col("t")).alias("x0"),
+        J.without_fences(F.col("t")).alias("f"),
+        X.trimmed(F.regexp_replace(F.regexp_replace("t", r"(?i)^```(?:json)?\s*", ""), r"\s*```\z", "")).alias("f0"),
+    ).collect()
+    for r in rows:
+        assert (r["b"], r["s"], r["x"], r["f"]) == (r["b0"], r["s0"], r["x0"], r["f0"]), r["t"]
