@@ -65,14 +65,25 @@ def is_ignored_file(path: Column) -> Column:
     return test
 
 
+def root_prefix(root: Column) -> Column:
+    """``root`` with one slash at its end."""
+    # Trimming copies a text character by character, so only one with something to trim.
+    bare = F.when(root.endswith("/"), F.rtrim(root, F.lit("/"))).otherwise(root)
+    return F.concat(bare, F.lit("/"))
+
+
 def relative_path(root: Column, path: Column) -> Column:
     """Absolute paths below ``root`` become relative; others are left as they are."""
-    prefix = F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
+    return below_prefix(root_prefix(root), path)
+
+
+def below_prefix(prefix: Column, path: Column) -> Column:
+    """The path without ``prefix`` (see ``root_prefix``), as it is where it does not begin so."""
     below = F.substring(path, F.length(prefix) + 1, F.length(path))
     return F.when(path.startswith(prefix), below).otherwise(path)
 
 
 def is_outside_root(root: Column, path: Column) -> Column:
     """Marks absolute paths that do not lie below ``root``."""
-    prefix = F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
+    prefix = root_prefix(root)
     return path.startswith("/") & ~path.startswith(prefix)

@@ -23,7 +23,11 @@ SCORE_TONES = ((70, "ok"), (50, "warn"))
 
 def normalize_severity(word: Column) -> Column:
     """Tool severity word to error, warning or info (case-insensitive, null is info)."""
-    lowered = F.lower(word)
+    return normalize_lowered(F.lower(word))
+
+
+def normalize_lowered(lowered: Column) -> Column:
+    """The same of a word in lower case."""
     return (
         F.when(lowered.isin(*ERROR_WORDS), "error")
         .when(lowered.isin(*WARNING_WORDS), "warning")

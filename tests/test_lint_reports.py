@@ -187,3 +187,33 @@ def test_plugged_in_tool(spark):
     assert sorted((r["repo_id"], r["linter"], r["message"], r["report_pos"]) for r in found) == [
         ("r", "flake8", "m", 6), ("r", "own", "text", 5)]
     assert lint_reports.normalize_lint_reports(frame.drop("report_pos"), {"own": lines}).count() == 1
+
+
+def test_attributes_are_read_in_one_pass(spark):
+    """Names whole, the last value of a repeated one, and values that look like attributes."""
+    from pyspark.sql import functions as F
+
+    from reviewloom.operators import lint_reports as L
+
+    tag = '<error xid="no" id="a" msg="say id=" line="7" id="b" line="08" col=\'1\' empty=""/>'
+    a = L._attributes(F.lit(tag))
+    row = spark.range(1).select(
+        L._attribute(a, "id"), L._attribute(a, "msg"), L._number_or_one(L._attribute(a, "line")), L._attribute(a, "empty"),
+        L._attribute(a, "col"), L._attribute(a, "i"), L._number_or_one(L._attribute(a, "col")),
+    ).first()
+    assert tuple(row) == ("b", "say id=", 8, "", None, None, 1)
+
+
+def test_a_location_and_a_file_name_are_looked_up_once(spark):
+    """Pieces and segments carry what their tags share; before, every tag searched for it again."""
+    from pyspark.sql import functions as F
+
+    from reviewloom.operators import lint_reports as L
+
+    text = '<error id="a" msg="x"/><error id="b" msg="y"/><location file="/r/z.h" line="3" col="0"/><error id="c" msg="w" file="own.c"/>'
+    payload = spark.createDataFrame([(text, "/r//")], "payload string, root string")
+    found = payload.select(F.explode(L.cppcheck(F.col("payload"), F.col("root"))).alias("f")).select("f.*")
+    assert [(r["file"], r["line"], r["column"], r["rule_id"]) for r in found.collect()] == [
+        ("z.h", 3, 1, "cppcheck/a"), ("z.h", 3, 1, "cppcheck/b"), ("own.c", 1, 1, "cppcheck/c")]
+    plan = payload.select(L.cppcheck(F.col("payload"), F.col("root")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 3
