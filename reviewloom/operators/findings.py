@@ -64,6 +64,12 @@ def first_files(top: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def first_file_list(top: DataFrame, limit: int) -> DataFrame:
+    """``review_id, file, file_rank``: the first distinct files of a top list, without its rows."""
+    firsts = top.groupBy("review_id", "file").agg(F.min("rank").alias("first_rank"))
+    return top_k(firsts, ["review_id"], [F.col("first_rank")], limit, "file_rank").drop("first_rank")
+
+
 def prompt_findings(
     findings: DataFrame, issues: int = PROMPT_ISSUES, files: int = PROMPT_FILES
 ) -> DataFrame:
@@ -80,11 +86,7 @@ def fix_files(
     issues: DataFrame, limit: int = FIX_ISSUES, files: int = FIX_FILES
 ) -> DataFrame:
     """Distinct files of the fix list in order of appearance, capped before any content join."""
-    return (
-        first_files(fix_issues(issues, limit), files)
-        .groupBy("review_id", "file")
-        .agg(F.first("file_rank").alias("file_rank"))
-    )
+    return first_file_list(fix_issues(issues, limit), files)
 
 
 def distinct_files(findings: DataFrame) -> DataFrame:

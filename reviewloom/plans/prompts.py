@@ -262,8 +262,7 @@ def fix_prompts(
         _joined(["rank"], "text").alias("bullets"), F.count(F.lit(1)).alias("n")
     )
     scope = (
-        fnd.first_files(top, max_files).groupBy("review_id", "file")
-        .agg(F.first("file_rank").alias("file_rank"))
+        fnd.first_file_list(top, max_files)
         .join(reviews.select("review_id", "repo_id"), "review_id")
     )
     contents = (
