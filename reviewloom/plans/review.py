@@ -92,7 +92,8 @@ def staged_tables(
     ))
     if "report_pos" not in reports.columns:
         reports = reports.withColumn("report_pos", F.lit(0))
-    reported = normalize_lint_reports(reports).unionByName(
+    # Reports that no run of the plan stands behind are left out unparsed.
+    reported = normalize_lint_reports(rn.results_of_successful(reports, statuses)).unionByName(
         analyzed(open_files).withColumn("report_pos", F.lit(0)))
     findings = keep("findings", rn.results_of_successful(reported, statuses))
     runs = keep("runs", rn.with_counts(statuses, findings))

@@ -133,6 +133,22 @@ def test_review_job_end_to_end(spark):
     assert "(no patch available" in diff[1] and "server.py:L1 [E1] m" in diff[1] and "app.js" not in diff[1]
 
 
+def test_reports_without_a_run_are_not_parsed(spark):
+    """The reports meet the runs that count below the parser, whose results are the same."""
+    files = spark.createDataFrame([("a", "server.py", "x = 1\n")], "repo_id string, path string, content string")
+    reports = spark.createDataFrame(
+        [("a", "flake8", "/w", "server.py:1:1: E1 m"), ("a", "clippy", "/w", "ignored"), ("z", "flake8", "/w", "z.py:1:1: E1 m")],
+        "repo_id string, linter string, root string, payload string")
+    log = spark.createDataFrame(
+        [("a", "flake8", True, None, None, None), ("z", "flake8", True, None, None, None)],
+        "repo_id string, linter string, ran boolean, error_code string, error_name string, error_message string")
+    findings = review.lint_stage(spark, files, reports, log).findings
+    assert [(r["repo_id"], r["linter"], r["file"]) for r in findings.collect()] == [("a", "flake8", "server.py")]
+    plan = findings._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate explode(CASE WHEN (linter"):]
+    assert below[below.index("Join "):].startswith("Join LeftSemi")
+
+
 def test_several_reports_of_one_tool_keep_their_order(spark):
     reports = spark.createDataFrame(
         [("a", "flake8", "/w", f"f{p}.py:{n}:1: E1 m\nf{p}.py:{n + 1}:1: E1 m", p) for p, n in ((1, 3), (0, 7))],
