@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.session import staged
+
 # Above this many rows per key a top-k is first taken within hash slices of the key.
 _SLICED_FROM = 500
 _SLICES = 128
@@ -19,8 +21,10 @@ _SLICES = 128
 SLICE_ROWS = 65_536
 # Copies of the few cuts, so that the rows of one bucket look them up in as many tasks.
 _SALTS = 128
-# Cuts that one coarse cut stands for when a row looks up its slice.
-_COARSE = 128
+# Up to so many cuts in all, a few dozen bytes each, go to every executor and the rows stay where they are.
+_BROADCAST_CUTS = 500_000
+# Halving steps that find a place in a list; longer lists than 2 ** _STEPS do not occur, as they hold square roots.
+_STEPS = 20
 
 
 def top_k(
@@ -58,7 +62,8 @@ def _sliced(
     Without ``slice_rows`` the group is the bucket. With it a bucket is cut where a hash of the
     order columns says so, once in about ``slice_rows`` rows: every run finds the same cuts, a
     small bucket has none, and one of n rows has about n / slice_rows. Rows equal in all order
-    columns stay in one slice.
+    columns stay in one slice. The cuts of a bucket are dealt to blocks, about as many as a block
+    has cuts; a row finds its block first, then its place in it, so no row carries all of them.
     """
     tagged = df.withColumn("__bucket", bucket)
     if slice_rows is None:
@@ -66,24 +71,45 @@ def _sliced(
     group = [*keys, "__bucket"]
     place = F.struct(*order)
     drawn = F.pmod(F.xxhash64(*keys, *order), F.lit(slice_rows)) == 0
-    cuts = (
-        tagged.where(drawn).groupBy(*group).agg(F.sort_array(F.collect_set(place)).alias("__cuts"))
-        .withColumn("__coarse", F.filter("__cuts", lambda _, i: i % _COARSE == 0))
-        .withColumn("__salt", F.explode(F.expr(f"sequence(0L, {_SALTS - 1}L)")))
-    )
-    block = F.size(F.filter("__coarse", lambda cut: cut <= place)) - 1
-    within = F.slice("__cuts", block * _COARSE + 1, _COARSE)
-    number = block * _COARSE + F.size(F.filter(within, lambda cut: cut <= place))
+    # Written, as every run of the plan looks the same cuts up twice.
+    found = staged(tagged.where(drawn).select(*group, place.alias("__cut")).distinct(), "cuts")
+    n = found.count()
+    if not n:
+        return tagged, ["__bucket"]
+    salts = 1 if n <= _BROADCAST_CUTS else _SALTS
+    size = F.size("__cuts")
+    lists = found.groupBy(*group).agg(F.sort_array(F.collect_list("__cut")).alias("__cuts")).withColumn(
+        "__width", F.ceil(F.sqrt(size)).cast("int"))
+    firsts = lists.select(
+        *group, "__width", F.filter("__cuts", lambda _, i: i % F.col("__width") == 0).alias("__firsts"),
+        F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("__salt"))
+    blocks = lists.select(
+        *group, "__width", "__cuts", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / F.col("__width")).cast("int"))).alias("__block")
+    ).select(*group, "__block", F.slice("__cuts", F.col("__block") * F.col("__width") + 1, F.col("__width")).alias("__within"))
+    if salts == 1:
+        firsts, blocks = F.broadcast(firsts), F.broadcast(blocks)
     rows = (
-        tagged.withColumn("__salt", F.pmod(F.xxhash64(*order, F.lit(1)), F.lit(_SALTS)).cast("bigint"))
-        .join(cuts, [*group, "__salt"], "left")
-        .withColumn("__slice", F.when(block >= 0, number).otherwise(0))
-        .drop("__cuts", "__coarse", "__salt")
+        tagged.withColumn("__salt", F.pmod(F.xxhash64(*order, F.lit(1)), F.lit(salts)).cast("bigint"))
+        .join(firsts, [*group, "__salt"], "left")
+        .withColumn("__block", F.when(F.col("__firsts").isNotNull(), _up_to("__firsts", place) - 1))
+        .drop("__firsts", "__salt")
+        .join(blocks, [*group, "__block"], "left")
+        .withColumn("__slice", F.when(
+            F.col("__within").isNotNull(), F.col("__block") * F.col("__width") + _up_to("__within", place)).otherwise(0))
+        .drop("__within", "__block", "__width")
     )
     # Named in full: the partitioning by bucket that the join leaves would serve a window too.
     return rows.repartition(*group, "__slice"), ["__bucket", "__slice"]
 
 
+def _up_to(cuts: str, place: Column) -> Column:
+    """Number of sorted ``cuts`` that are not after ``place``, by halving steps."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(_STEPS))])
+    at = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) <= place), at + step).otherwise(at))
+    return at
+
+
 def _earlier(keys: Sequence[str], parts: Sequence[str]):
     return (
         Window.partitionBy(*keys).orderBy(*parts)

@@ -89,3 +89,15 @@ def test_slices_of_one_hot_day_are_small_and_spread(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert max(tasks) < 30_000 / 4
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_long_slice_lists(spark, monkeypatch, most):
+    """Thousands of cuts in one bucket, shipped or shuffled; shipped, the rows are not shuffled to look them up."""
+    monkeypatch.setattr(ranking, "_BROADCAST_CUTS", most)
+    frame = spark.range(30_000).selectExpr("id % 2 AS k", "id", "0 AS day").repartition(8)
+    got = ranking.numbered(frame, ["k"], ["day", "id"], F.lit(1), "n", None, 4)
+    assert got.where("n <> floor(id / 2) + 1").isEmpty() and got.count() == 30_000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "hashpartitioning" in line and "__salt" in line]
+    assert bool(shuffles) == (most == 0)
