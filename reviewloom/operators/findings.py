@@ -96,13 +96,16 @@ def distinct_files(findings: DataFrame) -> DataFrame:
     )
 
 
-def findings_by_file(findings: DataFrame) -> DataFrame:
+def findings_by_file(findings: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """Findings with the columns that order them file by file.
 
+    ``listed`` are their :func:`distinct_files` where a caller has them; findings of other
+    files are left out then.
+
     Sorting by ``(review_id, file_order, file, rank of severity, seq)`` gives the grouped view;
     nothing is collected, so one file may own any share of the rows.
     """
-    order = distinct_files(findings).select("review_id", "file", "file_order")
+    order = (distinct_files(findings) if listed is None else listed).select("review_id", "file", "file_order")
     return findings.join(order, ["review_id", "file"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.operators.ranking import SLICE_ROWS, running_total
+from reviewloom.session import staged
 
 #: Largest part in bytes of UTF-8.
 PART_BYTES = 1 << 20
@@ -44,8 +45,9 @@ def byte_parts(
         .withColumn(text, F.substring(F.col(text), F.col("__piece") * chars + 1, F.lit(chars)))
         .withColumn("__bytes", F.octet_length(text).cast("bigint"))
     )
+    # Written once: the cuts, the sums and the rows themselves are passes over them.
     placed = running_total(
-        pieces, keys, [*order, "__piece"], F.col("__of"), "__bytes", "__start", slice_rows)
+        staged(pieces, "pieces"), keys, [*order, "__piece"], F.col("__of"), "__bytes", "__start", slice_rows)
     entries = F.sort_array(F.collect_list(F.struct(*order, "__piece", text)))
     return (
         placed.groupBy(*keys, F.floor(F.col("__start") / half).alias("part"))

@@ -10,6 +10,7 @@ from reviewloom.operators import findings as fnd
 from reviewloom.operators.merge import in_changed_files
 from reviewloom.operators.parts import PART_BYTES, byte_parts
 from reviewloom.operators.ranking import SLICE_ROWS
+from reviewloom.session import staged
 
 FENCE = "```"
 
@@ -180,12 +181,13 @@ def _incremental_units(reviews: DataFrame, changes: DataFrame, findings: DataFra
 
     none = F.lit("")
     keyed_changes = changes.join(reviews.select("review_id"), "review_id", "left_semi")
-    relevant = in_changed_files(findings, keyed_changes, ["review_id"])
+    # The files that have findings and changes, written once: they pick and order the findings, and count them.
+    relevant = staged(fnd.distinct_files(in_changed_files(findings, keyed_changes, ["review_id"])), "changed-files")
     lint = F.concat(
         F.lit("  "), _tag(), F.lit(" "), "file", F.lit(":L"), line_label(F.col("line")),
         F.lit(" "), _rule(), F.lit(" "), "message",
     )
-    heading = fnd.total_findings(relevant, "review_id").where(F.col("total") > 0)
+    heading = relevant.select("review_id").distinct()
     return (
         units(listed, unit(0, zero, none, zero, head), unit(3, zero, none, zero, tail))
         .unionByName(units(keyed_changes, unit(1, zero, none, F.col("file_no"), diff)))
@@ -194,7 +196,7 @@ def _incremental_units(reviews: DataFrame, changes: DataFrame, findings: DataFra
         )
         .unionByName(
             units(
-                fnd.findings_by_file(relevant),
+                fnd.findings_by_file(findings, relevant),
                 unit(2, F.col("file_order"), F.col("file"), F.col("seq"), lint),
             )
         )
