@@ -25,14 +25,18 @@ def numbered_rounds(rounds: DataFrame, changes: DataFrame) -> DataFrame:
     An incremental round counts only if it has changes; else its issues are not taken up.
     """
     changed = changes.select("review_id").distinct().withColumn("has_changes", F.lit(True))
-    order = numbered(
-        rounds.select("repo_id", "review_id", "created_at", "mode"), ["repo_id"], ["created_at", "review_id"],
-        F.to_date("created_at"), "round_no")
+    order = _ordered(rounds)
     return order.join(changed, "review_id", "left").select(
         "repo_id", "review_id", "mode", "round_no",
         ((F.col("mode") == "full") | F.col("has_changes").isNotNull()).alias("counts"))
 
 
+def _ordered(rounds: DataFrame) -> DataFrame:
+    return numbered(
+        rounds.select("repo_id", "review_id", "created_at", "mode"), ["repo_id"], ["created_at", "review_id"],
+        F.to_date("created_at"), "round_no")
+
+
 def file_events(numbers: DataFrame, changes: DataFrame) -> DataFrame:
     """``repo_id, round_no, file, moved_to``: what incremental rounds do to the issues of a file.
 
@@ -54,16 +58,22 @@ def file_events(numbers: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+def _swept(points: DataFrame, keys: list[str], events: DataFrame, value: Column, into: str) -> DataFrame:
+    """The distinct ``keys, round_no`` of ``points`` with the ``value`` of the first event after them, else null."""
+    # Backwards in time; a point comes before the events of its own round.
+    back = (-F.col("round_no")).alias("back")
+    marks = events.select(*keys, back, F.lit(1).alias("kind"), value.alias("value"))
+    asked = points.select(*keys, "round_no").distinct().select(*keys, back, F.lit(0).alias("kind"))
+    both = marks.unionByName(asked, allowMissingColumns=True)
+    reach = F.floor(F.col("back") / F.lit(_ROUNDS))
+    # Written once, as both passes of the sweep read it.
+    swept = carried_forward(staged(both, "sweep"), keys, ["back", "kind"], reach, "value", into)
+    return swept.where(F.col("kind") == 0).select(*keys, (-F.col("back")).alias("round_no"), into)
+
+
 def _next(points: DataFrame, keys: list[str], events: DataFrame, value: Column, into: str) -> DataFrame:
     """``points`` with the ``value`` of the first event of their keys after ``round_no``, else null."""
-    marks = events.select(*keys, "round_no", F.lit(1).alias("kind"), value.alias("value"))
-    asked = points.select(*keys, "round_no").distinct()
-    both = marks.unionByName(asked.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    # Backwards in time; a point comes before the events of its own round.
-    swept = carried_forward(
-        both.withColumn("back", -F.col("round_no")), keys, ["back", "kind"],
-        F.floor(F.col("back") / F.lit(_ROUNDS)), "value", into)
-    return points.join(swept.where(F.col("kind") == 0).select(*keys, "round_no", into), [*keys, "round_no"], "left")
+    return points.join(_swept(points, keys, events, value, into), [*keys, "round_no"], "left")
 
 
 def rename_ends(events: DataFrame) -> DataFrame:
@@ -119,12 +129,14 @@ def open_issues_with_renames(rounds: DataFrame, issues: DataFrame, changes: Data
     ends = rename_ends(events).select("repo_id", F.struct("round_no", "file").alias("move"), "end")
     born = current.where("counts").select("review_id", "repo_id", "round_no", "dedup")
     placed = issues.drop("repo_id").join(born, "review_id")
-    seen = _next(placed, ["repo_id", "file"], events, F.struct("round_no", "file", "moved_to"), "next")
+    # What becomes of a file's issues of a round, before the issues themselves are moved.
+    seen = _swept(placed, ["repo_id", "file"], events, F.struct("round_no", "file", "moved_to"), "next")
     seen = seen.where(F.col("next").isNull() | F.col("next.moved_to").isNotNull())
     moved = F.when(F.col("next").isNotNull(), F.struct(F.col("next.round_no"), F.col("next.file")))
     traced = seen.withColumn("move", moved).join(ends, ["repo_id", "move"], "left")
-    alive = traced.where(F.col("next").isNull() | F.col("end.dropped").isNull()).withColumn(
-        "file", F.coalesce("end.file", "file"))
+    fates = traced.where(F.col("next").isNull() | F.col("end.dropped").isNull()).select(
+        "repo_id", "round_no", "file", F.col("end.file").alias("end_file"))
+    alive = placed.join(fates, ["repo_id", "file", "round_no"]).withColumn("file", F.coalesce("end_file", "file"))
     own = F.concat_ws("#", F.lit(""), F.col("review_id"), F.col("seq"), F.monotonically_increasing_id())
     keyed = with_issue_key(alive).withColumn("issue_key", F.when(F.col("dedup"), F.col("issue_key")).otherwise(own))
     kept = keep_first(keyed, ["repo_id", "issue_key"], [F.col("round_no"), F.col("seq")])
@@ -181,6 +193,7 @@ def open_after_rounds(rounds: DataFrame, changes: DataFrame, intervals: DataFram
         F.struct(F.col("opened").alias("round_no"), F.lit(1).alias("step")),
         F.struct(F.col("closed").alias("round_no"), F.lit(-1).alias("step")))).alias("s"))
     change = steps.groupBy("repo_id", F.col("s.round_no").alias("round_no")).agg(F.sum("s.step").alias("step"))
-    numbers = numbered_rounds(rounds, changes).select("repo_id", "review_id", "round_no")
+    # Rounds without changes count here as well, so ``changes`` need not be read again.
+    numbers = _ordered(rounds).select("repo_id", "review_id", "round_no")
     every = numbers.join(change, ["repo_id", "round_no"], "left").fillna(0, ["step"])
     return running_sum(every, ["repo_id"], "round_no", "step", "open_issues").drop("step")
