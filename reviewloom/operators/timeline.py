@@ -136,7 +136,10 @@ def open_issues_with_renames(rounds: DataFrame, issues: DataFrame, changes: Data
     traced = seen.withColumn("move", moved).join(ends, ["repo_id", "move"], "left")
     fates = traced.where(F.col("next").isNull() | F.col("end.dropped").isNull()).select(
         "repo_id", "round_no", "file", F.col("end.file").alias("end_file"))
-    alive = placed.join(fates, ["repo_id", "file", "round_no"]).withColumn("file", F.coalesce("end_file", "file"))
+    # Issues without a file meet no event and stay.
+    nameless = placed.where(F.col("file").isNull()).withColumn("end_file", F.col("file"))
+    alive = placed.join(fates, ["repo_id", "file", "round_no"]).unionByName(nameless).withColumn(
+        "file", F.coalesce("end_file", "file"))
     own = F.concat_ws("#", F.lit(""), F.col("review_id"), F.col("seq"), F.monotonically_increasing_id())
     keyed = with_issue_key(alive).withColumn("issue_key", F.when(F.col("dedup"), F.col("issue_key")).otherwise(own))
     kept = keep_first(keyed, ["repo_id", "issue_key"], [F.col("round_no"), F.col("seq")])

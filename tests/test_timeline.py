@@ -139,3 +139,23 @@ def test_no_changes_and_no_rounds(spark):
     r, i, c = frames(spark, rounds, issues, [])
     assert sorted((x["review_id"], x["seq"], x["opened"], x["closed"]) for x in timeline.issue_intervals(r, i, c).collect()) == [
         (6, 0, 2, None), (6, 1, 2, None)]
+
+
+def test_issues_without_a_file_stay(spark):
+    rounds = [(1, 0, day(0), "full"), (1, 1, day(1), "incremental")]
+    issues = [(0, 0, None, 1, "error", "lint", "m"), (0, 1, "a", 1, "error", "lint", "m"), (0, 2, "b", 1, "error", "lint", "m")]
+    r, i, c = frames(spark, rounds, issues, [(1, "a", None, "removed")])
+    got = timeline.open_issues_with_renames(r, i, c).collect()
+    assert sorted((x["seq"], x["file"]) for x in got) == [(0, None), (2, "b")]
+
+
+def test_a_sweep_makes_its_rows_once(spark):
+    """The rows of a sweep are written; both its passes read them, so the plan makes no event."""
+    rounds = [(1, k, day(k), "incremental") for k in range(4)]
+    r, i, c = frames(spark, rounds, [(0, 0, "a", 1, "error", "lint", "m")], [(2, "a", None, "removed")])
+    numbers = timeline.numbered_rounds(r, c)
+    events = timeline.file_events(numbers, c)
+    points = numbers.selectExpr("repo_id", "round_no", "'a' AS file")
+    swept = timeline._swept(points, ["repo_id", "file"], events, events["round_no"], "next")
+    assert sorted((x["round_no"], x["next"]) for x in swept.collect()) == [(1, 3), (2, 3), (3, None), (4, None)]
+    assert "Generate" not in swept._jdf.queryExecution().optimizedPlan().toString()
