@@ -49,39 +49,45 @@ def strict_json(text: Column) -> Column:
 
     A variant holds 128 MB at most. A valid value that is too large fails the job.
     """
-    value = _variant(text)
-    elements = let(
-        F.from_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')), "array<string>", _STRICT),
-        lambda e: (F.size(e) == 2) & (F.get(e, F.lit(1)) == _MARK))
-    lost = (F.octet_length(text) > _LARGE) & elements
-    too_large = F.raise_error(F.lit("JSON value is larger than a variant can be"))
-    return F.coalesce(value, F.when(lost, too_large.cast("variant")))
+    return let(_marked(text), lambda marked: _strict(text, marked))
+
+
+def _marked(text: Column) -> Column:
+    """The text in an array with an end mark behind it, parsed; null for text that holds the mark."""
+    return F.when(
+        ~text.contains(_MARK), F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]'))))
 
 
-def _variant(text: Column) -> Column:
-    """The value between array brackets.
+def _strict(text: Column, marked: Column) -> Column:
+    """The value of :func:`_marked` text; no function of an array, so Spark compiles it.
 
     The built-in parser stops after the first value. Inside an array with an end mark
     behind it, trailing text or a second value leaves the mark out of second place. Text
     that holds the mark itself is checked by wrapping it in an object and in an array,
     which cannot both swallow the same trailing text.
     """
-    def first(marked: Column) -> Column:
-        ends = F.try_variant_get(marked, "$[1]", "string") == _MARK
-        return F.when(ends, F.try_variant_get(marked, "$[0]", "variant"))
-
-    single = let(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]'))), first)
+    ends = F.try_variant_get(marked, "$[1]", "string") == _MARK
+    single = F.when(ends, F.try_variant_get(marked, "$[0]", "variant"))
     as_member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     as_element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     wrapped = F.when(as_element.isNotNull(), F.try_variant_get(as_member, "$.v", "variant"))
-    return F.when(text.contains(_MARK), wrapped).otherwise(single)
+    value = F.when(text.contains(_MARK), wrapped).otherwise(single)
+    elements = F.from_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')), "array<string>", _STRICT)
+    valid = (F.size(elements) == 2) & (F.get(elements, F.lit(1)) == _MARK)
+    lost = (F.octet_length(text) > _LARGE) & valid
+    too_large = F.raise_error(F.lit("JSON value is larger than a variant can be"))
+    return F.coalesce(value, F.when(lost, too_large.cast("variant")))
 
 
 def without_fences(text: Column) -> Column:
     """Drops a leading and a trailing code fence, then trims."""
+    return let(_unfenced(text), trimmed_long)
+
+
+def _unfenced(text: Column) -> Column:
     opened = F.regexp_replace(text, "(?i)^" + FENCE + r"(?:json)?\s*", "")
     closed = F.regexp_replace(opened, r"\s*" + FENCE + r"\z", "")
-    return let(F.when(text.contains(FENCE), closed).otherwise(text), trimmed_long)
+    return F.when(text.contains(FENCE), closed).otherwise(text)
 
 
 def _bracketed(text: Column) -> Column:
@@ -92,12 +98,9 @@ def _bracketed(text: Column) -> Column:
 
 def _braces(text: Column) -> Column:
     """The text from its first opening to its last closing brace, empty without these."""
-    def closed(rest: Column) -> Column:
-        behind = F.length(F.substring_index(rest, "}", -1))
-        return F.substring(rest, F.lit(1), F.length(rest) - behind)
-
     start = F.instr(text, "{")
-    return F.when(start == 0, "").otherwise(let(F.substring(text, start, F.length(text)), closed))
+    end = F.length(text) - F.length(F.substring_index(text, "}", -1))
+    return F.when(start == 0, "").otherwise(F.substring(text, start, end - start + 1))
 
 
 def computed_once(frame: DataFrame, name: str, value: Column) -> DataFrame:
@@ -113,28 +116,25 @@ def with_document(frame: DataFrame, text: str, into: str) -> DataFrame:
     """Adds ``struct<root, doc>``: the JSON document in a text and its opening character.
 
     The document is the text without fences, else the widest brace-to-brace span in it.
+    Every step is a column that the next ones name more than once, so Spark neither merges nor
+    copies them, and none is a function of an array, which Spark does not compile. A filter on
+    the result would copy them all: readers put it behind a generator (:func:`computed_once`).
     """
-    cleaned = computed_once(frame, "__clean", without_fences(F.col(text)))
+    opened = frame.withColumn("__open", _unfenced(F.col(text)))
+    cleaned = opened.withColumn("__clean", trimmed_long(F.col("__open")))
+    clean, direct, span = F.col("__clean"), F.col("__direct"), F.col("__span")
     # A failing parse is costly, so only text with matching outer brackets is tried. Bare
     # numbers and words are no document and hold no braces, so they need no parse either.
-    bracketed = _bracketed(F.col("__clean"))
-    direct = computed_once(
-        cleaned, "__direct",
-        F.struct(
-            F.col("__clean").alias("text"),
-            F.when(bracketed, strict_json(F.col("__clean"))).alias("doc"),
-        ),
-    )
-    within = let(_braces(F.col("__direct.text")), lambda span: F.when(span != "", strict_json(span)))
+    bracketed = _bracketed(clean)
+    marked = cleaned.withColumn("__marked", F.when(bracketed, _marked(clean)))
+    parsed = marked.withColumn("__direct", F.when(bracketed, _strict(clean, F.col("__marked"))))
+    spanned = parsed.withColumn("__span", F.when(direct.isNull(), _braces(clean)))
+    inner = spanned.withColumn("__inner", F.when(span != "", _marked(span)))
     found = F.when(
-        F.col("__direct.doc").isNotNull(),
-        F.struct(
-            F.substring("__direct.text", 1, 1).alias("root"), F.col("__direct.doc").alias("doc")
-        ),
-    ).otherwise(
-        F.struct(F.lit("{").alias("root"), within.alias("doc"))
-    )
-    return computed_once(direct, into, found).drop("__direct", "__clean")
+        direct.isNotNull(), F.struct(F.substring(clean, 1, 1).alias("root"), direct.alias("doc"))
+    ).otherwise(F.struct(
+        F.lit("{").alias("root"), F.when(span != "", _strict(span, F.col("__inner"))).alias("doc")))
+    return inner.withColumn(into, found).drop("__open", "__clean", "__marked", "__direct", "__span", "__inner")
 
 
 def field(value: Column, name: str) -> Column:
@@ -145,19 +145,22 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def text_value(member: Column) -> Column:
+    """A variant as string, null when it is of another type."""
+    return F.when(_kind(member) == "STRING", F.try_variant_get(member, "$", "string"))
+
+
 def text_field(value: Column, name: str) -> Column:
     """String member, null when absent or of another type."""
-    member = field(value, name)
-    return F.when(_kind(member) == "STRING", F.try_variant_get(member, "$", "string"))
+    return F.when(_kind(field(value, name)) == "STRING", F.try_variant_get(value, f"$.{name}", "string"))
 
 
 def number_field(value: Column, name: str) -> Column:
     """Numeric member as double, null when absent or of another type."""
-    member = field(value, name)
-    numeric = _kind(member).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
-    return F.when(numeric, F.try_variant_get(member, "$", "double"))
+    numeric = _kind(field(value, name)).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
+    return F.when(numeric, F.try_variant_get(value, f"$.{name}", "double"))
 
 
-def array_field(value: Column, name: str) -> Column:
-    """Array member as ``array<variant>``, null when absent or of another type."""
-    return F.try_variant_get(value, f"$.{name}", "array<variant>")
+def array_field(value: Column, name: str, of: str = "variant") -> Column:
+    """Array member as ``array<of>``, null when absent or of another type; elements of another type are null."""
+    return F.try_variant_get(value, f"$.{name}", f"array<{of}>")

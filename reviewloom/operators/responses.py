@@ -45,11 +45,11 @@ def is_rate_limited() -> Column:
     return said | F.coalesce(F.col("status") == 429, F.lit(False))
 
 
-def _with_entries(responses: DataFrame, name: str) -> DataFrame:
+def _with_entries(responses: DataFrame, name: str, of: str = "variant") -> DataFrame:
     """Adds the parsed document and its list member ``entries`` (null without a list)."""
     parsed = J.with_document(responses, "text", "d")
-    entries = F.when(F.col("d.root") == "{", J.array_field(F.col("d.doc"), name))
-    return J.computed_once(parsed, "entries", entries)
+    entries = F.when(F.col("d.root") == "{", J.array_field(F.col("d.doc"), name, of))
+    return parsed.withColumn("entries", entries)
 
 
 def _has_null_entry() -> Column:
@@ -62,22 +62,22 @@ def parse_reviews(responses: DataFrame) -> DataFrame:
 
     Text without a JSON object or array becomes the summary itself, cut to 300 characters.
     """
-    doc, root = F.col("d.doc"), F.col("d.root")
+    doc, root, bad = F.col("d.doc"), F.col("d.root"), F.col("__bad")
     keep = [c for c in responses.columns if c != "text"]
-    bad = _has_null_entry()
     structured = doc.isNotNull() & root.isin("{", "[")
     summary = F.when(
         structured, F.coalesce(J.text_field(doc, "summary"), F.lit(""))
     ).otherwise(F.substring("text", 1, SUMMARY_CHARS))
     score = clamp_score(F.when(root == "{", J.number_field(doc, "score")))
-    result = F.struct(
+    # Only what readers filter on is kept from being copied; a member that none reads is not looked up.
+    rows = J.computed_once(_with_entries(responses, "issues"), "__bad", _has_null_entry())
+    return rows.select(
+        *keep,
         F.when(~bad, summary).alias("summary"),
         F.when(~bad, score).alias("score"),
         F.when(~bad, F.coalesce(F.size("entries"), F.lit(0))).alias("issue_count"),
         F.when(bad, "INVALID_ISSUE").alias("parse_error"),
     )
-    rows = J.computed_once(_with_entries(responses, "issues"), "r", result)
-    return rows.select(*keep, "r.*")
 
 
 def parse_issues(responses: DataFrame, *keys: str) -> DataFrame:
@@ -109,9 +109,9 @@ def parse_fixes(responses: DataFrame) -> DataFrame:
 
     def shaped(fix: Column) -> Column:
         return F.struct(
-            J.text_field(fix, "file").alias("file"),
-            J.text_field(fix, "newContent").alias("new_content"),
-            F.coalesce(J.text_field(fix, "explanation"), F.lit("")).alias("explanation"),
+            J.text_value(fix["file"]).alias("file"),
+            J.text_value(fix["newContent"]).alias("new_content"),
+            F.coalesce(J.text_value(fix["explanation"]), F.lit("")).alias("explanation"),
         )
 
     fixes = F.filter(
@@ -119,10 +119,11 @@ def parse_fixes(responses: DataFrame) -> DataFrame:
         lambda f: f["file"].isNotNull() & f["new_content"].isNotNull(),
     )
     empty = F.array().cast("array<struct<file:string,new_content:string,explanation:string>>")
-    result = F.struct(
+    listed = _with_entries(responses, "fixes", "struct<file: variant, newContent: variant, explanation: variant>")
+    rows = J.computed_once(listed, "fixes", F.coalesce(fixes, empty))
+    return rows.select(
+        *keep,
         F.coalesce(J.text_field(doc, "prTitle"), F.lit(DEFAULT_PR_TITLE)).alias("pr_title"),
         F.coalesce(J.text_field(doc, "prBody"), F.lit("")).alias("pr_body"),
-        F.coalesce(fixes, empty).alias("fixes"),
+        "fixes",
     )
-    rows = J.computed_once(_with_entries(responses, "fixes"), "r", result)
-    return rows.select(*keep, "r.*")

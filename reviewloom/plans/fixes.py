@@ -62,7 +62,8 @@ def fix_outcomes(candidates: DataFrame, responses: DataFrame) -> DataFrame:
 
     ``responses`` holds the fix-pass answers (``review_id, text``).
     """
-    parsed = parse_fixes(responses).select("review_id", F.size("fixes").alias("n_fixes"))
+    # Moved to their review before the parse, not after it, so few file splits do not mean few tasks.
+    parsed = parse_fixes(responses.repartition("review_id")).select("review_id", F.size("fixes").alias("n_fixes"))
     joined = candidates.join(parsed, "review_id", "left")
     wanted = F.col("should_open_pr")
     has_fixes = F.coalesce(F.col("n_fixes") > 0, F.lit(False))

@@ -198,7 +198,8 @@ def assemble_reports(
     ``review_id`` and appear here as counts; languages and runs are bounded by the
     registry and are nested.
     """
-    parsed = parse_reviews(responses).where(F.col("parse_error").isNull()).select(
+    # The join moves answers to their review anyway: moved before the parse, it runs in as many tasks.
+    parsed = parse_reviews(responses.repartition("review_id")).where(F.col("parse_error").isNull()).select(
         "review_id", "provider_used", "summary", "score"
     )
 
