@@ -119,3 +119,18 @@ def test_recall_of_planted_links(spark, tmp_path, n, cell, cells, least):
     print(f"{cells} cells, {n} vectors: {int(found.sum())} of {there} links")
     assert len(links) == n and there >= 2000 and (found <= want).all()
     assert found.sum() >= least * there
+
+
+def test_no_link_is_lost_among_many_cells(make):
+    """Links between cells that are not next to each other count,."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.normal(size=(400, 24))
+    aside -= (aside * x[:400]).sum(axis=1, keepdims=True) * x[:400]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    x[400:800] = 0.9501 * x[:400] + np.sqrt(1 - 0.9501**2) * aside
+    x[1100:] = x[1099] + rng.normal(size=(100, 24)) * 0.01
+    rows = [(int(d), v.tolist()) for d, v in zip(rng.permutation(1200), x)]
+    got = run(make, rows, cell=2, block=100)
+    assert got == brute(rows) and sum(r[1] for r in got) > 800
