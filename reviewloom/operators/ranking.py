@@ -64,6 +64,7 @@ def _sliced(
     small bucket has none, and one of n rows has about n / slice_rows. Rows equal in all order
     columns stay in one slice. The cuts of a bucket are dealt to blocks, about as many as a block
     has cuts; a row finds its block first, then its place in it, so no row carries all of them.
+    The rows are not yet dealt by these columns (see :func:`_dealt`).
     """
     tagged = df.withColumn("__bucket", bucket)
     if slice_rows is None:
@@ -91,21 +92,25 @@ def _sliced(
     rows = (
         tagged.withColumn("__salt", F.pmod(F.xxhash64(*order, F.lit(1)), F.lit(salts)).cast("bigint"))
         .join(firsts, [*group, "__salt"], "left")
-        .withColumn("__block", F.when(F.col("__firsts").isNotNull(), _up_to("__firsts", place) - 1))
+        .withColumn("__block", F.when(F.col("__firsts").isNotNull(), up_to("__firsts", place) - 1))
         .drop("__firsts", "__salt")
         .join(blocks, [*group, "__block"], "left")
         .withColumn("__slice", F.when(
-            F.col("__within").isNotNull(), F.col("__block") * F.col("__width") + _up_to("__within", place)).otherwise(0))
+            F.col("__within").isNotNull(), F.col("__block") * F.col("__width") + up_to("__within", place)).otherwise(0))
         .drop("__within", "__block", "__width")
     )
-    # Named in full: the partitioning by bucket that the join leaves would serve a window too.
-    return rows.repartition(*group, "__slice"), ["__bucket", "__slice"]
+    return rows, ["__bucket", "__slice"]
 
 
-def _up_to(cuts: str, place: Column) -> Column:
-    """Number of sorted ``cuts`` that are not after ``place``, by halving steps."""
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(_STEPS))])
-    at = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+def _dealt(tagged: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:
+    """Rows by slice. Named in full: the partitioning by bucket that a join leaves would serve a window too."""
+    return tagged.repartition(*keys, *parts) if "__slice" in parts else tagged
+
+
+def up_to(cuts: str, place: Column, steps: int = _STEPS) -> Column:
+    """Number of sorted ``cuts``, fewer than ``2 ** steps``, that are not after ``place``, by halving steps."""
+    halves = F.array(*[F.lit(1 << bit) for bit in reversed(range(steps))])
+    at = F.aggregate(halves, F.lit(0), lambda at, step: F.when(
         (at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) <= place), at + step).otherwise(at))
     return at
 
@@ -147,7 +152,7 @@ def numbered(
         before = F.last("__last", ignorenulls=True).over(earlier)
         offsets = offsets.withColumn("__before", before).drop("__last")
     inside = Window.partitionBy(*keys, *parts).orderBy(*order)
-    joined = tagged.join(offsets.drop("__n"), [*keys, *parts])
+    joined = _dealt(tagged, keys, parts).join(offsets.drop("__n"), [*keys, *parts])
     result = joined.withColumn(
         into, (F.row_number().over(inside) + F.col("__shift")).cast("bigint")
     )
@@ -167,8 +172,12 @@ def running_total(
     value: str,
     into: str,
     slice_rows: int | None = SLICE_ROWS,
+    keep_parts: bool = False,
 ) -> DataFrame:
-    """Sum of ``value`` over all earlier rows of the key, by the plan of :func:`numbered`."""
+    """Sum of ``value`` over all earlier rows of the key, by the plan of :func:`numbered`.
+
+    ``keep_parts`` leaves the columns that the rows are dealt by, so a grouping by them moves nothing.
+    """
     tagged, parts = _sliced(df, keys, order, bucket, slice_rows)
     sums = tagged.groupBy(*keys, *parts).agg(F.sum(value).alias("__sum"))
     shifts = sums.select(
@@ -179,11 +188,12 @@ def running_total(
         Window.partitionBy(*keys, *parts).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        tagged.join(shifts, [*keys, *parts])
+    total = (
+        _dealt(tagged, keys, parts).join(shifts, [*keys, *parts])
         .withColumn(into, F.coalesce(F.sum(value).over(before), F.lit(0)) + F.col("__shift"))
-        .drop(*parts, "__shift")
+        .drop("__shift")
     )
+    return total if keep_parts else total.drop(*parts)
 
 
 def carried_forward(
@@ -214,7 +224,7 @@ def carried_forward(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        tagged.join(before, [*keys, *parts])
+        _dealt(tagged, keys, parts).join(before, [*keys, *parts])
         .withColumn(
             into,
             F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("__before")),

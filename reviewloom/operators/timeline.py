@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.merge import with_issue_key
-from reviewloom.operators.ranking import carried_forward, keep_first, numbered
+from reviewloom.operators.ranking import carried_forward, keep_first, numbered, up_to
 from reviewloom.session import staged
 
-# Rounds of one repository that are swept together.
+# Rounds of one repository that are swept together, and the halving steps that find one of them.
 _ROUNDS = 4096
+_STEPS = 13
 
 
 def numbered_rounds(rounds: DataFrame, changes: DataFrame) -> DataFrame:
@@ -76,6 +77,25 @@ def _next(points: DataFrame, keys: list[str], events: DataFrame, value: Column,
     return points.join(_swept(points, keys, events, value, into), [*keys, "round_no"], "left")
 
 
+def _with_next_touch(placed: DataFrame, events: DataFrame) -> DataFrame:
+    """``placed`` with the ``next_touch``: the first round after ``round_no`` with an event of the same file, else null.
+
+    The rounds of a file's events are lists of one range each, so the issues are moved once, to
+    the list of their range; it ends with the first event of the ranges after it.
+    """
+    keys = ["repo_id", "file"]
+    reach = F.floor(F.col("round_no") / F.lit(_ROUNDS)).alias("reach")
+    no_round = F.lit(None).cast("bigint").alias("round_no")
+    marks = events.select(*keys, reach, "round_no").unionByName(placed.select(*keys, reach, no_round))
+    lists = marks.where(F.col("file").isNotNull()).groupBy(*keys, "reach").agg(
+        F.sort_array(F.collect_set("round_no")).alias("__touches"))
+    later = Window.partitionBy(*keys).orderBy("reach").rowsBetween(1, Window.unboundedFollowing)
+    lists = lists.withColumn("__later", F.min(F.get("__touches", F.lit(0))).over(later))
+    found = placed.withColumn("reach", reach).join(lists, [*keys, "reach"], "left")
+    touch = F.coalesce(F.get("__touches", up_to("__touches", F.col("round_no"), _STEPS)), F.col("__later"))
+    return found.withColumn("next_touch", touch).drop("reach", "__touches", "__later")
+
+
 def rename_ends(events: DataFrame) -> DataFrame:
     """For each renaming event where the issues it moves end up.
 
@@ -153,28 +173,38 @@ def issue_intervals(rounds: DataFrame, issues: DataFrame, changes: DataFrame) ->
     closes with the next touch of its file, the next full round or, if an equal issue came
     first in the same full round, with the next round that merges.
     """
-    numbers = staged(numbered_rounds(rounds, changes), "rounds")
-    events = file_events(numbers, changes)
+    # Written once: which reviews have changes, and which files they touch.
+    effects = F.array_compact(F.array(
+        F.when(F.col("status") == "removed", F.col("filename")),
+        F.when(F.col("status") != "added", F.coalesce("previous_filename", "filename"))))
+    paths = staged(changes.select("review_id", F.explode_outer(F.array_distinct(effects)).alias("file")), "paths")
+    numbers = staged(numbered_rounds(rounds, paths), "rounds")
+    incremental = numbers.where(F.col("mode") == "incremental").select("review_id", "repo_id", "round_no")
+    events = paths.where(F.col("file").isNotNull()).join(incremental, "review_id").drop("review_id")
     merging = numbers.where((F.col("mode") == "incremental") & F.col("counts"))
     born = numbers.where("counts").select("review_id", "repo_id", "round_no", "mode")
     born = _next(born, ["repo_id"], numbers.where(F.col("mode") == "full"), F.col("round_no"), "next_full")
-    born = _next(born, ["repo_id"], merging, F.col("round_no"), "next_merge")
-    placed = issues.drop("repo_id").join(born, "review_id")
-    touched = _next(placed, ["repo_id", "file"], events, F.col("round_no"), "next_touch")
-    ends = with_issue_key(touched.withColumn("end", F.least("next_full", "next_touch")))
+    born = _next(born, ["repo_id"], merging, F.col("round_no"), "next_merge").withColumn(
+        "full", F.col("mode") == "full").drop("mode")
+    parts = [c for c in ("line", "category", "message", "rule_id") if c in issues.columns]
+    placed = staged(issues.select("review_id", "seq", "file", "severity", *parts).join(born, "review_id"), "placed")
+    touched = _with_next_touch(placed, events).withColumn("end", F.least("next_full", "next_touch"))
+    ends = with_issue_key(staged(touched.drop("next_full", "next_touch"), "ends")).drop(*parts)
+    ends = ends.where(F.col("repo_id").isNotNull() & F.col("issue_key").isNotNull())
     # Equal issues that end together were open together, so only the first of them counts.
     same = ["repo_id", "issue_key", "end"]
     order = F.struct("round_no", "seq")
-    first = ends.groupBy(*same).agg(F.min(order).alias("first"))
-    marked = ends.join(
-        first.withColumnRenamed("end", "its_end"),
-        (ends["repo_id"] == first["repo_id"]) & (ends["issue_key"] == first["issue_key"]) & F.col("end").eqNullSafe(F.col("its_end")),
-    ).drop(first["repo_id"]).drop(first["issue_key"])
-    later = F.col("first") < order
+    first = staged(
+        ends.groupBy(*same).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(
+            *[F.col(c).alias(f"first_{c}") for c in same], "first"), "first")
+    marked = ends.join(first, (
+        (F.col("repo_id") == F.col("first_repo_id")) & (F.col("issue_key") == F.col("first_issue_key"))
+        & F.col("end").eqNullSafe(F.col("first_end"))), "left")
+    later = F.coalesce(F.col("first") < order, F.lit(False))
     return (
         marked.withColumn("closed", F.when(later, F.least("end", "next_merge")).otherwise(F.col("end")))
         # A repeat of an open issue in a merging round is dropped at once.
-        .where(~later | (F.col("mode") == "full"))
+        .where(~later | F.col("full"))
         .select("repo_id", "review_id", "seq", "file", "severity", F.col("round_no").alias("opened"), "closed")
     )
 
