@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reviewloom.catalog.merging import ORACLES as _MERGE_ORACLES
 from reviewloom.catalog.views import oracle
 from reviewloom.operators import merge
-from reviewloom.session import scratch_dir
+from reviewloom.session import discard, scratch_dir, staged, written
 from reviewloom.sources.samples import Samples
 from reviewloom.streaming import append, compacted, open_issues as stream
 
@@ -18,7 +18,7 @@ BATCHES = 4
 
 def _streamed(spark, events, path):
     """The events as a stream that comes in ``BATCHES`` batches of whole files."""
-    events.write.parquet(path)
+    written(events, path)
     files = len(spark.read.parquet(path).inputFiles())
     return (
         spark.readStream.schema(stream.EVENT).option("maxFilesPerTrigger", max(1, -(-files // BATCHES))).parquet(path)
@@ -37,9 +37,10 @@ def stream_open_issues(spark, sf_dir):
     folder = scratch_dir(spark, "open-issues")
     events = _streamed(spark, stream.review_events(rounds, s.issues(), s.changes()), f"{folder}/events")
     stream.open_issue_stream(events, f"{folder}/state", f"{folder}/check").awaitTermination()
-    opened = stream.open_issues(
-        stream.current_occurrences(spark, f"{folder}/state"), rounds, s.changes()
-    )
+    discard(spark, f"{folder}/events")
+    # Written once, so that their shuffle is gone before the next ones.
+    occurrences = staged(stream.current_occurrences(spark, f"{folder}/state"), "occurrences")
+    opened = stream.open_issues(occurrences, rounds, s.changes())
     return merge.open_issue_totals(opened)
 
 
@@ -51,6 +52,7 @@ def stream_compacted_issues(spark, sf_dir):
     events = compacted.review_events(rounds, s.issues(), s.changes())
     source = _streamed(spark, events.repartitionByRange(_parts(spark), "at"), f"{folder}/events")
     compacted.compacted_stream(source, f"{folder}/log", f"{folder}/check", most=2).awaitTermination()
+    discard(spark, f"{folder}/events")
     occurrences = compacted.current_occurrences(spark, f"{folder}/log")
     return stream.open_issues(occurrences, rounds, s.changes()).select(
         "repo_id", "review_id", "seq", "file", "severity", "message"

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reviewloom.operators import merge
-from reviewloom.session import discard, exists, folders, total_bytes
+from reviewloom.session import discard, exists, folders, total_bytes, written
 from reviewloom.streaming import open_issues as stream
 
 _NAME = re.compile(r"(snapshot|delta)-(\d+)\Z")
@@ -128,10 +128,10 @@ def compact(spark: SparkSession, path: str, schema: str = stream.EVENT, lateness
     if not deltas:
         return
     touches = _touches(spark, path, schema, through, deltas)
-    touches.select(*_SLICE, F.lit("touch").alias("kind"), "touch.at", "touch.review_id").write.mode("overwrite").parquet(
-        _touch_folder(path, deltas[-1]))
+    rows = touches.select(*_SLICE, F.lit("touch").alias("kind"), "touch.at", "touch.review_id")
+    written(rows, _touch_folder(path, deltas[-1]), mode="overwrite")
     log = folded(_log(spark, path, schema, through, deltas), lateness)
-    log.write.mode("overwrite").parquet(_folder(path, "snapshot", deltas[-1]))
+    written(log, _folder(path, "snapshot", deltas[-1]), mode="overwrite")
     snapshots, all_deltas = _written(spark, path)
     for old in snapshots[:-2]:
         discard(spark, _folder(path, "snapshot", old))
@@ -161,7 +161,7 @@ def compacted_stream(
         snapshots, deltas = _written(spark, path)
         if number not in deltas and not (snapshots and number <= snapshots[-1]):
             known = _touches(spark, path, schema, *_generation(spark, path))
-            stream.changed_by(batch, known).write.mode("overwrite").parquet(_folder(path, "delta", number))
+            written(stream.changed_by(batch, known), _folder(path, "delta", number), mode="overwrite")
         if _due(spark, path, share, most):
             compact(spark, path, schema, lateness)
 

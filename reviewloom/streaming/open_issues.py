@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reviewloom.operators import merge
-from reviewloom.session import exists, folders
+from reviewloom.session import exists, folders, written
 
 SLICES = 4
 KEY = ["repo_id", "file", "slice"]
@@ -54,11 +54,12 @@ def review_events(
     changed = changes.select("review_id").distinct().withColumn("changed", F.lit(True))
     placed = rounds.withColumn("at", _micros()).join(changed, "review_id", "left")
     live = placed.where((F.col("mode") == "full") | F.coalesce("changed", F.lit(False)))
-    keyed = merge.with_issue_key(issues)
-    issue_events = keyed.join(live.select("review_id", "repo_id", "at"), "review_id").select(
-        "repo_id", "file",
-        F.pmod(F.xxhash64("issue_key"), F.lit(slices)).cast("int").alias("slice"),
-        F.lit("issue").alias("kind"), *_FIELDS,
+    # The slice moves instead of the key it comes from.
+    sliced = merge.with_issue_key(issues).withColumn(
+        "slice", F.pmod(F.xxhash64("issue_key"), F.lit(slices)).cast("int")).select(
+        "file", "slice", *[c for c in _FIELDS if c != "at"])
+    issue_events = sliced.join(live.select("review_id", "repo_id", "at"), "review_id").select(
+        "repo_id", "file", "slice", F.lit("issue").alias("kind"), *_FIELDS,
     )
     touched = placed.where(F.col("mode") == "incremental").select("review_id", "repo_id", "at")
     every_slice = F.explode(F.array(*[F.lit(i) for i in range(slices)]))
@@ -76,13 +77,18 @@ def last_touches(log: DataFrame) -> DataFrame:
     return touches.groupBy(*KEY).agg(F.max(F.struct("at", "review_id")).alias("touch"))
 
 
+def _touches(log: DataFrame) -> DataFrame:
+    """All touches of file slices in the log."""
+    return log.where(F.col("kind") == "touch").select(*KEY, F.struct("at", "review_id").alias("touch"))
+
+
 def changed_by(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Log rows by which a batch changes the open issues: occurrences that no touch so far made
-    stale, and touches newer than the ``known`` ones (see ``last_touches``)."""
+    stale, and touches newer than the ``known`` ones (the last of every slice, others beside them)."""
     place = F.struct("at", "review_id")
     none = F.lit(None).cast(known.schema["touch"].dataType)
     touches = (
-        last_touches(batch).select(*KEY, F.col("touch").alias("fresh"), none.alias("known"))
+        _touches(batch).select(*KEY, F.col("touch").alias("fresh"), none.alias("known"))
         .unionByName(known.select(*KEY, none.alias("fresh"), F.col("touch").alias("known")))
         .groupBy(*KEY).agg(F.max("fresh").alias("fresh"), F.max("known").alias("known"))
     )
@@ -110,9 +116,9 @@ def open_issue_stream(
     schema = event_schema(repo_id, review_id)
 
     def apply(batch: DataFrame, number: int) -> None:
-        written, log = _log(batch.sparkSession, path, schema)
-        if number not in written:
-            changed_by(batch, last_touches(log)).write.mode("overwrite").parquet(f"{path}/batch={number:09d}")
+        numbers, log = _log(batch.sparkSession, path, schema)
+        if number not in numbers:
+            written(changed_by(batch, _touches(log)), f"{path}/batch={number:09d}", mode="overwrite")
 
     return (
         events.writeStream.outputMode("append").foreachBatch(apply)

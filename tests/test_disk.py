@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators import timeline
 from reviewloom.session import staged
+from reviewloom.streaming import open_issues as stream
 
 ROUND = "repo_id int, review_id bigint, created_at timestamp, mode string"
 ISSUE = "review_id bigint, seq bigint, file string, line int, severity string, category string, message string"
@@ -49,3 +50,20 @@ def test_intervals_hold_one_shuffle_of_the_issues(spark, shuffled):
     found = timeline.issue_intervals(rounds, issues, changes)
     assert shuffled() == 0
     assert exchanges(found) <= 2
+
+
+def test_touches_of_a_batch_move_once(spark):
+    batch = spark.createDataFrame([], stream.EVENT)
+    known = stream.last_touches(spark.createDataFrame([], stream.EVENT)).where("repo_id > 0")
+    names = [c for c in batch.columns]
+    changed = stream.changed_by(batch, known.select("repo_id", "file", "slice", "touch"))
+    assert changed.columns == names
+    assert exchanges(stream.changed_by(batch, batch.selectExpr("repo_id", "file", "slice", "struct(at, review_id) AS touch"))) <= 4
+
+
+def test_issue_key_does_not_move_with_its_issue(spark):
+    rounds = spark.createDataFrame([], ROUND)
+    issues = spark.createDataFrame([], ISSUE + ", suggestion string")
+    events = stream.review_events(rounds, issues, spark.createDataFrame([], CHANGE))
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert "issue_key" not in plan
