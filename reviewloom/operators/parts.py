@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.operators.ranking import SLICE_ROWS, running_total
-from reviewloom.session import staged
+from reviewloom.session import discard, scratch_dir, staged, written
 
 #: Largest part in bytes of UTF-8.
 PART_BYTES = 1 << 20
@@ -45,11 +45,21 @@ def byte_parts(
         .withColumn(text, F.substring(F.col(text), F.col("__piece") * chars + 1, F.lit(chars)))
         .withColumn("__bytes", F.octet_length(text).cast("bigint"))
     )
-    # Written once: the cuts, the sums and the rows themselves are passes over them.
+    # Written once: the cuts, the sums and the rows themselves are passes over them. The text breaks ties of the order.
+    spark, path = rows.sparkSession, scratch_dir(rows.sparkSession, "pieces")
+    written(pieces, path)
     placed = running_total(
-        staged(pieces, "pieces"), keys, [*order, "__piece"], F.col("__of"), "__bytes", "__start", slice_rows)
-    entries = F.sort_array(F.collect_list(F.struct(*order, "__piece", text)))
-    return (
-        placed.groupBy(*keys, F.floor(F.col("__start") / half).alias("part"))
-        .agg(F.array_join(entries.getField(text), "").alias(text))
-    )
+        spark.read.schema(pieces.schema).parquet(path), keys, [*order, "__piece", text], F.col("__of"), "__bytes",
+        "__start", slice_rows, keep_parts=True)
+    part = F.floor(F.col("__start") / half).alias("part")
+
+    def run_together(rows: DataFrame, *by: str | Column) -> DataFrame:
+        entries = F.sort_array(F.collect_list(F.struct("__start", text)))
+        return rows.groupBy(*by).agg(F.min("__start").alias("__start"), F.array_join(entries.getField(text), "").alias(text))
+
+    # A part's pieces lie side by side; those of one slice are run together where they are, so that few texts move on.
+    within = staged(run_together(
+        placed, *keys, *[c for c in placed.columns if c in ("__bucket", "__slice")], part
+    ).select(*keys, "part", "__start", text), "texts")
+    discard(spark, path)
+    return run_together(within, *keys, "part").drop("__start")

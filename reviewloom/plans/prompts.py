@@ -144,7 +144,11 @@ def full_prompts(
 
 def _incremental_units(reviews: DataFrame, changes: DataFrame, findings: DataFrame) -> DataFrame:
     """Diff prompts as ordered units ``review_id, section, file_order, file, position, text``."""
-    counts = changes.groupBy("review_id").agg(F.count(F.lit(1)).alias("n"))
+    # Written once, by review: the changes are counted, they pick the findings, and their diffs are shown.
+    keyed_changes = staged(
+        changes.join(reviews.select("review_id"), "review_id", "left_semi").select(
+            "review_id", "file_no", "filename", "previous_filename", "status", "patch"), "changes")
+    counts = keyed_changes.groupBy("review_id").agg(F.count(F.lit(1)).alias("n"))
     listed = reviews.join(counts, "review_id", "left")
     head = _lines(
         F.concat(F.lit("## Repository: "), "repo_url"),
@@ -180,7 +184,6 @@ def _incremental_units(reviews: DataFrame, changes: DataFrame, findings: DataFra
         return rows.select("review_id", F.explode_outer(F.array(*items)).alias("u"))
 
     none = F.lit("")
-    keyed_changes = changes.join(reviews.select("review_id"), "review_id", "left_semi")
     # The files that have findings and changes, written once: they pick and order the findings, and count them.
     relevant = staged(fnd.distinct_files(in_changed_files(findings, keyed_changes, ["review_id"])), "changed-files")
     lint = F.concat(

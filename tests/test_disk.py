@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.operators import timeline
+from reviewloom.operators.parts import byte_parts
+from reviewloom.plans import prompts
 from reviewloom.session import staged
 from reviewloom.streaming import open_issues as stream
 
@@ -67,3 +69,35 @@ def test_issue_key_does_not_move_with_its_issue(spark):
     events = stream.review_events(rounds, issues, spark.createDataFrame([], CHANGE))
     plan = events._jdf.queryExecution().optimizedPlan().toString()
     assert "issue_key" not in plan
+
+
+def test_texts_of_a_slice_move_as_one(spark, shuffled):
+    rows = spark.range(3000).selectExpr("id % 3 AS k", "id AS place", "concat('line ', id, repeat('x', id % 50)) AS text")
+    parts = byte_parts(rows, ["k"], ["place"], F.lit(0), "text", 4096, 500)
+    assert shuffled() < 200 and exchanges(parts) == 1  # the count of the cuts is left
+    whole = {k: "" for k in range(3)}
+    for r in sorted(parts.collect(), key=lambda r: (r["k"], r["part"])):
+        assert len(r["text"]) <= 4096
+        whole[r["k"]] += r["text"]
+    want = {k: "".join(f"line {i}{'x' * (i % 50)}" for i in range(k, 3000, 3)) for k in range(3)}
+    assert whole == want
+
+
+def test_changes_are_made_once_for_a_prompt(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(name):
+        made.add(1)
+        return name
+
+    reviews = spark.createDataFrame([(1, "https://x/y")], "review_id bigint, repo_url string")
+    changes = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "review_id bigint, file_no int, filename string").select(
+        "review_id", "file_no", seen("filename").alias("filename"), F.lit(None).cast("string").alias("previous_filename"),
+        F.lit("modified").alias("status"), F.lit("+x").alias("patch"))
+    findings = spark.createDataFrame(
+        [(1, 1, "a", 3, "error", "lint", "m", "r")],
+        "review_id bigint, seq bigint, file string, line int, severity string, category string, message string, rule_id string")
+    parts = prompts.incremental_prompt_parts(reviews, changes, findings).collect()
+    assert len(parts) == 1 and "a:L3" in parts[0]["text"] and "### b (modified)" in parts[0]["text"]
+    assert made.value == 2
